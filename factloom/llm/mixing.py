@@ -4,7 +4,8 @@ The mix holds ``share`` times all words.  Each source gets words in proportion t
 weight, up to ``most_epochs`` times its own size; what is above is reshared by weight among
 the others until none is above.  A source's documents are then taken whole
 ``floor(target / size)`` times, and some of them once more: those of smallest seeded hash
-as far as the target goes, and of the rest one of each size class where it still fits.
+as far as the target goes, of the rest one of each size class where it still fits, and at last
+one beyond the target if that comes nearer to it.
 
 Everything is DataFrame code.  Per source, the hash cut is found from sums by the first 16
 bits of the hash, then among the rows of one such bucket, so no task gathers a source.
@@ -84,12 +85,17 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 1.0, m
     drawn = scratch.save(rest.unionByName(edge))
     # what is still missing: of each size class at most one more document
     gap = drawn.groupBy("source").agg(F.first("part").alias("part"), F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0)).alias("got")).select("source", F.floor(F.col("part") - F.col("got")).cast("long").alias("gap"))
-    left = with_plan(drawn.filter("not extra and size > 0").select("source", "size", "draw"), gap).filter("size <= gap")
+    left = with_plan(drawn.filter("not extra and size > 0").select("source", "size", "draw"), gap).filter("size < 2 * gap")
     one = left.groupBy("source", "gap", F.floor(F.log2("size")).alias("class")).agg(F.min(F.struct("draw", "size")).alias("pick"))
     tried = one.groupBy("source", "gap").agg(F.reverse(F.array_sort(F.collect_list(F.struct("class", F.col("pick.size").alias("size"), F.col("pick.draw").alias("draw"))))).alias("picks"))
+    pick = lambda x: F.struct(x["draw"].alias("draw"), x["size"].alias("size"))
     empty = F.struct(F.col("gap").alias("gap"), F.array().cast("array<struct<draw:string,size:bigint>>").alias("got"))
-    step = lambda acc, x: F.when(x["size"] <= acc["gap"], F.struct((acc["gap"] - x["size"]).alias("gap"), F.array_append(acc["got"], F.struct(x["draw"].alias("draw"), x["size"].alias("size"))).alias("got"))).otherwise(acc)
-    more = tried.select("source", F.explode(F.aggregate("picks", empty, step)["got"]).alias("pick")).select(F.col("source").alias("__s"), F.col("pick.draw").alias("__d"), F.col("pick.size").alias("__z"))
+    step = lambda acc, x: F.when(x["size"] <= acc["gap"], F.struct((acc["gap"] - x["size"]).alias("gap"), F.array_append(acc["got"], pick(x)).alias("got"))).otherwise(acc)
+    fitted = tried.withColumn("fit", F.aggregate("picks", empty, step))
+    # and one beyond the target where that comes nearer to it
+    spare = F.array_min(F.filter("picks", lambda x: (x["size"] < 2 * F.col("fit.gap")) & ~F.array_contains(F.col("fit.got"), pick(x))))
+    every = F.array_compact(F.concat("fit.got", F.array(F.when(spare.isNotNull(), pick(spare)))))
+    more = fitted.select("source", F.explode(every).alias("pick")).select(F.col("source").alias("__s"), F.col("pick.draw").alias("__d"), F.col("pick.size").alias("__z"))
     final = drawn.join(more, F.col("source").eqNullSafe(F.col("__s")) & (F.col("draw") == F.col("__d")) & (F.col("size") == F.col("__z")), "left")
     times = F.when(F.col("size") > 0, F.col("whole") + (F.col("extra") | F.col("__d").isNotNull()).cast("long")).otherwise(F.lit(0)).cast("long")
     return final.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))

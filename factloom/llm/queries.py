@@ -99,16 +99,21 @@ gaps AS (SELECT source, CAST(floor(any_value(part) - coalesce(sum(size) FILTER (
 picks AS (
   SELECT d.source, CAST(floor(log2(d.size)) AS INTEGER) AS class, min(struct_pack(draw := draw, size := size)) AS pick
   FROM drawn d JOIN gaps g ON d.source IS NOT DISTINCT FROM g.source
-  WHERE NOT extra AND d.size > 0 AND d.size <= gap GROUP BY ALL),
+  WHERE NOT extra AND d.size > 0 AND d.size < 2 * gap GROUP BY ALL),
 fits AS (
   SELECT source, 63 AS class, gap, CAST(NULL AS VARCHAR) AS draw, CAST(NULL AS BIGINT) AS size FROM gaps
   UNION ALL
   SELECT f.source, f.class - 1, CASE WHEN p.pick.size <= f.gap THEN f.gap - p.pick.size ELSE f.gap END,
          CASE WHEN p.pick.size <= f.gap THEN p.pick.draw END, CASE WHEN p.pick.size <= f.gap THEN p.pick.size END
-  FROM fits f LEFT JOIN picks p ON f.source IS NOT DISTINCT FROM p.source AND p.class = f.class - 1 WHERE f.class > 0)
+  FROM fits f LEFT JOIN picks p ON f.source IS NOT DISTINCT FROM p.source AND p.class = f.class - 1 WHERE f.class > 0),
+spare AS (
+  SELECT p.source, p.pick.draw AS draw, p.pick.size AS size, row_number() OVER (PARTITION BY p.source ORDER BY p.class, p.pick.size, p.pick.draw) AS place
+  FROM picks p JOIN (SELECT source, min(gap) AS gap FROM fits GROUP BY source) g ON p.source IS NOT DISTINCT FROM g.source
+  WHERE p.pick.size < 2 * g.gap AND NOT EXISTS (SELECT 1 FROM fits f WHERE f.source IS NOT DISTINCT FROM p.source AND f.draw = p.pick.draw AND f.size = p.pick.size)),
+more AS (SELECT source, draw, size FROM fits WHERE draw IS NOT NULL UNION ALL SELECT source, draw, size FROM spare WHERE place = 1)
 SELECT d.doc_id, d.size, d.source_size, d.target,
        CAST(CASE WHEN d.size > 0 THEN d.whole + CAST(d.extra OR f.draw IS NOT NULL AS BIGINT) ELSE 0 END * d.size AS BIGINT) AS taken
-FROM drawn d LEFT JOIN fits f ON d.source IS NOT DISTINCT FROM f.source AND d.draw = f.draw AND d.size = f.size
+FROM drawn d LEFT JOIN more f ON d.source IS NOT DISTINCT FROM f.source AND d.draw = f.draw AND d.size = f.size
 """,
     "op9_exact_topk": """
 WITH v AS (

@@ -226,7 +226,7 @@ def strip(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """All rows and columns, the text without those spans that aren't the first of their kind."""
     cut = spans.filter("not is_first").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans")).withColumnRenamed("doc_id", "__id")
     joined = docs.join(cut, F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    place = docs.columns.index("text")
+    names, place = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,6 +239,6 @@ def strip(docs: DataFrame, spans: DataFrame) -> DataFrame:
                         texts[i] = texts[i][:lo] + texts[i][hi:]
             columns = list(batch.columns[:-1])
             columns[place] = pa.array(texts, columns[place].type)
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return common.arrow_map(joined, run, docs.schema)
