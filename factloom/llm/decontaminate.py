@@ -8,7 +8,8 @@ common subsequence of words covers ``copy_share`` of the item, and as a ``paraph
 it covers ``paraphrase_share`` and the item's answer is there too: the words of column
 ``answer`` where the benchmark has one, else the item's rarest words.
 
-Case, punctuation and word breaks of any kind don't count.  Defined results: documents with
+Words in over a tenth of the documents (and over 1,000) serve for subsequences but not for
+retrieval.  Case, punctuation and word breaks of any kind don't count.  Defined results: documents with
 null or empty text match nothing; items with fewer than ``least_words`` words take no part;
 repeated items and rows each count; an empty benchmark finds nothing; other columns are
 ignored by :func:`find` and kept by :func:`clean`.
@@ -19,8 +20,9 @@ latent vectors of a block's vocabulary) is bounded however large the benchmark i
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,7 @@ from . import common
 from .wordhash import mix64, text_buffers, word_chunks
 
 BLOCK_ITEMS = 2000
+STOP_ROWS, STOP_SHARE = 1000, 0.1  # words in more documents than both aren't retrieved by
 STRIDE, SPAN = 8, 4  # windows of SPAN strides
 _BITS = 20
 
@@ -73,6 +76,10 @@ class Item:
     item_id: int
     words: list[int]
     answer: list[int]
+    counts: Counter[int] = field(default_factory=Counter)
+
+    def __post_init__(self) -> None:
+        self.counts.update(self.words)
 
 
 @dataclass
@@ -125,16 +132,19 @@ class Index:
         out = []
         for (d, k), found in sorted(best.items()):
             cosine, item = max(c for c, _ in found), self.items[k]
-            shares, tried_to = (0.0, 0.0, 0, 0), -1
-            for _, start in sorted({(0.0, s) for _, s in found}):  # each stretch of windows once
+            shares, tried_to, least = (0.0, 0.0, 0, 0), -1, min(self.copy_share, self.paraphrase_share)
+            for start in sorted(s for _, s in found):  # each stretch of windows once
                 if start < tried_to:
                     continue
                 lo = max(bounds[d], bounds[d] + start - len(item.words))
                 hi = min(bounds[d + 1], bounds[d] + start + STRIDE * SPAN + len(item.words))
                 tried_to = start + STRIDE * SPAN
                 region = words[lo:hi].tolist()
+                there = item.counts.keys() & region
+                if sum(map(item.counts.__getitem__, there)) < least * len(item.words):  # as long as a subsequence can get
+                    continue
                 overlap, a, b = common_subsequence(item.words, region)
-                answer = sum(w in set(region) for w in item.answer) / max(1, len(item.answer))
+                answer = sum(w in there or w in region for w in item.answer) / max(1, len(item.answer))
                 shares = max(shares, (overlap / len(item.words), answer, int(lo - bounds[d]) + a, int(lo - bounds[d]) + b))
             if shares[0] >= self.copy_share or shares[0] >= self.paraphrase_share and shares[1] >= self.answer_share:
                 out.append((d, k, cosine, *shares))
@@ -158,8 +168,8 @@ def common_subsequence(a: list[int], b: list[int]) -> tuple[int, int, int]:
     return length, first, end
 
 
-def _idf(documents: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """Inverse document frequencies of the vocabulary over all documents; tasks send one sum for each word."""
+def _idf(documents: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse document frequencies of the vocabulary over all documents, and which are stop words; tasks send one sum for each word."""
     held = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +188,7 @@ def _idf(documents: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     found = common.arrow_map(documents.select("text"), count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
     n = dict(zip(found["word"], found["n"], strict=True))
     counts = np.array([n.get(i, 0) for i in range(len(vocabulary))], dtype=float)
-    return np.log((1.0 + n.get(-1, 0)) / (1.0 + counts)) + 0.05
+    return np.log((1.0 + n.get(-1, 0)) / (1.0 + counts)) + 0.05, (counts > STOP_ROWS) & (counts > STOP_SHARE * n.get(-1, 0))
 
 
 def randomised_svd(rows: DataFrame, width: int, rank: int, powers: int = 2, seed: int = common.SEED) -> np.ndarray:
@@ -231,12 +241,13 @@ def index_block(documents: DataFrame, rows: list, rank: int, least_words: int, *
     if not kept:
         return None
     vocabulary = Vocabulary(np.concatenate([words[i] for i in kept]))
-    idf = _idf(documents, vocabulary)
+    idf, stop = _idf(documents, vocabulary)
     items, owner, passages = [], [], []
     for i in kept:
         index = vocabulary.find(words[i])[1]
         rare = sorted(set(words[i].tolist()), key=lambda w: (-idf[np.searchsorted(vocabulary.words, np.uint64(w))], w))
         items.append(Item(rows[i]["item_id"], words[i].tolist(), answers[i].tolist() or rare[: max(3, len(rare) // 4)]))
+        index = index[~stop[index]] if (~stop[index]).any() else index
         size = STRIDE * SPAN
         for lo in range(0, max(1, len(index) - size // 2), size // 2) if len(index) > 2 * size else [0]:
             part = index[lo : lo + size] if len(index) > 2 * size else index
@@ -248,10 +259,11 @@ def index_block(documents: DataFrame, rows: list, rank: int, least_words: int, *
     leading = randomised_svd(matrix, len(vocabulary), rank)
     latent = np.stack([w @ leading[p] for p, w in passages])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    return Index(vocabulary, (idf[:, None] * leading).astype(np.float32), items, np.array(owner), latent.astype(np.float32), **limits)
+    used = np.unique(np.concatenate([p for p, _ in passages]))  # without stop words, but for items that have no others
+    return Index(Vocabulary(vocabulary.words[used]), (idf[:, None] * leading).astype(np.float32)[used], items, np.array(owner), latent.astype(np.float32), **limits)
 
 
-def indexes(documents: DataFrame, benchmark: DataFrame, rank: int = 96, least_words: int = 5, least_cosine: float = 0.45, copy_share: float = 0.75, paraphrase_share: float = 0.55, answer_share: float = 0.6) -> Iterator[Index]:
+def indexes(documents: DataFrame, benchmark: DataFrame, rank: int = 64, least_words: int = 5, least_cosine: float = 0.75, copy_share: float = 0.75, paraphrase_share: float = 0.55, answer_share: float = 0.6) -> Iterator[Index]:
     """An index for each block of the benchmark, by a hash of the item's id."""
     columns = [c for c in ("item_id", "text", "answer") if c in benchmark.columns]
     items = benchmark.select(*columns)

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 SHINGLE_WORDS = 5
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_CHUNK_BYTES = 1 << 20
+_CHUNK_BYTES = 1 << 19
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -68,7 +68,7 @@ class Words:
 
 
 def word_chunks(offsets: np.ndarray, data: np.ndarray, lower: bool = True, keep: np.ndarray | None = None) -> Iterator[Words]:
-    """Words of every document, some documents at a time (about 1 MB, or one longer document).
+    """Words of every document, some documents at a time (about 0.5 MB, or one longer document).
 
     ``keep`` is an optional table of 256 flags; other bytes don't count towards a word's hash.
     """
