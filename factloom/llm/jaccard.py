@@ -6,8 +6,9 @@ The result is each document's component: the smallest doc_id that links reach.
 1. One pass counts shingles in a sketch of fixed size, which gives a global order, rare ones
    first.  Any fixed order gives the same result; this one keeps frequent shingles out.
 2. One pass turns each text into a fingerprint (equal sets are one node from here on), a
-   parity bitmap of 512 bits, and the first n - ceil(3n/4) + 1 shingles in that order: sets
-   that link share one of these.
+   parity bitmap of 2,048 bits, and the first n - ceil(3n/4) + l shingles in that order, with
+   l = 1 + n // 20: sets that link share at least the smaller one's l of these.  A node that
+   shares fewer of them with all others together than any partner of its would need is out.
 3. Nodes that share such a shingle are compared by bitmap: the bits in which two bitmaps
    differ are at most the elements in which the sets do, and linked sets differ in at most
    (|A| + |B|) / 7.  What passes is kept as a spanning forest, never as all pairs, and the
@@ -15,7 +16,8 @@ The result is each document's component: the smallest doc_id that links reach.
 4. Each component's sets, by falling frequency in the component, go into a prefix tree.  A
    set walks it carrying the overlap of the path so far, leaves a subtree when what is left
    can't reach the least overlap, and when all below is in its own component already.
-   Components of more than ``BLOCK`` sets are dealt out by pairs of blocks.
+   Components of more than ``BLOCK`` sets or ``BLOCK_SHINGLES`` shingles are dealt out by pairs
+   of blocks.
 5. Components of the verified links are the answer.
 
 Fingerprints and shingles are 64-bit hashes; a wrong link by collision has a chance of about
@@ -41,8 +43,9 @@ from pyspark.sql import functions as F
 from . import common
 from .wordhash import mix64, ngram_hashes, shingle_set, text_buffers, word_chunks
 
-BITS = 512
-BLOCK = 3000
+BITS = 2048
+BLOCK = 2000  # sets of a component that are compared at once
+BLOCK_SHINGLES = 500_000
 SKETCH = 1 << 20
 _PART = 1 << 12
 _TOP = np.uint64(44)  # the sketch's place is the hash's first 20 bits
@@ -80,8 +83,13 @@ def sketch(docs: DataFrame, words: int = 5) -> np.ndarray:
     return out.reshape(-1)
 
 
+def least_shared(n: int) -> int:
+    """How many shingles of their prefixes two linked sets share, if the smaller one has n."""
+    return 1 + n // 20
+
+
 def prefix_length(n: int) -> int:
-    return n - (3 * n + 3) // 4 + 1 if n else 0
+    return min(n, n - (3 * n + 3) // 4 + least_shared(n)) if n else 0
 
 
 def fingerprint(shingles: np.ndarray) -> int:
@@ -355,16 +363,20 @@ def components(docs: DataFrame, words: int = 5, scratch: common.Scratch | None =
     common.ship(docs.sparkSession)
     seen = scratch.save(features(docs, words))
     nodes = scratch.save(seen.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("bits").alias("bits")))
+    whole = scratch.save(seen.select("doc_id", F.col("n").alias("n_shingles"), "node"))
     postings = seen.filter("node is not null").select(F.explode("prefix").alias("token"), "node")
     shared = postings.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long")
     shared = scratch.save(shared)
-    bits = nodes.select("node", "n", "bits")
+    scratch.drop(seen)
+    # a partner has at least 3/4 of a node's shingles
+    needed = 1 + F.floor(F.ceil(F.col("n") * 0.75) / 20)
+    bits = scratch.save(shared.groupBy("node").count().join(nodes, "node").filter(F.col("count") >= needed).select("node", "n", "bits"))
     pairs = shared.join(bits, "node").repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_candidates, "a long, b long")
     near = scratch.save(pairs)
-    scratch.drop(shared)
+    scratch.drop(shared, bits)
     coarse = scratch.save(common.connected_components(near, scratch).join(nodes.select("node", "doc", "n"), "node"))
     # large components go in pairs of blocks
-    blocks = coarse.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(2000 * BLOCK))).cast("int").alias("blocks"))
+    blocks = coarse.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
     dealt = coarse.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", "node", "doc", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -375,7 +387,6 @@ def components(docs: DataFrame, words: int = 5, scratch: common.Scratch | None =
     least = joined.join(nodes.select("node", "doc"), "node")
     least = least.join(least.groupBy("component").agg(F.min("doc").alias("component_id")), "component").select("node", F.col("component_id").alias("linked"))
     named = scratch.save(nodes.select("node", "doc").join(least, "node", "left").select("node", F.coalesce("linked", "doc").alias("component_id")))
-    whole = seen.select("doc_id", F.col("n").alias("n_shingles"), "node")
     placed = whole.filter("node is not null and doc_id is not null").join(named, "node").select("doc_id", "n_shingles", "component_id")
     alone = whole.filter("node is null or doc_id is null").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).alias("component_id"))
     return _same_id(placed.unionByName(alone))
