@@ -12,7 +12,8 @@ The result is each document's component: the smallest doc_id that links reach.
 3. Nodes that share such a shingle are compared by bitmap: the bits in which two bitmaps
    differ are at most the elements in which the sets do, and linked sets differ in at most
    (|A| + |B|) / 7.  What passes is kept as a spanning forest, never as all pairs, and the
-   forest's components hold every link.
+   forest's components hold every link.  Large components are compared once more, sets of over
+   1,500 shingles by bitmaps of 32,768 bits.
 4. Each component's sets, by falling frequency in the component, go into a prefix tree.  A
    set walks it carrying the overlap of the path so far, leaves a subtree when what is left
    can't reach the least overlap, and when all below is in its own component already.
@@ -44,6 +45,7 @@ from . import common
 from .wordhash import mix64, ngram_hashes, shingle_set, text_buffers, word_chunks
 
 BITS = 2048
+WIDE_BITS, LONG = 1 << 15, 1500  # sets of over LONG shingles have a second bitmap
 BLOCK = 2000  # sets of a component that are compared at once
 BLOCK_SHINGLES = 500_000
 SKETCH = 1 << 20
@@ -98,22 +100,22 @@ def fingerprint(shingles: np.ndarray) -> int:
     return int(mix64(np.array([total ^ np.uint64(len(shingles) * 0x9E3779B1)], dtype=np.uint64)).view(np.int64)[0])
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    """Parities of the numbers of elements that fall on each of BITS bits."""
-    odd = np.bincount((shingles & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+def bitmap(shingles: np.ndarray, bits: int = BITS) -> bytes:
+    """Parities of the numbers of elements that fall on each of ``bits`` bits."""
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def features(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, n, node, bits, prefix; in each task only the first row of a node has bits and prefix."""
+    """doc_id, n, node, bits, wide, prefix; in each task only the first row of a node has bitmaps and prefix."""
     held = docs.sparkSession.sparkContext.broadcast(sketch(docs, words))
     source = docs.select("doc_id", F.col("text").alias("__text"))
-    schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n long, node long, bits binary, prefix array<long>"
+    schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n long, node long, bits binary, wide binary, prefix array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = held.value, set()
         for batch in batches:
-            sizes, nodes, bits, prefixes, lengths = [], [], [], [], [0]
+            sizes, nodes, bits, wide, prefixes, lengths = [], [], [], [], [], [0]
             for c in word_chunks(*text_buffers(batch.column(1))):
                 for i in range(len(c.bounds) - 1):
                     grams = shingle_set(c.hashes[c.bounds[i] : c.bounds[i + 1]], words)
@@ -126,10 +128,11 @@ def features(docs: DataFrame, words: int = 5) -> DataFrame:
                         first = grams[order[: prefix_length(n)]]
                         prefixes.append(first)
                     bits.append(None if first is None else bitmap(grams))
+                    wide.append(None if first is None or n <= LONG else bitmap(grams, WIDE_BITS))
                     lengths.append(lengths[-1] + (0 if first is None else len(first)))
             flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), lists], names=["doc_id", "n", "node", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), lists], names=["doc_id", "n", "node", "bits", "wide", "prefix"])
 
     return common.arrow_map(source, run, schema)
 
@@ -325,6 +328,41 @@ def join_sets(sets: list[np.ndarray], sides: np.ndarray | None = None) -> np.nda
     return labels
 
 
+def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _candidates, for the blocks of large components, long sets by their wide bitmaps."""
+    forest = Forest()
+    for group in common.sorted_groups(batches, ("component", "i", "j")):
+        nodes, sizes, blocks = (group.column(c).to_numpy() for c in ("node", "n", "block"))
+        first, second = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), dtype=np.uint64).reshape(len(nodes), -1)
+        raw = group.column("wide").to_pylist()
+        long = np.array([w is not None for w in raw])
+        wide = np.zeros((len(nodes), WIDE_BITS // 64), dtype=np.uint64)
+        if long.any():
+            wide[long] = np.frombuffer(b"".join(w for w in raw if w is not None), dtype=np.uint64).reshape(int(long.sum()), -1)
+        roots = np.array([forest.root(x) for x in nodes.tolist()])
+        for i in range(len(nodes) - 1):
+            others = i + 1 + np.flatnonzero(roots[i + 1 :] != roots[i])
+            if first != second:
+                others = others[blocks[others] != blocks[i]]
+            near = _near(sizes, bits, i, others) if len(others) else others
+            if len(near) and long[i]:
+                near = np.concatenate([near[~long[near]], _near(sizes, wide, i, near[long[near]])])
+            if len(near):
+                for j in near.tolist():
+                    forest.join(int(nodes[i]), int(nodes[j]))
+                roots[np.isin(roots, np.append(roots[near], roots[i]))] = forest.root(int(nodes[i]))
+        yield _edges(forest)
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """component, node, block, i, j: members of (component, node, n) by pairs of blocks, most components being one."""
+    blocks = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("component", "node", "block", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
 def _verify(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
@@ -362,7 +400,7 @@ def components(docs: DataFrame, words: int = 5, scratch: common.Scratch | None =
     scratch = scratch or common.Scratch(docs.sparkSession)
     common.ship(docs.sparkSession)
     seen = scratch.save(features(docs, words))
-    nodes = scratch.save(seen.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("bits").alias("bits")))
+    nodes = scratch.save(seen.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("wide").alias("wide")))
     whole = scratch.save(seen.select("doc_id", F.col("n").alias("n_shingles"), "node"))
     postings = seen.filter("node is not null").select(F.explode("prefix").alias("token"), "node")
     shared = postings.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long")
@@ -375,13 +413,17 @@ def components(docs: DataFrame, words: int = 5, scratch: common.Scratch | None =
     near = scratch.save(pairs)
     scratch.drop(shared, bits)
     coarse = scratch.save(common.connected_components(near, scratch).join(nodes.select("node", "doc", "n"), "node"))
-    # large components go in pairs of blocks
-    blocks = coarse.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
-    dealt = coarse.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("component", "node", "doc", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    # large components go in pairs of blocks; first by bitmaps alone, which leaves few of them large
+    blocks = scratch.save(_dealt(coarse).filter("blocks > 1").drop("blocks"))
+    if blocks.limit(1).count():
+        parts = blocks.join(nodes.select("node", "n", "bits", "wide"), "node").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
+        finer = common.connected_components(scratch.save(parts.mapInArrow(_refine, "a long, b long")), scratch)
+        small = coarse.join(blocks.select("node").distinct(), "node", "left_anti")
+        fine = finer.join(nodes.select("node", "doc", "n"), "node")
+        coarse = scratch.save(small.unionByName(fine.select(*small.columns)))
+    dealt = _dealt(coarse)
     texts = docs.select(F.col("doc_id").alias("doc"), "text").join(coarse.select("doc", "node"), "doc").select("node", "text")
-    texts = dealt.drop("doc").join(texts, "node")
+    texts = dealt.join(texts, "node")
     links = texts.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node").mapInArrow(_verify(words), "a long, b long")
     joined = common.connected_components(scratch.save(links), scratch)
     least = joined.join(nodes.select("node", "doc"), "node")
