@@ -12,7 +12,9 @@ from ..functions import scores, sections, text, urls
 from ..operators import chunks as C
 from ..operators import decisions as D
 from ..operators import papers as P
+from ..operators import state as S
 from ..sources import adapters as A
+from ..streaming import events as E
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -599,3 +601,88 @@ def semi_stage_paper(spark, sf):
 def dedup_key(spark, sf):
     doi = F.when(F.col("paper_id") % 2 == 0, F.concat(F.lit("10.1/"), F.col("paper_id").cast("string")))
     return A.papers(spark, sf).select("paper_id", text.dedup_key(doi, F.col("title"), F.col("year")).alias("key"))
+
+
+# -- budgets, caches and resumed work -----------------------------------------------------
+
+
+@query(f"WITH {PAPERS} SELECT paper_id, 'DOC_' || paper_id AS doc FROM papers")
+def norm_doc_id(spark, sf):
+    raw = F.concat(F.lit(" [doc_"), F.col("paper_id").cast("string"), F.lit("] "))
+    return A.papers(spark, sf).select("paper_id", F.upper(F.trim(F.regexp_replace(raw, r"[\[\]]", ""))).alias("doc"))
+
+
+@query(f"WITH {PAPERS}, firsts AS (SELECT query_group, citation_count, min(ord) AS ord FROM papers WHERE citation_count IS NOT NULL GROUP BY ALL) SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY query_group ORDER BY ord, citation_count) <= 40")
+def lookup_cache(spark, sf):
+    return S.lookup_cache(A.papers(spark, sf).select("query_group", "citation_count", "ord"), "query_group", "citation_count", "ord")
+
+
+_ATTEMPTS = "attempts AS (SELECT event_type, event_id, event_id % 5 + 1 AS attempt, value AS delay FROM events)"
+
+
+def _attempts(spark, sf) -> DataFrame:
+    return A.read(spark, sf, "events").select("event_type", "event_id", (F.col("event_id") % 5 + 1).alias("attempt"), F.col("value").alias("delay"))
+
+
+@query(
+    f"""WITH {_ATTEMPTS}, spent AS (SELECT *, sum(CASE WHEN attempt IN (2, 3) AND delay <= 30 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS s FROM attempts)
+    SELECT event_type, event_id, CASE WHEN attempt = 1 THEN 'first' WHEN attempt > 3 THEN 'exhausted' WHEN delay > 30 THEN 'deferred' WHEN s <= 160 THEN 'retry' ELSE 'over_budget' END AS status FROM spent"""
+)
+def retry_budget(spark, sf):
+    return S.retry_budget(_attempts(spark, sf), "event_type", "event_id").select("event_type", "event_id", "status")
+
+
+@query(f"WITH {_ATTEMPTS} SELECT event_type, count_if(attempt = 1) AS firsts, count_if(attempt = 2) AS retries, count_if(attempt = 3) AS recoveries, count_if(attempt > 3) AS failures, count(*) AS transports FROM attempts GROUP BY event_type")
+def transport_counters(spark, sf):
+    n = F.col("attempt")
+    return _attempts(spark, sf).groupBy("event_type").agg(F.count_if(n == 1).alias("firsts"), F.count_if(n == 2).alias("retries"), F.count_if(n == 3).alias("recoveries"), F.count_if(n > 3).alias("failures"), F.count("*").alias("transports"))
+
+
+@query(
+    """SELECT user_id, event_id, coalesce(last_value(CASE WHEN event_id % 3 = 0 THEN value END IGNORE NULLS) OVER w, 100.0 - row_number() OVER w) AS "left"
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)"""
+)
+def provider_headers(spark, sf):
+    calls = A.read(spark, sf, "events").select("user_id", "event_id", F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("said"))
+    estimate = 100.0 - F.row_number().over(W.partitionBy("user_id").orderBy("event_id"))
+    return S.provider_headers(calls, "user_id", "event_id", "said", estimate).select("user_id", "event_id", "left")
+
+
+@query(f"WITH {PAPERS} SELECT p.paper_id, CASE WHEN l.doc_id IS NOT NULL AND p.year % 2 = l.quality THEN 'completed' ELSE 'pending' END AS state FROM papers p LEFT JOIN labels l ON p.paper_id = l.doc_id")
+def notes_checkpoint(spark, sf):
+    work = A.papers(spark, sf).select("paper_id", (F.col("year") % 2).alias("manifest"))
+    done = A.read(spark, sf, "labels").select(F.col("doc_id").alias("paper_id"), F.col("quality").alias("manifest"))
+    return S.checkpointed(work, done, "paper_id", "manifest").select("paper_id", "state")
+
+
+@query(f"WITH {PAPERS} SELECT paper_id, query_group FROM papers ANTI JOIN (SELECT DISTINCT citation_count % 4 AS query_group FROM papers WHERE citation_count < 2) d USING (query_group)")
+def pair_checkpoint(spark, sf):
+    papers = A.papers(spark, sf)
+    completed = papers.filter("citation_count < 2").select((F.col("citation_count") % 4).cast("long").alias("query_group")).distinct()
+    return D.missing(papers.select("paper_id", "query_group"), completed, ["query_group"])
+
+
+@query(f"WITH {PAPERS} SELECT p.paper_id, coalesce(l.quality, -1) AS verdict FROM papers p LEFT JOIN labels l ON p.paper_id = l.doc_id")
+def merge_resume(spark, sf):
+    prior = A.papers(spark, sf).select("paper_id", F.lit(-1).alias("verdict"))
+    fresh = A.read(spark, sf, "labels").select(F.col("doc_id").alias("paper_id"), F.col("quality").cast("int").alias("verdict"))
+    return S.merge_resume(prior, fresh, ["paper_id"])
+
+
+@query(f"WITH {CHUNKS} SELECT paper_id, string_agg(chunk_id, ',' ORDER BY ord) AS ids FROM chunks GROUP BY paper_id")
+def ids_of(spark, sf):
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "chunk_id")))
+    return A.chunks(spark, sf).groupBy("paper_id").agg(F.array_join(F.transform(ordered, lambda x: x["chunk_id"]), ",").alias("ids"))
+
+
+# -- the event log as a stream ------------------------------------------------------------
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_stage_counts(spark, sf):
+    return E.running_counts(E.read_stream(spark, f"{sf}/events.parquet"), ["user_id", "event_type"], E.shared_folder(spark))
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def stream_dispositions(spark, sf):
+    return E.latest_state(E.read_stream(spark, f"{sf}/events.parquet"), "user_id", "event_id", ["event_type"], E.shared_folder(spark))
