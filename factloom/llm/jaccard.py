@@ -18,7 +18,7 @@ The result is each document's component: the smallest doc_id that links reach.
    set walks it carrying the overlap of the path so far, leaves a subtree when what is left
    can't reach the least overlap, and when all below is in its own component already.
    Components of more than ``BLOCK`` sets or ``BLOCK_SHINGLES`` shingles are dealt out by pairs
-   of blocks.
+   of blocks; where bitmaps are compared, blocks have ``BITMAP_BLOCK`` sets of any size.
 5. Components of the verified links are the answer.
 
 Fingerprints and shingles are 64-bit hashes; a wrong link by collision has a chance of about
@@ -47,7 +47,8 @@ from .wordhash import mix64, ngram_hashes, shingle_set, text_buffers, word_chunk
 BITS = 2048
 WIDE_BITS, LONG = 1 << 15, 1500  # sets of over LONG shingles have a second bitmap
 BLOCK = 2000  # sets of a component that are compared at once
-BLOCK_SHINGLES = 500_000
+BLOCK_SHINGLES = 1_000_000
+BITMAP_BLOCK = 4000  # the same where only bitmaps are compared, whatever the sets' sizes
 SKETCH = 1 << 20
 _PART = 1 << 12
 _TOP = np.uint64(44)  # the sketch's place is the hash's first 20 bits
@@ -302,7 +303,7 @@ def join_sets(sets: list[np.ndarray], sides: np.ndarray | None = None) -> np.nda
     common_ones = int((counts > 1).sum())  # what one set alone has only adds to its size
     ends = np.cumsum([len(s) for s in sets])
     paths = [np.sort(r[r < common_ones]) for r in np.split(rank[index], ends[:-1])]
-    order = sorted(range(len(sets)), key=lambda i: paths[i].tolist())
+    order = sorted(range(len(sets)), key=lambda i: paths[i].astype(">i8").tobytes())
     paths, sizes = [paths[i] for i in order], np.array([len(sets[i]) for i in order])
     side = None if sides is None else sides[order]
     tree, marks = PrefixTree(paths, sizes), np.zeros(common_ones, dtype=bool)
@@ -355,9 +356,18 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edges(forest)
 
 
-def _dealt(members: DataFrame) -> DataFrame:
+def _large(members: DataFrame) -> DataFrame:
+    """Members of the components that _dealt would split."""
+    some = members.groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("s")).filter((F.col("c") > BLOCK) | (F.col("s") > BLOCK_SHINGLES))
+    return members.join(some.select("component"), "component", "left_semi")
+
+
+def _dealt(members: DataFrame, most: int = BLOCK, most_shingles: int | None = BLOCK_SHINGLES) -> DataFrame:
     """component, node, block, i, j: members of (component, node, n) by pairs of blocks, most components being one."""
-    blocks = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    parts = F.ceil(F.count("*") / F.lit(most))
+    if most_shingles:
+        parts = F.greatest(parts, F.ceil(F.sum("n") / F.lit(most_shingles)))
+    blocks = members.groupBy("component").agg(parts.cast("int").alias("blocks"))
     dealt = members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.select("component", "node", "block", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -414,7 +424,7 @@ def components(docs: DataFrame, words: int = 5, scratch: common.Scratch | None =
     scratch.drop(shared, bits)
     coarse = scratch.save(common.connected_components(near, scratch).join(nodes.select("node", "doc", "n"), "node"))
     # large components go in pairs of blocks; first by bitmaps alone, which leaves few of them large
-    blocks = scratch.save(_dealt(coarse).filter("blocks > 1").drop("blocks"))
+    blocks = scratch.save(_dealt(_large(coarse), BITMAP_BLOCK, None).drop("blocks"))
     if blocks.limit(1).count():
         parts = blocks.join(nodes.select("node", "n", "bits", "wide"), "node").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
         finer = common.connected_components(scratch.save(parts.mapInArrow(_refine, "a long, b long")), scratch)
