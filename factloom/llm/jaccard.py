@@ -9,7 +9,7 @@ The result is each document's component: the smallest doc_id that links reach.
    parity bitmap of 2,048 bits, and the first n - ceil(3n/4) + l shingles in that order, with
    l = 1 + n // 20: sets that link share at least the smaller one's l of these.  A node that
    shares fewer of them with all others together than any partner of its would need is out.
-3. Nodes that share such a shingle are compared by bitmap: the bits in which two bitmaps
+3. Nodes that share such a shingle, equal sets of nodes once, are compared by bitmap: the bits in which two bitmaps
    differ are at most the elements in which the sets do, and linked sets differ in at most
    (|A| + |B|) / 7.  What passes is kept as a spanning forest, never as all pairs, and the
    forest's components hold every link.  Large components are compared once more, sets of over
@@ -49,6 +49,7 @@ WIDE_BITS, LONG = 1 << 15, 1500  # sets of over LONG shingles have a second bitm
 BLOCK = 2000  # sets of a component that are compared at once
 BLOCK_SHINGLES = 1_000_000
 BITMAP_BLOCK = 4000  # the same where only bitmaps are compared, whatever the sets' sizes
+ROWS = 1 << 18  # rows of shared shingles that a task looks at together
 SKETCH = 1 << 20
 _PART = 1 << 12
 _TOP = np.uint64(44)  # the sketch's place is the hash's first 20 bits
@@ -139,26 +140,41 @@ def features(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (token, node), those whose token has another node; only one row is kept from batch to batch."""
-    last, open_ = None, False  # the last row, and whether it is known to be shared
+    """Of rows sorted by (token, node), the sets of two or more nodes that share a token: (token, node, times).
+
+    Sets that are equal have one name, which stands in for their tokens, and ``times`` is how
+    many of these there are: copies of a long text share hundreds of tokens, all with one set.
+    """
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
     for batch in batches:
-        tokens, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if last is not None:
-            tokens, nodes = np.concatenate([[last[0]], tokens]), np.concatenate([[last[1]], nodes])
-        if not len(tokens):
-            continue
-        fresh = np.ones(len(tokens), dtype=bool)
-        fresh[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
-        tokens, nodes = tokens[fresh], nodes[fresh]
-        same = tokens[1:] == tokens[:-1]
-        shared = np.zeros(len(tokens), dtype=bool)
-        shared[1:] |= same
-        shared[:-1] |= same
-        shared[0] |= open_
-        last, open_ = (tokens[-1], nodes[-1]), bool(shared[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(tokens[:-1][shared[:-1]]), pa.array(nodes[:-1][shared[:-1]])], names=["token", "node"])
-    if last is not None and open_:
-        yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())], names=["token", "node"])
+        parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        held += batch.num_rows
+        if held >= ROWS:
+            tokens, nodes = (np.concatenate(x) for x in zip(*parts, strict=True))
+            cut = int(np.searchsorted(tokens, tokens[-1]))  # the last token may go on
+            if cut:
+                yield _named_sets(tokens[:cut], nodes[:cut])
+            parts, held = [(tokens[cut:], nodes[cut:])], 0
+    if parts:
+        yield _named_sets(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def _named_sets(tokens: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+    """The sets of a run of whole tokens, each once."""
+    fresh = np.ones(len(tokens), dtype=bool)
+    fresh[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])
+    tokens, nodes = tokens[fresh], nodes[fresh]
+    starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, dtype=np.int64)
+    lengths = np.diff(np.append(starts, len(tokens)))
+    sums = np.add.reduceat(mix64(nodes.view(np.uint64) + np.uint64(0x632BE59BD9B4E019)), starts) if len(starts) else np.zeros(0, dtype=np.uint64)
+    several = lengths > 1
+    names = mix64(sums[several] ^ lengths[several].astype(np.uint64)).view(np.int64)
+    names, first, times = np.unique(names, return_index=True, return_counts=True)
+    starts, lengths = starts[several][first], lengths[several][first]
+    rows = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+    columns = (np.repeat(names, lengths), nodes[rows], np.repeat(times, lengths))
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "node", "times"])
 
 
 class Forest:
@@ -413,13 +429,13 @@ def components(docs: DataFrame, words: int = 5, scratch: common.Scratch | None =
     nodes = scratch.save(seen.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("bits").alias("bits"), F.max("wide").alias("wide")))
     whole = scratch.save(seen.select("doc_id", F.col("n").alias("n_shingles"), "node"))
     postings = seen.filter("node is not null").select(F.explode("prefix").alias("token"), "node")
-    shared = postings.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long")
-    shared = scratch.save(shared)
+    shared = postings.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long, times long")
+    shared = scratch.save(shared.groupBy("token", "node").agg(F.sum("times").alias("times")))
     scratch.drop(seen)
     # a partner has at least 3/4 of a node's shingles
     needed = 1 + F.floor(F.ceil(F.col("n") * 0.75) / 20)
-    bits = scratch.save(shared.groupBy("node").count().join(nodes, "node").filter(F.col("count") >= needed).select("node", "n", "bits"))
-    pairs = shared.join(bits, "node").repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_candidates, "a long, b long")
+    bits = scratch.save(shared.groupBy("node").agg(F.sum("times").alias("times")).join(nodes, "node").filter(F.col("times") >= needed).select("node", "n", "bits"))
+    pairs = shared.select("token", "node").join(bits, "node").repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_candidates, "a long, b long")
     near = scratch.save(pairs)
     scratch.drop(shared, bits)
     coarse = scratch.save(common.connected_components(near, scratch).join(nodes.select("node", "doc", "n"), "node"))
