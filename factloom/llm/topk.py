@@ -1,13 +1,14 @@
 """Exact top-k by integer inner product with dual-tree search on cover trees.
 
-Every partition of the data indexes its rows in a cover tree (centres with covering
-radii, halved from level to level), the queries get one too, and both are walked
-together: a pair of nodes is pruned when
+Every Arrow batch of the data is indexed in a cover tree (centres with covering radii,
+halved from level to level), the queries get one too, and both are walked together: a pair
+of nodes is pruned when
 
     c_q . c_r + |c_q| R_r + |c_r| R_q + R_q R_r  <  the worst k-th score in the query node.
 
-Queries go round in blocks of bounded size; each partition returns at most k rows for each
-query, and the k best of these are the answer.  Scores are exact: components are integers,
+Queries go round in blocks of bounded size; a task keeps the k best rows of each query from
+batch to batch, prunes by them and returns them at its end, and the k best of all tasks'
+rows are the answer.  Scores are exact: components are integers,
 and products are taken in float64 where they stay under 2**53, else in Python integers.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no
@@ -69,7 +70,9 @@ def cover_tree(points: np.ndarray, rows: np.ndarray | None = None) -> Node:
 class Search:
     """k best rows for each query; ``ids`` of rows and queries decide ties and exclude a query's own row."""
 
-    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> None:
+    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> None:
+        """``floor``: scores below these, one for each query, are not asked for."""
+        self.floor = np.full(len(queries), -np.inf) if floor is None else floor
         order = np.argsort(ids, kind="stable")  # so that a smaller place means a smaller id
         self.q, self.qids, self.p, self.ids, self.k = queries, query_ids, points[order], ids[order], k
         most = max(float(np.abs(queries).max(initial=0)) * float(np.abs(points).max(initial=0)) * points.shape[1], 1.0)
@@ -86,7 +89,7 @@ class Search:
         return value + 1e-9 * (a.norm + a.radius) * (b.norm + b.radius) + 1e-6
 
     def walk(self, a: Node, b: Node) -> None:
-        if self.bound(a, b) < self.scores[a.rows, -1].min():
+        if self.bound(a, b) < np.maximum(self.scores[a.rows, -1], self.floor[a.rows]).min():
             return
         if not a.children and not b.children:
             self.leaf(a.rows, b.rows)
@@ -109,10 +112,39 @@ class Search:
         self.scores[mine] = np.take_along_axis(scores, best, axis=1)
         self.places[mine] = np.where(np.isfinite(self.scores[mine]), np.take_along_axis(places, best, axis=1), -1)
 
+    def places_found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of queries, row ids, scores)."""
+        i, j = np.nonzero(self.places >= 0)
+        return i, self.ids[self.places[i, j]], self.scores[i, j]
+
     def answers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query ids, row ids, scores)."""
-        i, j = np.nonzero(self.places >= 0)
-        return self.qids[i], self.ids[self.places[i, j]], self.scores[i, j].astype(np.int64)
+        i, ids, scores = self.places_found()
+        return self.qids[i], ids, scores.astype(np.int64)
+
+
+class Best:
+    """The k best rows of each query so far, ties to the smaller id."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.scores, self.ids = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+    def add(self, places: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Rows of the queries at ``places``; scores are exact in float64."""
+        i, j = np.nonzero(self.scores > -np.inf)
+        places, ids, scores = np.concatenate([i, places]), np.concatenate([self.ids[i, j], ids]), np.concatenate([self.scores[i, j], scores.astype(np.float64)])
+        order = np.lexsort((ids, -scores, places))
+        places, ids, scores = places[order], ids[order], scores[order]
+        fresh = np.concatenate([[True], places[1:] != places[:-1]]) if len(places) else np.zeros(0, dtype=bool)
+        rank = np.arange(len(places)) - np.maximum.accumulate(np.where(fresh, np.arange(len(places)), 0))
+        kept = rank < self.k
+        self.scores[:], self.ids[:] = -np.inf, np.iinfo(np.int64).max
+        self.scores[places[kept], rank[kept]], self.ids[places[kept], rank[kept]] = scores[kept], ids[kept]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of queries, row ids, scores)."""
+        i, j = np.nonzero(self.scores > -np.inf)
+        return i, self.ids[i, j], self.scores[i, j].astype(np.int64)
 
 
 def _wide(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> tuple[list[int], list[int], list[int]]:
@@ -136,6 +168,10 @@ def integers(vectors: DataFrame, scale: float = 1024.0) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(fine, F.transform(x, lambda v: F.floor(v.cast("double") * F.lit(scale)).cast("double"))).alias("v")).filter("v is not null and vec_id is not null")
 
 
+def batch_of(query_ids, ids, scores) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (query_ids, ids, scores)], names=["query_id", "vec_id", "score"])
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0, block: int = 16384) -> DataFrame:
     """query_id, rank, vec_id, score.  ``block`` queries are held by a task at a time."""
     spark = vectors.sparkSession
@@ -155,6 +191,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
         held = spark.sparkContext.broadcast(by_length)
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            best = {length: Best(len(qids), k) for length, (qids, _) in held.value.items()}
             for batch in batches:
                 flat, ids = batch.column("v"), batch.column("vec_id").to_numpy()
                 lengths = np.diff(flat.offsets.to_numpy())
@@ -165,8 +202,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
                         continue
                     points = values[starts[at][:, None] + np.arange(length)]
                     most = float(np.abs(q).max()) * float(np.abs(points).max(initial=0)) * length
-                    found = Search(q, qids, points, ids[at], k).answers() if most < 2.0**53 else _wide(q, qids, points, ids[at], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
+                    if most < 2.0**53:
+                        seen = best[length]
+                        seen.add(*Search(q, qids, points, ids[at], k, seen.scores[:, -1]).places_found())
+                    else:
+                        yield batch_of(*_wide(q, qids, points, ids[at], k))
+            for length, seen in best.items():
+                places, found, scores = seen.rows()
+                yield batch_of(held.value[length][0][places], found, scores)
 
         parts.append(common.arrow_map(rows, search, "query_id long, vec_id long, score long"))
     found = parts[0]
