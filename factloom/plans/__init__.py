@@ -1 +1,3 @@
+"""Queries and their SQL."""
 
+from . import fields, queries  # noqa: F401
