@@ -205,9 +205,9 @@ def filter_min_score(spark, sf):
     return _ranked(spark, sf).filter("score >= 1.0").select("paper_id", "score")
 
 
-@query(f"WITH {PAPERS}, {RANKED} SELECT paper_id FROM ranked WHERE score * 10 / 3 > 7 AND 4 + CASE WHEN coalesce(venue, '') <> '' THEN 2 ELSE 0 END + CASE WHEN coalesce(citation_count, 0) >= 10 THEN 2 ELSE 0 END + CASE WHEN coalesce(citation_count, 0) >= 100 THEN 2 ELSE 0 END >= 6")
+@query(f"WITH {PAPERS}, {RANKED} SELECT paper_id FROM ranked WHERE score * 1.5 * 10 / 3 > 7 AND 4 + CASE WHEN coalesce(venue, '') <> '' THEN 2 ELSE 0 END + CASE WHEN coalesce(citation_count, 0) >= 10 THEN 2 ELSE 0 END + CASE WHEN coalesce(citation_count, 0) >= 100 THEN 2 ELSE 0 END >= 6")
 def usable_only(spark, sf):
-    return P.assess(_ranked(spark, sf)).filter("include").select("paper_id")
+    return P.assess(_ranked(spark, sf).withColumn("score", F.col("score") * 1.5)).filter("include").select("paper_id")
 
 
 @query(f"WITH {PAPERS}, {CHUNKS} SELECT c.chunk_id, coalesce(CAST(p.citation_count AS VARCHAR), 'n/a') AS citations, coalesce(p.venue, 'n/a') AS venue FROM chunks c LEFT JOIN papers p ON c.paper_id = p.paper_id")
