@@ -42,3 +42,14 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["merge_locations", "recover_pdf", "unpaywall_order"])
+def test_locations_take_all_pages(spark, duck, sf_dir, name):
+    sql = core.ORACLE_SQL[name].replace(" WHERE page_id % 5 < 2", "")
+    want = duck.execute(sql)
+    columns = [d[0] for d in want.description]
+    found = core.QUERIES[name](spark, sf_dir)
+    assert _rows(found.columns, [tuple(r) for r in found.collect()]) == _rows(columns, want.fetchall())
+    if name == "unpaywall_order":
+        assert found.count() == duck.execute("SELECT count(*) FROM pages").fetchone()[0]
