@@ -29,6 +29,8 @@ _SPACE = 32
 _CHUNK_CHARS = 400_000
 _CELLS = 3_000_000
 _LETTERS: list[np.ndarray] = []
+#: From this number of letters on, letter junk of a known script reaches higher cosines and clean text lies higher still.
+_LONG_LETTERS = 100
 
 
 @dataclass(frozen=True)
@@ -196,14 +198,25 @@ def predict(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = ("doc_i
     return common.arrow_map(source, run, schema)
 
 
-def accepted(docs: DataFrame, profiles: Profiles, least_cosine: float = 0.02) -> DataFrame:
-    """The rows, with all their columns, whose text has a language: not ``und``, and cosine at least ``least_cosine``."""
+def accepted(docs: DataFrame, profiles: Profiles, least_cosine: float = 0.11, long_more: float = 0.08) -> DataFrame:
+    """The rows, with all their columns, whose text has a language: not ``und``, and cosine at least ``least_cosine``.
+
+    A text unlike all languages has a cosine of about 1 / sqrt(1024) = 0.03 by chance, and the
+    best of several; 0.11 is 3.5 times that.  Texts of 100 letters or more need ``long_more``
+    besides, as random letters share trigrams with a language of their script.
+    """
     place = docs.columns.index("text")
 
+    def keeps(text: str | None, name: str, cosine: float) -> bool:
+        if name == UNDETERMINED or cosine < least_cosine:
+            return False
+        return cosine >= least_cosine + long_more or sum(map(str.isalpha, text)) < _LONG_LETTERS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, _, cosines = profiles.judge(batch.column(place).to_pylist())
-            yield batch.filter(pa.array([n != UNDETERMINED and c >= least_cosine for n, c in zip(names, cosines, strict=True)], pa.bool_()))
+            texts = batch.column(place).to_pylist()
+            names, _, cosines = profiles.judge(texts)
+            yield batch.filter(pa.array([keeps(*x) for x in zip(texts, names, cosines, strict=True)], pa.bool_()))
 
     return common.arrow_map(docs, run, docs.schema)
 

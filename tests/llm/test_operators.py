@@ -182,6 +182,17 @@ def test_language(spark, docs, awkward, empty):
     assert langid.accepted(awkward, profiles, -1.0).columns == awkward.columns
 
 
+def test_accepted_above_chance(spark, docs):
+    draw = random.Random(3)
+    junk = lambda letters, n: " ".join("".join(draw.choice(letters) for _ in range(draw.randint(2, 9))) for _ in range(n))
+    texts = [junk([chr(c) for c in range(a, b)], n) for a, b, n in ((0x4E00, 0x9000, 20), (0x430, 0x450, 20), (0x61, 0x7B, 60), (0x61, 0x7B, 300)) for _ in range(50)]
+    texts += ["これは日本語の文章です。今日は天気がいいですね。", "Это предложение на русском языке о погоде."]
+    profiles = langid.fit(docs, F.lit(True))
+    assert langid.accepted(frame(spark, list(enumerate(texts))), profiles).count() <= 4
+    lettered = sum(any(c.isalpha() for c in r["text"] or "") for r in docs.collect())
+    assert langid.accepted(docs, profiles).count() == lettered
+
+
 def test_binding_is_bundled():
     encoder = langid.Encoder(64)
     a, b, c, gap = (encoder.letter(ord(x)).astype(int) for x in "abc ")
