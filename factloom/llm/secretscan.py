@@ -32,10 +32,14 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-_CONTEXT_WORDS = ("passphrase", "passcode", "password", "passwd", "pwd", "secret", "token", "credential", "private_key", "access_key", "auth_key", "client_key", "apikey", "api_key")
+_CONTEXT_WORDS = ("passphrase", "passcode", "password", "passwd", "pwd", "secret", "token", "credential", *(f"{w}{gap}key" for w in ("private", "access", "auth", "client", "api") for gap in ("", "_", "-")))
+#: A credential word, as a word or part of an identifier (``DB_PASSWORD``, ``secretKey``, ``PGPASSWORD``).  What follows it is bounded, so that time stays linear.
 _CONTEXT = re.compile(
-    r"""\b(?:passphrase|passcode|password|passwd|pwd|(?:client_?)?secret|(?:auth_?|access_?)?token|credentials?|(?:private|access|auth|client|api)_?key)["']?\x20*(?:[:=]|\bis\b)\x20*(?:"([^"\n]{4,200})"|'([^'\n]{4,200})'|([!-~]{4,}))""",
-    re.IGNORECASE | re.ASCII,
+    r"""(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z]))|(?=pass(?:word|wd|phrase)))
+    (?:passphrase|passcode|password|passwd|pwd|(?:client[_-]?)?secret|(?:(?:auth|access)[_-]?)?token|credential|(?:private|access|auth|client|api)[_-]?key)
+    s?[0-9]{0,8}(?:(?:[_-]|(?-i:(?<=[a-z0-9])[A-Z]))[A-Za-z0-9_-]{0,64})?
+    ["']?\]?\x20*(?:[:=]|\bis\b)\x20*(?:"([^"\n]{4,200})"|'([^'\n]{4,200})'|([!-~]{4,}))""",
+    re.IGNORECASE | re.ASCII | re.VERBOSE,
 )
 
 #: Common passwords and password words, most guessed first.

@@ -222,6 +222,19 @@ def test_secrets(spark, awkward, empty):
     assert "hunter" not in clean[1]["text"] and clean[1]["n_chars"] == len(clean[1]["text"]) and clean[5]["text"] == rows[4][1]
 
 
+def test_secrets_in_compound_names(spark):
+    lines = ['aws_secret_access_key = {wJalrXUtnFEMI/K7MDENG}', 'DB_PASSWORD="{p@ss!9x#Qz$71kLw}"', 'SECRET_KEY = "{9x#Qz$71kLw&&8}"', "db_pwd: {x8$kQ2!vLp}", "smtp_passphrase={x8$kQ2!vLp}"]
+    lines += ['dbPassword: "{x8$kQ2!vLp}"', "PGPASSWORD={x8$kQ2!vLp}", "'api-key': '{x8$kQ2!vLp}'", 'config["db_password1"] = "{x8$kQ2!vLp}"']
+    texts = [x.replace("{", "").replace("}", "") for x in lines]
+    want = [f"guess:{x.index('{')}:{x.index('}') - 1}" for x in lines]
+    rows = list(enumerate(texts))
+    found = {r["doc_id"]: r["spans"] for r in secretscan.scan(frame(spark, rows)).collect()}
+    assert [found[i] for i, _ in rows] == want
+    clean = {r["doc_id"]: r["text"] for r in secretscan.redact(frame(spark, rows)).collect()}
+    assert [clean[i] for i, _ in rows] == [re.sub(r"\{.*?\}", "[SECRET]", x) for x in lines]
+    assert secretscan.guess_spans("The secretary is considering it; a tokenizer: extraordinarily-long") == []
+
+
 def test_guess_cost():
     assert secretscan.guess_cost("") == 0.0
     weak, strong = ["password", "P@ssw0rd1", "qwertyuiop", "aaaaaaaa", "19990101", "abcabcabc"], ["x8$kQ2!vLp", "04dbebab91ab8568", "Vt7!pq#Zs2"]
