@@ -4,16 +4,19 @@ Texts are cut into sentences (at line ends, and at ``.``, ``!`` or ``?`` before
 runs of neighbouring sentences that begin at one with a licence word are compared with the
 templates.  Two bags of bigrams with sizes m and n have a Dice coefficient of at most
 2 min(m, n) / (m + n), so for each template only runs between two sizes are compared, and
-each run meets only the templates of its size.
+each run meets only the templates of its size.  A notice inside running text is found by
+word windows: the best window of a template begins and ends with one of its bigrams, so only
+windows between places of these are compared, all of them in a text with a licence word.
 
 Defined results: a null or empty text has no licence; a document has one row for each
-template that it matches, with the best run's coefficient and place, but none for a template
+template that it matches, with the best run's or window's coefficient and place (a run's if a window is no better), but none for a template
 that another one beats where it stands; ties go to the earlier, then the shorter run; repeated rows each count; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -71,6 +74,10 @@ class Templates:
         self.least = least
         self.all = sorted((sum(g.values()), name, g) for name, g in ((k, bigrams(v)) for k, v in templates.items()))
         self.sizes = [x[0] for x in self.all]
+        self.having: dict[tuple[str, str], list[int]] = {}
+        for k, (_, _, grams) in enumerate(self.all):
+            for gram in grams:
+                self.having.setdefault(gram, []).append(k)
         self.most = int(max(self.sizes) * (2 - least) / least) if self.sizes else 0
 
     def near(self, size: int) -> list[tuple[int, str, Counter]]:
@@ -78,8 +85,41 @@ class Templates:
         hi = bisect.bisect_right(self.sizes, size * (2 - self.least) / self.least)
         return self.all[lo:hi]
 
+    def windows(self, text: str) -> Iterator[tuple[str, float, int, int]]:
+        """(licence, coefficient, start, end) of each template's best word window that is near enough."""
+        low = text.lower()
+        if len(low) != len(text):
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        words = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(low)]
+        grams = [(a[0], b[0]) for a, b in zip(words, words[1:], strict=False)]
+        places: dict[int, list[int]] = {}
+        for i, gram in enumerate(grams):
+            for k in self.having.get(gram, ()):
+                places.setdefault(k, []).append(i)
+        for k, found in places.items():
+            size, name, wanted = self.all[k]
+            fewest, most = size * self.least / (2 - self.least), size * (2 - self.least) / self.least
+            need = max(1, math.ceil(fewest - 1e-9))  # places that a window must hold
+            best = (self.least - 1e-12, 0, 0)
+            for x, first in enumerate(found[: len(found) - need + 1] if len(found) >= need else ()):
+                if found[x + need - 1] - first + 1 > most + 1e-9:
+                    continue
+                left, both = dict(wanted), 0
+                for last in found[x:]:
+                    length = last - first + 1
+                    if length > most + 1e-9:
+                        break
+                    if left[grams[last]]:
+                        left[grams[last]] -= 1
+                        both += 1
+                    value = 2.0 * both / (length + size)
+                    if value > best[0] + (1e-12 if best[2] else 0.0):
+                        best = (value, words[first][1], words[last + 1][2])
+            if best[2]:
+                yield name, *best
+
     def matches(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(licence, coefficient, start, end) of the best run for each template."""
+        """(licence, coefficient, start, end) of the best run or window for each template."""
         if not text or not _CUE.search(text):
             return []
         spans, at = [], 0
@@ -107,6 +147,9 @@ class Templates:
                     value = dice(run, grams)
                     if value >= self.least and (name not in best or value > best[name][0] + 1e-12):
                         best[name] = (value, start, spans[j][1])
+        for name, value, start, end in self.windows(text):
+            if name not in best or value > best[name][0] + 1e-12:
+                best[name] = (value, start, end)
         found = sorted((-v[0], v[1], v[2], name) for name, v in best.items())
         kept: list[tuple[float, int, int, str]] = []
         for x in found:  # of templates for one place, the nearest

@@ -342,5 +342,18 @@ def test_licences(spark, awkward, empty):
     assert licences.scan(awkward).count() == 0 and licences.scan(empty).count() == 0
 
 
+def test_licences_in_running_text():
+    held = licences.Templates(licences.TEMPLATES, licences.LEAST_DICE)
+    cases = [("The code is released under the MIT License.", "MIT-notice", "released under the MIT License"), ("All code here is licensed under the Apache License, Version 2.0.", "Apache-2.0-notice", "licensed under the Apache License, Version 2.0")]
+    cases += [("Unless otherwise noted, text is licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0", "licensed under CC BY-SA 4.0"), ("Copyright (c) 2021 Jane Doe All rights reserved.", "All-rights-reserved", "All rights reserved")]
+    for text, name, place in cases:
+        assert [(n, text[a:b]) for n, _, a, b in held.matches(text)] == [(name, place)]
+    for text, name, _ in cases:  # brute force over all windows
+        words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        best = max(licences.dice(licences.bigrams(text[a : words[j][1]]), licences.bigrams(licences.TEMPLATES[name])) for i, (a, _) in enumerate(words) for j in range(i, len(words)))
+        assert abs(held.matches(text)[0][1] - best) < 1e-9
+    assert held.matches("Plates need a licence under the law of the state.") == []
+
+
 def test_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
