@@ -61,7 +61,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_decont
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": r"""
-WITH RECURSIVE sized AS (
+WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
          md5('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS draw
   FROM documents),
@@ -95,25 +95,28 @@ drawn AS (
   SELECT r.*, CASE WHEN c.cut IS NULL THEN part > 0 WHEN substr(draw, 1, 4) < c.cut THEN true
                    WHEN substr(draw, 1, 4) = c.cut THEN upto <= part ELSE false END AS extra
   FROM running r LEFT JOIN cuts c ON r.source IS NOT DISTINCT FROM c.source),
-gaps AS (SELECT source, CAST(floor(any_value(part) - coalesce(sum(size) FILTER (extra), 0)) AS BIGINT) AS gap FROM drawn GROUP BY source),
-picks AS (
-  SELECT d.source, CAST(floor(log2(d.size)) AS INTEGER) AS class, min(struct_pack(draw := draw, size := size)) AS pick
-  FROM drawn d JOIN gaps g ON d.source IS NOT DISTINCT FROM g.source
-  WHERE NOT extra AND d.size > 0 AND d.size < 2 * gap GROUP BY ALL),
-fits AS (
-  SELECT source, 63 AS class, gap, CAST(NULL AS VARCHAR) AS draw, CAST(NULL AS BIGINT) AS size FROM gaps
-  UNION ALL
-  SELECT f.source, f.class - 1, CASE WHEN p.pick.size <= f.gap THEN f.gap - p.pick.size ELSE f.gap END,
-         CASE WHEN p.pick.size <= f.gap THEN p.pick.draw END, CASE WHEN p.pick.size <= f.gap THEN p.pick.size END
-  FROM fits f LEFT JOIN picks p ON f.source IS NOT DISTINCT FROM p.source AND p.class = f.class - 1 WHERE f.class > 0),
-spare AS (
-  SELECT p.source, p.pick.draw AS draw, p.pick.size AS size, row_number() OVER (PARTITION BY p.source ORDER BY p.class, p.pick.size, p.pick.draw) AS place
-  FROM picks p JOIN (SELECT source, min(gap) AS gap FROM fits GROUP BY source) g ON p.source IS NOT DISTINCT FROM g.source
-  WHERE p.pick.size < 2 * g.gap AND NOT EXISTS (SELECT 1 FROM fits f WHERE f.source IS NOT DISTINCT FROM p.source AND f.draw = p.pick.draw AND f.size = p.pick.size)),
-more AS (SELECT source, draw, size FROM fits WHERE draw IS NOT NULL UNION ALL SELECT source, draw, size FROM spare WHERE place = 1)
-SELECT d.doc_id, d.size, d.source_size, d.target,
-       CAST(CASE WHEN d.size > 0 THEN d.whole + CAST(d.extra OR f.draw IS NOT NULL AS BIGINT) ELSE 0 END * d.size AS BIGINT) AS taken
-FROM drawn d LEFT JOIN more f ON d.source IS NOT DISTINCT FROM f.source AND d.draw = f.draw AND d.size = f.size
+gaps AS (SELECT source, CAST(floor(any_value(part) + 0.5 - coalesce(sum(size) FILTER (extra), 0)) AS BIGINT) AS gap FROM drawn GROUP BY source),
+ranked AS (
+  SELECT d.source, d.doc_id, d.draw, d.size, d.extra, g.gap, CAST(floor(log2(d.size)) AS INTEGER) AS class,
+         row_number() OVER (PARTITION BY d.source, d.extra, floor(log2(d.size)) ORDER BY d.draw, d.size) AS nth
+  FROM drawn d JOIN gaps g ON d.source IS NOT DISTINCT FROM g.source WHERE d.size > 0 AND g.gap <> 0),
+turns AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY size >= 2 * gap, nth, extra, class) AS turn FROM ranked WHERE nth <= 14),
+tried AS (
+  SELECT source, any_value(gap) AS gap, [[0]] || list([CASE WHEN extra THEN -size ELSE size END] ORDER BY turn) AS adds
+  FROM turns WHERE turn <= 14 GROUP BY source),
+sums AS (
+  SELECT source, list_transform(list_reduce(adds, lambda acc, x: list_concat(acc, list_transform(acc, lambda y: y + x[1]))), lambda z: abs(gap - z)) AS away FROM tried),
+best AS (SELECT source, list_position(away, list_min(away)) - 1 AS best FROM sums),
+swaps AS (
+  SELECT t.source, t.draw, t.size, t.extra, count(*) AS copies FROM turns t JOIN best b ON t.source IS NOT DISTINCT FROM b.source
+  WHERE t.turn <= 14 AND (b.best >> CAST(t.turn - 1 AS INTEGER)) & 1 = 1 GROUP BY ALL),
+named AS (
+  SELECT d.*, s.copies, row_number() OVER (PARTITION BY d.source, d.draw, d.size, d.extra) <= coalesce(s.copies, 0) AS swapped
+  FROM drawn d LEFT JOIN swaps s ON d.source IS NOT DISTINCT FROM s.source AND d.draw = s.draw AND d.size = s.size AND d.extra = s.extra)
+SELECT doc_id, size, source_size, target,
+       CAST(CASE WHEN size > 0 THEN whole + CAST(extra <> swapped AS BIGINT) ELSE 0 END * size AS BIGINT) AS taken
+FROM named
 """,
     "op9_exact_topk": """
 WITH v AS (
