@@ -3,19 +3,22 @@
 Benchmark items are cut into passages, weighted by TF-IDF (document frequencies over all
 documents) and reduced by a distributed randomised SVD.  Every document is read in windows
 of 32 words, 8 apart, folded into the latent space; a window and a passage whose cosine
-reaches ``least_cosine`` are candidates.  A candidate counts as a ``copy`` when the longest
+reaches ``least_cosine`` are candidates.  So is every place of a document that holds five
+words in a row of an item, so that no copy hangs on the latent space.  A candidate counts as a ``copy`` when the longest
 common subsequence of words covers ``copy_share`` of the item, and as a ``paraphrase`` when
 it covers ``paraphrase_share`` and the item's answer is there too: the words of column
 ``answer`` where the benchmark has one, else the item's rarest words.
 
-Words in over a tenth of the documents (and over 1,000) serve for subsequences but not for
-retrieval.  Case, punctuation and word breaks of any kind don't count.  Defined results: documents with
+Words in over a tenth of the documents serve for subsequences but not for latent retrieval,
+unless over half of an item's words are such.  Case, punctuation and word breaks of any kind don't count.  Defined results: documents with
 null or empty text match nothing; items with fewer than ``least_words`` words take no part;
 repeated items and rows each count; an empty benchmark finds nothing; other columns are
 ignored by :func:`find` and kept by :func:`clean`.
 
-The benchmark goes round in blocks of at most ``BLOCK_ITEMS`` items: what is broadcast (the
-latent vectors of a block's vocabulary) is bounded however large the benchmark is.
+The benchmark goes round in blocks of about ``BLOCK_ITEMS`` items, as many of them in one
+reading of the documents as ``MOST_BYTES`` hold: what is broadcast is bounded however large
+the benchmark is.  The rank of a block's latent space is an eighth of its items, from 64 to
+256.  Document frequencies are counted once, for the whole benchmark's words.
 """
 
 from __future__ import annotations
@@ -27,14 +30,16 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .wordhash import mix64, text_buffers, word_chunks
+from .wordhash import mix64, ngram_hashes, text_buffers, word_chunks
 
 BLOCK_ITEMS = 2000
-STOP_ROWS, STOP_SHARE = 1000, 0.1  # words in more documents than both aren't retrieved by
+MOST_BYTES = 200_000_000  # of indexes that a task holds at once
+STOP_SHARE = 0.1  # words in more of the documents aren't retrieved by
+SEED_WORDS = 5
 STRIDE, SPAN = 8, 4  # windows of SPAN strides
 _BITS = 20
 
@@ -91,6 +96,10 @@ class Index:
     items: list[Item]
     owner: np.ndarray  # item of each passage
     passages: np.ndarray  # unit latent vectors
+    seeds: Vocabulary  # runs of SEED_WORDS words of the items
+    seed_bounds: np.ndarray  # of each seed's stretch in the next two
+    seed_items: np.ndarray
+    seed_places: np.ndarray  # words before the seed in its item
     least_cosine: float
     copy_share: float
     paraphrase_share: float
@@ -119,16 +128,27 @@ class Index:
         useful &= norms > 1e-6
         return document[useful], first[useful], total[useful] / norms[useful][:, None]
 
-    def matches(self, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, float, float, float, int, int]]:
-        """(document, item, cosine, overlap, answer share, first word, end) of what is found."""
+    def size(self) -> int:
+        return sum(x.nbytes for x in (self.vectors, self.passages, self.seeds.words, self.seed_items, self.seed_places)) + 200 * sum(len(i.words) for i in self.items)
+
+    def seeded(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(document, item, where the item would begin) for each run of words that an item holds too."""
+        at, index = self.seeds.find(ngram_hashes(words, SEED_WORDS))
+        owner = np.searchsorted(bounds, at, side="right") - 1
+        for i in np.flatnonzero(at + SEED_WORDS <= bounds[owner + 1]):
+            for j in range(self.seed_bounds[index[i]], self.seed_bounds[index[i] + 1]):
+                yield int(owner[i]), int(self.seed_items[j]), max(0, int(at[i] - bounds[owner[i]] - self.seed_places[j]))
+
+    def matches(self, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, float | None, float, float, int, int]]:
+        """(document, item, cosine, overlap, answer share, first word, end) of what is found; without a cosine if only equal words led there."""
         document, first, vectors = self.windows(words, bounds)
-        if not len(document) or not len(self.passages):
-            return []
         best: dict[tuple[int, int], list[tuple[float, int]]] = {}
-        for lo in range(0, len(document), 8192):
+        for lo in range(0, len(document) if len(self.passages) else 0, 8192):
             cosines = vectors[lo : lo + 8192] @ self.passages.T
             for i, j in zip(*np.nonzero(cosines >= self.least_cosine), strict=True):
                 best.setdefault((int(document[lo + i]), int(self.owner[j])), []).append((float(cosines[i, j]), int(first[lo + i])))
+        for d, k, start in self.seeded(words, bounds):
+            best.setdefault((d, k), []).append((-1.0, start))
         out = []
         for (d, k), found in sorted(best.items()):
             cosine, item = max(c for c, _ in found), self.items[k]
@@ -147,7 +167,7 @@ class Index:
                 answer = sum(w in there or w in region for w in item.answer) / max(1, len(item.answer))
                 shares = max(shares, (overlap / len(item.words), answer, int(lo - bounds[d]) + a, int(lo - bounds[d]) + b))
             if shares[0] >= self.copy_share or shares[0] >= self.paraphrase_share and shares[1] >= self.answer_share:
-                out.append((d, k, cosine, *shares))
+                out.append((d, k, cosine if cosine >= 0 else None, *shares))
         return out
 
 
@@ -188,14 +208,14 @@ def _idf(documents: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
     found = common.arrow_map(documents.select("text"), count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
     n = dict(zip(found["word"], found["n"], strict=True))
     counts = np.array([n.get(i, 0) for i in range(len(vocabulary))], dtype=float)
-    return np.log((1.0 + n.get(-1, 0)) / (1.0 + counts)) + 0.05, (counts > STOP_ROWS) & (counts > STOP_SHARE * n.get(-1, 0))
+    return np.log((1.0 + n.get(-1, 0)) / (1.0 + counts)) + 0.05, counts > STOP_SHARE * n.get(-1, 0)
 
 
 def randomised_svd(rows: DataFrame, width: int, rank: int, powers: int = 2, seed: int = common.SEED) -> np.ndarray:
     """The leading right singular vectors (width x rank) of a matrix whose sparse rows are (places array<int>, weights array<double>).
 
     Halko, Martinsson and Tropp's method on A'A: each pass multiplies row by row where the
-    rows are and sums (width x rank) matrices, one for each task.
+    rows are and sums the (width x rank) matrix's rows that each batch touches.
     """
     spark = rows.sparkSession
     size = min(width, rank + 10)
@@ -204,16 +224,19 @@ def randomised_svd(rows: DataFrame, width: int, rank: int, powers: int = 2, seed
         held = spark.sparkContext.broadcast(basis)
 
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros_like(held.value)
-            for batch in batches:
-                for places, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    places, weights = np.asarray(places, dtype=np.int64), np.asarray(weights)
-                    total[places] += weights[:, None] * (weights @ held.value[places])[None, :]
-            yield pa.RecordBatch.from_pydict({"part": pa.array([total.tobytes()], pa.binary())})
+            for batch in batches:  # the rows that a batch touches, some thousands
+                flat = batch.column(0).flatten().to_numpy()
+                touched, local = np.unique(flat, return_inverse=True)
+                part, at = np.zeros((len(touched), basis.shape[1])), 0
+                for weights in batch.column(1).to_pylist():
+                    weights, mine = np.asarray(weights), local[at : at + len(weights)]
+                    part[mine] += weights[:, None] * (weights @ held.value[touched[mine]])[None, :]
+                    at += len(weights)
+                yield pa.RecordBatch.from_pydict({"places": pa.array([touched.astype(np.int32).tobytes()], pa.binary()), "part": pa.array([part.tobytes()], pa.binary())})
 
         total = np.zeros_like(basis)
-        for r in common.arrow_map(rows, multiply, "part binary").toLocalIterator():  # one matrix at a time
-            total += np.frombuffer(r["part"]).reshape(basis.shape)
+        for r in common.arrow_map(rows, multiply, "places binary, part binary").toLocalIterator():  # one partition at a time
+            total[np.frombuffer(r["places"], dtype=np.int32)] += np.frombuffer(r["part"]).reshape(-1, basis.shape[1])
         held.destroy()
         return total
 
@@ -225,29 +248,53 @@ def randomised_svd(rows: DataFrame, width: int, rank: int, powers: int = 2, seed
     return basis @ turn[:, order[values[order] > 1e-9]]
 
 
-def index_block(documents: DataFrame, rows: list, rank: int, least_words: int, **limits: float) -> Index | None:
-    """The index of one block of benchmark rows (item_id, text and perhaps answer)."""
-    spark = documents.sparkSession
+def _hashes(texts: list[str | None]) -> list[np.ndarray]:
+    out = []
+    for _, words, bounds in _documents(pa.array(texts, pa.string())):
+        out += [words[bounds[i] : bounds[i + 1]] for i in range(len(bounds) - 1)]
+    return out
 
-    def hashes(texts: list[str | None]) -> list[np.ndarray]:
-        out = []
-        for _, words, bounds in _documents(pa.array(texts, pa.string())):
-            out += [words[bounds[i] : bounds[i + 1]] for i in range(len(bounds) - 1)]
-        return out
 
-    words = hashes([r["text"] for r in rows])
-    answers = hashes([r["answer"] for r in rows]) if rows and "answer" in rows[0] else [np.zeros(0, dtype=np.uint64)] * len(rows)
-    kept = [i for i, w in enumerate(words) if len(w) >= least_words]
-    if not kept:
-        return None
-    vocabulary = Vocabulary(np.concatenate([words[i] for i in kept]))
-    idf, stop = _idf(documents, vocabulary)
-    items, owner, passages = [], [], []
-    for i in kept:
-        index = vocabulary.find(words[i])[1]
-        rare = sorted(set(words[i].tolist()), key=lambda w: (-idf[np.searchsorted(vocabulary.words, np.uint64(w))], w))
-        items.append(Item(rows[i]["item_id"], words[i].tolist(), answers[i].tolist() or rare[: max(3, len(rare) // 4)]))
-        index = index[~stop[index]] if (~stop[index]).any() else index
+@dataclass
+class Block:
+    """Word hashes of some benchmark items, and of their answers."""
+
+    ids: list[int | None]
+    words: list[np.ndarray]
+    answers: list[np.ndarray]
+
+
+def blocks(benchmark: DataFrame, least_words: int = 5) -> list[Block]:
+    """The benchmark in parts by a hash of id and text, without items that are too short; the driver holds its words' hashes."""
+    columns = [c for c in ("item_id", "text", "answer") if c in benchmark.columns]
+    items = benchmark.select(*columns)
+    n = items.count()
+    parts = 1 if n <= BLOCK_ITEMS else -(-2 * n // BLOCK_ITEMS)
+    out = []
+    for k in range(parts):
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy(*columns).collect()
+        words = _hashes([r["text"] for r in rows])
+        answers = _hashes([r["answer"] for r in rows]) if "answer" in columns else [np.zeros(0, dtype=np.uint64)] * len(rows)
+        kept = [i for i, w in enumerate(words) if len(w) >= least_words]
+        if kept:
+            out.append(Block([rows[i]["item_id"] for i in kept], [words[i] for i in kept], [answers[i] for i in kept]))
+    return out
+
+
+def index_block(block: Block, known: Vocabulary, idf: np.ndarray, stop: np.ndarray, spark: SparkSession, rank: int | None = None, **limits: float) -> Index:
+    """The index of one block; ``idf`` and ``stop`` are of the words of ``known``."""
+    vocabulary = Vocabulary(np.concatenate(block.words))
+    at = known.find(vocabulary.words)[1]
+    idf, stop = idf[at], stop[at]
+    rank = rank or min(256, max(64, len(block.ids) // 8))
+    items, owner, passages, seeds = [], [], [], []
+    for item_id, words, answer in zip(block.ids, block.words, block.answers, strict=True):
+        index = vocabulary.find(words)[1]
+        rare = sorted(set(words.tolist()), key=lambda w: (-idf[np.searchsorted(vocabulary.words, np.uint64(w))], w))
+        items.append(Item(item_id, words.tolist(), answer.tolist() or rare[: max(3, len(rare) // 4)]))
+        grams = ngram_hashes(words, SEED_WORDS)
+        seeds.append(np.column_stack([grams, np.full(len(grams), len(items) - 1, dtype=np.uint64), np.arange(len(grams), dtype=np.uint64)]))
+        index = index[~stop[index]] if 2 * int((~stop[index]).sum()) >= len(index) else index
         size = STRIDE * SPAN
         for lo in range(0, max(1, len(index) - size // 2), size // 2) if len(index) > 2 * size else [0]:
             part = index[lo : lo + size] if len(index) > 2 * size else index
@@ -259,20 +306,29 @@ def index_block(documents: DataFrame, rows: list, rank: int, least_words: int, *
     leading = randomised_svd(matrix, len(vocabulary), rank)
     latent = np.stack([w @ leading[p] for p, w in passages])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    used = np.unique(np.concatenate([p for p, _ in passages]))  # without stop words, but for items that have no others
-    return Index(Vocabulary(vocabulary.words[used]), (idf[:, None] * leading).astype(np.float32)[used], items, np.array(owner), latent.astype(np.float32), **limits)
-
-
-def indexes(documents: DataFrame, benchmark: DataFrame, rank: int = 64, least_words: int = 5, least_cosine: float = 0.75, copy_share: float = 0.75, paraphrase_share: float = 0.55, answer_share: float = 0.6) -> Iterator[Index]:
-    """An index for each block of the benchmark, by a hash of the item's id."""
-    columns = [c for c in ("item_id", "text", "answer") if c in benchmark.columns]
-    items = benchmark.select(*columns)
-    blocks = max(1, -(-2 * items.count() // BLOCK_ITEMS)) if items.count() > BLOCK_ITEMS else 1
-    for k in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy(*columns).collect()
-        found = index_block(documents, rows, rank, least_words, least_cosine=least_cosine, copy_share=copy_share, paraphrase_share=paraphrase_share, answer_share=answer_share)
-        if found is not None:
-            yield found
+    used = np.unique(np.concatenate([p for p, _ in passages]))  # without stop words, but for items that have few others
+    sown = np.concatenate(seeds)
+    sown = sown[np.lexsort((sown[:, 2], sown[:, 1], sown[:, 0]))]
+    runs = Vocabulary(sown[:, 0])
+    bounds = np.append(np.searchsorted(sown[:, 0], runs.words), len(sown))
+    return Index(Vocabulary(vocabulary.words[used]), (idf[:, None] * leading).astype(np.float32)[used], items, np.array(owner), latent.astype(np.float32), runs, bounds, sown[:, 1].astype(np.int64), sown[:, 2].astype(np.int64), **limits)
+
+
+def indexes(documents: DataFrame, benchmark: DataFrame, rank: int | None = None, least_words: int = 5, least_cosine: float = 0.75, copy_share: float = 0.75, paraphrase_share: float = 0.55, answer_share: float = 0.6) -> Iterator[list[Index]]:
+    """Lists of indexes, each list for one reading of the documents."""
+    spark, some = documents.sparkSession, blocks(benchmark, least_words)
+    if not some:
+        return
+    known = Vocabulary(np.unique(np.concatenate([w for b in some for w in b.words])))
+    idf, stop = _idf(documents, known)
+    held: list[Index] = []
+    for b in some:
+        found = index_block(b, known, idf, stop, spark, rank, least_cosine=least_cosine, copy_share=copy_share, paraphrase_share=paraphrase_share, answer_share=answer_share)
+        if held and sum(x.size() for x in held) + found.size() > MOST_BYTES:
+            yield held
+            held = []
+        held.append(found)
+    yield held
 
 
 def find(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -281,23 +337,23 @@ def find(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, item_id long, kind string, cosine double, overlap double, answer_share double, start int, end int"
     source = documents.select("doc_id", F.col("text").alias("__text"))
     out = None
-    for index in indexes(documents, benchmark, **options):
-        held = spark.sparkContext.broadcast(index)
+    for part in indexes(documents, benchmark, **options):
+        held = spark.sparkContext.broadcast(part)  # at most MOST_BYTES, or one block
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = held.value
             for batch in batches:
                 found = []
                 for first, words, bounds in _documents(batch.column(1)):
-                    found += [(first + d, *rest) for d, *rest in index.matches(words, bounds)]
+                    for index in held.value:
+                        found += [(first + d, index.items[k].item_id, *rest) for d, k, *rest in index.matches(words, bounds)]
                 taken = pa.array([f[0] for f in found], pa.int64())
-                kinds = ["copy" if f[3] >= index.copy_share else "paraphrase" for f in found]
-                columns = [batch.column(0).take(taken), pa.array([index.items[f[1]].item_id for f in found], pa.int64()), pa.array(kinds, pa.string())]
+                kinds = ["copy" if f[3] >= held.value[0].copy_share else "paraphrase" for f in found]
+                columns = [batch.column(0).take(taken), pa.array([f[1] for f in found], pa.int64()), pa.array(kinds, pa.string())]
                 columns += [pa.array([f[i] for f in found], pa.float64()) for i in (2, 3, 4)] + [pa.array([f[i] for f in found], pa.int32()) for i in (5, 6)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "kind", "cosine", "overlap", "answer_share", "start", "end"])
 
-        part = common.arrow_map(source, run, schema)
-        out = part if out is None else out.unionByName(part)
+        rows = common.arrow_map(source, run, schema)
+        out = rows if out is None else out.unionByName(rows)
     return spark.createDataFrame([], schema) if out is None else out
 
 
@@ -305,15 +361,16 @@ def clean(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows, with all their columns, that hold no benchmark item."""
     place = documents.columns.index("text")
     out = documents
-    for index in indexes(documents, benchmark, **options):
-        held = documents.sparkSession.sparkContext.broadcast(index)
+    for part in indexes(documents, benchmark, **options):
+        held = documents.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
                 for first, words, bounds in _documents(batch.column(place)):
-                    for d, *_ in held.value.matches(words, bounds):
-                        keep[first + d] = False
+                    for index in held.value:
+                        for d, *_ in index.matches(words, bounds):
+                            keep[first + d] = False
                 yield batch.filter(pa.array(keep))
 
         out = common.arrow_map(out, run, documents.schema)

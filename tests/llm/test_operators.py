@@ -157,6 +157,42 @@ def test_decontaminate_paraphrase(spark):
     assert found[1] == "copy" and found[2] in ("copy", "paraphrase") and set(found) == {1, 2}
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        diagonal = 0
+        for j, y in enumerate(b, 1):
+            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_decontaminate_many_items(spark):
+    """Copies of every length are found with 2,000 items, in one block or many; paraphrases against plain subsequences."""
+    random.seed(8)
+    word = lambda: f"w{int(random.paretovariate(0.6)) % 4000}"
+    items = [[word() for _ in range(5 + i % 36)] for i in range(2000)]
+    rows = []
+    for i, item in enumerate(items[:600]):
+        kept = item if i % 2 else [w if random.random() > 0.2 else word() for w in item]
+        rows.append((i, " ".join([*(word() for _ in range(30)), *kept, *(word() for _ in range(30))])))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find(frame(spark, rows).repartition(8), bench).collect()}
+    assert all((i, i) in found and found[i, i]["kind"] == "copy" and found[i, i]["overlap"] == 1.0 for i in range(1, 600, 2))
+    near = [i for i in range(0, 600, 2) if len(items[i]) >= 8 and lcs(items[i], rows[i][1].split()) >= 0.75 * len(items[i])]
+    assert len(near) > 50 and sum((i, i) in found for i in near) >= 0.9 * len(near)
+    for (d, k), r in list(found.items())[:200]:
+        assert lcs(items[k], rows[d][1].split()) >= round(r["overlap"] * len(items[k]))
+
+
+def test_decontaminate_blocks(spark, docs, sf_dir, monkeypatch):
+    bench = common.table(spark, sf_dir, "benchmark")
+    pairs = lambda: {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, bench).collect()}
+    whole = pairs()
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 8)
+    monkeypatch.setattr(decontaminate, "MOST_BYTES", 1)
+    assert pairs() == whole
+
+
 def test_subsequence():
     random.seed(4)
     for _ in range(50):
@@ -271,6 +307,16 @@ def test_mixing(spark, docs, awkward, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_repeated_ids(spark):
+    rows = [(7, "w " * 10, "en", "a")] * 30 + [(i, "w " * (i % 9), "en", "b") for i in range(40)] + [(None, "x " * 4, "en", "c")] * 25
+    found = mixing.mix(frame(spark, rows)).collect()
+    taken, target = Counter(), {}
+    for r in found:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert len(found) == 95 and all(abs(taken[s] - target[s]) <= 5 for s in target)
+
+
 def test_mixing_caps(spark):
     rows = [(i, "w " * 10, "en", "a") for i in range(3)] + [(100 + i, "w " * 10, "en", "b") for i in range(300)] + [(999, "x y", "en", None)]
     found = {r["source"]: r for r in mixing.plan(frame(spark, rows).select("source", mixing.word_count(F.col("text")).alias("size")), spark.createDataFrame([("a", 5.0), ("b", 2.0), (None, 1.0)], "source string, weight double")).collect()}
