@@ -20,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only if nothing is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a folder of this machine only in local mode."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir()
     if found is not None and not isinstance(found, str):  # a Scala Option
         found = found.get() if found.isDefined() else None
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="factloom-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not context._jsc.sc().getCheckpointDir().isDefined():
@@ -113,6 +115,29 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+#: A Bloom filter has at most this many words of 64 bits, each a row of some 40 bytes where it is broadcast.
+MOST_WORDS = 1 << 21
+_IDS_A_WORD = 4
+
+
+def split_by_ids(rows: DataFrame, column: str, ids: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``column`` may be among ``ids``, rows whose ``column`` surely isn't), so that only the former need a shuffle.
+
+    The ids' Bloom filter (two bits for each in one word of 64) is made by a groupBy and
+    broadcast as at most ``MOST_WORDS`` rows; with more ids than it has room for, more rows
+    count as possible and nothing else changes.  Rows whose column is null aren't among ids.
+    """
+    words = 1 << max(4, min(MOST_WORDS, ids.count() // _IDS_A_WORD + 1).bit_length())
+    place = lambda h: F.pmod(h, F.lit(words))
+    bits = lambda h: F.expr("shiftleft(1L, cast(shiftright({0}, 40) & 63 as int)) | shiftleft(1L, cast(shiftright({0}, 48) & 63 as int))".format(h))
+    table = ids.select(F.xxhash64(F.lit(SEED), F.col(id_column)).alias("__bloom_hash")).select(place(F.col("__bloom_hash")).alias("__bloom_word"), bits("__bloom_hash").alias("__bloom_bits"))
+    table = F.broadcast(table.groupBy("__bloom_word").agg(F.bit_or("__bloom_bits").alias("__bloom_held")))
+    hashed = rows.withColumn("__bloom_hash", F.xxhash64(F.lit(SEED), F.col(column)))
+    marked = hashed.withColumn("__bloom_bits", bits("__bloom_hash")).withColumn("__bloom_at", place(F.col("__bloom_hash"))).join(table, F.col("__bloom_at") == F.col("__bloom_word"), "left")
+    maybe = F.col(column).isNotNull() & F.coalesce(F.col("__bloom_held").bitwiseAND(F.col("__bloom_bits")) == F.col("__bloom_bits"), F.lit(False))
+    return marked.filter(maybe).select(*rows.columns), marked.filter(~maybe).select(*rows.columns)
+
+
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     """mapInArrow with this package on the workers' path."""
     ship(df.sparkSession)

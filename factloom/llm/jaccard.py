@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from . import common
 from .wordhash import mix64, ngram_hashes, shingle_set, text_buffers, word_chunks
@@ -448,7 +449,8 @@ def components(docs: DataFrame, words: int = 5, scratch: common.Scratch | None =
         fine = finer.join(nodes.select("node", "doc", "n"), "node")
         coarse = scratch.save(small.unionByName(fine.select(*small.columns)))
     dealt = _dealt(coarse)
-    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(coarse.select("doc", "node"), "doc").select("node", "text")
+    texts, _ = common.split_by_ids(docs.select(F.col("doc_id").alias("doc"), "text"), "doc", coarse, "doc")
+    texts = texts.join(coarse.select("doc", "node"), "doc").select("node", "text")
     texts = dealt.join(texts, "node")
     links = texts.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node").mapInArrow(_verify(words), "a long, b long")
     joined = common.connected_components(scratch.save(links), scratch)
@@ -469,14 +471,16 @@ def _same_id(rows: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, words: int = 5) -> DataFrame:
     """All columns of the documents that stay: one of each component, that of the smallest doc_id.
 
-    Rows without doc_id stay.  Of rows that repeat the id that stays, one stays.
+    Rows without doc_id stay.  Of rows that repeat the id that stays, that of the smallest
+    text stays.  Only rows whose id may be one that goes or repeats are shuffled; the others
+    pass where they are.
     """
     scratch = common.Scratch(docs.sparkSession)
-    found = scratch.save(components(docs, words, scratch))
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        first = W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-        again = kept.filter("doc_id is not null").withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
-        kept = again.unionByName(kept.filter("doc_id is null"))
-    return kept
+    found = components(docs, words, scratch)
+    asked = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__dedup_id")).agg(F.min("component_id").alias("__dedup_component"), F.count("*").alias("__dedup_rows"))
+    asked = scratch.save(asked.filter("__dedup_rows > 1 or __dedup_id <> __dedup_component").select("__dedup_id", (F.col("__dedup_id") == F.col("__dedup_component")).alias("__dedup_stays")))
+    maybe, stay = common.split_by_ids(docs, "doc_id", asked, "__dedup_id")
+    looked = maybe.join(asked, F.col("doc_id") == F.col("__dedup_id"), "left").filter(F.coalesce("__dedup_stays", F.lit(True)))
+    first = W.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), *[F.col(f"`{f.name}`").asc_nulls_first() for f in docs.schema.fields if isinstance(f.dataType, AtomicType)])
+    again = looked.filter("__dedup_stays").withColumn("__dedup_place", F.row_number().over(first)).filter("__dedup_place = 1").select(*docs.columns)
+    return stay.unionByName(looked.filter("__dedup_stays is null").select(*docs.columns)).unionByName(again)
