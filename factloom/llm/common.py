@@ -88,6 +88,17 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     return df if n <= most else df.filter(id_fraction(key) < F.lit(most / n))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, column: str, training: Column, most: int) -> DataFrame:
+    """doc_id, text and __label (0 or 1) of about ``most`` documents whose labels agree; one row for each doc_id.
+
+    Of rows that repeat a doc_id that of the smallest text is taken.
+    """
+    known = labels.filter(training & F.col(column).isin(0, 1) & F.col("doc_id").isNotNull())
+    known = known.groupBy("doc_id").agg(F.min(column).cast("int").alias("__label"), F.max(column).alias("__most")).filter("__label = __most").drop("__most")
+    sample = F.broadcast(bounded_sample(known, "doc_id", most))
+    return docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("__label").alias("__label"))
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component) for each node of an edge, component being its smallest reachable node.
 
