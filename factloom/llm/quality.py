@@ -6,50 +6,102 @@ get weight 0; what is left is compiled into one Spark column expression, so scor
 inside the JVM's generated code (Friedman and Popescu's rule ensembles).
 
 Defined results: null and empty texts have all statistics 0 and are scored by the same
-rules; labels that are null, neither 0 nor 1, or without a document aren't learned from;
+rules; labels that are null, neither 0 nor 1, without a document, or repeated and at odds aren't learned from;
 without both classes the score is the share of label 1 (0.5 without labels); repeated rows
 are scored alike; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .wordhash import text_buffers, word_chunks
 
 #: Texts are read by these; each is a share or a mean, so long and short texts compare.
 STATISTICS = ("log_chars", "word_length", "upper_share", "digit_share", "symbol_share", "mark_share", "letter_share", "line_words", "long_words", "stop_share")
-_SYMBOLS = r"[|*#$%&@^~<>=+_\\{}\[\]]+"
+#: Frequent function words of the languages.
+STOP_WORDS = "the of and to in is that der die und das de la le les el que en et".split()
+LONG_WORD = 15
+
+
+def _flags(characters: str) -> np.ndarray:
+    out = np.zeros(256, dtype=np.uint8)
+    out[list(characters.encode())] = 1
+    return out
+
+
+_ASCII_LETTERS = _flags("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_BEGINS = np.ones(256, dtype=np.uint8)  # bytes that begin a code point
+_BEGINS[0x80:0xC0] = 0
+_LETTERS = _ASCII_LETTERS.copy()  # code points beyond ASCII count as letters
+_LETTERS[0xC0:] = 1
+_WORD_BYTES = _ASCII_LETTERS.astype(bool) | (np.arange(256) >= 128)
+_COUNTED = {"upper": _flags("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digit": _flags("0123456789"), "symbol": _flags("|*#$%&@^~<>=+_\\{}[]"), "mark": _flags(".,!?;:"), "letter": _LETTERS, "line": _flags("\n"), "char": _BEGINS}
+
+
+def _stop_hashes() -> np.ndarray:
+    offsets, data = text_buffers(pa.array([" ".join(STOP_WORDS)]))
+    return np.sort(next(word_chunks(offsets, data, keep=_WORD_BYTES)).hashes)
+
+
+def statistics(texts: pa.Array) -> np.ndarray:
+    """One row of STATISTICS for each text, counted over its bytes some documents at a time."""
+    offsets, data = text_buffers(texts)
+    out, stops = np.zeros((len(offsets) - 1, len(STATISTICS))), _stop_hashes()
+    for c in word_chunks(offsets, data, keep=_WORD_BYTES):
+        n = len(c.bounds) - 1
+        at = offsets[c.first : c.first + n + 1]
+        text, at = data[at[0] : at[-1]], at - at[0]
+
+        def per_text(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+            sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+            return (sums[at[1:]] - sums[at[:-1]]).astype(float)
+
+        count = {name: per_text(flags[text], at) for name, flags in _COUNTED.items()}
+        beyond = np.zeros(len(text), dtype=np.uint8)  # upper-case letters of Latin-1
+        beyond[1:] = (text[:-1] == 0xC3) & (text[1:] >= 0x80) & (text[1:] <= 0x9E) & (text[1:] != 0x97)
+        begun = np.concatenate([[0], np.cumsum(_BEGINS[text], dtype=np.int64)])
+        lengths = begun[c.ends] - begun[c.starts]
+        chars, words = np.maximum(count["char"], 1.0), np.maximum(np.diff(c.bounds), 1).astype(float)
+        place = np.minimum(np.searchsorted(stops, c.hashes), len(stops) - 1)
+        columns = {
+            "log_chars": np.log1p(count["char"]),
+            "word_length": per_text(lengths, c.bounds) / words,
+            "upper_share": (count["upper"] + per_text(beyond, at)) / np.maximum(count["letter"], 1.0),
+            "digit_share": count["digit"] / chars,
+            "symbol_share": count["symbol"] / chars,
+            "mark_share": count["mark"] / chars,
+            "letter_share": count["letter"] / chars,
+            "line_words": np.diff(c.bounds) / (count["line"] + 1.0),
+            "long_words": per_text(lengths >= LONG_WORD, c.bounds) / words,
+            "stop_share": per_text(stops[place] == c.hashes, c.bounds) / words,
+        }
+        out[c.first : c.first + n] = np.column_stack([columns[name] for name in STATISTICS])
+    return out
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """The rows with one column ``stat_...`` for each of STATISTICS."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    less = lambda pattern: F.length(F.regexp_replace(text, pattern, "")).cast("double")
-    out = docs.withColumn("__n", F.greatest(F.length(text), F.lit(1)).cast("double"))
-    out = out.withColumn("__all", F.length(text).cast("double"))
-    out = out.withColumn("__spaces", F.col("__all") - less(r"\s+"))
-    out = out.withColumn("__words", F.greatest(F.regexp_count(text, F.lit(r"\S+")).cast("double"), F.lit(1.0)))
-    out = out.withColumn("__letters", F.col("__all") - less(r"\p{L}+"))
-    share = {
-        "log_chars": F.log1p(F.col("__all")),
-        "word_length": (F.col("__all") - F.col("__spaces")) / F.col("__words"),
-        "upper_share": (F.col("__all") - less(r"\p{Lu}+")) / F.greatest(F.col("__letters"), F.lit(1.0)),
-        "digit_share": (F.col("__all") - less(r"[0-9]+")) / F.col("__n"),
-        "symbol_share": (F.col("__all") - less(_SYMBOLS)) / F.col("__n"),
-        "mark_share": (F.col("__all") - less(r"[.,!?;:]+")) / F.col("__n"),
-        "letter_share": F.col("__letters") / F.col("__n"),
-        "line_words": F.col("__words") / (F.col("__all") - F.length(F.replace(text, F.lit("\n"), F.lit(""))).cast("double") + F.lit(1.0)),
-        "long_words": F.regexp_count(text, F.lit(r"\S{15,}")).cast("double") / F.col("__words"),
-        "stop_share": F.regexp_count(F.lower(text), F.lit(r"\b(?:the|of|and|to|in|is|that|der|die|und|das|de|la|le|les|el|que|en|et)\b")).cast("double") / F.col("__words"),
-    }
-    for name in STATISTICS:
-        out = out.withColumn(f"stat_{name}", share[name])
-    return out.drop("__n", "__all", "__spaces", "__words", "__letters")
+    """The rows' columns other than ``text``, with one column ``stat_...`` for each of STATISTICS; clashing names are an error."""
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+    names = [f"stat_{n}" for n in STATISTICS]
+    if clash := {f.name for f in kept} & set(names):
+        raise ValueError(f"the input has columns {sorted(clash)} already")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} double" for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = statistics(batch.column("text"))
+            columns = [batch.column(f.name) for f in kept] + [pa.array(found[:, k]) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in kept), *names])
+
+    return common.arrow_map(docs, run, schema)
 
 
 #: A rule: (statistic's place, whether above, threshold) for each step of its path.
@@ -178,9 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, most_rows: int = 1
     The sampled labels are broadcast and the sample's statistics come to the driver: both are
     bounded by ``most_rows``.
     """
-    known = labels.filter(training & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").alias("__label"))
-    sample = F.broadcast(common.bounded_sample(known, "doc_id", most_rows))
-    rows = with_statistics(docs.select("doc_id", "text").join(sample, "doc_id").select("text", "__label"))
+    rows = with_statistics(common.labelled(docs, labels, "quality", training, most_rows)).orderBy("doc_id")
     found = rows.select("__label", *[f"stat_{n}" for n in STATISTICS]).toPandas()
     return ensemble(found[[f"stat_{n}" for n in STATISTICS]].to_numpy(float), found["__label"].to_numpy(float))
 
@@ -188,5 +238,6 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, most_rows: int = 1
 def judge(docs: DataFrame, labels: DataFrame, training: Column, held_out: Column, least: float = 0.3, **options) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     model = fit(docs, labels, training, **options)
-    scored = with_statistics(docs.select("doc_id", "text")).withColumn("score", model.column())
-    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+    marked = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    scored = with_statistics(marked).withColumn("score", model.column())
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= least).cast("int").alias("predicted"))

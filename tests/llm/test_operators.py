@@ -371,6 +371,50 @@ def test_grammar():
     assert toxicity.SEED_MODEL.score(None) == toxicity.SEED_MODEL.score("good day") and toxicity.SEED_MODEL.score("you idiot")[0] > 0.5
 
 
+def every_path(machines, symbols, weights):
+    """The largest sum over all accepted ways through all machines, word by word, without composing them."""
+    best, paths = 0.0, [(tuple(s), 0.0) for s in itertools.product(*(m.starts for m in machines))]
+    for symbol, weight in zip(symbols, weights, strict=True):
+        following = []
+        for states, total in paths:
+            options = [(symbol, 1.0, ())]
+            for m, state in zip(machines, states, strict=True):
+                options = [(out, w * f, (*to, q)) for read, w, to in options for out, f, q in m.arcs[state].get(read, ())]
+            following += [(to, total + w * weight) for _, w, to in options]
+        paths = following
+    accepted = [t for states, t in paths if all(s in m.finals for s, m in zip(states, machines, strict=True))]
+    return max(accepted, default=best), len(accepted)
+
+
+def test_composition():
+    random.seed(6)
+    machines, whole = [m() for m in toxicity.MACHINES], toxicity.composed()
+    for _ in range(300):
+        symbols = [random.choice(toxicity.SYMBOLS if random.random() < 0.5 else "oiy") for _ in range(random.randrange(1, 13))]
+        weights = [round(random.random(), 3) if s in toxicity.HITS else 0.0 for s in symbols]
+        want, accepted = every_path(machines, symbols, weights)
+        assert accepted == 1 and abs(whole.run(symbols, weights) - want) < 1e-9
+
+
+def test_grammar_of_four_languages():
+    g = toxicity.SEED_MODEL.grammar
+    score = lambda text: g.clauses(text)[0]
+    for plain, less in (("you are an idiot", "you are an idiot is what they said"), ("du bist ein versager", "du bist kein versager"), ("vous êtes un imbécile", "vous êtes un imbécile, disait le journal"), ("ella es una basura", "ella nunca es una basura"), ("you are scum", 'the sign reads "you are scum"')):
+        assert score(plain) > score(less) > 0
+    assert score("an idiot you are") == score("you are an idiot") > score("an idiot went home")
+    assert score("i will kill you") > score("they kill you") > score("kill the lights")
+    assert list(g.with_hits(toxicity.pa.array(["An IDIOT!", None, "", "fine day", "x kill-joy"]))) == [True, False, False, False, True]
+
+
+def test_statistics_by_hand():
+    texts = ["The Änd 12!\nSupercalifragilistic x", "", None, "é"]
+    found = {n: quality.statistics(quality.pa.array(texts))[:, k] for k, n in enumerate(quality.STATISTICS)}
+    chars = len(texts[0])
+    assert np.allclose(found["log_chars"], np.log1p([chars, 0, 0, 1])) and found["word_length"][0] == sum(map(len, texts[0].split())) / 5
+    assert found["upper_share"][0] == 3 / sum(c.isalpha() for c in texts[0]) and found["digit_share"][0] == 2 / chars and found["mark_share"][0] == 1 / chars
+    assert found["line_words"][0] == 2.5 and found["long_words"][0] == 0.2 and found["stop_share"][0] == 0.2 and found["letter_share"][3] == 1.0
+
+
 def test_rules_compile(spark):
     rng = np.random.default_rng(1)
     x = rng.random((400, len(quality.STATISTICS)))
