@@ -4,6 +4,8 @@ The base patterns mark assignments, access keys and hexadecimal runs.  Besides,
 that stands after a credential word is split by dynamic programming into words, dates,
 repeats, sequences, keyboard walks and brute-force spans at the least total guess cost
 (log10 of guesses); a value that takes at least ``least_cost`` is a span of kind ``guess``, unless a base span holds it.
+Words are ranked by the number of the table's documents that hold them, after a few common passwords.
+After ``is`` a value counts only if it has a digit, a symbol or a capital inside, so plain words in sentences stay.
 Positions are code points of the whole text, ends exclusive.
 
 Defined results: a null text counts as empty; an empty text has no spans and the digest of
@@ -16,9 +18,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +42,11 @@ _CONTEXT = re.compile(
     r"""(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z]))|(?=pass(?:word|wd|phrase)))
     (?:passphrase|passcode|password|passwd|pwd|(?:client[_-]?)?secret|(?:(?:auth|access)[_-]?)?token|credential|(?:private|access|auth|client|api)[_-]?key)
     s?[0-9]{0,8}(?:(?:[_-]|(?-i:(?<=[a-z0-9])[A-Z]))[A-Za-z0-9_-]{0,64})?
-    ["']?\]?\x20*(?:[:=]|\bis\b)\x20*(?:"([^"\n]{4,200})"|'([^'\n]{4,200})'|([!-~]{4,}))""",
+    ["']?\]?\x20*(?P<sign>[:=]|\bis\b)\x20*(?:"(?P<double>[^"\n]{4,})"|'(?P<single>[^'\n]{4,})'|["']?(?P<bare>[!#-&(-~][!-~]{3,}))""",
     re.IGNORECASE | re.ASCII | re.VERBOSE,
 )
+_TELLING = re.compile(r"[0-9@#$%^&*+=_~|\\]|[a-z][A-Z]")  # what a value in a sentence has and a plain word hasn't
+PROSE_WORDS = 6  # a quoted value of this many plain words is a sentence
 
 #: Common passwords and password words, most guessed first.
 COMMON = """
@@ -52,65 +58,104 @@ sunday love money house computer internet server database company office hunter
 cheese orange banana apple flower silver golden purple yellow green black white blue red one two three the
 correct horse battery staple my your our pass word key token api access private public client
 """.split()
-_RANK = {w: i + 1 for i, w in reversed(list(enumerate(COMMON)))}
-_LONGEST = max(map(len, COMMON))
 _ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _NEAR = {a: {b for dy in (-1, 0, 1) for dx in (-1, 0, 1) if 0 <= y + dy < 4 and 0 <= x + dx < len(_ROWS[y + dy]) and (b := _ROWS[y + dy][x + dx]) != a} for y, row in enumerate(_ROWS) for x, a in enumerate(row)}
-_DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
+_DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d")
+_YEAR = re.compile(r"(?:19|20)\d\d")
 _LEET = str.maketrans("013457@$!", "oieastasi")
-_SPAN = 40
+_SPAN, _BLOCK = 40, 8
+SHORT_WORD, LONG_WORD = 3, 20
+
+
+def ranks(words: Iterable[str]) -> dict[str, int]:
+    """The guessing order: common passwords, then ``words`` as they come."""
+    out: dict[str, int] = {}
+    for w in (*COMMON, *words):
+        out.setdefault(w, len(out) + 1)
+    return out
+
+
+_RANK = ranks(())
 
 
 def _pool(c: str) -> float:
     return 10.0 if c.isdigit() else 26.0 if c.isalpha() and c.isascii() else 33.0 if c.isascii() else 200.0
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation of ``value`` takes (0 for an empty value)."""
+def _date_cost(length: int) -> float:
+    return math.log10(120.0) if length == 4 else math.log10(120.0 * 372.0 * (1.0 if length == 8 else 4.0))
+
+
+def guess_cost(value: str, rank: dict[str, int] = _RANK, enough: float = math.inf) -> float:
+    """log10 of the guesses that the cheapest segmentation of ``value`` takes (0 for an empty value).
+
+    Every piece has at most ``_SPAN`` characters, so once all of the last ``_SPAN`` places
+    cost ``enough`` the whole does, and that is returned.
+    """
     n, low = len(value), value.lower()
+    if len(low) != n:
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(_LEET)
-    mixed = len({(c.isdigit(), c.isalpha() and c.islower(), c.isupper()) for c in value}) > 1
-    best = [0.0] + [math.inf] * n
-    dates = {}
-    for i in range(n):
-        for m in (_DATE.match(value, i), re.compile(r"(?:19|20)\d\d").match(value, i)):
-            if m:
-                dates.setdefault(i, set()).add(m.end())
+    kinds = {(c.isdigit(), c.islower(), c.isupper()) for c in value[: 4 * _SPAN]}
+    mixed = 26.0 if len(kinds) > 1 else 0.0
+    best, ending = [0.0], {}  # ends of dates, with their lengths
     run = walk = step = 1
-    runs, walks, steps = [1] * n, [1] * n, [1] * n  # lengths of what ends at each place
-    for i in range(1, n):
-        run = run + 1 if value[i] == value[i - 1] else 1
-        walk = walk + 1 if low[i] in _NEAR.get(low[i - 1], ()) else 1
-        gap = ord(value[i]) - ord(value[i - 1])
-        step = step + 1 if i > 1 and gap in (1, -1) and gap == ord(value[i - 1]) - ord(value[i - 2]) else 2 if gap in (1, -1) else 1
-        runs[i], walks[i], steps[i] = run, walk, step
     for j in range(1, n + 1):
-        c = value[j - 1]
-        best[j] = best[j - 1] + math.log10(_pool(c) + (26.0 if mixed and c.isalpha() else 0.0))
-        for length in range(3, min(j, max(_LONGEST, 3)) + 1):
-            i = j - length
-            word = low[i:j]
-            rank, leet = _RANK.get(word), 0
-            if rank is None:
-                rank, leet = _RANK.get(plain[i:j]), 1
-            if rank is not None:
-                cost = math.log10(rank + 10.0) + 0.3 * leet + (0.3 if value[i:j] != word else 0.0)
-                best[j] = min(best[j], best[i] + cost)
-        for length in range(3, min(runs[j - 1], _SPAN) + 1):
-            best[j] = min(best[j], best[j - length] + math.log10(_pool(c) * length))
-        for length in range(3, min(steps[j - 1], _SPAN) + 1):
-            best[j] = min(best[j], best[j - length] + math.log10(_pool(c) * length * 2.0))
-        for length in range(4, min(walks[j - 1], _SPAN) + 1):
-            best[j] = min(best[j], best[j - length] + math.log10(47.0 * 2.5 * length))
-        for length in range(1, 9):  # a block of 2 to 8 characters said again
-            if length > 1 and j >= 2 * length and value[j - length : j] == value[j - 2 * length : j - length]:
-                best[j] = min(best[j], best[j - length] + math.log10(2.0))
-        for i in range(max(0, j - 10), j - 3):
-            if j in dates.get(i, ()):
-                best[j] = min(best[j], best[i] + (math.log10(120.0) if j - i == 4 else math.log10(120.0 * 372.0 * (1.0 if j - i == 8 else 4.0))))
+        i = j - 1
+        for pattern in (_DATE, _YEAR) if value[i].isdigit() else ():
+            if m := pattern.match(value, i):
+                ending.setdefault(m.end(), set()).add(m.end() - i)
+        if i:
+            run = run + 1 if value[i] == value[i - 1] else 1
+            walk = walk + 1 if low[i] in _NEAR.get(low[i - 1], ()) else 1
+            gap = ord(value[i]) - ord(value[i - 1])
+            step = step + 1 if i > 1 and gap in (1, -1) and gap == ord(value[i - 1]) - ord(value[i - 2]) else 2 if gap in (1, -1) else 1
+        c = value[i]
+        least = best[i] + math.log10(_pool(c) + (mixed if c.isalpha() else 0.0))
+        for length in range(SHORT_WORD, min(j, LONG_WORD) + 1):
+            word = low[j - length : j]
+            place, leet = rank.get(word), 0.0
+            if place is None:
+                place, leet = rank.get(plain[j - length : j]), 0.3
+            if place is not None:
+                least = min(least, best[j - length] + math.log10(place + 10.0) + leet + (0.3 if value[j - length : j] != word else 0.0))
+        for length in range(3, min(run, _SPAN) + 1):
+            least = min(least, best[j - length] + math.log10(_pool(c) * length))
+        for length in range(3, min(step, _SPAN) + 1):
+            least = min(least, best[j - length] + math.log10(_pool(c) * length * 2.0))
+        for length in range(4, min(walk, _SPAN) + 1):
+            least = min(least, best[j - length] + math.log10(47.0 * 2.5 * length))
+        for length in range(2, min(_BLOCK, j // 2) + 1):  # a block said again
+            if value[j - length : j] == value[j - 2 * length : j - length]:
+                least = min(least, best[j - length] + math.log10(2.0))
+        for length in ending.pop(j, ()):
+            least = min(least, best[j - length] + _date_cost(length))
+        best.append(least)
+        if j >= _SPAN and j % _SPAN == 0 and min(best[-_SPAN:]) >= enough:
+            return enough
     return best[n]
 
 
+def corpus_words(docs: DataFrame, most_words: int = 50_000) -> list[str]:
+    """The ``most_words`` words (3 to 20 letters a-z) that most documents hold, most frequent first.
+
+    All texts are counted, without the values that stand in credential context.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_CONTEXT.sub(" ", t) if t and _may_hold(t.lower()) else t for t in batch.column(0).to_pylist()]
+            lists = pc.split_pattern_regex(pc.ascii_lower(pa.array(texts, pa.large_string()).fill_null("")), r"[\x20\x09-\x0D]+")
+            words = pc.utf8_trim(lists.flatten(), ".,;:!?()[]\"'").dictionary_encode()
+            owner, index = pc.list_parent_indices(lists).to_numpy(), words.indices.to_numpy()
+            counts = np.bincount(np.unique(owner * np.int64(len(words.dictionary)) + index) % max(1, len(words.dictionary)), minlength=len(words.dictionary))
+            fit = pc.match_substring_regex(words.dictionary, f"^[a-z]{{{SHORT_WORD},{LONG_WORD}}}$")
+            yield pa.RecordBatch.from_arrays([words.dictionary.filter(fit).cast(pa.string()), pa.array(counts).filter(fit)], names=["word", "n"])
+
+    found = common.arrow_map(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r["word"] for r in found.orderBy(F.desc("n"), "word").limit(most_words).collect()]
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the base patterns, sorted."""
     low = text.lower()
@@ -122,16 +167,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def guess_spans(text: str, least_cost: float = LEAST_COST) -> list[tuple[int, int, int]]:
+def _may_hold(low: str) -> bool:
+    return any(w in low for w in _CONTEXT_WORDS)
+
+
+def _costly(value: str, sign: str, rank: dict[str, int], least_cost: float) -> bool:
+    """Whether a value in credential context is a secret.  Plain words are none after ``is``, nor is a sentence."""
+    if sign.lower() == "is" and not _TELLING.search(value):
+        return False
+    parts = value.split()
+    if len(parts) > 1:
+        least_cost *= 2
+        if len(parts) >= PROSE_WORDS and all(p.strip(".,;:!?()'-").isalpha() for p in parts):
+            return False
+    return guess_cost(value, rank, least_cost) >= least_cost
+
+
+def guess_spans(text: str, least_cost: float = LEAST_COST, rank: dict[str, int] = _RANK) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of values in credential context that are costly to guess."""
-    low = text.lower()
-    if not any(w in low for w in _CONTEXT_WORDS):
+    if not _may_hold(text.lower()):
         return []
     out = []
     for m in _CONTEXT.finditer(text):
-        g = next(i for i in (1, 2, 3) if m[i] is not None)
-        value = m[g].rstrip(".,;:)]}>\"'") if g == 3 else m[g]
-        if len(value) >= 4 and " " not in value.strip() and guess_cost(value) >= least_cost or " " in value.strip() and guess_cost(value) >= 2 * least_cost:
+        g = next(name for name in ("double", "single", "bare") if m[name] is not None)
+        value = m[g].rstrip(".,;:)]}>\"'") if g == "bare" else m[g]
+        if len(value) >= 4 and _costly(value, m["sign"], rank, least_cost):
             out.append((m.start(g), 3, m.start(g) + len(value)))
     return sorted(out)
 
@@ -140,8 +200,9 @@ def _join(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan(docs: DataFrame, least_cost: float = LEAST_COST) -> DataFrame:
+def scan(docs: DataFrame, least_cost: float = LEAST_COST, most_words: int = 50_000) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans for every document."""
+    held = docs.sparkSession.sparkContext.broadcast(ranks(corpus_words(docs, most_words)))  # bounded by most_words
     source = docs.select("doc_id", F.col("text").alias("__text"))
     schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
 
@@ -151,7 +212,7 @@ def scan(docs: DataFrame, least_cost: float = LEAST_COST) -> DataFrame:
             digests, joined = [], []
             for text in batch.column(1).to_pylist():
                 base = base_spans(text or "")
-                more = [s for s in guess_spans(text or "", least_cost) if not any(b[0] <= s[0] and s[2] <= b[2] for b in base)]
+                more = [s for s in guess_spans(text or "", least_cost, held.value) if not any(b[0] <= s[0] and s[2] <= b[2] for b in base)]
                 for k in range(4):
                     counts[k].append(sum(s[1] == k for s in (base if k < 3 else more)))
                 digests.append(hashlib.sha256(_join(base).encode()).hexdigest())
@@ -161,13 +222,14 @@ def scan(docs: DataFrame, least_cost: float = LEAST_COST) -> DataFrame:
     return common.arrow_map(source, run, schema)
 
 
-def redact(docs: DataFrame, least_cost: float = LEAST_COST, mark: str = "[SECRET]", size: str = "n_chars") -> DataFrame:
+def redact(docs: DataFrame, least_cost: float = LEAST_COST, mark: str = "[SECRET]", size: str = "n_chars", most_words: int = 50_000) -> DataFrame:
     """All rows and columns, each span of a secret replaced by ``mark``; column ``size``, if there, is put right in changed rows."""
     place = docs.columns.index("text")
     count = docs.columns.index(size) if size in docs.columns else None
+    held = docs.sparkSession.sparkContext.broadcast(ranks(corpus_words(docs, most_words)))
 
     def clean(text: str | None) -> str | None:
-        spans = sorted(base_spans(text) + guess_spans(text, least_cost)) if text else []
+        spans = sorted(base_spans(text) + guess_spans(text, least_cost, held.value)) if text else []
         if not spans:
             return text
         parts, at = [], 0

@@ -277,6 +277,68 @@ def test_guess_cost():
     assert max(map(secretscan.guess_cost, weak)) < 8 < min(map(secretscan.guess_cost, strong))
 
 
+def every_segmentation(value, rank):
+    """The least guess cost over all ways to cut ``value``, each piece priced by itself."""
+    pool = lambda c: 10 if c.isdigit() else 26 if c.isalpha() else 33
+    mixed = 26 if len({"d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "s" for c in value}) > 1 else 0
+    rows = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
+    at = {c: (y, x) for y, row in enumerate(rows) for x, c in enumerate(row)}
+    near = lambda a, b: a != b and a in at and b in at and max(abs(at[a][0] - at[b][0]), abs(at[a][1] - at[b][1])) == 1
+
+    def price(i, j):
+        piece, n, c = value[i:j], j - i, value[j - 1]
+        low, options = piece.lower(), [np.inf]
+        if n == 1:
+            options.append(np.log10(pool(c) + (mixed if c.isalpha() else 0)))
+        for word, more in ((low, 0), (low.translate(str.maketrans("013457@$!", "oieastasi")), 0.3)):
+            if n >= 3 and word in rank:
+                options.append(np.log10(rank[word] + 10) + more + (0.3 if piece != low else 0))
+                break
+        if n >= 3 and len(set(piece)) == 1:
+            options.append(np.log10(pool(c) * n))
+        gaps = {ord(b) - ord(a) for a, b in itertools.pairwise(piece)}
+        if n >= 3 and gaps in ({1}, {-1}):
+            options.append(np.log10(pool(c) * n * 2))
+        if n >= 4 and all(near(a, b) for a, b in itertools.pairwise(low)):
+            options.append(np.log10(47 * 2.5 * n))
+        if 2 <= n <= 8 and i >= n and value[i - n : i] == piece:
+            options.append(np.log10(2))
+        if re.fullmatch(r"(19|20)\d\d", piece):
+            options.append(np.log10(120))
+        return min(options)
+
+    return min(sum(price(i, j) for i, j in itertools.pairwise((0, *cuts, len(value)))) for k in range(len(value)) for cuts in itertools.combinations(range(1, len(value)), k))
+
+
+def test_guess_cost_against_all_segmentations():
+    random.seed(9)
+    rank = secretscan.ranks(["understanding", "garden", "rep"])
+    parts = ["password", "garden", "g@rden", "1999", "aaaa", "abcd", "qwer", "zz9", "x", "Q", "$", "rep", "ab"]
+    for _ in range(60):
+        value = "".join(random.choice(parts) for _ in range(3))[:11]
+        assert abs(secretscan.guess_cost(value, rank) - every_segmentation(value, rank)) < 1e-9, value
+    assert secretscan.guess_cost("understanding", rank) < secretscan.LEAST_COST < secretscan.guess_cost("x8$kQ2!vLp", rank)
+    assert secretscan.guess_cost("x8$k" * 100_000, rank, 16.0) == 16.0
+
+
+def test_secrets_leave_prose(spark):
+    plain = ["the password is understanding the question", "the token is representative of the class", 'Our secret is "simple: patience and time, as every gardener knows well".', "my pwd is elephantgarden"]
+    rows = list(enumerate(plain)) + [(10, 'pwd="' + "q7#Zk " * 60 + '"'), (11, "pwd: understanding"), (12, 'the pwd is x8$kQ2!vLp'), (13, "pwd='zq9#unclosed")] + [(20 + i, "we are understanding more") for i in range(5)]
+    found = {r["doc_id"]: r["spans"] for r in secretscan.scan(frame(spark, rows)).collect()}
+    assert [found[i] for i in range(4)] == [""] * 4 and found[11] == ""
+    assert found[10] == "guess:5:365" and found[12] == "guess:11:21" and found[13] == "guess:5:17"
+
+
+def test_secrets_on_documents(spark, docs):
+    """Base spans of every document, by plain patterns."""
+    patterns = (("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6), ("access", "AKIA[A-Z0-9]+", 20), ("hex", "[0-9a-f]+", 24))
+    found = {r["doc_id"]: r for r in secretscan.scan(docs).collect()}
+    for r in docs.collect():
+        spans = [(m.start(), k, name, m.end()) for k, (name, p, least) in enumerate(patterns) for m in re.finditer(p, r["text"] or "", re.ASCII) if len(m[m.lastindex or 0]) >= least]
+        joined = ",".join(f"{name}:{a}:{b}" for a, _, name, b in sorted(spans))
+        assert found[r["doc_id"]]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+
+
 def test_mixing(spark, docs, awkward, empty):
     found = mixing.mix(docs).collect()
     assert found and sorted(map(tuple, found)) == sorted(map(tuple, mixing.mix(docs.repartition(5)).collect()))
