@@ -507,5 +507,41 @@ def test_licences_in_running_text():
     assert held.matches("Plates need a licence under the law of the state.") == []
 
 
+def test_licences_against_all_windows():
+    """Any template, also one without licence words, against every window of every text."""
+    random.seed(12)
+    templates = {"MIT-notice": licences.TEMPLATES["MIT-notice"], "odd": "alpha beta-two gamma v2.0 delta epsilon zeta, eta. theta iota", "short": "go now"}
+    held = licences.Templates(templates, licences.LEAST_DICE)
+    vocabulary = re.findall(r"\S+", " ".join(templates.values())) + ["und", "x", "-", "Go"]
+    several = 0
+    for _ in range(150):
+        parts = [random.choice(vocabulary) for _ in range(random.randrange(12))]
+        if random.random() < 0.7:
+            words = random.choice(list(templates.values())).split()
+            for _ in range(random.randrange(3)):
+                words[random.randrange(len(words))] = random.choice(vocabulary)
+            parts[3:3] = words
+        text = " ".join(parts)
+        words = licences.words_of(text)
+        want = {}
+        for name, template in templates.items():
+            values = [licences.dice(licences.bigrams(text[words[i][1] : words[j][2]]), licences.bigrams(template)) for i in range(len(words)) for j in range(i + 1, len(words))]
+            if max(values, default=0) >= licences.LEAST_DICE - 1e-12:
+                want[name] = max(values)
+        found = dict((n, v) for n, v, _, _ in held.windows(text, {0, 1, 2}))
+        assert found.keys() == want.keys() and all(abs(found[n] - want[n]) < 1e-9 for n in want)
+        named = {held.all[k][1] for k in held.candidates(licences.pa.array([text])).get(0, ())}
+        assert want.keys() <= named
+        several += len(want)
+    assert several > 40
+    with pytest.raises(ValueError):
+        licences.Templates({"one": "word"}, 0.8)
+
+
+def test_licences_cue_words_not_needed():
+    assert [n for n, *_ in licences.Templates({"Zlib": licences.TEMPLATES["Zlib"]}, 0.8).matches(licences.TEMPLATES["Zlib"])] == ["Zlib"]
+    assert licences.Templates(licences.TEMPLATES, 0.8).matches("available under CC BY 4.0 and more, licensed under cc by 4.0 now")[0][0] == "CC-BY-4.0"
+
+
 def test_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
