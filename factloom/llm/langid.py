@@ -8,7 +8,8 @@ training texts, and a text goes to the language whose prototype has the largest
 Defined results: a null text, or one without a letter, is ``und`` with score 0; a null
 ``lang`` isn't learned from; ties of cosines go to the smaller language name; an empty
 table, or one with nothing to learn from, gives ``und`` rows; repeated rows are judged
-alike; extra columns are kept by :func:`accepted` and ignored otherwise.
+alike; extra columns are kept by :func:`accepted` and ignored otherwise.  A text takes some 80
+bytes of memory for each character, whatever its alphabet.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ UNDETERMINED = "und"
 _SPACE = 32
 _CHUNK_CHARS = 400_000
 _CELLS = 3_000_000
+_GRAMS = 16_384  # distinct trigrams whose vectors are held at once
 _LETTERS: list[np.ndarray] = []
 #: From this number of letters on, letter junk of a known script reaches higher cosines and clean text lies higher still.
 _LONG_LETTERS = 100
@@ -43,6 +45,8 @@ class Encoder:
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.cache:
+            if len(self.cache) > 60_000:
+                self.cache.clear()
             self.cache[code] = np.random.default_rng((self.seed, code)).integers(0, 2, self.dimensions, dtype=np.int8) * 2 - 1
         return self.cache[code]
 
@@ -72,13 +76,17 @@ class Encoder:
             grams, index = np.unique(keys, return_inverse=True)
         vectors = np.stack([self.letter(int(x)) for x in alphabet])
         once, twice = np.roll(vectors, 1, axis=1), np.roll(vectors, 2, axis=1)
-        bound = (twice[grams // (size * size)] * once[grams // size % size] * vectors[grams % size]).astype(np.float32)
-        step = max(1, _CELLS // max(1, len(grams)))
-        for k in range(0, len(texts), step):
-            lo, hi = np.searchsorted(owner, [k, k + step])
-            rows = min(step, len(texts) - k)
-            counts = np.bincount((owner[lo:hi] - k) * len(grams) + index[lo:hi], minlength=rows * len(grams))
-            out[k : k + rows] = counts.reshape(rows, len(grams)).astype(np.float32) @ bound
+        for g in range(0, len(grams), _GRAMS):  # the vectors of some distinct trigrams at a time
+            some = grams[g : g + _GRAMS]
+            bound = (twice[some // (size * size)] * once[some // size % size] * vectors[some % size]).astype(np.float32)
+            mine = slice(None) if len(grams) <= _GRAMS else np.flatnonzero((index >= g) & (index < g + len(some)))
+            at, place = owner[mine], index[mine] - g
+            step = max(1, _CELLS // len(some))
+            for k in range(0, len(texts), step):
+                lo, hi = np.searchsorted(at, [k, k + step])
+                rows = min(step, len(texts) - k)
+                counts = np.bincount((at[lo:hi] - k) * len(some) + place[lo:hi], minlength=rows * len(some))
+                out[k : k + rows] += counts.reshape(rows, len(some)).astype(np.float32) @ bound
         return out, lettered
 
 
@@ -142,20 +150,23 @@ class Profiles:
         return names, np.clip(scores, 0.0, 1.0), np.clip(cosines, 0.0, 1.0)
 
 
-def fit(docs: DataFrame, training: Column, dimensions: int = 1024, most_per_language: int = 4000, most_languages: int = 500) -> Profiles:
+def fit(docs: DataFrame, training: Column, dimensions: int = 1024, most_per_language: int = 4000, most_languages: int = 5000) -> Profiles:
     """Prototypes from the rows where ``training`` holds.
 
     Learns from about ``most_per_language`` rows of each language, chosen by a hash of
-    text id, and from the ``most_languages`` most frequent languages.  The driver gets one count and
-    one vector for each of these.
+    text id; a table with more than ``most_languages`` languages is an error, none is left
+    out.  The driver gets one count and one vector for each of these.
     """
     encoder = Encoder(dimensions)
     known = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    if not counts:
+    counts = known.groupBy("lang").count()
+    n = counts.limit(most_languages + 1).count()
+    if n > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    if not n:
         return Profiles(encoder, [], np.zeros((0, dimensions), dtype=np.float32))
-    share = F.create_map(*[F.lit(x) for row in counts for x in (row["lang"], most_per_language / row["count"])])
-    sample = known.select("lang", "text").filter(common.id_fraction("doc_id") < share[F.col("lang")]) if "doc_id" in known.columns else known.select("lang", "text")
+    share = F.broadcast(counts.select("lang", (F.lit(float(most_per_language)) / F.col("count")).alias("__share")))  # at most ``most_languages`` rows
+    sample = known.select("doc_id", "lang", "text").join(share, "lang").filter(common.id_fraction("doc_id") < F.col("__share")).select("lang", "text")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -188,10 +199,11 @@ def predict(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = ("doc_i
     source = docs.select(*keep, F.col("text").alias("__text"))
     kept = [f for f in source.schema.fields if f.name != "__text"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double", "cosine double"])
+    held = docs.sparkSession.sparkContext.broadcast(profiles)  # one vector for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores, cosines = profiles.judge(batch.column("__text").to_pylist())
+            names, scores, cosines = held.value.judge(batch.column("__text").to_pylist())
             columns = [batch.column(f.name) for f in kept] + [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(cosines, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in kept), "lang_pred", "score", "cosine"])
 
@@ -206,6 +218,7 @@ def accepted(docs: DataFrame, profiles: Profiles, least_cosine: float = 0.11, lo
     besides, as random letters share trigrams with a language of their script.
     """
     place = docs.columns.index("text")
+    held = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def keeps(text: str | None, name: str, cosine: float) -> bool:
         if name == UNDETERMINED or cosine < least_cosine:
@@ -215,7 +228,7 @@ def accepted(docs: DataFrame, profiles: Profiles, least_cosine: float = 0.11, lo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(place).to_pylist()
-            names, _, cosines = profiles.judge(texts)
+            names, _, cosines = held.value.judge(texts)
             yield batch.filter(pa.array([keeps(*x) for x in zip(texts, names, cosines, strict=True)], pa.bool_()))
 
     return common.arrow_map(docs, run, docs.schema)
