@@ -1,13 +1,14 @@
 """Exact top-k by integer inner product with dual-tree search on cover trees.
 
-Every Arrow batch of the data is indexed in a cover tree (centres with covering radii,
-halved from level to level), the queries get one too, and both are walked together: a pair
-of nodes is pruned when
+Rows are put in order of their nearest of some pivots and of how near it is, so that what a
+task holds points the same way; every ``TREE_ROWS`` of them are indexed in a cover tree
+(centres with covering radii, halved from level to level).  The queries have a tree too, made
+once for each block of them, and both are walked together: a pair of nodes is pruned when
 
     c_q . c_r + |c_q| R_r + |c_r| R_q + R_q R_r  <  the worst k-th score in the query node.
 
 Queries go round in blocks of bounded size; a task keeps the k best rows of each query from
-batch to batch, prunes by them and returns them at its end, and the k best of all tasks'
+tree to tree, prunes by them and returns them at its end, and the k best of all tasks'
 rows are the answer.  Scores are exact: components are integers,
 and products are taken in float64 where they stay under 2**53, else in Python integers.
 
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-
-
 LEAF = 40
+TREE_ROWS = 8192
+PIVOTS = 32
 SLACK = 1 + 1e-9
 
 
@@ -70,8 +71,8 @@ def cover_tree(points: np.ndarray, rows: np.ndarray | None = None) -> Node:
 class Search:
     """k best rows for each query; ``ids`` of rows and queries decide ties and exclude a query's own row."""
 
-    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> None:
-        """``floor``: scores below these, one for each query, are not asked for."""
+    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None, tree: Node | None = None) -> None:
+        """``floor``: scores below these, one for each query, are not asked for; ``tree``: the queries' own, if it is made already."""
         self.floor = np.full(len(queries), -np.inf) if floor is None else floor
         order = np.argsort(ids, kind="stable")  # so that a smaller place means a smaller id
         self.q, self.qids, self.p, self.ids, self.k = queries, query_ids, points[order], ids[order], k
@@ -81,7 +82,7 @@ class Search:
         self.places = np.full((len(queries), k), -1, dtype=np.int64)
         self.visited = 0
         if len(queries) and len(points):
-            self.walk(cover_tree(self.q), cover_tree(self.p))
+            self.walk(tree or cover_tree(self.q), cover_tree(self.p))
 
     def bound(self, a: Node, b: Node) -> float:
         product = float(a.centre @ b.centre)
@@ -172,48 +173,93 @@ def batch_of(query_ids, ids, scores) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (query_ids, ids, scores)], names=["query_id", "vec_id", "score"])
 
 
+def _by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of rows of one length, up to TREE_ROWS at a time, in order."""
+    waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for batch in batches:
+        flat, ids = batch.column("v"), batch.column("vec_id").to_numpy()
+        lengths = np.diff(flat.offsets.to_numpy())
+        values, starts = flat.flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths) - lengths
+        for length in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == length)
+            parts = waiting.setdefault(length, [])
+            parts.append((ids[at], values[starts[at][:, None] + np.arange(length)]))
+            if sum(len(i) for i, _ in parts) >= TREE_ROWS or sum(map(len, waiting.values())) > 1000:
+                yield tuple(np.concatenate(x) for x in zip(*waiting.pop(length), strict=True))
+    for parts in waiting.values():
+        yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Rows of (vec_id, v) dealt out and sorted by their nearest pivot, by angle, and how near it is.  Some rows are the pivots."""
+    pivots: dict[int, list[np.ndarray]] = {}
+    for r in rows.orderBy(F.xxhash64(F.lit(common.SEED), "vec_id"), "vec_id").limit(PIVOTS).collect():
+        v = np.array(r["v"])
+        if norm := float(np.linalg.norm(v)):
+            pivots.setdefault(len(v), []).append(v / norm)
+    held = {length: np.stack(p) for length, p in pivots.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column("v")
+            lengths = np.diff(flat.offsets.to_numpy())
+            values, starts = flat.flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths) - lengths
+            cell, near = np.full(batch.num_rows, -1, dtype=np.int32), np.zeros(batch.num_rows)
+            for length, p in held.items():
+                at = np.flatnonzero(lengths == length)
+                if len(at):
+                    found = values[starts[at][:, None] + np.arange(length)] @ p.T
+                    cell[at], near[at] = found.argmax(axis=1), found.max(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), flat, pa.array(cell), pa.array(near)], names=["vec_id", "v", "cell", "near"])
+
+    placed = common.arrow_map(rows.select("vec_id", "v"), run, "vec_id long, v array<double>, cell int, near double")
+    order = ("cell", F.desc("near"), "vec_id")
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select("vec_id", "v")
+
+
+def _query_block(mine: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, Node]]:
+    """ids, vectors and tree of the queries of each length."""
+    out: dict[int, tuple[np.ndarray, np.ndarray, Node]] = {}
+    lengths = mine["v"].map(len) if len(mine) else pd.Series(dtype=int)
+    for length in sorted(set(lengths)):
+        some = mine[lengths == length].sort_values("vec_id")
+        vectors = np.stack(some["v"].to_list()).astype(np.float64)
+        out[int(length)] = (some["vec_id"].to_numpy(np.int64), vectors, cover_tree(vectors))
+    return out
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0, block: int = 16384) -> DataFrame:
     """query_id, rank, vec_id, score.  ``block`` queries are held by a task at a time."""
     spark = vectors.sparkSession
     scratch = common.Scratch(spark)
-    rows = scratch.save(integers(vectors, scale))
-    queries = rows.filter(is_query)
+    plain = scratch.save(integers(vectors, scale))
+    rows = scratch.save(in_order(plain))
+    queries = plain.filter(is_query)
     n = queries.count()
     blocks = max(1, -(-n // (block // 2)))  # by hash, so at most about half full
-    parts = []
+    found = None
     for i in range(blocks):
         mine = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).select("vec_id", "v").toPandas() if n else pd.DataFrame({"vec_id": [], "v": []})
-        by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        lengths = mine["v"].map(len) if len(mine) else pd.Series(dtype=int)
-        for length in sorted(set(lengths)):
-            some = mine[lengths == length].sort_values("vec_id")
-            by_length[int(length)] = (some["vec_id"].to_numpy(np.int64), np.stack(some["v"].to_list()).astype(np.float64))
-        held = spark.sparkContext.broadcast(by_length)
+        held = spark.sparkContext.broadcast(_query_block(mine))  # bounded by ``block``
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            best = {length: Best(len(qids), k) for length, (qids, _) in held.value.items()}
-            for batch in batches:
-                flat, ids = batch.column("v"), batch.column("vec_id").to_numpy()
-                lengths = np.diff(flat.offsets.to_numpy())
-                values, starts = flat.flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths) - lengths
-                for length, (qids, q) in held.value.items():
-                    at = np.flatnonzero(lengths == length)
-                    if not len(at):
-                        continue
-                    points = values[starts[at][:, None] + np.arange(length)]
-                    most = float(np.abs(q).max()) * float(np.abs(points).max(initial=0)) * length
-                    if most < 2.0**53:
-                        seen = best[length]
-                        seen.add(*Search(q, qids, points, ids[at], k, seen.scores[:, -1]).places_found())
-                    else:
-                        yield batch_of(*_wide(q, qids, points, ids[at], k))
+            best = {length: Best(len(qids), k) for length, (qids, _, _) in held.value.items()}
+            for ids, points in _by_length(batches):
+                qids, q, tree = held.value.get(points.shape[1], (None, None, None))
+                if q is None:
+                    continue
+                most = float(np.abs(q).max()) * float(np.abs(points).max(initial=0)) * points.shape[1]
+                if most < 2.0**53:
+                    seen = best[points.shape[1]]
+                    seen.add(*Search(q, qids, points, ids, k, seen.scores[:, -1], tree).places_found())
+                else:
+                    yield batch_of(*_wide(q, qids, points, ids, k))
             for length, seen in best.items():
-                places, found, scores = seen.rows()
-                yield batch_of(held.value[length][0][places], found, scores)
+                places, others, scores = seen.rows()
+                yield batch_of(held.value[length][0][places], others, scores)
 
-        parts.append(common.arrow_map(rows, search, "query_id long, vec_id long, score long"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+        part = scratch.save(common.arrow_map(rows, search, "query_id long, vec_id long, score long"))
+        held.destroy()
+        found = part if found is None else found.unionByName(part)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
