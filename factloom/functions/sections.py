@@ -46,6 +46,7 @@ CATEGORIES = [
     ("limitations_future", r"(?i)^(?:limitations?|threats?\s+to\s+validity|future\s+(?:work|directions?))(?:\b|$)"),
     ("results", r"(?i)^(?:(?:additional|supplementary)\s+)?(?:results?|findings?|experiments?|evaluation|ablations?|error\s+analysis|discussion|conclusions?)(?:\b|$)"),
 ]
+#: Categories of the classes above, cues, prefixes.
 SHARED = {
     "abstract": "context",
     "introduction": "context",
@@ -66,10 +67,16 @@ HEADING_PREFIX = r"(?i)^(?:\d+(?:\.\d+)*\.?\s*|[A-Z](?:\.\d+)*(?:[.)])?\s+)"
 APPENDIX_HEADING = r"(?i)^(?:appendix|supplementary\s+material)\b"
 
 
-def heading_class(heading: Column) -> Column:
-    """struct(name, priority) of one heading."""
+#: Classes that only a heading has; the lines of a text are not searched for them.
+HEADING_ONLY = ("references", "appendix")
+
+
+def heading_class(heading: Column, in_text: bool = False) -> Column:
+    """struct(name, priority) of one heading, or of one line of a text."""
     out = None
     for name, priority, pattern in SECTIONS:
+        if in_text and name in HEADING_ONLY:
+            continue
         value = F.struct(F.lit(name).alias("name"), F.lit(priority).alias("priority"))
         out = F.when(heading.rlike(_N + pattern), value) if out is None else out.when(heading.rlike(_N + pattern), value)
     return out.otherwise(F.struct(F.lit("other").alias("name"), F.lit(OTHER_PRIORITY).alias("priority")))
@@ -77,20 +84,21 @@ def heading_class(heading: Column) -> Column:
 
 def path(section: Column) -> Column:
     """The headings of a path ``A > B``, without blank ones."""
-    return F.filter(F.transform(F.split(section, " > "), F.btrim), lambda x: x != "")
+    return F.filter(F.transform(F.split(section, " > "), lambda x: F.btrim(x)), lambda x: x != "")
 
 
 def last_heading(section: Column) -> Column:
-    return F.element_at(path(section), -1)
+    """The deepest heading of a path, without bold marks."""
+    return F.btrim(F.replace(F.element_at(F.split(section, " > "), -1), F.lit("**"), F.lit("")))
 
 
 def short_lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), F.btrim), lambda x: F.length(x) < 80)
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x)), lambda x: F.length(x) < 80)
 
 
 def text_class(text: Column) -> Column:
     """The class of the first short line that has one."""
-    classes = F.filter(F.transform(short_lines(text), heading_class), lambda c: c["name"] != "other")
+    classes = F.filter(F.transform(short_lines(text), lambda x: heading_class(x, True)), lambda c: c["name"] != "other")
     return F.coalesce(F.get(classes, F.lit(0)), heading_class(F.lit("")))
 
 
@@ -150,3 +158,52 @@ def merge_numbered(aspect: Column) -> Column:
 
 def has_heading(section: Column, name: str) -> Column:
     return F.exists(path(F.coalesce(section, F.lit(""))), lambda h: F.lower(F.regexp_replace(h, HEADING_PREFIX, "")) == name)
+
+
+def is_abstract(section: Column) -> Column:
+    """Whether any heading of the path is an abstract's."""
+    return F.exists(bare_headings(section), lambda h: h.rlike(r"(?i)^abstract(?:\b|$)"))
+
+
+def is_appendix(section: Column) -> Column:
+    """Whether any heading of the path opens an appendix."""
+    return F.exists(bare_headings(section), lambda h: h.rlike(APPENDIX_HEADING))
+
+
+def bare_headings(section: Column) -> Column:
+    """The path's headings without bold marks and numbers."""
+    return F.transform(F.split(F.coalesce(section, F.lit("")), " > "), lambda h: F.btrim(F.regexp_replace(F.btrim(F.replace(h, F.lit("**"), F.lit(""))), HEADING_PREFIX, "")))
+
+
+def appendix_kept(section: Column, text: Column, title: Column | None = None) -> Column:
+    """Whether a chunk stays: appendix chunks do only if they have an evidence category."""
+    return ~is_appendix(section) | (category(section, text, title) != "other")
+
+
+#: How journals begin a title.
+TITLE_PREFIXES = ["article ", "research article ", "journal article ", "full length article ", "original article ", "review article "]
+
+
+def _is_metadata(heading: Column) -> Column:
+    """An author or copyright line that passes for a heading."""
+    marks = F.regexp_count(heading, F.lit(r"<sup>\d+(?:,\d+)*</sup>"))
+    return (marks >= 2) | ((marks >= 1) & heading.rlike("[\u00b7,]")) | heading.rlike("(?i)\u00a9\\s+the\\s+author")
+
+
+def top_section(section: Column, title: Column | None = None) -> Column:
+    """The first heading of a path that is neither a metadata line nor the paper's title; null if there is none.
+
+    The first heading counts as the title if the title begins with it, or if others follow;
+    one with a number never does.
+    """
+    parts = F.filter(F.transform(F.split(section, " > "), lambda p: F.btrim(F.replace(p, F.lit("**"), F.lit("")))), lambda p: p != "")
+    parts = F.when(_is_metadata(F.get(parts, F.lit(0))), F.slice(parts, 2, 1000)).otherwise(parts)
+    first = F.get(parts, F.lit(0))
+    key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    plain = first
+    for prefix in reversed(TITLE_PREFIXES):
+        plain = F.when(F.lower(first).startswith(prefix), F.substring(first, F.lit(len(prefix) + 1), F.length(first))).otherwise(plain)
+    titled = F.size(parts) > 1
+    if title is not None:
+        titled = titled | F.coalesce((key(plain) != "") & F.startswith(key(title), key(plain)), F.lit(False))
+    return F.when(F.coalesce(section, F.lit("")) != "", F.get(F.when(titled & ~first.rlike("^[0-9]"), F.slice(parts, 2, 1000)).otherwise(parts), F.lit(0)))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 #: Fixed values.
 STOP_WORDS = ["a", "an", "and", "for", "in", "of", "on", "the", "to", "with"]
-PLACEHOLDER = "Abstract not available."
+PLACEHOLDER = "Abstract not available for this paper."
 #: What Python's str.split() takes as white space.
 SPACES = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u0085\u001c-\u001f]+"
 
@@ -48,10 +48,10 @@ def norm_nfkc(text: Column) -> Column:
 
 
 def norm_doi(value: Column) -> Column:
-    """Lower case without resolver or ``doi:`` prefix; null when nothing is left."""
+    """Lower case without resolver and ``doi:`` prefixes; null when nothing is left."""
     out = F.lower(F.btrim(value))
-    for prefix in ("^https?://(?:dx\\.)?doi\\.org/", "^doi:"):
-        out = F.btrim(F.regexp_replace(out, prefix, ""))
+    for prefix in ("^https://doi\\.org/", "^http://doi\\.org/", "^doi:"):
+        out = F.regexp_replace(out, prefix, "")
     return F.nullif(out, F.lit(""))
 
 
@@ -83,15 +83,50 @@ def norm_doc_id(value: Column) -> Column:
 
 
 def safe_filename(value: Column, default: str = "paper") -> Column:
-    """The last segment, other characters than ``A-Za-z0-9._-`` as ``_``, no ``.`` or ``_`` at the ends."""
-    last = F.element_at(F.split(value, "/"), -1)
-    clean = F.regexp_replace(F.regexp_replace(last, "[^A-Za-z0-9._-]", "_"), "^[._]+|[._]+$", "")
-    return F.coalesce(F.nullif(clean, F.lit("")), F.lit(default))
+    """``name.pdf`` of a paper's id: a DOI link's or URL's last segment, other characters than ``A-Za-z0-9._-`` as ``_``, no ``.`` or ``_`` at the ends."""
+    last = lambda x: F.element_at(F.split(x, "/"), -1)
+    part = F.when(F.contains(value, F.lit("doi.org")), last(value)).when(value.startswith("http"), last(F.regexp_replace(value, "/+$", ""))).otherwise(value)
+    clean = F.regexp_replace(F.regexp_replace(part, "[^A-Za-z0-9._-]", "_"), "^[._]+|[._]+$", "")
+    return F.concat(F.coalesce(F.nullif(clean, F.lit("")), F.lit(default)), F.lit(".pdf"))
+
+
+def key_env_name(suffix: Column, base: str = "GEMINI_API_KEY") -> Column:
+    """The environment variable of a key: ``base``, with ``_n`` for others than the first."""
+    return F.when(suffix == 1, F.lit(base)).otherwise(F.concat(F.lit(f"{base}_"), suffix.cast("string")))
+
+
+def default_paper_id(path: Column) -> Column:
+    """The last part of a path, whichever slash it has."""
+    return F.regexp_extract(path, r"([^/\\]*)$", 1)
+
+
+def sanitized_error(error: Column) -> Column:
+    """The class of an error (``pkg.Class: what it said``) and nothing of what it said."""
+    return F.concat(F.regexp_extract(error, r"^(?:[A-Za-z0-9_]+\.)*([A-Za-z0-9_]+)", 1), F.lit(": processing failed (details omitted)"))
+
+
+def version_label(match: Column, revision: Column, version: Column) -> Column:
+    """What a reader is told about the version of a full text; fixed values."""
+    other = F.coalesce(F.nullif(revision, F.lit("")), F.nullif(version, F.lit("")), F.lit("unknown"))
+    return F.when(match == "exact", "\u6307\u5b9a\u7248\u672c\u5df2\u78ba\u8a8d").when(match == "alternative", F.concat(F.lit("\u4f7f\u7528\u66ff\u4ee3\u7248\u672c\uff1a"), other)).otherwise("\u7248\u672c\u672a\u78ba\u8a8d")
+
+
+def venue_verification(venues: Column) -> Column:
+    return F.when(F.size(F.coalesce(venues, F.array())) > 0, "provider_reported").otherwise("unconfirmed")
+
+
+def json_contract(raw: Column, schema: str, fine) -> Column:
+    """``syntax`` for what isn't JSON, ``schema`` where ``fine`` (of the object parsed by ``schema``) doesn't hold, else ``ok``."""
+    bare = strip_fence(raw)
+    return F.when(F.try_parse_json(bare).isNull(), "syntax").when(F.coalesce(fine(F.from_json(bare, schema)), F.lit(False)), "ok").otherwise("schema")
 
 
 def strip_fence(text: Column) -> Column:
-    """Without code fences, and nothing after the last closing brace."""
-    bare = F.btrim(F.regexp_replace(F.regexp_replace(F.btrim(text), "^```[A-Za-z]*\\s*", ""), "\\s*```$", ""))
+    """Without the lines of a code fence that opens and closes it, and nothing after the last closing brace."""
+    bare = F.btrim(text, F.lit(" \t\n\r\f\u000b"))
+    fenced = bare.startswith("```") & bare.endswith("```")
+    inner = F.btrim(F.array_join(F.slice(F.split(bare, "\r?\n"), F.lit(2), F.greatest(F.size(F.split(bare, "\r?\n")) - 2, F.lit(0))), "\n"), F.lit(" \t\n\r\f\u000b"))
+    bare = F.when(fenced, inner).otherwise(bare)
     last = F.length(bare) - F.instr(F.reverse(bare), "}") + 1
     return F.when(F.instr(bare, "}") > 0, F.substring(bare, F.lit(1), last)).otherwise(bare)
 
@@ -105,10 +140,11 @@ def usable_abstract(text: Column, least: int = 20) -> Column:
 
 
 def limitation_cue(text: Column) -> Column:
+    """Words that state a limitation; a fixed pattern."""
     return text.rlike(r"(?i)(?:limitation|future\s+work|fails?\s+to|does\s+not|remains\s+(?:un)?(?:explor|solv|address)|lack\s+of)")
 
 
 def is_table(text: Column) -> Column:
     """Two or more lines that aren't blank, all of which begin with a pipe."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.btrim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x)), lambda x: x != "")
     return (F.size(lines) >= 2) & F.forall(lines, lambda x: x.startswith("|"))

@@ -6,16 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scores import round1
 
-def agg_functional(scores: DataFrame) -> DataFrame:
-    """score_tenths = (7 x max x n + 3 x sum) / n, the blend 0.7 max + 0.3 mean in tenths; n; chunk ids in order."""
-    n = F.count("*")
-    return scores.groupBy("paper_id").agg(((7 * F.max("utility") * n + 3 * F.sum("utility")) / n).alias("score_tenths"), n.alias("n_samples"), F.sort_array(F.collect_list("chunk_id")).alias("citations"))
+
+def agg_functional(scores: DataFrame, max_weight: float = 0.7) -> DataFrame:
+    """utility, the blend of largest and mean score to one place; score_tenths, (7 x max x n + 3 x sum) / n; n; chunk ids in order."""
+    n, most, total = F.count("*"), F.max("utility"), F.sum("utility")
+    blend = F.lit(max_weight) * most.cast("double") + F.lit(1 - max_weight) * (total / n)
+    out = scores.groupBy("paper_id").agg(blend.alias("__blend"), ((7 * most * n + 3 * total) / n).alias("score_tenths"), n.alias("n_samples"), F.sort_array(F.collect_list("chunk_id")).alias("citations"))
+    return out.select("paper_id", round1(F.col("__blend")).alias("utility"), "score_tenths", "n_samples", "citations")
 
 
 def agg_shrunk(scores: DataFrame, column: str, prior: float = 5.5, weight: float = 1.0) -> DataFrame:
-    """(sum + weight x prior) / (n + weight) for each paper."""
-    return scores.groupBy("paper_id").agg(((F.sum(column) + weight * prior) / (F.count("*") + weight)).alias("shrunk"))
+    """(n x mean + weight x prior) / (n + weight) for each paper, to one place."""
+    n = F.count("*").cast("double")
+    blend = (n * (F.sum(column) / n) + F.lit(weight * prior)) / (n + F.lit(weight))
+    return scores.groupBy("paper_id").agg(blend.alias("__blend")).select("paper_id", round1(F.col("__blend")).alias("shrunk"))
 
 
 def quota_threshold(scored: DataFrame, by: str, quota: Column, threshold: float) -> DataFrame:
@@ -67,9 +73,38 @@ def keep_maybe_fill(screened: DataFrame, by: str, target: int) -> DataFrame:
     return kept.filter("priority = 'keep'").unionByName(maybe).drop("__kept")
 
 
-def overall_verdict(wins: Column, losses: Column, valid: Column, least: int = 3) -> Column:
-    rate = F.try_divide(wins, wins + losses)
-    return F.when(valid < least, "insufficient").when(rate >= 0.6, "lexical_better").when(rate <= 0.4, "embedding_better").otherwise("tie")
+def overall_verdict(lexical_wins: Column, embedding_wins: Column, valid: Column, least: int = 3) -> Column:
+    """The verdict on one query by the share of decided pairs that each method wins."""
+    rate = F.try_divide(embedding_wins, embedding_wins + lexical_wins)
+    return F.when(valid < least, "insufficient").when(rate >= 0.6, "embedding better").when(rate <= 0.4, "lexical better").otherwise("comparable")
+
+
+def pair_winner(said: Column, shown_as_a: Column) -> Column:
+    """The method that a judge's ``A``, ``B`` or ``tie`` stands for, given the method that was shown as A."""
+    other = F.when(shown_as_a == "lexical", "embedding").otherwise("lexical")
+    return F.when(said == "tie", "tie").when(said == "A", shown_as_a).otherwise(other)
+
+
+def display_order(seed: int, place: Column) -> Column:
+    """Which method a valid pair shows as A: a coin for each ``place`` of a query, the same in every run."""
+    coin = F.pmod(F.xxhash64(F.lit(seed), place), F.lit(2))
+    return F.when(coin == 0, "embedding").otherwise("lexical")
+
+
+def pair_verdicts(judged: DataFrame, by: str) -> DataFrame:
+    """Counts of pairs by kind and winner, the share that embedding wins of those decided, and the verdict, for each query."""
+    kind, winner = F.col("kind"), F.col("winner")
+    counts = {"valid_pairs": kind == "valid", "same_chunk_ties": kind == "same_chunk", "unpaired": kind == "unpaired"}
+    counts |= {"embedding_wins": winner == "embedding", "lexical_wins": winner == "lexical", "judge_ties": winner == "tie"}
+    out = judged.groupBy(by).agg(*[F.count_if(test).alias(name) for name, test in counts.items()])
+    rate = F.try_divide("embedding_wins", F.col("embedding_wins") + F.col("lexical_wins"))
+    return out.withColumn("win_rate_embedding", rate).withColumn("verdict", overall_verdict(F.col("lexical_wins"), F.col("embedding_wins"), F.col("valid_pairs")))
+
+
+def pair_overall(verdicts: DataFrame) -> DataFrame:
+    """The method that wins more queries."""
+    out = verdicts.agg(F.count_if(F.col("verdict") == "lexical better").alias("lexical"), F.count_if(F.col("verdict") == "embedding better").alias("embedding"))
+    return out.withColumn("overall", F.when(F.col("embedding") > F.col("lexical"), "embedding better").when(F.col("lexical") > F.col("embedding"), "lexical better").otherwise("comparable overall"))
 
 
 def pair_ranked(lexical: DataFrame, embedding: DataFrame) -> DataFrame:

@@ -44,15 +44,51 @@ class FilterPolicy:
     venues: tuple[str, ...] = ()
 
 
-def venue_tokens(names: list[str] | None) -> list[str]:
-    """Normalised tokens to look for: all for None, none for "" and "none", a known name's aliases, else the name itself."""
-    clean = lambda x: "".join(c for c in x.lower() if c.isascii() and c.isalnum())
-    if names is None:
-        return sorted({clean(a) for aliases in VENUES.values() for a in aliases})
-    known = {clean(a): k for k, aliases in VENUES.items() for a in [k, *aliases]}
-    wanted = [clean(n) for n in names if clean(n) not in ("", "none")]
-    found = {clean(a) for n in wanted if n in known for a in VENUES[known[n]]}
-    return sorted(found | {n for n in wanted if n not in known} if found else set())
+def _clean(name: str) -> str:
+    return "".join(c for c in name.lower() if c.isascii() and c.isalnum())
+
+
+def venue_defaults() -> list[str]:
+    """Every conference's tokens, its own name's among them, sorted."""
+    return sorted({_clean(n) for name, aliases in VENUES.items() for n in (name, *aliases)} - {""})
+
+
+def venue_index() -> dict[str, str]:
+    """Each token's conference; a token of two conferences is an error."""
+    out: dict[str, str] = {}
+    for name, aliases in VENUES.items():
+        for token in {_clean(n) for n in (name, *aliases)} - {""}:
+            if out.setdefault(token, name) != name:
+                raise ValueError(f"{token} names both {out[token]} and {name}")
+    return out
+
+
+def venue_names(tokens: list[str]) -> list[str]:
+    """The names, as providers read them, of the conferences that ``tokens`` name, in the order of VENUES."""
+    wanted = {venue_index()[t] for t in tokens if t in venue_index()}
+    return [n for name, aliases in VENUES.items() if name in wanted for n in (name, *aliases)]
+
+
+def venue_tokens(raw: str | list[str] | None) -> list[str]:
+    """Tokens of a list, or of names with commas between: all for None, none for "" and "none", every alias of known names, then unknown names.
+
+    If no name is known there are none, so nothing is filtered.
+    """
+    if raw is None:
+        return venue_defaults()
+    raw = raw if isinstance(raw, str) else ",".join(raw)
+    if raw.strip().lower() in ("", "none"):
+        return []
+    wanted, index = [t for t in map(_clean, raw.split(",")) if t], venue_index()
+    known = [_clean(n) for t in wanted if t in index for n in (index[t], *VENUES[index[t]])]
+    return list(dict.fromkeys([*sorted(known), *(t for t in wanted if t not in index)])) if known else []
+
+
+def candidate_line(number: Column, title: Column, year: Column, citations: Column, abstract: Column) -> Column:
+    """One candidate as a prompt lists it."""
+    flat = lambda c: F.btrim(F.regexp_replace(c, text.SPACES, " "))
+    head = F.concat(F.lit("- [DOC_"), number.cast("string"), F.lit('] "'), flat(title), F.lit('" ('), F.coalesce(year.cast("string"), F.lit("n/a")))
+    return F.concat(head, F.lit(", citations: "), F.coalesce(citations.cast("string"), F.lit("N/A")), F.lit(")\n  Abstract: "), flat(abstract))
 
 
 def filter_reason(policy: FilterPolicy) -> Column:
@@ -139,3 +175,8 @@ def bucket_sample(ranked: DataFrame, by: list[str], keep_all: int = 24, budgets:
         bucket = F.when(F.col(f"in_{name}"), name).otherwise(bucket)
     out = base.withColumn("bucket", F.when(F.col("n") <= keep_all, F.lit("all")).otherwise(bucket)).filter("bucket is not null")
     return out.drop("n", "newest", "in_a", "in_b", "in_c", "rank_pct", "cite_pct")
+
+
+def mark_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """``seen``: whether an earlier row has the same ``key``."""
+    return rows.withColumn("seen", F.row_number().over(W.partitionBy(key).orderBy(order)) > 1)

@@ -1,59 +1,11 @@
-"""Provider records and PDF locations: parsing, normalising, merging, the order of attempts."""
+"""The order in which versions of a paper are tried."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import text
-
-RECORD = "paperId string, title string, year int, abstract string, citationCount int, _broken string"
-
-
-def parsed(lines: DataFrame, schema: str = RECORD) -> DataFrame:
-    """Landed JSON lines (column ``value``) as columns; a line that isn't JSON has ``_broken``."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
-    return lines.select(F.from_json("value", schema, options).alias("r")).select("r.*")
-
-
-def _usable(need_abstract: bool) -> Column:
-    """Whether a record has what a paper needs; never null."""
-    fine = F.col("_broken").isNull() & F.col("paperId").isNotNull() & (F.coalesce("title", F.lit("")) != "") & F.col("year").between(1900, 2100)
-    if need_abstract:
-        fine = fine & text.usable_abstract(F.col("abstract"))
-    return F.coalesce(fine, F.lit(False))
-
-
-def normalise(records: DataFrame, need_abstract: bool) -> DataFrame:
-    """paper_id, title, year, abstract, citation_count of usable records.
-
-    Without ``need_abstract`` a missing or short abstract gives way to a placeholder; no
-    citation count is 0.
-    """
-    kept = records.filter(_usable(need_abstract))
-    abstract = F.when(text.usable_abstract(F.col("abstract")), F.col("abstract")).otherwise(F.lit(text.PLACEHOLDER))
-    return kept.select(F.col("paperId").alias("paper_id"), "title", "year", abstract.alias("abstract"), F.coalesce("citationCount", F.lit(0)).alias("citation_count"))
-
-
-def counts(records: DataFrame, need_abstract: bool) -> DataFrame:
-    """received, normalised and skipped of one response."""
-    fine = _usable(need_abstract)
-    return records.agg(F.count("*").alias("received"), F.count_if(fine).alias("normalised"), F.count_if(~fine).alias("skipped"))
-
-
-def merge_locations(locations: DataFrame, key: str) -> DataFrame:
-    """One row for each key: its version, null with ``conflict`` where there are several, and the number of locations."""
-    several = F.count_distinct("version") > 1
-    return locations.groupBy(key).agg(F.when(~several, F.min("version")).alias("version"), several.alias("conflict"), F.count("*").alias("n"))
-
 
 def version_order(version: Column) -> Column:
     """Published before accepted before submitted before all others."""
     return F.when(version == "published", 0).when(version == "accepted", 1).when(version == "submitted", 2).otherwise(3)
-
-
-def attempts(locations: DataFrame, key: str, tie: str, budget: int) -> DataFrame:
-    """The first ``budget`` locations of each key in the order in which they are tried, with ``place``."""
-    order = W.partitionBy(key).orderBy(version_order(F.col("version")), tie)
-    return locations.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= budget)

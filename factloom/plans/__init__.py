@@ -1,3 +1,3 @@
 """Queries and their SQL."""
 
-from . import fields, queries  # noqa: F401
+from . import cases, fields, provider_queries, queries  # noqa: F401

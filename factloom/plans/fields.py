@@ -58,38 +58,6 @@ def arxiv_id(spark, sf):
     return A.papers(spark, sf).select("paper_id", found["base"].alias("base"), found["revision"].alias("revision"))
 
 
-def _paper_url() -> Column:
-    i = F.col("paper_id")
-    return _pick(i, F.concat(F.lit("https://arxiv.org/pdf/2001."), F.lpad((i % 100000).cast("string"), 5, "0"), F.lit(".pdf")), F.concat(F.lit("https://aclanthology.org/2020.acl-main."), _id(), F.lit("/")), F.concat(F.lit("https://example.org/"), _id()))
-
-
-@query("SELECT doc_id AS paper_id, CASE doc_id % 3 WHEN 0 THEN 'arxiv:2001.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') WHEN 1 THEN 'acl:2020.acl-main.' || doc_id END AS identifier FROM documents")
-def id_from_url(spark, sf):
-    return A.papers(spark, sf).select("paper_id", urls.id_from_url(_paper_url()).alias("identifier"))
-
-
-@query("SELECT doc_id AS paper_id, CASE doc_id % 3 WHEN 0 THEN 'https://arxiv.org/pdf/2001.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') WHEN 1 THEN 'https://aclanthology.org/2020.acl-main.' || doc_id || '.pdf' END AS pdf FROM documents")
-def derived_locations(spark, sf):
-    return A.papers(spark, sf).select("paper_id", urls.derived_pdf(urls.id_from_url(_paper_url())).alias("pdf"))
-
-
-@query(r"SELECT page_id, regexp_extract(url, '^([A-Za-z]+)://', 1) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) || regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) || '?id=' || page_id AS clean FROM pages")
-def sanitize_url(spark, sf):
-    raw = F.concat(F.regexp_extract("url", "^([^?#]*)", 1), F.lit("?token=x&id="), F.col("page_id").cast("string"), F.lit("&session=1#top"))
-    return A.read(spark, sf, "pages").select("page_id", urls.sanitize_url(raw).alias("clean"))
-
-
-@query("SELECT page_id, page_id % 4 < 2 AS http FROM pages")
-def is_http_url(spark, sf):
-    raw = _pick(F.col("page_id"), F.lit("https://a.org/x"), F.lit("http://b.org:8080/"), F.lit("ftp://a.org/x"), F.lit("https://user@a.org/x"))
-    return A.read(spark, sf, "pages").select("page_id", urls.is_http_url(raw).alias("http"))
-
-
-@query("WITH l AS (SELECT page_id, regexp_replace(regexp_replace(string_split(url, '/')[-1], '[^A-Za-z0-9._-]', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS f FROM pages) SELECT page_id, CASE WHEN f = '' THEN 'paper' ELSE f END AS file FROM l")
-def safe_filename(spark, sf):
-    return A.read(spark, sf, "pages").select("page_id", text.safe_filename(F.col("url")).alias("file"))
-
-
 # ---- texts ----
 
 
@@ -98,12 +66,6 @@ def short_query_ok(spark, sf):
     return A.papers(spark, sf).select("paper_id", text.short_query_ok(F.col("title")).alias("ok"))
 
 
-@query("""SELECT event_id, '{"a": ' || event_id || '}' AS body FROM events""")
-def strip_fence(spark, sf):
-    raw = F.concat(F.lit('```json\n{"a": '), F.col("event_id").cast("string"), F.lit("} and so on\n```"))
-    return A.read(spark, sf, "events").select("event_id", text.strip_fence(raw).alias("body"))
-
-
 @query("SELECT doc_id AS paper_id, substr(sha256(text), 1, 8) AS slot, sha256(text) AS whole FROM documents")
 def key_slot(spark, sf):
     return A.papers(spark, sf).select("paper_id", text.key_slot(F.col("abstract")).alias("slot"), text.key_slot(F.col("abstract"), 64).alias("whole"))
@@ -126,12 +88,6 @@ def duration_parse(spark, sf):
     return A.read(spark, sf, "events").select("event_id", scores.duration_seconds(raw).alias("seconds"))
 
 
-@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'daily_quota' WHEN 1 THEN 'retry_after' WHEN 2 THEN 'daily_quota' WHEN 3 THEN 'service' ELSE 'other' END AS kind FROM events")
-def classify_provider_error(spark, sf):
-    said = _pick(F.col("event_id"), F.lit("429: requests per day"), F.lit("429, retry in 3.5s"), F.lit("HTTP 429"), F.lit("model Overloaded"), F.lit("bad request"))
-    return A.read(spark, sf, "events").select("event_id", scores.provider_error(said, F.lit(None).cast("int")).alias("kind"))
-
-
 @query(f"WITH {CHUNKS} SELECT chunk_id FROM chunks WHERE regexp_matches(section || ' ' || text, '(?i)(limitation|future\\s+work|fails?\\s+to|does\\s+not|remains\\s+(un)?(explor|solv|address)|lack\\s+of)')")
 def limitation_cue(spark, sf):
     return A.chunks(spark, sf).filter(text.limitation_cue(F.concat_ws(" ", "section", "text"))).select("chunk_id")
@@ -143,38 +99,9 @@ def min_chars(spark, sf):
     return kept.select("chunk_id", F.row_number().over(W.partitionBy("paper_id").orderBy("ord")).alias("place"))
 
 
-# ---- provider records ----
-
-_S2 = "SELECT doc_id AS paper_id, split_part(text, '.', 1) AS title, CAST(CASE WHEN doc_id % 10 = 0 THEN 1800 ELSE 2015 + doc_id % 12 END AS INTEGER) AS year, CASE WHEN doc_id % 5 = 0 THEN 'short' ELSE text END AS abstract, CASE WHEN doc_id % 7 <> 0 THEN CAST((doc_id * 37) % 1500 AS INTEGER) END AS cites FROM documents"
-
-
-def _landed(spark, sf) -> DataFrame:
-    """Raw provider records as JSON lines, as a fetch would land them; some are out of range, some not JSON."""
-    p = A.papers(spark, sf)
-    year = F.when(F.col("paper_id") % 10 == 0, 1800).otherwise(F.col("year"))
-    abstract = F.when(F.col("paper_id") % 5 == 0, "short").otherwise(F.col("abstract"))
-    record = F.to_json(F.struct(_id().alias("paperId"), "title", year.alias("year"), abstract.alias("abstract"), F.col("citation_count").alias("citationCount")))
-    return p.select(F.when(F.col("paper_id") % 11 == 0, F.lit("{broken")).otherwise(record).alias("value"))
-
-
-@query(f"WITH r AS ({_S2}) SELECT CAST(paper_id AS VARCHAR) AS paper_id, year, CASE WHEN length(trim(abstract)) >= 20 THEN abstract ELSE 'Abstract not available.' END AS abstract, coalesce(cites, 0) AS citation_count FROM r WHERE paper_id % 11 <> 0 AND year BETWEEN 1900 AND 2100 AND title <> ''")
-def src_s2_norm(spark, sf):
-    return R.normalise(R.parsed(_landed(spark, sf)), need_abstract=False).select("paper_id", "year", "abstract", "citation_count")
-
-
-@query(f"WITH r AS ({_S2}) SELECT CAST(paper_id AS VARCHAR) AS paper_id, year, abstract, coalesce(cites, 0) AS citation_count FROM r WHERE paper_id % 11 <> 0 AND year BETWEEN 1900 AND 2100 AND title <> '' AND length(trim(abstract)) >= 20")
-def src_openalex_norm(spark, sf):
-    return R.normalise(R.parsed(_landed(spark, sf)), need_abstract=True).select("paper_id", "year", "abstract", "citation_count")
-
-
-@query(f"WITH r AS ({_S2}) SELECT count(*) AS received, count(*) FILTER (paper_id % 11 <> 0 AND year BETWEEN 1900 AND 2100 AND title <> '') AS normalised, count(*) FILTER (NOT coalesce(paper_id % 11 <> 0 AND year BETWEEN 1900 AND 2100 AND title <> '', false)) AS skipped FROM r")
-def src_search(spark, sf):
-    return R.counts(R.parsed(_landed(spark, sf)), need_abstract=False)
-
-
 # ---- locations ----
 
-_LOC = "loc AS (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1) AS host, CASE WHEN page_id % 3 = 0 THEN 'published' WHEN page_id % 3 = 1 THEN 'accepted' ELSE 'submitted' END AS version FROM pages WHERE page_id % 5 < 2)"
+_LOC = "loc AS (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1) AS host, CASE WHEN page_id % 3 = 0 THEN 'published' WHEN page_id % 3 = 1 THEN 'accepted' ELSE 'submitted' END AS version FROM pages)"
 
 
 def _locations(spark, sf) -> DataFrame:
@@ -182,21 +109,11 @@ def _locations(spark, sf) -> DataFrame:
     return A.read(spark, sf, "pages").select("page_id", urls.pdf_host(F.col("url")).alias("host"), version.alias("version"))
 
 
-@query(f"WITH {_LOC} SELECT host, CASE WHEN count(DISTINCT version) = 1 THEN min(version) END AS version, count(DISTINCT version) > 1 AS conflict, count(*) AS n FROM loc GROUP BY host")
-def merge_locations(spark, sf):
-    return R.merge_locations(_locations(spark, sf), "host")
-
-
 @query(f"WITH {_LOC} SELECT host, page_id, row_number() OVER (PARTITION BY host ORDER BY CASE version WHEN 'published' THEN 0 WHEN 'accepted' THEN 1 ELSE 2 END, page_id) AS place FROM loc")
 def unpaywall_order(spark, sf):
     return _locations(spark, sf).select("host", "page_id", F.row_number().over(W.partitionBy("host").orderBy(R.version_order(F.col("version")), "page_id")).alias("place"))
 
 
-@query(f"WITH {_LOC}, o AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY CASE version WHEN 'published' THEN 0 WHEN 'accepted' THEN 1 ELSE 2 END, page_id) AS place FROM loc) SELECT host, page_id, place FROM o WHERE place <= 3")
-def recover_pdf(spark, sf):
-    return R.attempts(_locations(spark, sf), "host", "page_id", 3).select("host", "page_id", "place")
-
-
 # ---- small joins and choices ----
 
 
@@ -222,12 +139,6 @@ def join_paper_query(spark, sf):
     return A.papers(spark, sf).filter("title is not null").groupBy("title").agg(F.max_by("query_group", "ord").alias("query_group"), F.min("ord").alias("first_id"))
 
 
-@query(f"WITH {PAPERS}, k AS (SELECT paper_id, ord, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS key FROM papers) SELECT paper_id, row_number() OVER (PARTITION BY key ORDER BY ord) > 1 AS seen FROM k")
-def dedup_download(spark, sf):
-    keyed = A.papers(spark, sf).select("paper_id", "ord", text.norm_alnum(F.col("title")).alias("key"))
-    return keyed.select("paper_id", (F.row_number().over(W.partitionBy("key").orderBy("ord")) > 1).alias("seen"))
-
-
 @query(f"WITH {PAPERS}, k AS (SELECT query_group, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS q, min(ord) AS ord FROM papers GROUP BY 1, 2) SELECT query_group, q, row_number() OVER (PARTITION BY query_group ORDER BY ord) AS place FROM k QUALIFY place <= 5")
 def dedup_plan_queries(spark, sf):
     once = A.papers(spark, sf).groupBy("query_group", text.norm_title(F.col("title")).alias("q")).agg(F.min("ord").alias("ord"))

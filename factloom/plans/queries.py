@@ -48,6 +48,18 @@ RANKED = f"""scored AS (SELECT *, {SCORE} AS raw FROM papers),
 ranked AS (SELECT *, round(raw, 9) AS score, row_number() OVER (PARTITION BY query_group ORDER BY round(raw, 9) DESC, coalesce(citation_count, 0) DESC, year DESC, ord) AS rank FROM scored)"""
 
 
+def sql_round1(x: str) -> str:
+    """One decimal place by the exact binary value, ties to the even tenth."""
+    k, odd = f"floor(({x}) * 10)", f"(2 * floor(({x}) * 10) + 1)"
+    m = f"({odd} / 20.0::DOUBLE)"
+    beyond = f"(({m} * 16.0::DOUBLE - {odd}) + {m} * 4.0::DOUBLE)"
+    return f"(({k} + CASE WHEN ({x}) > {m} OR (({x}) = {m} AND ({beyond} > 0 OR ({beyond} = 0 AND CAST({k} AS BIGINT) % 2 = 1))) THEN 1 ELSE 0 END) / 10.0::DOUBLE)"
+
+
+_UTILITY = "0.7::DOUBLE * max(utility) + (1 - 0.7::DOUBLE) * (CAST(sum(utility) AS DOUBLE) / count(*))"
+_SHRUNK = lambda c: f"(count(*)::DOUBLE * (CAST(sum({c}) AS DOUBLE) / count(*)::DOUBLE) + 5.5::DOUBLE) / (count(*)::DOUBLE + 1.0::DOUBLE)"
+
+
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name or f.__name__] = f
@@ -295,7 +307,7 @@ def query_terms(spark, sf):
 
 
 @query(rf"WITH w AS (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS ws FROM documents) SELECT doc_id, array_to_string(ws, ' ') AS abstract FROM w")
-def abstract_rebuild(spark, sf):
+def abstract_round_trip(spark, sf):
     """An inverted index, word to positions, and the text again from it."""
     words = A.read(spark, sf, "documents").select("doc_id", F.posexplode_outer(text.words(F.col("text"))).alias("pos", "word"))
     index = words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("positions"))
@@ -306,29 +318,29 @@ def abstract_rebuild(spark, sf):
 # ---- decisions ----
 
 
-@query(f"WITH {CHUNKS} SELECT paper_id, round((7 * max(utility) * count(*) + 3 * sum(utility)) / count(*), 6) AS score_tenths, count(*) AS n_samples, array_to_string(list(chunk_id ORDER BY chunk_id), ',') AS citations FROM chunks GROUP BY paper_id")
+@query(f"WITH {CHUNKS}, b AS (SELECT paper_id, {_UTILITY} AS x, round((7 * max(utility) * count(*) + 3 * sum(utility)) / count(*), 6) AS score_tenths, count(*) AS n_samples, array_to_string(list(chunk_id ORDER BY chunk_id), ',') AS citations FROM chunks GROUP BY paper_id) SELECT paper_id, {sql_round1('x')} AS utility, score_tenths, n_samples, citations FROM b")
 def agg_functional(spark, sf):
     out = D.agg_functional(A.chunks(spark, sf))
-    return out.select("paper_id", F.round("score_tenths", 6).alias("score_tenths"), "n_samples", F.array_join("citations", ",").alias("citations"))
+    return out.select("paper_id", "utility", F.round("score_tenths", 6).alias("score_tenths"), "n_samples", F.array_join("citations", ",").alias("citations"))
 
 
-@query(f"WITH {CHUNKS} SELECT paper_id, round((sum(utility) + 5.5) / (count(*) + 1.0), 6) AS shrunk FROM chunks GROUP BY paper_id")
+@query(f"WITH {CHUNKS}, b AS (SELECT paper_id, {_SHRUNK('utility')} AS x FROM chunks GROUP BY paper_id) SELECT paper_id, {sql_round1('x')} AS shrunk FROM b")
 def agg_shrunk(spark, sf):
-    return D.agg_shrunk(A.chunks(spark, sf), "utility").withColumn("shrunk", F.round("shrunk", 6))
+    return D.agg_shrunk(A.chunks(spark, sf), "utility")
 
 
-@query(f"WITH {CHUNKS}, s AS (SELECT paper_id, paper_id % 4 AS grp, (sum(utility) + 5.5) / (count(*) + 1.0) AS rel, (sum(10 - utility) + 5.5) / (count(*) + 1.0) AS qual FROM chunks GROUP BY paper_id) SELECT paper_id, round(rel, 6) AS relevance, round(qual, 6) AS quality, rel >= 6.0 AS include FROM s")
+@query(f"WITH {CHUNKS}, s AS (SELECT paper_id, {_SHRUNK('utility')} AS rel, {_SHRUNK('10 - utility')} AS qual FROM chunks GROUP BY paper_id), r AS (SELECT paper_id, {sql_round1('rel')} AS relevance, {sql_round1('qual')} AS quality FROM s) SELECT paper_id, relevance, quality, relevance >= 6.0 AS include FROM r")
 def agg_rcs(spark, sf):
     c = A.chunks(spark, sf).withColumn("other", 10 - F.col("utility"))
-    both = D.agg_shrunk(c, "utility").withColumnRenamed("shrunk", "rel").join(D.agg_shrunk(c, "other").withColumnRenamed("shrunk", "qual"), "paper_id")
-    return both.select("paper_id", F.round("rel", 6).alias("relevance"), F.round("qual", 6).alias("quality"), (F.col("rel") >= 6.0).alias("include"))
+    both = D.agg_shrunk(c, "utility").withColumnRenamed("shrunk", "relevance").join(D.agg_shrunk(c, "other").withColumnRenamed("shrunk", "quality"), "paper_id")
+    return both.select("paper_id", "relevance", "quality", (F.col("relevance") >= 6.0).alias("include"))
 
 
-_SCORED = "g AS (SELECT paper_id, paper_id % 4 AS query_group, CAST((7 * max(utility) * count(*) + 3 * sum(utility)) AS DOUBLE) / count(*) / 10 AS score FROM chunks GROUP BY paper_id)"
+_SCORED = f"u AS (SELECT paper_id, {_UTILITY} AS x FROM chunks GROUP BY paper_id), g AS (SELECT paper_id, paper_id % 4 AS query_group, {sql_round1('x')} AS score FROM u)"
 
 
 def _functional(spark, sf) -> DataFrame:
-    return D.agg_functional(A.chunks(spark, sf)).select("paper_id", (F.col("paper_id") % 4).alias("query_group"), (F.col("score_tenths") / 10).alias("score"))
+    return D.agg_functional(A.chunks(spark, sf)).select("paper_id", (F.col("paper_id") % 4).alias("query_group"), F.col("utility").alias("score"))
 
 
 @query(f"WITH {CHUNKS}, {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_group ORDER BY score DESC, paper_id) AS rank, CASE WHEN query_group = 3 THEN 1 ELSE 2 END AS quota FROM g) SELECT paper_id, query_group, rank, rank <= quota AND score >= 6.0 AS include, concat_ws(',', CASE WHEN score < 6.0 THEN 'threshold_not_met' END, CASE WHEN rank > quota THEN 'quota_not_selected' END) AS reasons FROM r")
@@ -411,24 +423,34 @@ def join_pair_rank(spark, sf):
     return _pairs(spark, sf).select("query_id", "rank", "lexical_chunk", "embedding_chunk", "kind")
 
 
-_WINS = "w AS (SELECT query_id, count(*) FILTER (kind = 'valid') AS valid, count(*) FILTER (kind = 'valid' AND lexical_chunk % 3 = 0) AS wins, count(*) FILTER (kind = 'valid' AND lexical_chunk % 3 = 1) AS losses FROM pairs GROUP BY query_id), verdicts AS (SELECT query_id, valid, wins, losses, CASE WHEN valid < 3 THEN 'insufficient' WHEN CAST(wins AS DOUBLE) / nullif(wins + losses, 0) >= 0.6 THEN 'lexical_better' WHEN CAST(wins AS DOUBLE) / nullif(wins + losses, 0) <= 0.4 THEN 'embedding_better' ELSE 'tie' END AS verdict FROM w)"
+_WINNER = "CASE WHEN lexical_chunk % 3 = 0 THEN 'tie' WHEN (lexical_chunk % 3 = 1) = (rank % 2 = 0) THEN 'lexical' ELSE 'embedding' END"
+_WINS = f"""won AS (SELECT *, CASE WHEN kind = 'valid' THEN {_WINNER} END AS winner FROM pairs),
+w AS (SELECT query_id, count(*) FILTER (kind = 'valid') AS valid_pairs, count(*) FILTER (kind = 'same_chunk') AS same_chunk_ties, count(*) FILTER (kind = 'unpaired') AS unpaired,
+  count(*) FILTER (winner = 'embedding') AS embedding_wins, count(*) FILTER (winner = 'lexical') AS lexical_wins, count(*) FILTER (winner = 'tie') AS judge_ties FROM won GROUP BY query_id),
+rated AS (SELECT *, CAST(embedding_wins AS DOUBLE) / nullif(embedding_wins + lexical_wins, 0) AS win_rate_embedding FROM w),
+verdicts AS (SELECT *, CASE WHEN valid_pairs < 3 THEN 'insufficient' WHEN win_rate_embedding IS NULL THEN 'comparable' WHEN win_rate_embedding >= 0.6 THEN 'embedding better' WHEN win_rate_embedding <= 0.4 THEN 'lexical better' ELSE 'comparable' END AS verdict FROM rated)"""
 
 
-def _verdicts(spark, sf) -> DataFrame:
-    valid = F.col("kind") == "valid"
-    out = _pairs(spark, sf).groupBy("query_id").agg(F.count_if(valid).alias("valid"), F.count_if(valid & (F.col("lexical_chunk") % 3 == 0)).alias("wins"), F.count_if(valid & (F.col("lexical_chunk") % 3 == 1)).alias("losses"))
-    return out.withColumn("verdict", D.overall_verdict(F.col("wins"), F.col("losses"), F.col("valid")))
+def _judged(spark, sf) -> DataFrame:
+    """Pairs with the winner of valid ones; the judge says A, B or tie, and which method is A goes by rank."""
+    said = F.when(F.col("lexical_chunk") % 3 == 0, "tie").when(F.col("lexical_chunk") % 3 == 1, "A").otherwise("B")
+    shown = F.when(F.col("rank") % 2 == 0, "lexical").otherwise("embedding")
+    return _pairs(spark, sf).withColumn("winner", F.when(F.col("kind") == "valid", D.pair_winner(said, shown)))
+
+
+@query(f"WITH {_PAIRS}, {_WINS} SELECT query_id, rank, winner FROM won WHERE winner IS NOT NULL")
+def pairwise_winner(spark, sf):
+    return _judged(spark, sf).filter("winner is not null").select("query_id", "rank", "winner")
 
 
 @query(f"WITH {_PAIRS}, {_WINS} SELECT * FROM verdicts")
 def agg_pair_query(spark, sf):
-    return _verdicts(spark, sf)
+    return D.pair_verdicts(_judged(spark, sf), "query_id")
 
 
-@query(f"WITH {_PAIRS}, {_WINS} SELECT count(*) FILTER (verdict = 'lexical_better') AS lexical, count(*) FILTER (verdict = 'embedding_better') AS embedding, CASE WHEN count(*) FILTER (verdict = 'lexical_better') > count(*) FILTER (verdict = 'embedding_better') THEN 'lexical' WHEN count(*) FILTER (verdict = 'lexical_better') < count(*) FILTER (verdict = 'embedding_better') THEN 'embedding' ELSE 'tie' END AS overall FROM verdicts")
+@query(f"WITH {_PAIRS}, {_WINS}, t AS (SELECT count(*) FILTER (verdict = 'lexical better') AS lexical, count(*) FILTER (verdict = 'embedding better') AS embedding FROM verdicts) SELECT *, CASE WHEN embedding > lexical THEN 'embedding better' WHEN lexical > embedding THEN 'lexical better' ELSE 'comparable overall' END AS overall FROM t")
 def agg_pair_overall(spark, sf):
-    out = _verdicts(spark, sf).agg(F.count_if(F.col("verdict") == "lexical_better").alias("lexical"), F.count_if(F.col("verdict") == "embedding_better").alias("embedding"))
-    return out.withColumn("overall", F.when(F.col("lexical") > F.col("embedding"), "lexical").when(F.col("lexical") < F.col("embedding"), "embedding").otherwise("tie"))
+    return D.pair_overall(D.pair_verdicts(_judged(spark, sf), "query_id"))
 
 
 @query("WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click') SELECT 'shared' AS part, user_id FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'only_a', user_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'only_b', user_id FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
@@ -545,13 +567,8 @@ def agg_download_stats(spark, sf):
 
 
 @query(r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href\s*=\s*["'']([^"'']+)["'']', 1)) AS link FROM pages) SELECT page_id, link, count(*) AS n FROM l GROUP BY ALL""")
-def html_links(spark, sf):
-    return A.read(spark, sf, "pages").select("page_id", F.explode(urls.links(F.col("html"))).alias("link")).groupBy("page_id", "link").agg(F.count("*").alias("n"))
-
-
-@query(r"SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) || regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) || CASE WHEN regexp_extract(url, '\?([^#]*)', 1) <> '' THEN '?' || array_to_string(list_sort(string_split(regexp_extract(url, '\?([^#]*)', 1), '&')), '&') ELSE '' END AS canonical FROM pages")
-def canonical_url(spark, sf):
-    return A.read(spark, sf, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical"))
+def html_anchors(spark, sf):
+    return A.read(spark, sf, "pages").select("page_id", F.explode(urls.anchors(F.col("html"))).alias("link")).groupBy("page_id", "link").agg(F.count("*").alias("n"))
 
 
 @query(r"SELECT regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1) AS host, count(*) AS n, count(*) FILTER (regexp_matches(url, '^https?://')) AS http FROM pages GROUP BY 1")
@@ -563,22 +580,6 @@ def pdf_host(spark, sf):
 # ---- joins between provider and download records ----
 
 
-@query(f"WITH {PAPERS}, dl AS (SELECT paper_id, abstract FROM papers WHERE citation_count IS NULL) SELECT p.paper_id, CASE WHEN length(trim(p.title)) >= 20 THEN p.title ELSE coalesce(d.abstract, p.title) END AS abstract FROM papers p LEFT JOIN dl d ON p.paper_id = d.paper_id")
-def abstract_backfill(spark, sf):
-    papers = A.papers(spark, sf)
-    lookup = papers.filter("citation_count is null").select("paper_id", F.col("abstract").alias("found"))
-    return papers.join(lookup, "paper_id", "left").select("paper_id", F.when(text.usable_abstract(F.col("title")), F.col("title")).otherwise(F.coalesce("found", "title")).alias("abstract"))
-
-
-@query(f"WITH {PAPERS}, a AS (SELECT paper_id, query_group FROM papers WHERE lang = 'fr'), b AS (SELECT paper_id, query_group FROM papers WHERE lang <> 'fr') SELECT paper_id, query_group, 'primary' AS provider FROM a UNION ALL SELECT b.paper_id, b.query_group, 'fallback' FROM b ANTI JOIN (SELECT DISTINCT query_group FROM a WHERE query_group <> 2) x ON b.query_group = x.query_group")
-def provider_fallback(spark, sf):
-    papers = A.papers(spark, sf).select("paper_id", "query_group", "lang")
-    first = papers.filter("lang = 'fr'").drop("lang").withColumn("provider", F.lit("primary"))
-    answered = first.filter("query_group <> 2").select("query_group").distinct()
-    rest = papers.filter("lang <> 'fr'").drop("lang").join(answered, "query_group", "left_anti").withColumn("provider", F.lit("fallback"))
-    return first.unionByName(rest.select(*first.columns))
-
-
 @query(f"WITH {PAPERS}, {_SCREEN} SELECT p.paper_id, p.query_group, s.priority, s.priority IS NULL AS warning FROM papers p LEFT JOIN screened s ON p.paper_id = s.paper_id")
 def sink_make_papers(spark, sf):
     papers = A.papers(spark, sf).select("paper_id", "query_group")

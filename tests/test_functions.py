@@ -45,7 +45,7 @@ def test_text(spark):
     assert one(spark, text.norm_nfkc(t), t="ﬁne Straße-1") == "finestrasse1"
     assert one(spark, text.query_terms(t), t="The art of RAG, the art") == ["art", "rag"]
     assert one(spark, text.strip_fence(t), t="```json\n{\"a\": 1}\nmore\n```") == '{"a": 1}'
-    assert one(spark, text.safe_filename(t), t="10.1/..a b_") == "a_b"
+    assert one(spark, text.safe_filename(t), t="10.1/..a b_") == "10.1_..a_b.pdf"
     assert one(spark, text.is_table(t), t="| a |\n| b |") is True
     assert one(spark, text.limitation_cue(t), t="This remains unexplored.") is True
     assert one(spark, text.norm_doc_id(t), t=" [doc_3] ") == "DOC_3"
@@ -53,12 +53,36 @@ def test_text(spark):
 
 def test_scores(spark):
     assert [one(spark, scores.duration_seconds(F.col("t")), t=t) for t in ("12", "500ms", "3s", "2m", "x")] == [12.0, 0.5, 3.0, 120.0, None]
-    assert one(spark, scores.provider_error(F.col("t"), F.col("c")), t="retry in 3s", c=429) == "retry_after"
-    assert one(spark, scores.provider_error(F.col("t"), F.col("c")), t="5 requests per day", c=429) == "daily_quota"
-    assert one(spark, scores.provider_error(F.col("t"), F.col("c")), t="overloaded", c=500) == "service"
+    assert one(spark, scores.provider_error(F.col("t"), F.col("c")), t="retry in 3s", c=429) == ("retry_after", 3.0)
+    assert one(spark, scores.provider_error(F.col("t"), F.col("c"))["kind"], t="5 requests per day", c=429) == "daily_quota"
+    assert one(spark, scores.provider_error(F.col("t"), F.col("c"))["kind"], t="overloaded", c=500) == "service"
     assert one(spark, scores.citation_score(F.col("c")), c=5000) == 1.0
 
 
+def test_round1(spark):
+    import random
+
+    random.seed(2)
+    values = [x / 20 for x in range(200)] + [random.random() * 10 for _ in range(500)] + [0.7 * m + (1 - 0.7) * (t / n) for n in range(1, 5) for m in range(11) for t in range(m, m * n + 1)]
+    found = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").coalesce(1).select(scores.round1(F.col("x"))).collect()]
+    assert found == [round(v, 1) for v in values]
+
+
+def test_rounding_decides(spark):
+    """Nine scores of 6 shrink to 5.95, which is 6.0 and included; tied utilities go by id."""
+    rows = spark.createDataFrame([("a", f"a{i}", 6) for i in range(9)], "paper_id string, chunk_id string, utility int")
+    assert D.agg_shrunk(rows, "utility").collect()[0]["shrunk"] == 6.0
+    rows = spark.createDataFrame([("p", "1", 8), ("p", "2", 7), ("q", "3", 7)], "paper_id string, chunk_id string, utility int")
+    assert {r["paper_id"]: r["utility"] for r in D.agg_functional(rows).collect()} == {"p": round(0.7 * 8 + (1 - 0.7) * 7.5, 1), "q": 7.0}
+
+
+def test_verdicts(spark):
+    rows = [("q", k, w) for k, w in [("valid", "embedding"), ("valid", "lexical"), ("valid", "embedding"), ("valid", "tie"), ("same_chunk", None), ("unpaired", None)]] + [("r", "valid", "lexical")] + [("s", "valid", "tie")] * 3
+    found = {r["q"]: r for r in D.pair_verdicts(spark.createDataFrame(rows, "q string, kind string, winner string"), "q").collect()}
+    assert found["q"]["verdict"] == "embedding better" and found["q"]["judge_ties"] == 1 and found["r"]["verdict"] == "insufficient" and found["s"]["verdict"] == "comparable"
+    assert D.pair_overall(spark.createDataFrame([("tie",), ("lexical better",)], "verdict string")).collect()[0]["overall"] == "lexical better"
+
+
 def test_sections(spark):
     cases = [("3 Methods", "method"), ("2.1 Method", "other"), ("Limitations", "limitations"), ("References Cited", "references"), ("Appendix A", "appendix")]
     assert [one(spark, sections.heading_class(F.col("h"))["name"], h=h) for h, _ in cases] == [c for _, c in cases]

@@ -44,7 +44,7 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["merge_locations", "recover_pdf", "unpaywall_order"])
+@pytest.mark.parametrize("name", ["unpaywall_order"])
 def test_locations_take_all_pages(spark, duck, sf_dir, name):
     sql = core.ORACLE_SQL[name].replace(" WHERE page_id % 5 < 2", "")
     want = duck.execute(sql)
