@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import sections, text
 from ..shipping import ship
@@ -144,36 +146,68 @@ def section_paths(markdown: list[str], least_chars: int = 20, most_words: int =
             groups[-1][1].append(line)
     out = []
     for path, lines in groups:
-        for part in _pack("\n".join(lines), most_words):
+        for part in pack("\n".join(lines), most_words):
             if len(part.strip()) >= least_chars:
                 out.append((path, part))
     return out
 
 
-def _pack(body: str, most: int, overlap: int = 30, least: int = 4) -> list[str]:
-    """Paragraphs together up to ``most`` words; tables whole; longer ones in windows; those under ``least`` words with the next."""
+#: Where a text that lost its blank lines breaks: two spaces at a line's end.
+_BREAK = re.compile(r"[ \t]{2,}\n|\n\n")
+
+
+def is_table_block(paragraph: str) -> bool:
+    lines = [x.strip() for x in paragraph.split("\n") if x.strip()]
+    return len(lines) > 1 and all(x.startswith("|") for x in lines)
+
+
+def slide_split(words: list[str], most: int, overlap: int, least: int = 4) -> list[str]:
+    """Windows of ``most`` words, ``overlap`` shared, none after one that reaches the end; a rest under ``least`` only as the first."""
+    starts = [s for s in range(0, len(words), most - overlap) if s == 0 or s - (most - overlap) + most < len(words)]
+    return [" ".join(words[s : s + most]) for s in starts if s == 0 or len(words) - s >= least]
+
+
+def pack(body: str, most: int, overlap: int = 30, least: int = 4) -> list[str]:
+    """Paragraphs together up to ``most`` words: those under ``least`` go with what is held, tables stay whole, longer ones are cut in windows."""
+    if not 0 <= overlap < most:
+        raise ValueError("overlap must be smaller than the window")
     parts: list[str] = []
-    held, size = [], 0
-    for paragraph in (p.strip() for p in body.split("\n\n")):
-        if not paragraph:
-            continue
-        lines = [x.strip() for x in paragraph.split("\n") if x.strip()]
-        table = len(lines) > 1 and all(x.startswith("|") for x in lines)
-        n = len(paragraph.split())
-        if held and size + n > most and not (n < least and not table):
+    held: list[str] = []
+    size = 0
+    for paragraph in filter(None, map(str.strip, _BREAK.split(body))):
+        words = paragraph.split()
+        table = is_table_block(paragraph)
+        if len(words) >= least and held and size + len(words) > most:
             parts.append("\n\n".join(held))
             held, size = [], 0
-        if n > most and not table:
-            tokens, step = paragraph.split(), most - overlap
-            windows = [tokens[s : s + most] for s in range(0, n, step) if s == 0 or s - step + most < n]
-            parts += ["\n\n".join([*held, " ".join(w)]) if not i else " ".join(w) for i, w in enumerate(windows) if not i or len(w) >= least]
-            held, size = [], 0
-            continue
-        held.append(paragraph)
-        size += n
+        if len(words) > most and not table:
+            parts += slide_split(words, most, overlap)
+        else:
+            held.append(paragraph)
+            size += len(words)
     return [*parts, "\n\n".join(held)] if held else parts
 
 
+_TABLE = "| 1 | 2 |\n| 3 | 4 |"
+#: Bodies and how they are packed in parts of 8 words, 2 shared, worked out by hand; `` ## `` between parts.
+PACK_CASES = [
+    ("a b c d\n\ne f g h", "a b c d\n\ne f g h"),
+    ("a b c d e\n\nf g h i", "a b c d e ## f g h i"),
+    ("x\n\na b c d", "x\n\na b c d"),
+    ("a b c d e f g h\n\nx y", "a b c d e f g h\n\nx y"),
+    ("a b c d e f g h i j k l", "a b c d e f g h ## g h i j k l"),
+    ("a b c d e f g h i", "a b c d e f g h"),
+    (f"a b c d e f\n\n{_TABLE}\n\ng h i j", f"a b c d e f ## {_TABLE} ## g h i j"),
+    ("a b c d  \ne f g h i", "a b c d ## e f g h i"),
+    ("a b\n\nc d e f g h i j k l", "a b ## c d e f g h i j ## i j k l"),
+    ("", ""),
+]
+
+
+def packed_column(body: Column) -> Column:
+    return F.pandas_udf(lambda bodies: bodies.map(lambda x: " ## ".join(pack(x or "", 8, 2))), T.StringType())(body)
+
+
 def chunk_sections(docs: DataFrame, most_words: int = 250, key: str = "paper_id") -> DataFrame:
     """key, chunk_id, ord, section, text of Markdown documents; short groups don't use up a number."""
     ship(docs.sparkSession)
@@ -188,5 +222,94 @@ def chunk_sections(docs: DataFrame, most_words: int = 250, key: str = "paper_id"
     return source.mapInPandas(run, schema)
 
 
-def category_column(section: Column, body: Column) -> Column:
-    return sections.category(section, body)
+def prepared(chunks: DataFrame, least_words: int = 4, title: Column | None = None) -> DataFrame:
+    """Chunks that are worth reading: no references or acknowledgments, appendix chunks only of an evidence category, four words or more."""
+    section, body = F.col("section"), F.col("text")
+    return chunks.filter(~sections.is_noise(section, body) & sections.appendix_kept(section, body, title) & (text.word_count(body) >= least_words))
+
+
+def aspect(title: Column | None = None) -> Column:
+    """The group of a chunk: its top section, numbered ones by number, ``other`` without any."""
+    return sections.merge_numbered(F.coalesce(sections.top_section(F.col("section"), title), F.lit("other")))
+
+
+def grouped_by_section(chunks: DataFrame, title: Column | None = None) -> DataFrame:
+    """aspect and grp, the number of the group, from 1, by where it first stands in the paper."""
+    out = chunks.withColumn("aspect", aspect(title))
+    out = out.withColumn("__first", F.min("ord").over(W.partitionBy("paper_id", "aspect")))
+    return out.withColumn("grp", F.dense_rank().over(W.partitionBy("paper_id").orderBy("__first"))).drop("__first")
+
+
+def bounded_places(aspects: list[str], cap: int) -> list[int]:
+    """Places of up to ``cap`` chunks of a paper: the first of each aspect, then in turns one more of each, spread over what is left of it."""
+    if len(aspects) <= cap:
+        return list(range(len(aspects)))
+    left: dict[str, list[int]] = {}
+    for i, name in enumerate(aspects):
+        left.setdefault(name, []).append(i)
+    chosen, taken = [g.pop(0) for g in left.values()][:cap], dict.fromkeys(left, 0)
+    while len(chosen) < cap:
+        for name, rest in left.items():
+            if rest and len(chosen) < cap:
+                stride = max(1, len(rest) // (taken[name] + 1))
+                spread = range(0, len(rest), stride)[: taken[name] + 1]
+                chosen.append(rest.pop(spread[-1]))
+                taken[name] += 1
+    return sorted(chosen)
+
+
+def bounded(chunks: DataFrame, cap: int, title: Column | None = None) -> DataFrame:
+    """Up to ``cap`` chunks of each paper by :func:`bounded_places`; a paper's chunks are folded in one task."""
+    ship(chunks.sparkSession)
+    marked = chunks.select("paper_id", "chunk_id", "ord", aspect(title).alias("aspect"))
+
+    def run(paper: pd.DataFrame) -> pd.DataFrame:
+        paper = paper.sort_values("ord")
+        return paper.iloc[bounded_places(paper["aspect"].tolist(), cap)]
+
+    return marked.groupBy("paper_id").applyInPandas(run, marked.schema)
+
+
+def halved(body: str, budget: int, least: int = 20) -> list[str]:
+    """A text cut in halves, and these again, until each takes up to ``budget`` estimated tokens."""
+    out, todo = [], [body]
+    while todo:
+        piece = todo.pop()
+        if (len(piece) + 3) // 4 <= budget:
+            out.append(piece)
+            continue
+        middle = len(piece) // 2
+        if middle < least:
+            raise ValueError(f"a budget of {budget} tokens is too small")
+        todo += [piece[middle:], piece[:middle]]
+    return out
+
+
+def note_batches(aspects: list[str], texts: list[str], budget: int) -> list[tuple[int, int, str]]:
+    """(batch, place of the chunk, piece of text): by aspect in order of appearance, pieces in order, up to ``budget`` tokens in a batch."""
+    out: list[tuple[int, int, str]] = []
+    number = -1
+    for name in dict.fromkeys(aspects):
+        number, used = number + 1, 0
+        for i, body in enumerate(texts):
+            for piece in halved(body, budget) if aspects[i] == name else ():
+                if used and (used + len(piece) + 3) // 4 > budget:
+                    number, used = number + 1, 0
+                out.append((number, i, piece))
+                used += len(piece)
+    return out
+
+
+def batch_notes(chunks: DataFrame, budget: int = 2500, title: Column | None = None) -> DataFrame:
+    """paper_id, batch, chunk_id, piece: a paper's chunks by section in batches under a token budget; a paper is folded in one task."""
+    ship(chunks.sparkSession)
+    marked = chunks.select("paper_id", "chunk_id", "ord", "text", aspect(title).alias("aspect"))
+    schema = f"paper_id {marked.schema['paper_id'].dataType.simpleString()}, batch long, chunk_id string, piece string"
+
+    def run(paper: pd.DataFrame) -> pd.DataFrame:
+        paper = paper.sort_values("ord")
+        ids = paper["chunk_id"].tolist()
+        rows = [(paper["paper_id"].iloc[0], b, ids[i], piece) for b, i, piece in note_batches(paper["aspect"].tolist(), paper["text"].tolist(), budget)]
+        return pd.DataFrame(rows, columns=["paper_id", "batch", "chunk_id", "piece"])
+
+    return marked.groupBy("paper_id").applyInPandas(run, schema)

@@ -32,6 +32,57 @@ def quota_threshold(scored: DataFrame, by: str, quota: Column, threshold: float)
     return out.withColumn("reasons", F.array_join(reasons, ","))
 
 
+def threshold_only(scored: DataFrame, threshold: float) -> DataFrame:
+    """As :func:`quota_threshold` with all papers in one group whose size is the quota.
+
+    No task holds all papers; see :func:`globally_ranked`.
+    """
+    out = globally_ranked(scored, [-F.col("score"), F.col("paper_id")])
+    include = F.col("score") >= threshold
+    return out.withColumn("include", include).withColumn("reasons", F.when(include, "").otherwise("threshold_not_met"))
+
+
+def sampled_part(keyed: DataFrame, n: int, parts: int = 64) -> Column:
+    """Between which of up to ``parts`` bounds column ``__key`` lies; the bounds come from about 1,000 rows by hash, the same in every reading."""
+    chance = F.pmod(F.xxhash64("__key"), F.lit(1 << 20)) < F.lit(max(1, (1000 << 20) // max(1, n)))
+    sample = [r[0] for r in keyed.filter(chance).select("__key").orderBy("__key").collect()]
+    kinds = [f.dataType for f in keyed.schema["__key"].dataType.fields]
+    places = sorted({len(sample) * k // parts for k in range(1, parts)})
+    bounds = [F.struct(*[F.lit(v).cast(k) for v, k in zip(sample[i], kinds, strict=True)]) for i in places if i < len(sample)]
+    return sum((F.when(F.col("__key") > b, 1).otherwise(0) for b in bounds), F.lit(0))
+
+
+def globally_ranked(rows: DataFrame, order: list[Column], name: str = "rank", by: list[str] | None = None, part: Column | None = None) -> DataFrame:
+    """``name``: the place of each row in ``order`` over the whole table (or within ``by``), without a window over all of it.
+
+    ``order`` are ascending keys that end in a unique one, none of them null.  ``part``, a number
+    that never falls in that order, deals rows out; without one :func:`sampled_part` does.
+    Rows are numbered within a part, and the rows of the parts before are added.
+    """
+    by = by or []
+    keyed = rows.withColumn("__key", F.struct(*order))
+    dealt = keyed.withColumn("__part", sampled_part(keyed, rows.count()) if part is None else part)
+    local = dealt.withColumn("__local", F.row_number().over(W.partitionBy(*by, "__part").orderBy("__key")))
+    sizes = dealt.groupBy(*by, "__part").agg(F.count("*").alias("__size"))
+    earlier = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(earlier), F.lit(0))).drop("__size")
+    return local.join(before, [*by, "__part"]).withColumn(name, (F.col("__before") + F.col("__local")).cast("int")).drop("__key", "__part", "__local", "__before")
+
+
+def compare_retrieval(lexical: DataFrame, embedding: DataFrame, judged: DataFrame, least: float = 0.5) -> DataFrame:
+    """Of two methods' chunks (query_id, chunk_id) for each query: how many both and one alone found, mean scores, verdict.
+
+    ``judged`` has query_id, chunk_id and score; a method without a scored chunk is said to have none.
+    """
+    key = ["query_id", "chunk_id"]
+    both = lexical.withColumn("__l", F.lit(True)).join(embedding.withColumn("__e", F.lit(True)), key, "full").join(judged, key, "left")
+    in_l, in_e = F.col("__l").isNotNull(), F.col("__e").isNotNull()
+    out = both.groupBy("query_id").agg(F.count_if(in_l & in_e).alias("overlap"), F.count_if(in_l & ~in_e).alias("only_lexical"), F.count_if(~in_l & in_e).alias("only_embedding"), F.avg(F.when(in_l, F.col("score"))).alias("avg_lexical"), F.avg(F.when(in_e, F.col("score"))).alias("avg_embedding"))
+    a, b = F.col("avg_lexical"), F.col("avg_embedding")
+    verdict = F.when(a.isNull() & b.isNull(), "comparable (no scored chunks)").when(a.isNull(), "embedding better (lexical had no scored chunks)").when(b.isNull(), "lexical better (embedding had no scored chunks)")
+    return out.withColumn("verdict", verdict.when(b - a >= least, "embedding better").when(b - a <= -least, "lexical better").otherwise("comparable"))
+
+
 def first_by(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key: the first decision wins."""
     return rows.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).filter("__n = 1").drop("__n")

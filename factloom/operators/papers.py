@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from .decisions import globally_ranked
 
 #: Venues and the ways in which their names are written.
 VENUES = {
@@ -115,10 +116,12 @@ def filter_reason(policy: FilterPolicy) -> Column:
 def dedup_title(papers: DataFrame) -> DataFrame:
     """Marks each paper's ``is_winner`` among those of its normalised title, and ``pos``, where the title first stands.
 
-    Preferred are more citations, a venue, a longer abstract, a later year, the earlier place.
+    Preferred are more citations, a venue, a longer abstract (by ``abstract_length`` if that is
+    there), a later year, the earlier place.
     """
     same = W.partitionBy("title_key")
-    best = same.orderBy(F.desc(F.coalesce("citation_count", F.lit(0))), F.desc(F.col("venue").isNotNull().cast("int")), F.desc(F.length("abstract")), F.desc("year"), "ord")
+    length = F.col("abstract_length") if "abstract_length" in papers.columns else F.length("abstract")
+    best = same.orderBy(F.desc(F.coalesce("citation_count", F.lit(0))), F.desc(F.col("venue").isNotNull().cast("int")), F.desc(length), F.desc("year"), "ord")
     marked = papers.withColumn("title_key", text.norm_title(F.col("title")))
     return marked.withColumn("pos", F.min("ord").over(same)).withColumn("is_winner", F.row_number().over(best) == 1)
 
@@ -141,8 +144,9 @@ def rank_semantic(papers: DataFrame, idea: Column, sub: Column, weight: float, b
 
 
 def _ranked(papers: DataFrame, by: list[str] | None) -> DataFrame:
-    order = W.partitionBy(*(by or [])).orderBy(F.desc("score"), F.desc(F.coalesce("citation_count", F.lit(0))), F.desc("year"), "ord")
-    return papers.withColumn("rank", F.row_number().over(order))
+    """``rank`` by falling score, citations, year, then input order; a group of any size is dealt out over tasks."""
+    order = [-F.coalesce("score", F.lit(float("-inf"))), -F.coalesce("citation_count", F.lit(0)), -F.coalesce("year", F.lit(0)), F.col("ord")]
+    return globally_ranked(papers, order, by=by, part=F.floor(order[0] * 32))  # scores lie between 0 and 3, so some hundred parts
 
 
 def select_top(ranked: DataFrame, min_score: float, most: int) -> DataFrame:

@@ -1,3 +1,3 @@
 """Queries and their SQL."""
 
-from . import cases, fields, provider_queries, queries  # noqa: F401
+from . import cases, client_queries, fields, provider_queries, queries, review_queries  # noqa: F401

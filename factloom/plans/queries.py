@@ -74,7 +74,8 @@ def _ranked(spark: SparkSession, sf: str) -> DataFrame:
     """Papers with a lexical score, to 9 places so that both engines agree on ties, and its rank by group."""
     papers = A.papers(spark, sf)
     score = scores.lexical_score(TERMS, F.col("title"), F.col("abstract")) + scores.citation_score(F.col("citation_count")) + scores.recency_score(F.col("year"))
-    return P._ranked(papers.withColumn("score", F.round(score, 9)), ["query_group"])
+    scored = papers.withColumn("score", F.round(score, 9)).drop("title", "abstract")  # texts don't go along
+    return P._ranked(scored, ["query_group"])
 
 
 # ---- filters, de-duplication, ranking, selection ----
@@ -130,9 +131,10 @@ def rank_lexical(spark, sf):
 
 @query(f"WITH {PAPERS}, kept AS (SELECT * FROM papers WHERE year BETWEEN 2016 AND 2026), {_DEDUP.replace('FROM papers', 'FROM kept')}, {RANKED.replace('FROM papers', 'FROM marked WHERE is_winner')} SELECT paper_id, query_group, rank, score FROM ranked")
 def filter_and_rank(spark, sf):
-    kept = P.filter_chain(A.papers(spark, sf), P.FilterPolicy(2016, 2026))
     score = scores.lexical_score(TERMS, F.col("title"), F.col("abstract")) + scores.citation_score(F.col("citation_count")) + scores.recency_score(F.col("year"))
-    return P._ranked(kept.withColumn("score", F.round(score, 9)), ["query_group"]).select("paper_id", "query_group", "rank", "score")
+    scored = A.papers(spark, sf).withColumn("score", F.round(score, 9)).withColumn("abstract_length", F.length("abstract")).drop("abstract")
+    kept = P.filter_chain(scored, P.FilterPolicy(2016, 2026))
+    return P._ranked(kept.drop("title"), ["query_group"]).select("paper_id", "query_group", "rank", "score")
 
 
 @query(f"WITH {PAPERS}, {RANKED} SELECT paper_id, score FROM ranked WHERE score >= 1.0 ORDER BY score DESC, coalesce(citation_count, 0) DESC, year DESC, ord LIMIT 20")
@@ -199,11 +201,6 @@ def rank_semantic(spark, sf):
     return P._ranked(parts.withColumn("score", F.round("score", 9)), None).select("chunk_id", "score", "rank")
 
 
-@query("SELECT count(DISTINCT text) AS encoded, count(*) AS texts FROM documents")
-def embed_cache(spark, sf):
-    return A.read(spark, sf, "documents").agg(F.count_distinct("text").alias("encoded"), F.count("*").alias("texts"))
-
-
 # ---- chunks ----
 
 
@@ -290,11 +287,6 @@ def batch_tokens_screen(spark, sf):
     return C.batch_tokens(rows, "paper_id", ["ord"], 3000)
 
 
-@query()
-def chunk_sections(spark, sf):
-    return C.chunk_sections(A.read(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), "text"))
-
-
 @query(rf"SELECT doc_id, CAST(len(regexp_extract_all(text, '{WORD}')) AS BIGINT) AS words, (length(text) + 3) // 4 AS tokens, substr(text, 1, 240) AS quote, substr(sha256(text), 1, 8) AS slot, regexp_matches(text, '(?i)(?:limitation|future\s+work|fails?\s+to|does\s+not|remains\s+(?:un)?(?:explor|solv|address)|lack\s+of)') AS cue FROM documents")
 def text_measures(spark, sf):
     t = F.col("text")
@@ -362,11 +354,6 @@ def anti_missing(spark, sf):
     return D.missing(A.papers(spark, sf).select("paper_id"), A.screened(spark, sf), ["paper_id"])
 
 
-@query(f"WITH {PAPERS}, {_SCREEN} SELECT s.paper_id FROM screened s ANTI JOIN papers p ON p.paper_id = s.paper_id")
-def anti_unknown(spark, sf):
-    return D.unknown(A.papers(spark, sf).select("paper_id"), A.screened(spark, sf).select("paper_id"), ["paper_id"])
-
-
 @query(f"WITH {PAPERS}, {_SCREEN} SELECT p.paper_id, coalesce(s.priority, 'exclude') AS priority, CASE WHEN s.priority IS NULL THEN CAST(1.0 AS DOUBLE) END AS score FROM papers p LEFT JOIN screened s ON p.paper_id = s.paper_id")
 def anti_unscored(spark, sf):
     """Papers without a decision come out as excluded with score 1.0."""
@@ -505,22 +492,6 @@ def report_join(spark, sf):
     return rows.groupBy("conv_id").agg(F.concat(F.lit("# "), F.first("conv_id").cast("string"), F.lit("\n"), body).alias("report"))
 
 
-@query("WITH m AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '\\[(claim-[0-9]+)\\]', 1)) AS marker FROM conversations) SELECT m.conv_id, m.turn, m.marker FROM m LEFT JOIN (SELECT DISTINCT 'claim-' || turn AS marker FROM conversations) a ON m.marker = a.marker WHERE a.marker IS NULL")
-def marker_check(spark, sf):
-    """Markers in texts that name no claim."""
-    rows = A.read(spark, sf, "conversations")
-    marks = rows.select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit(r"\[(claim-[0-9]+)\]"), F.lit(1))).alias("marker"))
-    allowed = rows.select(F.concat(F.lit("claim-"), F.col("turn").cast("string")).alias("marker")).distinct()
-    return D.unknown(allowed, marks, ["marker"]).select("conv_id", "turn", "marker")
-
-
-@query("SELECT conv_id, count(*) AS claims, count(DISTINCT role) AS roles, sum(length(text)) AS chars, conv_id || ': ' || count(*) || ' claims' AS line FROM conversations GROUP BY conv_id")
-def materials(spark, sf):
-    rows = A.read(spark, sf, "conversations")
-    out = rows.groupBy("conv_id").agg(F.count("*").alias("claims"), F.count_distinct("role").alias("roles"), F.sum(F.length("text")).alias("chars"))
-    return out.withColumn("line", F.format_string("%d: %d claims", "conv_id", "claims"))
-
-
 # ---- logs ----
 
 
@@ -556,13 +527,6 @@ def agg_candidate_totals(spark, sf):
     return A.read(spark, sf, "events").agg(F.count("*").alias("events"), F.count_distinct("user_id", "event_type").alias("keys"), F.count_distinct("user_id").alias("users"))
 
 
-@query("SELECT count(*) AS requested, count(*) FILTER (event_type = 'click') AS attempted, count(*) FILTER (event_type = 'purchase') AS downloaded, round(CAST(count(*) FILTER (event_type = 'purchase') AS DOUBLE) / nullif(count(*) FILTER (event_type = 'click'), 0), 3) AS success_rate FROM events")
-def agg_download_stats(spark, sf):
-    kind = F.col("event_type")
-    out = A.read(spark, sf, "events").agg(F.count("*").alias("requested"), F.count_if(kind == "click").alias("attempted"), F.count_if(kind == "purchase").alias("downloaded"))
-    return out.withColumn("success_rate", F.round(F.try_divide("downloaded", "attempted"), 3))
-
-
 # ---- pages and URLs ----
 
 
