@@ -2,24 +2,30 @@
 
 Suffixes are kept only where content selects them: at the smallest of every 31 hashes of
 20-word runs in a row, so any passage of 50 words holds a kept place, the same in each of
-its copies.  A suffix carries 20 words as a 64-bit key and one byte for each of the 30 words
-to the right and to the left.  All suffixes are sorted by key and right context, over the
-cluster by ranges, and neighbours from different documents are compared and extended to both
-sides; those that are still without a match are compared in the order of their left context
-too.  A match of ``least_words`` (50) or more marks a span in both documents; overlapping
-spans of a document are merged, which gives the whole passage however long it is.
-
-Cost is linear in the suffixes but for sorting: a passage in very many documents is one run
-of neighbours, dealt out by ranges like any other rows, never pairs.
-
-Limits: one-byte words extend a match too far by a word in 1 of 255 cases (never too
-short); a match is missed if at every kept place other suffixes stand between the two copies
-in both orders, which takes two other passages that cross there.
+its copies.
+
+1. One pass counts each kept place's key, the hash of its 20 words, by documents.  Keys of
+   one document alone are out: a bitmap of the others, sized by their number, goes to all tasks.
+2. One pass gives each other suffix the ``least_words`` - 20 words to its right and to its
+   left, three bytes each, and deals them out by key.  In each task suffixes are sorted by key
+   and right context, then by key and left context, and each is compared with its neighbours:
+   the longest common beginnings on both sides bound what any match of it can reach, so most
+   are out.
+3. What is left is extended to both sides exactly: a match of ``least_words`` round a key is
+   one of the cuts of that length which hold the key, and equal cuts of different documents,
+   neighbours or not, mark a span in each.
+4. Spans that overlap in a document are merged, which gives the whole passage however long.
+
+A key of more than ``HOT`` suffixes isn't gathered: its cuts are counted by a groupBy that
+combines before it shuffles, and those of several documents are joined back.  No pairs are made.
+
+Words are compared by 24 bits of their hashes next to a 64-bit key: an end that differs passes
+for equal in one of 16 million cases.
 
 Defined results: words are compared with A-Z in lower case; null, empty and short texts have
 no span; repeats within one document alone don't count, rows that repeat a doc_id are one
 document; a null doc_id takes no part; an empty table gives no rows; other columns are
-ignored by :func:`find` and kept by :func:`strip`.
+ignored by :func:`find` and kept by :func:`strip`.  A text takes some 40 bytes of memory for each byte.
 """
 
 from __future__ import annotations
@@ -28,25 +34,28 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
-from .wordhash import ngram_hashes, text_buffers, word_chunks
+from .wordhash import mix64, ngram_hashes, text_buffers, word_chunks
 
-KEY_WORDS, WINDOW, SIDE = 20, 31, 30
+KEY_WORDS, WINDOW = 20, 31
 LEAST_WORDS = 50
-_ROW = "kind int, key long, doc_id long, pos int, right binary, left binary, upto int, other long, other_pos int"
-_SPAN, _AGAIN, _EDGE = 0, 1, 2
-
-
-def _fixed(rows: np.ndarray) -> pa.Array:
-    """Rows of bytes as a binary column."""
-    n, width = rows.shape
-    offsets = np.arange(0, n * width + 1, width, dtype=np.int32) if width else np.zeros(n + 1, dtype=np.int32)
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+HOT = 4096  # suffixes of a key that one task compares
+ROWS = 1 << 15  # suffixes that a task looks at together
+MOST_BITS = 1 << 30
+_BITS_A_KEY = 16
+_PART_BITS = 1 << 17
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_WIDTH = 3  # bytes of a word in a context
+_MOST_BROADCAST = 20_000
+_SUFFIX = "key long, doc_id long, pos int, context binary"
+_SPAN = "doc_id long, start int, end int, other long"
+_CUT = "cut long, doc_id long, start int"
 
 
 def minimisers(grams: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -57,166 +66,269 @@ def minimisers(grams: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(views.argmin(axis=1) + np.arange(len(views)))
 
 
-def suffixes(docs: DataFrame) -> DataFrame:
-    """key, doc_id, pos, right, left of every kept place."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("__text")).filter("doc_id is not null")
+class KeySet:
+    """A bitmap of keys: every key that was added is in it, few others are."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits, self.mask = bits, np.uint64(8 * len(bits) - 1)
+
+    def __contains__(self, _: object) -> bool:
+        raise TypeError("use holds")
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        at = keys & self.mask
+        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+
+
+def key_set(keys: DataFrame, n: int) -> KeySet:
+    """The set of column ``key``: a power of two of bits, 16 for each of ``n`` keys, no more than MOST_BITS; made part by part where the keys are."""
+    size = max(_PART_BITS, min(MOST_BITS, 1 << (_BITS_A_KEY * max(1, n) - 1).bit_length()))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy().view(np.uint64) & np.uint64(size - 1)
+            part = (at // np.uint64(_PART_BITS)).astype(np.int64)
+            names, out = np.unique(part), []
+            for name in names:
+                flags = np.zeros(_PART_BITS, dtype=np.uint8)
+                flags[(at[part == name] % np.uint64(_PART_BITS)).astype(np.int64)] = 1
+                out.append(np.packbits(flags, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_pydict({"part": pa.array(names.astype(np.int32)), "bits": pa.array(out, pa.binary())})
+
+    def either(frame: pd.DataFrame) -> pd.DataFrame:
+        bits = np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in frame["bits"]])
+        return pd.DataFrame({"part": [frame["part"].iloc[0]], "bits": [bits.tobytes()]})
+
+    held = np.zeros(size // 8, dtype=np.uint8)
+    parts = size // _PART_BITS
+    dealt = keys.select("key").repartitionByRange(F.pmod("key", F.lit(parts * _PART_BITS))) if parts > 1 else keys.select("key")
+    for r in common.arrow_map(dealt, gather, "part int, bits binary").groupBy("part").applyInPandas(either, "part int, bits binary").toLocalIterator():
+        held[r["part"] * (_PART_BITS // 8) : (r["part"] + 1) * (_PART_BITS // 8)] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return KeySet(held)
+
+
+def _kept(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, its word hashes, kept places, their keys)."""
+    for c in word_chunks(*text_buffers(column)):
+        for i in range(len(c.bounds) - 1):
+            words = c.hashes[c.bounds[i] : c.bounds[i + 1]]
+            if len(words) >= KEY_WORDS + WINDOW - 1:
+                grams = ngram_hashes(words, KEY_WORDS)
+                at = minimisers(grams)
+                yield c.first + i, words, at, grams[at]
+
+
+def _source(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("__text")).filter("doc_id is not null")
+
+
+def keys(docs: DataFrame) -> DataFrame:
+    """key and n, the number of kept places, of keys that two documents have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for c in word_chunks(*text_buffers(batch.column(1))):
-                keys, names, places, rights, lefts = [], [], [], [], []
-                for i in range(len(c.bounds) - 1):
-                    words = c.hashes[c.bounds[i] : c.bounds[i + 1]]
-                    if len(words) < KEY_WORDS + WINDOW - 1:
-                        continue
-                    grams = ngram_hashes(words, KEY_WORDS)
-                    at = minimisers(grams)
-                    small = np.zeros(len(words) + 2, dtype=np.uint8)  # a zero before the first and after the last word
-                    small[1:-1] = (words >> np.uint64(32)).astype(np.uint64) % np.uint64(255) + np.uint64(1)
-                    steps = np.arange(SIDE)
-                    keys.append(grams[at])
-                    names.append(np.full(len(at), ids[c.first + i]))
-                    places.append(at)
-                    rights.append(small[np.minimum(at[:, None] + 1 + KEY_WORDS + steps, len(words) + 1)])
-                    lefts.append(small[np.maximum(at[:, None] - steps, 0)])
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(places).astype(np.int32)), _fixed(np.concatenate(rights)), _fixed(np.concatenate(lefts))], names=["key", "doc_id", "pos", "right", "left"])
-
-    return common.arrow_map(source, run, "key long, doc_id long, pos int, right binary, left binary")
-
-
-class _Rows:
-    """Sorted suffixes as arrays."""
-
-    names = ("key", "doc_id", "pos", "right", "left")
-
-    def __init__(self, columns: list[np.ndarray]) -> None:
-        self.columns = columns
-        self.key, self.doc, self.pos, self.right, self.left = columns
-
-    @classmethod
-    def of(cls, batch: pa.RecordBatch) -> _Rows:
-        plain = [batch.column(n).to_numpy() for n in cls.names[:3]]
-        sides = [np.frombuffer(b"".join(batch.column(n).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, SIDE) for n in cls.names[3:]]
-        return cls(plain + sides)
-
-    def __len__(self) -> int:
-        return len(self.key)
-
-    def take(self, at: np.ndarray | slice) -> _Rows:
-        return _Rows([c[at] for c in self.columns])
-
-    def after(self, before: _Rows | None) -> _Rows:
-        return self if before is None else _Rows([np.concatenate([a, b]) for a, b in zip(before.columns, self.columns, strict=True)])
-
-    def batch(self, kind: int, upto: np.ndarray | None = None, other: np.ndarray | None = None, other_pos: np.ndarray | None = None, bare: bool = False) -> pa.RecordBatch:
-        n = len(self)
-        nothing = np.zeros((n, 0), dtype=np.uint8)
-        sides = [nothing, nothing] if bare else [self.right, self.left]
-        zero = np.zeros(n, dtype=np.int32)
-        columns = [pa.array(np.full(n, kind, dtype=np.int32)), pa.array(self.key), pa.array(self.doc), pa.array(self.pos.astype(np.int32)), *map(_fixed, sides)]
-        columns += [pa.array(zero if upto is None else upto.astype(np.int32)), pa.array(zero.astype(np.int64) if other is None else other), pa.array(zero if other_pos is None else other_pos.astype(np.int32))]
-        return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "doc_id", "pos", "right", "left", "upto", "other", "other_pos"])
-
-
-def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Number of first bytes that are equal and not 0."""
+            found, names = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+            for i, _, at, grams in _kept(batch.column(1)):
+                found.append(grams)
+                names.append(np.full(len(at), ids[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(names))], names=["key", "doc_id"])
+
+    counted = common.arrow_map(_source(docs), run, "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
+    return counted.filter("a <> b").select("key", "n")
+
+
+def _contexts(words: np.ndarray, at: np.ndarray, side: int) -> np.ndarray:
+    """For each place the ``side`` words after its key and then those before it, the nearest first; 0 beyond the text.  (n, 2 side) of 24 bits."""
+    small = np.zeros(len(words) + 2, dtype=np.uint32)  # a zero before the first and after the last word
+    small[1:-1] = (words >> np.uint64(20)).astype(np.uint32) % np.uint32((1 << 24) - 1) + np.uint32(1)
+    steps = np.arange(side)
+    right = small[np.minimum(at[:, None] + 1 + KEY_WORDS + steps, len(words) + 1)]
+    return np.concatenate([right, small[np.maximum(at[:, None] - steps, 0)]], axis=1)
+
+
+def _packed(contexts: np.ndarray) -> pa.Array:
+    """24-bit numbers as bytes, the highest first, so that bytes sort as the words do."""
+    n, width = len(contexts), _WIDTH * contexts.shape[1]
+    raw = np.ascontiguousarray(contexts.astype(">u4")).view(np.uint8).reshape(n, -1, 4)[:, :, 4 - _WIDTH :]
+    offsets = np.arange(0, n * width + 1, width, dtype=np.int32) if width else np.zeros(n + 1, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw).reshape(-1))])
+
+
+def _unpacked(column: pa.Array, side: int) -> np.ndarray:
+    raw = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), 2 * side, _WIDTH)
+    return (raw[:, :, 0].astype(np.uint32) << np.uint32(16)) | (raw[:, :, 1].astype(np.uint32) << np.uint32(8)) | raw[:, :, 2]
+
+
+def cuts(key: np.ndarray, contexts: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """((n, side + 1) hashes, whether they lie within the text) of the cuts round each key, the r-th with r words to its right."""
+    sums = []
+    for half in (contexts[:, :side], contexts[:, side:]):
+        out = np.zeros((len(key), side + 1), dtype=np.uint64)
+        for k in range(side):
+            out[:, k + 1] = (out[:, k] + half[:, k]) * _BASE + np.uint64(k + 1)
+        sums.append(out)
+    inside = [(half != 0).sum(axis=1) for half in (contexts[:, :side], contexts[:, side:])]
+    r = np.arange(side + 1)
+    names = mix64(mix64(sums[0] + key[:, None]) + sums[1][:, ::-1] * np.uint64(0xD6E8FEB86659FD93) + r.astype(np.uint64))
+    return names, (r <= inside[0][:, None]) & (side - r <= inside[1][:, None])
+
+
+def _longest(key: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """The longest beginning of each row that a neighbour of its key shares, in order of key and context."""
+    n, side = half.shape
+    text = np.ascontiguousarray(half.astype(">u4")).view(f"S{4 * side}").ravel()
+    order = np.lexsort((text, key))
+    a, b = half[order[:-1]], half[order[1:]]
     differ = (a != b) | (a == 0)
-    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
-
-
-def _compare(rows: _Rows, least: int) -> tuple[list[pa.RecordBatch], np.ndarray]:
-    """Spans of neighbours from different documents, and which rows have one."""
-    n = len(rows)
-    fresh = np.ones(n, dtype=bool)  # where a run of one key and document begins
-    fresh[1:] = (rows.key[1:] != rows.key[:-1]) | (rows.doc[1:] != rows.doc[:-1])
-    first = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    starts = np.append(np.flatnonzero(fresh), n)
-    following = starts[np.cumsum(fresh)]  # the row after each run
-    pairs = np.concatenate([np.column_stack([np.arange(n), first - 1]), np.column_stack([np.arange(n), following])])
-    pairs = pairs[(pairs[:, 1] >= 0) & (pairs[:, 1] < n)]
-    pairs = pairs[rows.key[pairs[:, 0]] == rows.key[pairs[:, 1]]]
-    pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-    x, y = pairs[:, 0], pairs[:, 1]
-    right, left = _equal(rows.right[x], rows.right[y]), _equal(rows.left[x], rows.left[y])
-    good = right + left + KEY_WORDS >= least
-    matched = np.zeros(n, dtype=bool)
-    out = []
-    for a, b in ((x[good], y[good]), (y[good], x[good])):
-        matched[a] = True
-        some = rows.take(a)
-        some.columns[2] = some.pos = some.pos - left[good]
-        out.append(some.batch(_SPAN, rows.pos[a] + KEY_WORDS + right[good], rows.doc[b], rows.pos[b] - left[good], bare=True))
-    return out, matched
-
-
-def _neighbours(least: int, again: bool):
-    """Reads sorted suffixes; gives spans, the rows to compare in the other order, and the partition's first and last rows."""
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), side) if n > 1 else np.zeros(0, dtype=np.int64)
+    shared[key[order[:-1]] != key[order[1:]]] = -1
+    best = np.full(n, -1)
+    best[order[1:]] = shared
+    best[order[:-1]] = np.maximum(best[order[:-1]], shared)
+    return best
+
+
+def matches(key: np.ndarray, doc: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, words to the left, words to the right, other document) of suffixes of whole keys that another document's suffix matches.
+
+    The other document is the smallest one that shares a cut, or the largest for that itself.
+    """
+    side = contexts.shape[1] // 2
+    right, left = _longest(key, contexts[:, :side]), _longest(key, contexts[:, side:])
+    rows = np.flatnonzero((right >= 0) & (left >= 0) & (right + left >= side))
+    key, doc = key[rows], doc[rows]
+    names, inside = cuts(key, contexts[rows], side)
+    none = np.iinfo(np.int64).max
+    reach = np.full((2, len(rows)), -1)
+    first, last = np.full(len(rows), none), np.full(len(rows), -none)
+    for r in range(side + 1):
+        at = np.flatnonzero(inside[:, r])
+        if len(at) < 2:
+            continue
+        order = at[np.argsort(names[at, r], kind="stable")]
+        starts = np.flatnonzero(np.concatenate([[True], names[order[1:], r] != names[order[:-1], r]]))
+        low, high = np.minimum.reduceat(doc[order], starts), np.maximum.reduceat(doc[order], starts)
+        sizes = np.diff(np.append(starts, len(order)))
+        several = np.repeat(low != high, sizes)
+        hit = order[several]
+        first[hit], last[hit] = np.minimum(first[hit], np.repeat(low, sizes)[several]), np.maximum(last[hit], np.repeat(high, sizes)[several])
+        reach[0, hit] = np.maximum(reach[0, hit], side - r)
+        reach[1, hit] = np.maximum(reach[1, hit], r)
+    found = np.flatnonzero(reach[0] >= 0)
+    other = np.where(first[found] != doc[found], first[found], last[found])
+    return rows[found], reach[0, found], reach[1, found], other
+
+
+def _suffixes(docs: DataFrame, wanted, hot, side: int) -> DataFrame:
+    """Suffixes whose key is in ``wanted`` and not in ``hot``, with contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            found = []
+            for i, words, at, grams in _kept(batch.column(1)):
+                here = wanted.value.holds(grams)
+                if hot is not None:
+                    here &= ~hot.value.holds(grams)
+                if here.any():
+                    found.append((grams[here], np.full(int(here.sum()), ids[i]), at[here], _contexts(words, at[here], side)))
+            if found:
+                grams, names, at, contexts = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(names), pa.array(at.astype(np.int32)), _packed(contexts)], names=["key", "doc_id", "pos", "context"])
+
+    return common.arrow_map(_source(docs), run, _SUFFIX)
+
+
+def _compared(side: int):
+    """Reads suffixes sorted by key, some whole keys at a time, and gives spans."""
+
+    def spans(part: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, doc, pos = (np.concatenate([b.column(k).to_numpy() for b in part]) for k in range(3))
+        contexts = np.concatenate([_unpacked(b.column(3), side) for b in part])
+        rows, left, right, other = matches(key.view(np.uint64), doc, contexts)
+        if len(rows):
+            start, end = (pos[rows] - left).astype(np.int32), (pos[rows] + KEY_WORDS + right).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(start), pa.array(end), pa.array(other)], names=["doc_id", "start", "end", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: _Rows | None = None
-        started = False
+        held: list[pa.RecordBatch] = []
+        n = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = _Rows.of(batch).after(carry)
-            if not started:
-                started = True
-                yield rows.take(_ends(rows, True)).batch(_EDGE)
-            spans, matched = _compare(rows, least)
-            yield from spans
-            if again:
-                cut = np.ones(len(rows), dtype=bool)
-                cut[1:] = rows.key[1:] != rows.key[:-1]
-                group = np.cumsum(cut) - 1
-                size, lacking = np.bincount(group), np.bincount(group, weights=~matched)
-                wanted = (size > 1) & (lacking > 0)
-                wanted[[0, -1]] = True  # these groups may go on beyond this batch
-                yield rows.take(wanted[group]).batch(_AGAIN)
-            carry = rows.take(_ends(rows, False))
-        if carry is not None:
-            yield carry.batch(_EDGE)
+            held.append(batch)
+            n += batch.num_rows
+            if n >= ROWS:
+                names = batch.column(0).to_numpy()
+                if held[0].column(0)[0].as_py() == names[-1]:
+                    continue  # all of one key so far
+                cut = int(np.searchsorted(names, names[-1]))
+                if not cut:  # the last key began before this batch
+                    whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    names, batch, held = whole.column(0).to_numpy(), whole, [whole]
+                    cut = int(np.searchsorted(names, names[-1]))
+                yield from spans([*held[:-1], batch.slice(0, cut)])
+                held, n = [batch.slice(cut)], batch.num_rows - cut
+        if held:
+            yield from spans(held)
 
     return run
 
 
-def _ends(rows: _Rows, head: bool) -> np.ndarray:
-    """The first (or last) run of one key and document, and one row beyond it."""
-    change = np.flatnonzero((rows.key[1:] != rows.key[:-1]) | (rows.doc[1:] != rows.doc[:-1]))
-    if head:
-        return np.arange(0, min(len(rows), (int(change[0]) + 2 if len(change) else len(rows))))
-    return np.arange(int(change[-1]) if len(change) else 0, len(rows))
+def _hot_spans(docs: DataFrame, hot, side: int, scratch: common.Scratch) -> DataFrame:
+    """Spans of the keys in ``hot``: cuts of several documents by a groupBy, joined back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for i, words, at, grams in _kept(batch.column(1)):
+                here = hot.value.holds(grams)
+                if here.any():
+                    names, inside = cuts(grams[here], _contexts(words, at[here], side), side)
+                    row, r = np.nonzero(inside)
+                    start = (at[here][row] - (side - r)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[row, r].view(np.int64)), pa.array(np.full(len(row), ids[i])), pa.array(start)], names=["cut", "doc_id", "start"])
+
+    every = scratch.save(common.arrow_map(_source(docs), run, _CUT))
+    several = scratch.save(every.groupBy("cut").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).filter("a <> b"))
+    # cuts that very many documents hold are few; they go to the rows, not the rows to them
+    often, seldom = several.filter(F.col("n") > HOT), several.filter(F.col("n") <= HOT)
+    many = often.limit(_MOST_BROADCAST + 1).count()
+    if many <= _MOST_BROADCAST:
+        common_ones = F.broadcast(often)
+        found = every.join(common_ones, "cut").unionByName(every.join(F.broadcast(often.select("cut")), "cut", "left_anti").join(seldom, "cut"))
+    else:
+        found = every.join(several, "cut")
+    other = F.when(F.col("a") != F.col("doc_id"), F.col("a")).otherwise(F.col("b"))
+    return found.select("doc_id", "start", (F.col("start") + F.lit(side + KEY_WORDS)).cast("int").alias("end"), other.alias("other"))
 
 
 def find(docs: DataFrame, least_words: int = LEAST_WORDS, scratch: common.Scratch | None = None) -> DataFrame:
-    """doc_id, start, end, n_words, other_doc, other_start, is_first for each repeated span (in words, end exclusive).
+    """doc_id, start, end, n_words, other_doc, is_first for each repeated span (in words, end exclusive).
 
-    other_doc is the smallest id among the neighbours that share a part of the span; is_first
-    tells that it is larger than the document's own.
+    other_doc is the smallest id that shares a part of the span, or, for the document that is that
+    itself, the largest; is_first tells that the document's own id is the smallest.
     """
     if least_words < KEY_WORDS + WINDOW - 1:
         raise ValueError(f"passages under {KEY_WORDS + WINDOW - 1} words may hold no kept place")
-    scratch = scratch or common.Scratch(docs.sparkSession)
-    kept = scratch.save(suffixes(docs))
-    order = ("key", "right", "doc_id", "pos")
-    first = scratch.save(kept.repartitionByRange("key", "right", "doc_id").sortWithinPartitions(*order).mapInArrow(_neighbours(least_words, True), _ROW))
-    scratch.drop(kept)
-    rest = first.filter(F.col("kind") == _AGAIN).select(*_Rows.names).distinct()
-    other = ("key", "left", "doc_id", "pos")
-    second = scratch.save(rest.repartitionByRange("key", "left", "doc_id").sortWithinPartitions(*other).mapInArrow(_neighbours(least_words, False), _ROW))
-    # what stands next to each other across two partitions: some rows for each partition
-    spans = first.filter(F.col("kind") == _SPAN).unionByName(second.filter(F.col("kind") == _SPAN))
-    for rows, by in ((first, order), (second, other)):
-        edges = rows.filter(F.col("kind") == _EDGE).select(*_Rows.names).repartition(1).sortWithinPartitions(*by)
-        spans = spans.unionByName(edges.mapInArrow(_neighbours(least_words, False), _ROW).filter(F.col("kind") == _SPAN))
-    spans = spans.select("doc_id", F.col("pos").alias("start"), F.col("upto").alias("end"), "other", "other_pos").distinct()
+    scratch, side = scratch or common.Scratch(docs.sparkSession), least_words - KEY_WORDS
+    context = docs.sparkSession.sparkContext
+    shared = scratch.save(keys(docs))
+    total, often = shared.agg(F.count("*"), F.count_if(F.col("n") > HOT)).collect()[0]
+    wanted = context.broadcast(key_set(shared, total))
+    hot = context.broadcast(key_set(shared.filter(F.col("n") > HOT), often)) if often else None
+    kept = _suffixes(docs, wanted, hot, side).repartition("key").sortWithinPartitions("key")
+    spans = scratch.save(kept.mapInArrow(_compared(side), _SPAN))
+    if hot is not None:
+        spans = spans.unionByName(scratch.save(_hot_spans(docs, hot, side, scratch)))
     earlier = W.partitionBy("doc_id").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
     fresh = F.coalesce(F.col("start") > F.max("end").over(earlier), F.lit(True)).cast("int")
     place = W.partitionBy("doc_id").orderBy("start", "end").rowsBetween(W.unboundedPreceding, 0)
-    merged = spans.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(place)).groupBy("doc_id", "span")
-    merged = merged.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.struct("other", "other_pos")).alias("o"))
-    return merged.select("doc_id", "start", "end", (F.col("end") - F.col("start")).alias("n_words"), F.col("o.other").alias("other_doc"), F.col("o.other_pos").alias("other_start"), (F.col("o.other") > F.col("doc_id")).alias("is_first"))
+    once = spans.groupBy("doc_id", "start", "end").agg(F.min("other").alias("other"))
+    merged = once.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(place)).groupBy("doc_id", "span")
+    merged = merged.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other").alias("other_doc"))
+    return merged.select("doc_id", "start", "end", (F.col("end") - F.col("start")).alias("n_words"), "other_doc", (F.col("other_doc") > F.col("doc_id")).alias("is_first"))
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -224,8 +336,8 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def strip(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """All rows and columns, the text without those spans that aren't the first of their kind."""
-    cut = spans.filter("not is_first").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(cut, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    cut = spans.filter("not is_first").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__repeats_spans")).withColumnRenamed("doc_id", "__repeats_id")
+    joined = docs.join(cut, F.col("doc_id") == F.col("__repeats_id"), "left").drop("__repeats_id")
     names, place = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
