@@ -103,8 +103,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
     """(node, component) for each node of an edge, component being its smallest reachable node.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) until the edges are
-    stars round their smallest node.  Groups are only aggregated (min) and joined, so a hot
-    node is never gathered in one task; only counts come to the driver.
+    stars round their smallest node.  Groups are only aggregated (min) and joined to one row
+    each, so the edges of a hub pass through a task as a stream (several, where adaptive
+    execution splits them) and are never held; only counts come to the driver.
     """
     pairs = scratch.save(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     for _ in range(rounds):

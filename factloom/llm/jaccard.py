@@ -9,7 +9,8 @@ The result is each document's component: the smallest doc_id that links reach.
    parity bitmap of 2,048 bits, and the first n - ceil(3n/4) + l shingles in that order, with
    l = 1 + n // 20: sets that link share at least the smaller one's l of these.  A node that
    shares fewer of them with all others together than any partner of its would need is out.
-3. Nodes that share such a shingle, equal sets of nodes once, are compared by bitmap: the bits in which two bitmaps
+3. Nodes that share such a shingle, equal sets of nodes once, are compared by bitmap, those of a
+   very common shingle block by block: the bits in which two bitmaps
    differ are at most the elements in which the sets do, and linked sets differ in at most
    (|A| + |B|) / 7.  What passes is kept as a spanning forest, never as all pairs, and the
    forest's components hold every link.  Large components are compared once more, sets of over
@@ -52,6 +53,8 @@ BLOCK_SHINGLES = 1_000_000
 BITMAP_BLOCK = 4000  # the same where only bitmaps are compared, whatever the sets' sizes
 ROWS = 1 << 18  # rows of shared shingles that a task looks at together
 SKETCH = 1 << 20
+TOKEN_BLOCK = 2000  # nodes of a shingle that one task compares
+NO_LABEL = -(1 << 63)
 _PART = 1 << 12
 _TOP = np.uint64(44)  # the sketch's place is the hash's first 20 bits
 
@@ -192,6 +195,12 @@ class Forest:
             x = y
         return x
 
+    def known(self, x: int, label: int) -> None:
+        """``x`` is in the tree of ``label``, by edges that were found before."""
+        a, b = self.root(x), self.root(label)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
     def join(self, a: int, b: int) -> None:
         a_root, b_root = self.root(a), self.root(b)
         if a_root != b_root:
@@ -206,10 +215,53 @@ def _near(sizes: np.ndarray, bits: np.ndarray, i: int, others: np.ndarray) -> np
     return others[(7 * differ.astype(np.int64) <= sizes[others] + sizes[i]) & (4 * small >= 3 * large)]
 
 
+def _compared(rows: DataFrame) -> DataFrame:
+    """Edges between nodes of a token that may link, of rows (token, node, n, bits, label)."""
+    return rows.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_candidates, "a long, b long")
+
+
+def _near_nodes(shared: DataFrame, bits: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """Edges that join all nodes which share a token and may link, of rows (token, node).
+
+    The nodes of a token are compared in one task up to ``TOKEN_BLOCK`` of them.  More are dealt
+    into blocks: first every block meets the first one, and what that joins gets a label.  Then
+    those that are not of the token's most frequent label meet each other and those that are,
+    block by block; nodes of one label are never compared again.
+    """
+    none = F.lit(None).cast("long")
+    rows = shared.join(bits.select("node"), "node", "left_semi")
+    hot = scratch.save(rows.groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") > TOKEN_BLOCK).select("token", F.ceil(F.col("c") / TOKEN_BLOCK).cast("int").alias("blocks")))
+    with_bits = lambda x: x.join(bits, "node").select("token", "node", "n", "bits", "label")
+    if not hot.limit(1).count():
+        return scratch.save(_compared(with_bits(rows.withColumn("label", none))))
+    group = lambda *parts: F.xxhash64("token", *parts).alias("token")
+    cold = rows.join(hot, "token", "left_anti").select("token", "node", none.alias("label"))
+    dealt = scratch.save(rows.join(hot, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    met = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    leading = dealt.withColumn("with", F.explode(met)).select(group(F.lit("first"), "with"), "node", none.alias("label"))
+    first = scratch.save(_compared(with_bits(cold.unionByName(leading))))
+    labels = common.connected_components(first, scratch)
+    named = scratch.save(dealt.join(labels, "node", "left").select("token", "node", "block", "blocks", F.coalesce("component", "node").alias("label")))
+    counts = named.groupBy("token", "label").agg(F.count("*").alias("c"))
+    main = counts.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    others = main.filter(F.col("all") > F.col("most")).select("token", "main", F.ceil((F.col("all") - F.col("most")) / TOKEN_BLOCK).cast("int").alias("parts"))
+    split = named.join(others, "token").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts")).cast("int"))
+    split = scratch.save(split.withColumn("is_main", F.col("label") == F.col("main")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = split.filter("not is_main")
+    among = rest.withColumn("with", every("parts")).select(group(F.lit("rest"), F.least("part", "with"), F.greatest("part", "with")), "node", "label")
+    against = rest.withColumn("with", every("blocks")).select(group(F.lit("main"), "part", "with"), "node", "label")
+    mains = split.filter("is_main").withColumn("with", every("parts")).select(group(F.lit("main"), "with", "block"), "node", "label")
+    second = scratch.save(_compared(with_bits(among.unionByName(against).unionByName(mains))))
+    return first.unionByName(second)
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the pairs of a token's nodes that may link; rows come sorted by token."""
+    """A spanning forest of the pairs of a token's nodes that may link; rows come sorted by token.  Nodes of one label count as joined."""
     forest, done = Forest(), set()
-    for tokens, nodes, sizes, bits in _whole_groups(batches):
+    for tokens, nodes, sizes, bits, labels in _whole_groups(batches):
+        for x, label in set(zip(nodes[labels != NO_LABEL].tolist(), labels[labels != NO_LABEL].tolist(), strict=True)):
+            forest.known(x, label)
         starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
         lengths = np.diff(np.append(starts, len(tokens)))
         two = starts[lengths == 2]
@@ -237,21 +289,26 @@ def _group(forest: Forest, nodes: np.ndarray, sizes: np.ndarray, bits: np.ndarra
             roots[np.isin(roots, np.append(roots[near], roots[i]))] = forest.root(int(nodes[i]))
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(tokens, nodes, sizes, bitmaps) of sorted rows, never cut within a token."""
-    carry = None
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(tokens, nodes, sizes, bitmaps, labels) of sorted rows, never cut within a token."""
+    held: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1)
-        part = [batch.column(c).to_numpy() for c in ("token", "node", "n")] + [bits]
-        part = [np.concatenate([x, y]) for x, y in zip(carry, part, strict=True)] if carry is not None else part
+        label = batch.column("label").fill_null(NO_LABEL).to_numpy()
+        part = [batch.column(c).to_numpy() for c in ("token", "node", "n")] + [bits, label]
         cut = int(np.searchsorted(part[0], part[0][-1]))  # the last token may go on
-        carry = [x[cut:] for x in part]
+        if held and held[0][0][0] != part[0][0]:  # the token that was held has ended
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held = []
         if cut:
-            yield tuple(x[:cut] for x in part)
-    if carry is not None:
-        yield tuple(carry)
+            held.append([x[:cut] for x in part])
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held = []
+        held.append([x[cut:] for x in part])
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
 def _edges(forest: Forest) -> pa.RecordBatch:
@@ -436,8 +493,7 @@ def components(docs: DataFrame, words: int = 5, scratch: common.Scratch | None =
     # a partner has at least 3/4 of a node's shingles
     needed = 1 + F.floor(F.ceil(F.col("n") * 0.75) / 20)
     bits = scratch.save(shared.groupBy("node").agg(F.sum("times").alias("times")).join(nodes, "node").filter(F.col("times") >= needed).select("node", "n", "bits"))
-    pairs = shared.select("token", "node").join(bits, "node").repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(_candidates, "a long, b long")
-    near = scratch.save(pairs)
+    near = _near_nodes(shared.select("token", "node"), bits, scratch)
     scratch.drop(shared, bits)
     coarse = scratch.save(common.connected_components(near, scratch).join(nodes.select("node", "doc", "n"), "node"))
     # large components go in pairs of blocks; first by bitmaps alone, which leaves few of them large

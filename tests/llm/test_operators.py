@@ -71,6 +71,7 @@ def test_jaccard_on_documents(docs):
 def test_jaccard_chain_and_blocks(spark, monkeypatch):
     """A hot group of near copies, chains, and components in several blocks."""
     monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "TOKEN_BLOCK", 6)
     random.seed(3)
     base = [f"t{i}" for i in range(60)]
     rows = []
