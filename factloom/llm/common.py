@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -156,6 +157,12 @@ def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def sliced(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """A large batch in smaller ones, as the JVM holds each of them outside its heap."""
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
 def sorted_groups(batches, key: tuple[str, ...]):
     """Runs of rows with equal ``key`` from Arrow batches that are sorted by it, as tables."""
     carry: pa.Table | None = None

@@ -53,17 +53,21 @@ _PART_BITS = 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WIDTH = 3  # bytes of a word in a context
 _MOST_BROADCAST = 20_000
+_VIEWS = 1 << 14
 _SUFFIX = "key long, doc_id long, pos int, context binary"
 _SPAN = "doc_id long, start int, end int, other long"
 _CUT = "cut long, doc_id long, start int"
 
 
 def minimisers(grams: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Places of the smallest of every ``window`` hashes in a row."""
+    """Places of the smallest of every ``window`` hashes in a row, the first of equal ones."""
     if len(grams) < window:
         return np.zeros(0, dtype=np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(grams, window)
-    return np.unique(views.argmin(axis=1) + np.arange(len(views)))
+    views, out = np.lib.stride_tricks.sliding_window_view(grams, window), []
+    for lo in range(0, len(views), _VIEWS):  # argmin copies its input
+        some = views[lo : lo + _VIEWS]
+        out.append(np.unique(some.argmin(axis=1) + np.arange(lo, lo + len(some))))
+    return np.unique(np.concatenate(out)) if len(out) > 1 else out[0]
 
 
 class KeySet:
@@ -132,7 +136,7 @@ def keys(docs: DataFrame) -> DataFrame:
             for i, _, at, grams in _kept(batch.column(1)):
                 found.append(grams)
                 names.append(np.full(len(at), ids[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(names))], names=["key", "doc_id"])
+            yield from common.sliced(pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(names))], names=["key", "doc_id"]), 10_000)
 
     counted = common.arrow_map(_source(docs), run, "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
     return counted.filter("a <> b").select("key", "n")
@@ -235,7 +239,7 @@ def _suffixes(docs: DataFrame, wanted, hot, side: int) -> DataFrame:
                     found.append((grams[here], np.full(int(here.sum()), ids[i]), at[here], _contexts(words, at[here], side)))
             if found:
                 grams, names, at, contexts = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(names), pa.array(at.astype(np.int32)), _packed(contexts)], names=["key", "doc_id", "pos", "context"])
+                yield from common.sliced(pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(names), pa.array(at.astype(np.int32)), _packed(contexts)], names=["key", "doc_id", "pos", "context"]))
 
     return common.arrow_map(_source(docs), run, _SUFFIX)
 
@@ -282,13 +286,15 @@ def _hot_spans(docs: DataFrame, hot, side: int, scratch: common.Scratch) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
+            found = []
             for i, words, at, grams in _kept(batch.column(1)):
                 here = hot.value.holds(grams)
                 if here.any():
                     names, inside = cuts(grams[here], _contexts(words, at[here], side), side)
                     row, r = np.nonzero(inside)
-                    start = (at[here][row] - (side - r)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(names[row, r].view(np.int64)), pa.array(np.full(len(row), ids[i])), pa.array(start)], names=["cut", "doc_id", "start"])
+                    found.append((names[row, r].view(np.int64), np.full(len(row), ids[i]), (at[here][row] - (side - r)).astype(np.int32)))
+            if found:
+                yield from common.sliced(pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["cut", "doc_id", "start"]), 10_000)
 
     every = scratch.save(common.arrow_map(_source(docs), run, _CUT))
     several = scratch.save(every.groupBy("cut").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).filter("a <> b"))
@@ -301,7 +307,8 @@ def _hot_spans(docs: DataFrame, hot, side: int, scratch: common.Scratch) -> Data
     else:
         found = every.join(several, "cut")
     other = F.when(F.col("a") != F.col("doc_id"), F.col("a")).otherwise(F.col("b"))
-    return found.select("doc_id", "start", (F.col("start") + F.lit(side + KEY_WORDS)).cast("int").alias("end"), other.alias("other"))
+    found = found.select("doc_id", "start", (F.col("start") + F.lit(side + KEY_WORDS)).cast("int").alias("end"), other.alias("other"))
+    return found.groupBy("doc_id", "start", "end").agg(F.min("other").alias("other"))
 
 
 def find(docs: DataFrame, least_words: int = LEAST_WORDS, scratch: common.Scratch | None = None) -> DataFrame:
@@ -320,8 +327,11 @@ def find(docs: DataFrame, least_words: int = LEAST_WORDS, scratch: common.Scratc
     hot = context.broadcast(key_set(shared.filter(F.col("n") > HOT), often)) if often else None
     kept = _suffixes(docs, wanted, hot, side).repartition("key").sortWithinPartitions("key")
     spans = scratch.save(kept.mapInArrow(_compared(side), _SPAN))
+    scratch.drop(shared)
     if hot is not None:
         spans = spans.unionByName(scratch.save(_hot_spans(docs, hot, side, scratch)))
+        hot.destroy()
+    wanted.destroy()
     earlier = W.partitionBy("doc_id").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
     fresh = F.coalesce(F.col("start") > F.max("end").over(earlier), F.lit(True)).cast("int")
     place = W.partitionBy("doc_id").orderBy("start", "end").rowsBetween(W.unboundedPreceding, 0)
