@@ -16,8 +16,13 @@ from ..operators.decisions import last_by
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where that is unset."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='factloom-stream-')}/stream-{uuid.uuid4().hex}"
+    """A new folder under spark.checkpoint.dir; in local mode alone one of this machine where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="factloom-stream-")
+    return f"{folder}/stream-{uuid.uuid4().hex}"
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
