@@ -71,6 +71,15 @@ def sample_notes(scored: DataFrame, cap: int = 9) -> DataFrame:
     return kept.withColumn("slot", F.row_number().over(per.orderBy("__order", *best))).filter(F.col("slot") <= cap).drop("__front", "__first", "__c", "__order")
 
 
+def region_priority(i: Column, refs: Column, app: Column, own: Column) -> Column:
+    """A chunk's priority by where it stands to the first references and appendix chunks: its own before both."""
+    appendix, references = F.lit(sections.APPENDIX_PRIORITY), F.lit(sections.REFERENCES_PRIORITY)
+    region = F.when(refs.isNull(), F.when(app.isNull() | (i <= app), own).otherwise(appendix))
+    region = region.when(app.isNull(), F.when(i < refs, own).otherwise(references))
+    region = region.when(refs < app, F.when(i < refs, own).when(i < app, references).otherwise(appendix))
+    return region.otherwise(F.when(i < app, own).when(i < refs, appendix).otherwise(references))
+
+
 def coverage_pack(chunks: DataFrame, most: int = 6) -> DataFrame:
     """Up to ``most`` chunks of each paper: by section priority if any heading is known, else evenly before the references.
 
@@ -84,11 +93,7 @@ def coverage_pack(chunks: DataFrame, most: int = 6) -> DataFrame:
     out = out.withColumn("__app", F.min(F.when(sections.is_appendix_boundary(F.col("section"), F.col("text")), F.col("idx"))).over(per))
     out = out.withColumn("__known", F.max((F.col("__p") != sections.OTHER_PRIORITY).cast("int")).over(per) == 1)
     i, refs, app = F.col("idx"), F.col("__refs"), F.col("__app")
-    appendix, references = F.lit(sections.APPENDIX_PRIORITY), F.lit(sections.REFERENCES_PRIORITY)
-    region = F.when(refs.isNull(), F.when(app.isNull() | (i <= app), F.col("__p")).otherwise(appendix))
-    region = region.when(app.isNull(), F.when(i < refs, F.col("__p")).otherwise(references))
-    region = region.when(refs < app, F.when(i < refs, F.col("__p")).when(i < app, references).otherwise(appendix))
-    region = region.otherwise(F.when(i < app, F.col("__p")).when(i < refs, appendix).otherwise(references))
+    region = region_priority(i, refs, app, F.col("__p"))
     before = F.coalesce(i < refs, F.lit(True)) | ((refs == 0) & (i == 0))
     out = out.withColumn("priority", region).withColumn("__body", before.cast("int")).withColumn("__count", F.sum("__body").over(per))
     stride = F.greatest(F.lit(1), F.floor(F.col("__count") / most))
@@ -204,6 +209,11 @@ PACK_CASES = [
 ]
 
 
+def slid_column(body: Column) -> Column:
+    """Windows of 8 words, 2 shared, with `` | `` between them."""
+    return F.pandas_udf(lambda bodies: bodies.map(lambda x: " | ".join(slide_split(x.split(), 8, 2))), T.StringType())(body)
+
+
 def packed_column(body: Column) -> Column:
     return F.pandas_udf(lambda bodies: bodies.map(lambda x: " ## ".join(pack(x or "", 8, 2))), T.StringType())(body)
 

@@ -130,6 +130,14 @@ def filter_chain(papers: DataFrame, policy: FilterPolicy) -> DataFrame:
     return dedup_title(papers.filter(filter_reason(policy).isNull())).filter("is_winner").drop("is_winner", "title_key")
 
 
+def filter_audit(papers: DataFrame, policy: FilterPolicy) -> DataFrame:
+    """All papers with ``reason``: the first test that one fails, ``duplicate_title`` where another paper of its title wins, null if it stays."""
+    marked = papers.withColumn("reason", filter_reason(policy))
+    rest = dedup_title(marked.filter("reason is null"))
+    rest = rest.withColumn("reason", F.when(~F.col("is_winner"), "duplicate_title"))
+    return marked.filter("reason is not null").unionByName(rest.select(*marked.columns))
+
+
 def rank_lexical(papers: DataFrame, terms: list[str], by: list[str] | None = None) -> DataFrame:
     """score and rank; the order is by the unrounded score, citations, year, input order."""
     score = scores.lexical_score(terms, F.col("title"), F.col("abstract")) + scores.citation_score(F.col("citation_count")) + scores.recency_score(F.col("year"))
@@ -160,25 +168,34 @@ def assess(ranked: DataFrame) -> DataFrame:
     return out.withColumn("include", (F.col("relevance") >= 8) & (F.col("quality") >= 6))
 
 
-def bucket_sample(ranked: DataFrame, by: list[str], keep_all: int = 24, budgets: tuple[int, int, int] = (6, 12, 6)) -> DataFrame:
-    """Buckets a (top and cited), b (top half and recent), c (middle and cited) by rank; all, without buckets, up to ``keep_all``.
+def bucket_flags(ranked: DataFrame, by: list[str]) -> DataFrame:
+    """n, rank_pct, cite_pct, and whether a paper is of kind a (top and cited), b (top half and recent), c (middle and cited).
 
-    Each bucket is cut to its budget before papers that stand in an earlier one are dropped.
+    A paper without a citation count stands last by citations and is never of kind a or c.
     """
-    all_ = W.partitionBy(*by)
-    cited = all_.orderBy(F.desc(F.coalesce("citation_count", F.lit(0))), "rank")
+    whole = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.max("year").alias("newest"))
+    cited = [-F.coalesce("citation_count", F.lit(0)), F.col("rank")]
+    placed = globally_ranked(ranked, cited, "__cited", by, F.floor(F.log1p(F.coalesce("citation_count", F.lit(0))) * -8)).join(whole, by)
     share = lambda place: F.when(F.col("n") <= 1, F.lit(0.0)).otherwise((place - 1) / (F.col("n") - 1))
-    base = ranked.withColumn("n", F.count("*").over(all_)).withColumn("newest", F.max("year").over(all_))
-    base = base.withColumn("rank_pct", share(F.col("rank"))).withColumn("cite_pct", share(F.row_number().over(cited)))
+    out = placed.withColumn("rank_pct", share(F.col("rank"))).withColumn("cite_pct", share(F.col("__cited"))).drop("__cited")
     often = F.col("citation_count").isNotNull() & (F.col("cite_pct") <= 0.30)
-    tests = {"a": (F.col("rank_pct") <= 0.20) & often, "b": (F.col("rank_pct") <= 0.50) & (F.col("year") >= F.col("newest") - 1), "c": F.col("rank_pct").between(0.40, 0.70) & often}
+    out = out.withColumn("is_a", (F.col("rank_pct") <= 0.20) & often).withColumn("is_b", (F.col("rank_pct") <= 0.50) & (F.col("year") >= F.col("newest") - 1))
+    return out.withColumn("is_c", F.col("rank_pct").between(0.40, 0.70) & often).drop("newest")
+
+
+def bucket_sample(ranked: DataFrame, by: list[str], keep_all: int = 24, budgets: tuple[int, int, int] = (6, 12, 6)) -> DataFrame:
+    """Buckets a, b, c of :func:`bucket_flags` by rank; all, without buckets, up to ``keep_all``.
+
+    Each bucket is cut to its budget before papers that stand in an earlier one are dropped.
+    """
+    base = bucket_flags(ranked, by)
     bucket = F.lit(None).cast("string")
-    for (name, test), budget in reversed(list(zip(tests.items(), budgets, strict=True))):
-        place = F.sum(test.cast("int")).over(all_.orderBy("rank"))
-        base = base.withColumn(f"in_{name}", test & (place <= budget))
+    for name, budget in reversed(list(zip("abc", budgets, strict=True))):
+        place = F.sum(F.col(f"is_{name}").cast("int")).over(W.partitionBy(*by).orderBy("rank"))
+        base = base.withColumn(f"in_{name}", F.col(f"is_{name}") & (place <= budget))
         bucket = F.when(F.col(f"in_{name}"), name).otherwise(bucket)
     out = base.withColumn("bucket", F.when(F.col("n") <= keep_all, F.lit("all")).otherwise(bucket)).filter("bucket is not null")
-    return out.drop("n", "newest", "in_a", "in_b", "in_c", "rank_pct", "cite_pct")
+    return out.select(*ranked.columns, "bucket")
 
 
 def mark_seen(rows: DataFrame, key: str, order: str) -> DataFrame:

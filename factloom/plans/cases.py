@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores, sections, text, urls
+from ..operators import chunks as C
 from ..operators import papers as P
 from ..sources import adapters as A
+from ..sources.providers import OPENALEX_FIELDS, OPENALEX_URL, S2_FIELDS, S2_URL, openalex_url, s2_url, url_column
 from .queries import query
 
 Case = tuple[tuple[str | None, ...], tuple[str | None, ...]]
@@ -358,3 +360,44 @@ by_case(
     ],
     lambda path, words: {"kept": sections.appendix_kept(path, words)},
 )
+
+# ---- small scalar rules ----
+
+one("norm_nfkc", "documents", "doc_id", "plain", "VARCHAR", [("\ufb01ne Stra\u00dfe-1", "finestrasse1"), ("\uff21\uff22 {i}", "ab{i}"), ("\u00c9t\u00e9!", "\u00e9t\u00e9"), ("...", "")], text.norm_nfkc)
+one("token_estimate", "documents", "doc_id", "tokens", "BIGINT", [("", "0"), ("a", "1"), ("abcd", "1"), ("abcde", "2"), ("abcdefgh", "2"), ("abcdefghi", "3")], text.token_estimate)
+one("relevance_1_10", "documents", "doc_id", "relevance", "INTEGER", [("-1", "1"), ("0", "1"), ("0.3", "1"), ("0.31", "2"), ("1.5", "5"), ("3.0", "10"), ("9", "10")], lambda x: scores.relevance_1_10(x.cast("double")))
+by_case("meta_quality", "documents", "doc_id", {"quality": "INTEGER"}, [((None, None), ("4",)), (("V", None), ("6",)), (("V", "9"), ("6",)), (("V", "10"), ("8",)), (("", "100"), ("8",)), (("V", "5000"), ("10",))], lambda v, c: {"quality": scores.metadata_quality(v, c.cast("int"))})
+one("citation_score", "documents", "doc_id", "score", "DOUBLE", [(None, "0"), ("0", "0"), ("1000", "1"), ("5000", "1"), ("99", "0.666570036")], lambda c: F.round(scores.citation_score(c.cast("int")), 9))
+one("recency_score", "documents", "doc_id", "score", "DOUBLE", [("2015", "0"), ("2020", "0"), ("2025", "0.5"), ("2027", "0.7"), ("2040", "1")], lambda y: scores.recency_score(y.cast("int")))
+by_case("set_jaccard", "documents", "doc_id", {"overlap": "DOUBLE"}, [(("a b", "b c"), ("0.333333333",)), (("a", "a"), ("1",)), (("", "a"), ("0",)), (("a a b", "b"), ("0.5",)), (("a", "b"), ("0",))], lambda a, b: {"overlap": F.round(scores.jaccard(*(F.filter(F.split(x, " "), lambda w: w != "") for x in (a, b))), 9)})
+one("slide_split", "documents", "doc_id", "parts", "VARCHAR", [("a b c", "a b c"), ("a b c d e f g h", "a b c d e f g h"), ("a b c d e f g h i j k l", "a b c d e f g h | g h i j k l"), ("a b c d e f g h i", "a b c d e f g h"), ("a b c d e f g h i j k l m n o p q r", "a b c d e f g h | g h i j k l m n | m n o p q r")], C.slid_column)
+one("class_heading", "documents", "doc_id", "class", "VARCHAR", [("3. Methods", "method"), ("2.1 Method", "other"), ("Limitation", "limitations"), ("References Cited", "references"), ("Supplementary  Material", "appendix"), ("Acknowledgement", "acknowledgments"), ("RESULTS and more", "results"), ("Resulting", "other")], lambda h: sections.heading_class(h)["name"])
+by_case("class_noise_header", "documents", "doc_id", {"noise": "BOOLEAN"}, [(("Paper > **References**", "x"), ("true",)), (("Paper > Works Cited", "x"), ("true",)), ((None, "words\nReferences\n[1]"), ("true",)), ((None, "words\nAcknowledgments"), ("false",)), (("Acknowledgments", "x"), ("true",)), (("Method", "References"), ("false",))], lambda s, t: {"noise": sections.is_noise(s, t)})
+by_case("class_appendix_header", "documents", "doc_id", {"appendix": "BOOLEAN"}, [(("Paper > Appendix A", "x"), ("true",)), (("Appendix > Proofs", "x"), ("false",)), ((None, "x\nSupplementary material\ny"), ("true",)), ((None, "see the appendix"), ("false",))], lambda s, t: {"appendix": sections.is_appendix_boundary(s, t)})
+by_case(
+    "region_priority",
+    "documents",
+    "doc_id",
+    {"priority": "INTEGER"},
+    [(("3", None, None), ("7",)), (("3", None, "3"), ("7",)), (("4", None, "3"), ("13",)), (("2", "3", None), ("7",)), (("3", "3", None), ("14",)), (("4", "3", "5"), ("14",)), (("5", "3", "5"), ("13",)), (("2", "5", "3"), ("7",)), (("4", "5", "3"), ("13",)), (("6", "5", "3"), ("14",))],
+    lambda i, refs, app: {"priority": C.region_priority(*(x.cast("int") for x in (i, refs, app)), F.lit(7))},
+)
+by_case(
+    "src_openalex",
+    "documents",
+    "doc_id",
+    {"url": "VARCHAR"},
+    [
+        (("graph nets {i}", "20", None, None), (f"{OPENALEX_URL}?search=graph+nets+{{i}}&per-page=20&select={OPENALEX_FIELDS.replace(',', '%2C')}",)),
+        (("a&b", "5", "2020", "2021"), (f"{OPENALEX_URL}?search=a%26b&per-page=5&select={OPENALEX_FIELDS.replace(',', '%2C')}&filter=from_publication_date%3A2020-01-01%2Cto_publication_date%3A2021-12-31",)),
+    ],
+    lambda q, n, a, b: {"url": url_column(openalex_url, q, n, a, b)},
+)
+by_case(
+    "src_s2",
+    "documents",
+    "doc_id",
+    {"url": "VARCHAR"},
+    [(("graph nets {i}", "20", None, None), (f"{S2_URL}?query=graph+nets+{{i}}&fields={S2_FIELDS.replace(',', '%2C')}&limit=20",)), (("x", "5", "2020", None), (f"{S2_URL}?query=x&fields={S2_FIELDS.replace(',', '%2C')}&limit=5&year=2020-",)), (("x", "5", None, "2021"), (f"{S2_URL}?query=x&fields={S2_FIELDS.replace(',', '%2C')}&limit=5&year=-2021",))],
+    lambda q, n, a, b: {"url": url_column(s2_url, q, n, a, b)},
+)

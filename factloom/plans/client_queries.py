@@ -51,6 +51,14 @@ def encode_chunks(spark, sf):
     return _vectors(spark, sf).select("chunk_id", F.col("v")[0].alias("a"), F.col("v")[1].alias("e"), F.col("v")[2].alias("q"))
 
 
+@query(f"SELECT item_id, CAST(length(t) - length(replace(t, 'a', '')) AS DOUBLE) AS a, CAST(length(t) - length(replace(t, 'q', '')) AS DOUBLE) AS q FROM (SELECT item_id, '{K.QUERY_PREFIX}' || text AS t FROM benchmark WHERE text IS NOT NULL)")
+def encode_query(spark, sf):
+    """Queries are encoded with the prefix that chunks don't have."""
+    rows = A.read(spark, sf, "benchmark").filter("text is not null")
+    v = K.encoded(F.concat(F.lit(K.QUERY_PREFIX), F.col("text")), letters)
+    return rows.withColumn("v", v).select("item_id", F.col("v")[0].alias("a"), F.col("v")[2].alias("q"))
+
+
 @query(f"WITH {CHUNKS}, {_V} SELECT chunk_id, list_dot_product(v, {_Q}) AS score FROM v")
 def evid_semantic_cached(spark, sf):
     """Scores from vectors encoded before; the text isn't read again."""
@@ -123,6 +131,23 @@ def judge_single(spark, sf):
     return K.judge_single(_texts(spark, sf), longer)
 
 
+def first_claim(prompt: str, schema: dict | None) -> str:
+    """A stand-in for a writer: cites the first claim that it is given, and at first one that it isn't."""
+    if "could not be used" not in prompt and len(prompt) % 2:
+        return '{"report": "Says [claim-0]."}'
+    cited = re.search(r"\[claim-[^\]]+\]", prompt)[0]
+    return json.dumps({"report": f"Says {cited}."})
+
+
+@query("""WITH c AS (SELECT conv_id, 'claim-' || (turn * 7 + 1) AS claim_id FROM conversations) SELECT conv_id AS section_index, 'Says [' || min(claim_id) || '].' AS report FROM c GROUP BY conv_id""")
+def synth_llm(spark, sf):
+    """Sections written from their own claims, one call and at most one repair each."""
+    rows = A.read(spark, sf, "conversations").select(F.col("conv_id").alias("section_index"), F.concat(F.lit("claim-"), (F.col("turn") * 7 + 1).cast("string")).alias("claim_id"))
+    sections = rows.groupBy("section_index").agg(F.collect_set("claim_id").alias("claim_ids")).withColumn("title", F.lit("T")).withColumn("purpose", F.lit("p"))
+    claims = rows.select("claim_id").distinct().withColumn("text", F.lit("said"))
+    return K.synthesised(sections, claims, first_claim).select("section_index", "report")
+
+
 # ---- bodies and identity ----
 
 by_case(

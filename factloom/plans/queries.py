@@ -158,6 +158,20 @@ def bucket_sample(spark, sf):
     return P.bucket_sample(_ranked(spark, sf), ["query_group"]).select("paper_id", "query_group", "rank", "bucket")
 
 
+@query(f"""WITH {PAPERS}, {RANKED}, base AS (SELECT *, count(*) OVER g AS n, max(year) OVER g AS newest, row_number() OVER (PARTITION BY query_group ORDER BY coalesce(citation_count, 0) DESC, rank) AS cpos FROM ranked WINDOW g AS (PARTITION BY query_group)),
+pct AS (SELECT *, CASE WHEN n <= 1 THEN 0.0 ELSE CAST(rank - 1 AS DOUBLE) / (n - 1) END AS rp, CASE WHEN n <= 1 THEN 0.0 ELSE CAST(cpos - 1 AS DOUBLE) / (n - 1) END AS cp FROM base)
+SELECT paper_id, query_group, rp <= 0.20 AND cp <= 0.30 AND citation_count IS NOT NULL AS is_a, rp <= 0.50 AND year >= newest - 1 AS is_b, rp BETWEEN 0.40 AND 0.70 AND cp <= 0.30 AND citation_count IS NOT NULL AS is_c FROM pct""")
+def bucket_predicates(spark, sf):
+    return P.bucket_flags(_ranked(spark, sf), ["query_group"]).select("paper_id", "query_group", "is_a", "is_b", "is_c")
+
+
+@query(f"""WITH {PAPERS}, reasons AS (SELECT *, CASE WHEN year < 2017 THEN 'year_before_min' WHEN coalesce(citation_count, 0) < 50 THEN 'citation_below_min' END AS reason FROM papers), {_DEDUP.replace('FROM papers', 'FROM reasons WHERE reason IS NULL')}
+SELECT paper_id, reason FROM reasons WHERE reason IS NOT NULL UNION ALL SELECT paper_id, CASE WHEN NOT is_winner THEN 'duplicate_title' END FROM marked""")
+def filter_chain(spark, sf):
+    """Every paper with the reason why it goes, a title that another paper wins among them; null if it stays."""
+    return P.filter_audit(A.papers(spark, sf), P.FilterPolicy(2017, min_citations=50)).select("paper_id", "reason")
+
+
 @query(f"WITH {PAPERS} SELECT paper_id, round({CITES}, 9) AS citation_score, {RECENCY} AS recency_score FROM papers")
 def citation_and_recency(spark, sf):
     return A.papers(spark, sf).select("paper_id", F.round(scores.citation_score(F.col("citation_count")), 9).alias("citation_score"), scores.recency_score(F.col("year")).alias("recency_score"))
@@ -179,6 +193,14 @@ def dot_product(spark, sf):
     return _scored_vectors(spark, sf).select("chunk_id", "score")
 
 
+@query("WITH v AS (SELECT vec_id AS chunk_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), q AS (SELECT chunk_id AS query_id, v AS qv FROM v ORDER BY chunk_id LIMIT 3) SELECT query_id, chunk_id, round(list_dot_product(v, qv), 9) AS score FROM v, q")
+def cross_score(spark, sf):
+    """Every chunk against each of a few queries' vectors, which are three rows here and broadcast."""
+    v = A.vectors(spark, sf)
+    few = v.orderBy("chunk_id").limit(3).select(F.col("chunk_id").alias("query_id"), F.col("v").alias("qv"))
+    return v.crossJoin(F.broadcast(few)).select("query_id", "chunk_id", F.round(scores.dot(F.col("v"), F.col("qv")), 9).alias("score"))
+
+
 @query(f"WITH {_V} SELECT chunk_id, score FROM s ORDER BY score DESC, paper_id, chunk_id LIMIT 10")
 def evid_semantic(spark, sf):
     return C.top_capped(_scored_vectors(spark, sf), 10, None, "paper_id", ["paper_id", "chunk_id"]).select("chunk_id", "score")
@@ -460,12 +482,26 @@ def agg_compare(spark, sf):
     return means.select("event_type", F.round("m", 6).alias("mean"), F.when(gap >= 0.5, "better").when(gap <= -0.5, "worse").otherwise("similar").alias("verdict"))
 
 
-@query(rf"WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 3 AND x NOT IN ('a','an','and','for','in','of','on','the','to','with'))) AS w FROM benchmark), p AS (SELECT a.item_id AS a, b.item_id AS b, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0.0 ELSE CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / len(list_distinct(list_concat(a.w, b.w))) END AS j FROM t a JOIN t b ON a.item_id < b.item_id) SELECT round(max(j), 9) AS max_overlap, count(*) AS pairs FROM p")
+_PLANS = """t AS (SELECT item_id, item_id // 5 AS plan_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 3 AND x NOT IN ('a','an','and','for','in','of','on','the','to','with'))) AS w FROM benchmark),
+p AS (SELECT a.plan_id, a.item_id AS a, b.item_id AS b, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0.0 ELSE CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / len(list_distinct(list_concat(a.w, b.w))) END AS j FROM t a JOIN t b ON a.plan_id = b.plan_id AND a.item_id < b.item_id)"""
+
+
+def _plan_pairs(spark, sf) -> DataFrame:
+    """Pairs of a plan's queries, of which a plan has five here: an equi-join by plan."""
+    items = A.read(spark, sf, "benchmark").select(F.floor(F.col("item_id") / 5).alias("plan_id"), "item_id", text.query_terms(F.col("text")).alias("w"))
+    other = items.select("plan_id", F.col("item_id").alias("other"), F.col("w").alias("x"))
+    return items.join(other, "plan_id").filter("item_id < other").select("plan_id", F.col("item_id").alias("a"), F.col("other").alias("b"), scores.jaccard(F.col("w"), F.col("x")).alias("j"))
+
+
+@query(f"WITH {_PLANS} SELECT plan_id, a, b, round(j, 9) AS overlap FROM p")
+def cross_pairs(spark, sf):
+    return _plan_pairs(spark, sf).select("plan_id", "a", "b", F.round("j", 9).alias("overlap"))
+
+
+@query(f"WITH {_PLANS} SELECT plan_id, round(max(j), 9) AS max_overlap, count(*) AS pairs FROM p GROUP BY plan_id")
 def max_overlap(spark, sf):
-    """The largest Jaccard overlap of two of a plan's queries; a plan has a handful, the query list here stands for it."""
-    items = A.read(spark, sf, "benchmark").select("item_id", text.query_terms(F.col("text")).alias("w"))
-    other = items.select(F.col("item_id").alias("other"), F.col("w").alias("x"))
-    return items.join(other, F.col("item_id") < F.col("other")).agg(F.round(F.max(scores.jaccard(F.col("w"), F.col("x"))), 9).alias("max_overlap"), F.count("*").alias("pairs"))
+    """The largest Jaccard overlap of two queries of each plan."""
+    return _plan_pairs(spark, sf).groupBy("plan_id").agg(F.round(F.max("j"), 9).alias("max_overlap"), F.count("*").alias("pairs"))
 
 
 # ---- claims ----

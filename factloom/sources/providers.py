@@ -12,7 +12,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 from urllib.parse import urlencode
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 Fetcher = Callable[[str], str]
@@ -58,6 +61,16 @@ def s2_url(r: Request) -> str:
     return f"{S2_URL}?{urlencode(parameters)}"
 
 
+def url_column(build: Callable[[Request], str], query: Column, limit: Column, year_from: Column, year_to: Column) -> Column:
+    """The request URL of each row."""
+
+    def run(q: pd.Series, n: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        year = lambda y: None if pd.isna(y) else int(y)
+        return pd.Series([build(Request(text, int(size), year(x), year(y))) for text, size, x, y in zip(q, n, a, b, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, T.StringType())(query, limit, year_from, year_to)
+
+
 PROVIDERS: dict[str, tuple[Callable[[Request], str], str, float]] = {"openalex": (openalex_url, "results", 0.0), "semantic_scholar": (s2_url, "data", S2_PACE)}
 
 
