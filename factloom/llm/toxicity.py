@@ -367,7 +367,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, most_rows: int = 1
     if len(n) < 2:
         return SEED_MODEL
     grammar = learn_lexicon(rows, n[1], n[0])
-    found = clause_statistics(rows, grammar).orderBy("__label", "total", "most", "n").toPandas()
+    found = clause_statistics(rows, grammar).toPandas().sort_values(["__label", "total", "most", "n"])
     w = logistic(found[["total", "most", "n"]].to_numpy(), found["__label"].to_numpy(dtype=float), ridge=1e-4)
     if min(w[1:]) < 0:  # a match may never lower a score
         w[1:] = np.maximum(w[1:], 0.0)
