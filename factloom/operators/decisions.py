@@ -78,9 +78,15 @@ def compare_retrieval(lexical: DataFrame, embedding: DataFrame, judged: DataFram
     both = lexical.withColumn("__l", F.lit(True)).join(embedding.withColumn("__e", F.lit(True)), key, "full").join(judged, key, "left")
     in_l, in_e = F.col("__l").isNotNull(), F.col("__e").isNotNull()
     out = both.groupBy("query_id").agg(F.count_if(in_l & in_e).alias("overlap"), F.count_if(in_l & ~in_e).alias("only_lexical"), F.count_if(~in_l & in_e).alias("only_embedding"), F.avg(F.when(in_l, F.col("score"))).alias("avg_lexical"), F.avg(F.when(in_e, F.col("score"))).alias("avg_embedding"))
-    a, b = F.col("avg_lexical"), F.col("avg_embedding")
-    verdict = F.when(a.isNull() & b.isNull(), "comparable (no scored chunks)").when(a.isNull(), "embedding better (lexical had no scored chunks)").when(b.isNull(), "lexical better (embedding had no scored chunks)")
-    return out.withColumn("verdict", verdict.when(b - a >= least, "embedding better").when(b - a <= -least, "lexical better").otherwise("comparable"))
+    return out.withColumn("verdict", mean_verdict(F.col("avg_lexical"), F.col("avg_embedding"), least))
+
+
+def mean_verdict(lexical: Column, embedding: Column, least: float = 0.5) -> Column:
+    """Which method's mean score is better by ``least``; a method without a scored chunk is said to have none."""
+    gap = embedding - lexical
+    out = F.when(lexical.isNull() & embedding.isNull(), "comparable (no scored chunks)").when(lexical.isNull(), "embedding better (lexical had no scored chunks)")
+    out = out.when(embedding.isNull(), "lexical better (embedding had no scored chunks)")
+    return out.when(gap >= least, "embedding better").when(gap <= -least, "lexical better").otherwise("comparable")
 
 
 def first_by(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -254,9 +254,11 @@ def class_chunk(spark, sf):
     return A.chunks(spark, sf).select("chunk_id", sections.chunk_class(F.col("section"), F.col("text"))["priority"].cast("int").alias("priority"))
 
 
-@query(f"WITH {CHUNKS} SELECT paper_id, category, count(*) AS n FROM (SELECT paper_id, {_CATEGORY} AS category FROM chunks) GROUP BY ROLLUP (category, paper_id) HAVING category IS NOT NULL")
+@query(f"WITH {CHUNKS}, k AS (SELECT paper_id, {_CATEGORY} AS category FROM chunks) SELECT paper_id, category, count(*) AS n, 1 AS papers FROM k GROUP BY paper_id, category UNION ALL SELECT NULL, category, count(*), count(DISTINCT paper_id) FROM k GROUP BY category")
 def section_dist(spark, sf):
-    return _categorised(spark, sf).rollup("category", "paper_id").agg(F.count("*").alias("n")).filter("category is not null").select("paper_id", "category", "n")
+    """Chunks by paper and category, and in one pass by category over all papers (paper_id null) with the number of papers."""
+    per = _categorised(spark, sf).rollup("category", "paper_id").agg(F.count("*").alias("n"), F.count_distinct("paper_id").alias("papers"))
+    return per.filter("category is not null").select("paper_id", "category", "n", "papers")
 
 
 @query(f"WITH {CHUNKS} SELECT paper_id, chunk_id FROM chunks WHERE section <> 'References'")
@@ -474,12 +476,12 @@ def set_overlap(spark, sf):
     return out
 
 
-@query("SELECT event_type, round(avg(value), 6) AS mean, CASE WHEN avg(value) - (SELECT avg(value) FROM events) >= 0.5 THEN 'better' WHEN avg(value) - (SELECT avg(value) FROM events) <= -0.5 THEN 'worse' ELSE 'similar' END AS verdict FROM events GROUP BY event_type")
+@query(f"WITH {_PAIRS}, s AS (SELECT avg(lexical_chunk % 11) AS lexical, avg(embedding_chunk % 11) AS embedding FROM pairs WHERE kind <> 'unpaired') SELECT round(lexical, 9) AS avg_lexical, round(embedding, 9) AS avg_embedding, CASE WHEN embedding - lexical >= 0.5 THEN 'embedding better' WHEN embedding - lexical <= -0.5 THEN 'lexical better' ELSE 'comparable' END AS verdict FROM s")
 def agg_compare(spark, sf):
-    events = A.read(spark, sf, "events")
-    gap = F.col("m") - F.col("overall")
-    means = events.groupBy("event_type").agg(F.avg("value").alias("m")).crossJoin(F.broadcast(events.agg(F.avg("value").alias("overall"))))  # one row
-    return means.select("event_type", F.round("m", 6).alias("mean"), F.when(gap >= 0.5, "better").when(gap <= -0.5, "worse").otherwise("similar").alias("verdict"))
+    """Two methods' mean scores over all ranks that both filled, and the verdict."""
+    both = _pairs(spark, sf).filter("kind <> 'unpaired'")
+    out = both.agg(F.avg(F.col("lexical_chunk") % 11).alias("a"), F.avg(F.col("embedding_chunk") % 11).alias("b"))
+    return out.select(F.round("a", 9).alias("avg_lexical"), F.round("b", 9).alias("avg_embedding"), D.mean_verdict(F.col("a"), F.col("b")).alias("verdict"))
 
 
 _PLANS = """t AS (SELECT item_id, item_id // 5 AS plan_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 3 AND x NOT IN ('a','an','and','for','in','of','on','the','to','with'))) AS w FROM benchmark),
@@ -610,7 +612,7 @@ def dedup_key(spark, sf):
 @query(f"WITH {PAPERS} SELECT paper_id, 'DOC_' || paper_id AS doc FROM papers")
 def norm_doc_id(spark, sf):
     raw = F.concat(F.lit(" [doc_"), F.col("paper_id").cast("string"), F.lit("] "))
-    return A.papers(spark, sf).select("paper_id", F.upper(F.trim(F.regexp_replace(raw, r"[\[\]]", ""))).alias("doc"))
+    return A.papers(spark, sf).select("paper_id", text.norm_doc_id(raw).alias("doc"))
 
 
 @query(f"WITH {PAPERS}, firsts AS (SELECT query_group, citation_count, min(ord) AS ord FROM papers WHERE citation_count IS NOT NULL GROUP BY ALL) SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY query_group ORDER BY ord, citation_count) <= 40")
