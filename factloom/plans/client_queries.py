@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import clients as K
 from ..operators import identity as I
 from ..sources import adapters as A
+from ..sources import fulltext
 from .cases import by_case
 from .queries import CHUNKS, _pairs, query
 
@@ -150,6 +151,40 @@ def synth_llm(spark, sf):
 
 # ---- bodies and identity ----
 
+
+def by_paragraph(content: bytes) -> list[str]:
+    """A stand-in for a PDF parser: a page for each paragraph; bodies without any can't be read."""
+    pages = content.decode().split("<p>")
+    if len(pages) < 2:
+        raise ValueError("no pages")
+    return pages
+
+
+@query(
+    """WITH s AS (SELECT page_id, string_split(html, '<p>') AS parts FROM pages), p AS (SELECT page_id, generate_subscripts(parts, 1) AS page_number, trim(unnest(parts), E' \n\t\r') AS text, len(parts) AS n FROM s)
+    SELECT page_id || '.pdf' AS paper_id, CAST(page_number AS INTEGER) AS page_number, length(text) AS size, 'parser 2' AS method FROM p WHERE length(text) >= 20 AND n > 1 UNION ALL
+    SELECT page_id || '.pdf', NULL, NULL, CASE WHEN n = 1 THEN 'ValueError' ELSE 'NoText' END FROM p GROUP BY page_id, n HAVING max(length(text)) < 20 OR n = 1"""
+)
+def pdf_text(spark, sf):
+    """Pages of 20 characters or more by the second of two parsers, as the first finds none."""
+    files = A.read(spark, sf, "pages").select(F.concat(F.lit("/in/"), F.col("page_id").cast("string"), F.lit(".pdf")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    found = fulltext.page_texts(files, [lambda c: [], by_paragraph])
+    return found.select("paper_id", "page_number", F.length("text").alias("size"), "method")
+
+
+def by_url(url: str) -> bytes:
+    """A stand-in for a fetcher: fails for URLs of an even length."""
+    if len(url) % 2 == 0:
+        raise TimeoutError
+    return url.encode()
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 OR length(url) % 2 = 0 THEN NULL ELSE octet_length(encode(url)) END AS size, CASE WHEN page_id % 3 = 0 THEN 'invalid_url' WHEN length(url) % 2 = 0 THEN 'TimeoutError' ELSE 'transport_success' END AS reason FROM pages")
+def fetch_pdf(spark, sf):
+    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("ftp"), "url")).otherwise(F.col("url"))
+    return fulltext.fetch_bodies(A.read(spark, sf, "pages").select("page_id", url.alias("url")), by_url).select("page_id", F.octet_length("body").alias("size"), "reason")
+
+
 by_case(
     "decode_body",
     "pages",
