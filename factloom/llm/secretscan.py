@@ -137,9 +137,11 @@ def guess_cost(value: str, rank: dict[str, int] = _RANK, enough: float = math.in
 
 
 def corpus_words(docs: DataFrame, most_words: int = 50_000) -> list[str]:
-    """The ``most_words`` words (3 to 20 letters a-z) that most documents hold, most frequent first.
+    """Up to ``most_words`` words (3 to 20 letters a-z) that most documents hold, most frequent first.
 
-    All texts are counted, without the values that stand in credential context.
+    All texts are counted, without the values that stand in credential context.  Words as
+    frequent as each other are in or out together, so a threshold of the counts decides; it comes from
+    a few thousand numbers, and only the words above it come to the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +154,18 @@ def corpus_words(docs: DataFrame, most_words: int = 50_000) -> list[str]:
             fit = pc.match_substring_regex(words.dictionary, f"^[a-z]{{{SHORT_WORD},{LONG_WORD}}}$")
             yield pa.RecordBatch.from_arrays([words.dictionary.filter(fit).cast(pa.string()), pa.array(counts).filter(fit)], names=["word", "n"])
 
-    found = common.arrow_map(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in found.orderBy(F.desc("n"), "word").limit(most_words).collect()]
+    scratch = common.Scratch(docs.sparkSession)
+    found = scratch.save(common.arrow_map(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    step = F.when(F.col("n") < 1000, F.col("n")).otherwise(1000 + F.floor(F.log2(F.col("n") / 1000) * 64))
+    taken, least = 0, 1 << 62
+    for r in sorted(found.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        taken += r["count"]
+        if taken > most_words:
+            break
+        least = r["step"]
+    words = found.filter(step >= least).collect()
+    scratch.drop(found)
+    return [r["word"] for r in sorted(words, key=lambda r: (-r["n"], r["word"]))]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
