@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LEAF = 40
+LEAF, QUERY_LEAF = 96, 24
+CELLS = 1 << 21  # scores that are held at once
+WORTH = 0.8  # a node is split if its points lie by this nearer to their new centres
 TREE_ROWS = 8192
 PIVOTS = 32
 SLACK = 1 + 1e-9
@@ -46,14 +48,14 @@ class Node:
         self.norm = float(np.sqrt(centre @ centre))
 
 
-def cover_tree(points: np.ndarray, rows: np.ndarray | None = None) -> Node:
-    """A cover tree over ``points``: children lie within half the radius of their own centres, which are that far apart."""
-    rows = np.arange(len(points)) if rows is None else rows
+def cover_tree(points: np.ndarray, rows: np.ndarray | None = None, leaf: int | None = None) -> Node:
+    """A cover tree over ``points``, with up to ``leaf`` (LEAF) of them in a node without children: children lie within half the radius of their own centres, which are that far apart."""
+    rows, leaf = np.arange(len(points)) if rows is None else rows, leaf or LEAF
     mine = points[rows]
     centre = mine[np.argmin(((mine - mine.mean(axis=0)) ** 2).sum(axis=1))]
     apart = np.sqrt(((mine - centre) ** 2).sum(axis=1))
     radius = float(apart.max()) * SLACK
-    if len(rows) <= LEAF or radius == 0.0:
+    if len(rows) <= leaf or radius == 0.0:
         return Node(centre, radius, rows, [])
     share, nearest, owner, centres = radius / 2, apart, np.zeros(len(rows), dtype=np.int64), 1
     while nearest.max() > share and centres < 32:  # the farthest point becomes a centre, its nearest join it
@@ -61,11 +63,13 @@ def cover_tree(points: np.ndarray, rows: np.ndarray | None = None) -> Node:
         owner[new < nearest] = centres
         nearest = np.minimum(nearest, new)
         centres += 1
+    if nearest.mean() > WORTH * apart.mean():  # points without clusters, where no bound would ever prune
+        return Node(centre, radius, rows, [])
     parts = [rows[owner == i] for i in range(centres)]
     parts = [p for p in parts if len(p)]
     if len(parts) == 1:
         return Node(centre, radius, rows, [])
-    return Node(centre, radius, rows, [cover_tree(points, p) for p in parts])
+    return Node(centre, radius, rows, [cover_tree(points, p, leaf) for p in parts])
 
 
 class Search:
@@ -82,7 +86,7 @@ class Search:
         self.places = np.full((len(queries), k), -1, dtype=np.int64)
         self.visited = 0
         if len(queries) and len(points):
-            self.walk(tree or cover_tree(self.q), cover_tree(self.p))
+            self.walk(tree or cover_tree(self.q, leaf=QUERY_LEAF), cover_tree(self.p))
 
     def bound(self, a: Node, b: Node) -> float:
         product = float(a.centre @ b.centre)
@@ -103,9 +107,21 @@ class Search:
             self.walk(a, x)
 
     def leaf(self, mine: np.ndarray, others: np.ndarray) -> None:
+        step = max(1, CELLS // len(mine))
+        for lo in range(0, len(others), step):
+            self.some(mine, others[lo : lo + step])
+
+    def some(self, mine: np.ndarray, others: np.ndarray) -> None:
+        """Scores all pairs and keeps each query's best."""
         self.visited += len(mine) * len(others)
         found = self.q[mine] @ self.p[others].T
         found[self.qids[mine][:, None] == self.ids[others][None, :]] = -np.inf
+        better = found >= np.maximum(self.scores[mine, -1], self.floor[mine])[:, None]
+        asked = np.flatnonzero(better.any(axis=1))
+        if not len(asked):
+            return
+        some = np.flatnonzero(better.any(axis=0))
+        mine, others, found = mine[asked], others[some], found[np.ix_(asked, some)]
         scores = np.concatenate([self.scores[mine], found], axis=1)
         places = np.concatenate([self.places[mine], np.broadcast_to(others, found.shape)], axis=1)
         last = np.where(places < 0, np.iinfo(np.int64).max, places)
@@ -224,7 +240,7 @@ def _query_block(mine: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray,
     for length in sorted(set(lengths)):
         some = mine[lengths == length].sort_values("vec_id")
         vectors = np.stack(some["v"].to_list()).astype(np.float64)
-        out[int(length)] = (some["vec_id"].to_numpy(np.int64), vectors, cover_tree(vectors))
+        out[int(length)] = (some["vec_id"].to_numpy(np.int64), vectors, cover_tree(vectors, leaf=QUERY_LEAF))
     return out
 
 
