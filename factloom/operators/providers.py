@@ -40,9 +40,8 @@ def inverted_abstract(index: Column) -> Column:
     """The words by position; of words that claim one position the last counts, gaps are left out; null without any."""
     entries = F.map_entries(index)
     words = F.transform(entries, lambda e, n: F.transform(e["value"], lambda p: F.struct(p.alias("p"), n.alias("n"), e["key"].alias("w"))))
-    placed = F.array_sort(F.flatten(words))
-    last = F.filter(placed, lambda x, i: F.coalesce(F.get(placed, i + 1)["p"] != x["p"], F.lit(True)))
-    return F.when(F.size(last) > 0, F.array_join(F.transform(last, lambda x: x["w"]), " "))
+    last = urls.let(F.array_sort(F.flatten(words)), lambda placed: F.filter(placed, lambda x, i: F.coalesce(F.get(placed, i + 1)["p"] != x["p"], F.lit(True))))
+    return urls.let(last, lambda x: F.when(F.size(x) > 0, F.array_join(F.transform(x, lambda y: y["w"]), " ")))
 
 
 def is_venue(name: Column, kind: Column, version: Column) -> Column:
@@ -60,8 +59,7 @@ def openalex_locations(r: Column) -> Column:
 
 def _first_of_each(items: Column, key) -> Column:
     """Items whose key no earlier item has."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    return urls.let(items, lambda all_: urls.let(F.transform(all_, key), lambda keys: F.filter(all_, lambda x, i: F.array_position(keys, key(x)) == i + 1)))
 
 
 def openalex_venues(r: Column) -> Column:
@@ -137,8 +135,8 @@ def _identifier(scheme: Column | str, value: Column, revision: Column, provider:
 def last_of_each(identifiers: Column) -> Column:
     """Identifiers by scheme, value and revision: the last of each, where the first stood."""
     key = lambda x: F.concat_ws("\u0000", x["scheme"], x["value"], F.coalesce(x["revision"], F.lit("\u0001")))
-    keys = F.array_distinct(F.transform(identifiers, key))
-    return F.transform(keys, lambda k: F.element_at(F.filter(identifiers, lambda x: key(x) == k), -1))
+    last = lambda all_: F.transform(F.array_distinct(F.transform(all_, key)), lambda k: F.element_at(F.filter(all_, lambda x: key(x) == k), -1))
+    return urls.let(identifiers, last)
 
 
 def _located(provider: str, record_id: Column, items: Column) -> Column:
@@ -220,7 +218,7 @@ def with_official(rows: DataFrame, key: str) -> DataFrame:
         return F.struct(where.alias("location_id"), x["metadata_path"].alias("metadata_path"), urls.official_pdf(x).alias("pdf_url"), none.alias("landing_url"), none.alias("version"), none.alias("host_type"), none.alias("license"), F.array(x).cast(_ID).alias("identifiers"))
 
     more = F.transform(F.filter("identifiers", lambda x: x["scheme"].isin("arxiv", "acl")), official)
-    return rows.select(key, "target_revision", F.posexplode(F.concat("locations", more.cast(_LOC))).alias("ord", "loc"))
+    return rows.select(key, "target_revision", F.posexplode_outer(F.concat("locations", more.cast(_LOC))).alias("ord", "loc")).filter("loc is not null")  # outer: no filter that would evaluate the array again
 
 
 def merge_locations(located: DataFrame, key: str) -> DataFrame:

@@ -192,7 +192,7 @@ ids AS (SELECT doc_id, scheme, value, revision, arg_max(path, ord) AS metadata_p
 
 @query(f"WITH {_OA}, {_PLACES}, {_OA_IDS} SELECT doc_id, scheme, value, revision, metadata_path, row_number() OVER (PARTITION BY doc_id ORDER BY first_at) AS place FROM ids")
 def metadata_sources(spark, sf):
-    rows = R.openalex_sources(openalex(spark, sf)).select("doc_id", F.posexplode("identifiers").alias("at", "x"))
+    rows = R.openalex_sources(openalex(spark, sf)).select("doc_id", F.posexplode_outer("identifiers").alias("at", "x")).filter("x is not null")
     return rows.select("doc_id", "x.scheme", "x.value", "x.revision", "x.metadata_path", (F.col("at") + 1).alias("place"))
 
 
@@ -201,7 +201,7 @@ def metadata_sources(spark, sf):
     FROM located JOIN oa ON located.doc_id = oa.doc_id WHERE pdf IS NOT NULL OR page IS NOT NULL"""
 )
 def metadata_locations(spark, sf):
-    rows = R.openalex_sources(openalex(spark, sf)).select("doc_id", F.explode("locations").alias("x"))
+    rows = R.openalex_sources(openalex(spark, sf)).select("doc_id", F.explode_outer("locations").alias("x")).filter("x is not null")
     return rows.select("doc_id", "x.location_id", "x.metadata_path", "x.pdf_url", "x.landing_url", "x.version", "x.host_type")
 
 
@@ -230,7 +230,7 @@ def dedup_identifiers(spark, sf):
     """The identifiers of both providers' records of a paper, the last of each where the first stood."""
     a = R.openalex_sources(openalex(spark, sf)).select("doc_id", F.col("identifiers").alias("a"))
     b = R.s2_sources(semantic_scholar(spark, sf)).select("doc_id", F.col("identifiers").alias("b"))
-    both = a.join(b, "doc_id").select("doc_id", F.posexplode(R.last_of_each(F.concat("a", "b"))).alias("at", "x"))
+    both = a.join(b, "doc_id").select("doc_id", F.posexplode_outer(R.last_of_each(F.concat("a", "b"))).alias("at", "x")).filter("x is not null")
     return both.select("doc_id", "x.scheme", "x.value", "x.revision", "x.metadata_path", (F.col("at") + 1).alias("place"))
 
 
