@@ -11,7 +11,7 @@ def write_report(sections: DataFrame, folder: str, title: str) -> None:
     """One JSON line for each section, and the title in each, in order of section_index; a folder that is there is an error."""
     from pyspark.sql import functions as F
 
-    sections.withColumn("report_title", F.lit(" ".join(title.split()) or "Literature review")).repartitionByRange("section_index").sortWithinPartitions("section_index").write.json(folder)
+    sections.withColumn("report_title", F.lit(" ".join(title.split()) or "Untitled review")).repartitionByRange("section_index").sortWithinPartitions("section_index").write.json(folder)
 
 
 def write_papers(papers: DataFrame, events: DataFrame, folder: str) -> None:
