@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, jaccard, langid, licences, mixing, quality, repeats, secretscan, topk, toxicity
+from . import audit, common, decontaminate, jaccard, langid, licences, mixing, quality, repeats, secretscan, sharding, topk, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,7 +57,19 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_language_id, op4_repeated_passages, op5_toxicity, op6_quality, op7_secret_scan, op8_ngram_jaccard, op9_exact_topk, op10_licence_scan)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(common.table(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placed(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_decontaminate, op3_language_id, op4_repeated_passages, op5_toxicity, op6_quality, op7_secret_scan, op8_ngram_jaccard, op9_exact_topk, op10_licence_scan, op11_filter_audit, op12_whitening, op13_sharding)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": r"""
@@ -127,5 +139,41 @@ scored AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+""",
+    "op11_filter_audit": r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+known AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+  FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CAST(len(words) < 200 AS INTEGER)
+         + 2 * CAST(100 * len(list_distinct(words)) < 50 * len(words) AS INTEGER)
+         + 4 * CAST(100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) AS INTEGER)
+         + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER)
+         + 16 * CAST(coalesce(first < texts.doc_id, false) AS INTEGER) AS fails
+  FROM texts LEFT JOIN known ON texts.doc_id = known.doc_id),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(letter, bit)),
+orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS own, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS before
+  FROM orders, range(1, 6) AS r(step)),
+counts AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM failed GROUP BY ALL),
+found AS (
+  SELECT part, filter_order, step, own,
+         CAST(coalesce(sum(n) FILTER (fails & (own | before) = 0), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(n) FILTER (fails & own <> 0 AND fails & before = 0), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (fails & own <> 0 AND fails & before <> 0), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (fails = own), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(n_good) FILTER (fails & own <> 0 AND fails & before = 0), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(n_toxic) FILTER (fails & own <> 0 AND fails & before = 0), 0) AS BIGINT) AS toxic_lost
+  FROM counts, steps GROUP BY ALL)
+SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM found
 """,
 }
