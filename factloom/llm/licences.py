@@ -35,6 +35,7 @@ from . import common
 from .wordhash import ngram_hashes, text_buffers, word_chunks
 
 LEAST_DICE = 0.8
+SAME_PLACE = 0.8  # windows this near in length stand for one place
 
 #: The opening or short notices of common licences.
 TEMPLATES = {
@@ -168,13 +169,17 @@ class Templates:
                 yield name, *best
 
     def matches(self, text: str | None, which: set[int] | None = None) -> list[tuple[str, float, int, int]]:
-        """(licence, coefficient, start, end) of the best window for each template."""
+        """(licence, coefficient, start, end) of the best window for each template.
+
+        A window gives way only to a nearer template whose window overlaps it and is about as long or longer
+        (``SAME_PLACE``): a short notice inside a licence doesn't take the licence's place.
+        """
         if which is None:
             which = self.candidates(pa.array([text], pa.string())).get(0, set())
         found = sorted((-value, start, end, name) for name, value, start, end in (self.windows(text, which) if text and which else ()))
         kept: list[tuple[float, int, int, str]] = []
         for x in found:  # of templates for one place, the nearest
-            if not any(x[1] < y[2] and y[1] < x[2] and x[0] > y[0] for y in kept):
+            if not any(x[1] < y[2] and y[1] < x[2] and x[0] > y[0] and y[2] - y[1] >= SAME_PLACE * (x[2] - x[1]) for y in kept):
                 kept.append(x)
         return sorted((name, -value, start, end) for value, start, end, name in kept)
 
