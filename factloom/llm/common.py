@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +73,13 @@ class Scratch:
             self.spark._jvm.System.gc()  # Spark deletes shuffle files of plans that are gone
 
 
+def no_clash(kept: Iterable[str], made: Iterable[str]) -> None:
+    """An error if a column to be kept has the name of one that is made."""
+    both = sorted(set(kept) & set(made))
+    if both:
+        raise ValueError(f"the input has a column {both[0]} already")
+
+
 def id_remainder(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id has remainder null."""
     return F.crc32(F.col(column).cast("string")) % F.lit(modulus)

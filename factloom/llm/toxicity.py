@@ -18,7 +18,9 @@ those that pass.  No label, language, source or id is an input of a score.
 Defined results: null and empty texts score like a text without a match; labels that are
 null, without a document, or repeated and at odds aren't learned from; of documents that repeat an id one
 is learned from; without both classes to learn from, the seed lexicon and fixed coefficients
-serve; repeated rows are scored alike.
+serve; repeated rows are scored alike; an empty table gives no rows; a text of any length is read
+whole, clause by clause; columns of the input other than those named are ignored, and one to be kept
+may not have the name of a result.
 """
 
 from __future__ import annotations
@@ -52,6 +54,7 @@ SEED: dict[str, str] = {
         du dich dir dein deine ihr euch euer sie er ihn ihnen tu toi te vous votre vos ils elles lui eux tú ti usted ustedes vosotros él ella ellos ellas""",
     INTENT: "will shall gonna going ll must werde werden wird vais allons va voy vamos",
     NEGATION: """not no never neither nor without hardly isn aren wasn weren don doesn didn
+        cannot cant wont dont doesnt didnt isnt arent wasnt werent shouldnt wouldnt couldnt
         nicht kein keine keinen keiner nie niemals ohne pas jamais sans aucun aucune nunca jamás sin ningún ninguna""",
     REPORT: """said says say saying told wrote writes claimed called calls quoted according alleged reported
         sagte sagt schrieb behauptete nannte laut dit disait écrit affirmé selon dijo dice escribió afirmó según""",
@@ -66,6 +69,9 @@ THREAT_AIMED, THREAT_LOOSE, THREAT_MEANT, THREAT_UNMEANT = 0.6, 0.15, 1.0, 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»]")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
+_CONTRACTED = re.compile(r"n['’]t\b")
+#: A colon that introduces speech or a quotation ends no clause.
+_SPEECH = re.compile(rf"\b({'|'.join(SEED[REPORT].split())})\b((?:[^\S\n]+\w+){{0,3}})[^\S\n]*:|:(?=[^\S\n]*[\"“„«])")
 _STEMS = (4, 5, 6)
 
 Arc = tuple[str, float, Hashable]  # symbol written, weight, next state
@@ -208,6 +214,12 @@ def composed() -> Transducer:
     return _COMPOSED[0]
 
 
+def clauses_of(text: str | None) -> list[str]:
+    """The clauses of a text in lower case: ``n't`` read as ``not``, speech kept with what introduces it."""
+    low = _CONTRACTED.sub(" not", (text or "").lower())
+    return _CLAUSE.split(_SPEECH.sub(r"\1\2 ", low) if ":" in low else low)
+
+
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, in lower case."""
     found = _WORD.findall((text or "").lower())
@@ -255,7 +267,7 @@ class Grammar:
     def clauses(self, text: str | None) -> list[float]:
         """Scores of the clauses that match, in order."""
         out = []
-        for part in _CLAUSE.split((text or "").lower()):
+        for part in clauses_of(text):
             tokens = _TOKEN.findall(part)
             if any(map(self.hit, tokens)) and (value := self.clause(tokens)) > 0:
                 out.append(value)
@@ -376,6 +388,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, most_rows: int = 1
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` with score and n_clauses for every row."""
+    common.no_clash(keep, ("score", "n_clauses"))
     source = docs.select(*keep, F.col("text").alias("__text"))
     kept = [f for f in source.schema.fields if f.name != "__text"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["score double", "n_clauses long"])
