@@ -1,7 +1,9 @@
 """Secret scan: fixed credential patterns, and guess cost of values in credential context.
 
 The base patterns mark assignments, access keys and hexadecimal runs.  Besides, a value
-that stands after a credential word is split by dynamic programming into words, dates,
+that stands in credential context (after a credential word and ``=``, ``:``, ``:=``, ``=>`` or
+``is``, after an option ``--password``, in an element ``<password>``, after ``Bearer``, or as the
+password of a URL) is split by dynamic programming into words, dates,
 repeats, sequences, keyboard walks and brute-force spans at the least total guess cost
 (log10 of guesses); a value that takes at least ``least_cost`` is a span of kind ``guess``, unless a base span holds it.
 Words are ranked by the number of the table's documents that hold them, after a few common passwords.
@@ -9,7 +11,7 @@ After ``is`` a value counts only if it has a digit, a symbol or a capital inside
 Positions are code points of the whole text, ends exclusive.
 
 Defined results: a null text counts as empty; an empty text has no spans and the digest of
-the empty string; repeated rows give repeated rows; an empty table gives no rows; other
+the empty string; repeated rows give repeated rows; a text of any length is searched whole; an empty table gives no rows; other
 columns of the input are ignored by :func:`scan` and kept by :func:`redact`.
 """
 
@@ -42,9 +44,18 @@ _CONTEXT = re.compile(
     r"""(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z]))|(?=pass(?:word|wd|phrase)))
     (?:passphrase|passcode|password|passwd|pwd|(?:client[_-]?)?secret|(?:(?:auth|access)[_-]?)?token|credential|(?:private|access|auth|client|api)[_-]?key)
     s?[0-9]{0,8}(?:(?:[_-]|(?-i:(?<=[a-z0-9])[A-Z]))[A-Za-z0-9_-]{0,64})?
-    ["']?\]?\x20*(?P<sign>[:=]|\bis\b)\x20*(?:"(?P<double>[^"\n]{4,})"|'(?P<single>[^'\n]{4,})'|["']?(?P<bare>[!#-&(-~][!-~]{3,}))""",
+    ["']?\]?\x20*(?P<sign>:=|=>|[:=]|\bis\b)\x20*(?:"(?P<double>[^"\n]{4,})"|'(?P<single>[^'\n]{4,})'|["']?(?P<bare>[!#-&(-~][!-~]{3,}))""",
     re.IGNORECASE | re.ASCII | re.VERBOSE,
 )
+_NAMED = r"(?:passphrase|passcode|password|passwd|pwd|secret|token|credential|(?:private|access|auth|client|api)[_-]?key)s?"
+#: Other contexts, each with what a text must hold for it to be looked for; group ``value`` is what is priced.
+_OTHER_CONTEXTS = (
+    ("pass", re.compile(r"""(?<![A-Za-z0-9])pass["']?\x20*(?::=|=>|[:=])\x20*["']?(?P<value>[!#-&(-~][!-~]{3,})""", re.IGNORECASE | re.ASCII)),
+    ("-", re.compile(rf"""(?<![\w-])--?(?:[a-z]{{1,16}}[_-])?{_NAMED}\x20+(?P<value>[!#-&(-,./-~][!-~]{{3,}})""", re.IGNORECASE | re.ASCII)),
+    ("<", re.compile(rf"""<[^<>\n]{{0,64}}{_NAMED}[^<>\n]{{0,64}}>\x20*(?P<value>[^<>\s][^<>\n]{{2,4096}}[^<>\s])\x20*</""", re.IGNORECASE | re.ASCII)),
+    ("bearer", re.compile(r"""(?<![A-Za-z0-9])bearer\x20+(?P<value>[A-Za-z0-9._~+/=-]{8,})""", re.IGNORECASE | re.ASCII)),
+    ("://", re.compile(r"""://[^\s/:@]{1,64}:(?P<value>[^\s/@]{4,256})@""")),
+)
 _TELLING = re.compile(r"[0-9@#$%^&*+=_~|\\]|[a-z][A-Z]")  # what a value in a sentence has and a plain word hasn't
 PROSE_WORDS = 6  # a quoted value of this many plain words is a sentence
 
@@ -197,15 +208,27 @@ def _costly(value: str, sign: str, rank: dict[str, int], least_cost: float) -> b
 
 def guess_spans(text: str, least_cost: float = LEAST_COST, rank: dict[str, int] = _RANK) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of values in credential context that are costly to guess."""
-    if not _may_hold(text.lower()):
-        return []
-    out = []
-    for m in _CONTEXT.finditer(text):
+    low, out = text.lower(), []
+    for held, pattern in _OTHER_CONTEXTS:
+        for m in pattern.finditer(text) if held in low else ():
+            value = m["value"].rstrip(".,;:)]}>\"'")
+            if len(value) >= 4 and _TELLING.search(value) and _costly(value, "=", rank, least_cost):
+                out.append((m.start("value"), 3, m.start("value") + len(value)))
+    for m in _CONTEXT.finditer(text) if _may_hold(low) else ():
         g = next(name for name in ("double", "single", "bare") if m[name] is not None)
         value = m[g].rstrip(".,;:)]}>\"'") if g == "bare" else m[g]
         if len(value) >= 4 and _costly(value, m["sign"], rank, least_cost):
             out.append((m.start(g), 3, m.start(g) + len(value)))
-    return sorted(out)
+    return _apart(out)
+
+
+def _apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Sorted spans without those inside another: contexts can meet in one value."""
+    out: list[tuple[int, int, int]] = []
+    for s in sorted(set(spans), key=lambda s: (s[0], -s[2])):
+        if not out or s[2] > out[-1][2]:
+            out.append(s)
+    return out
 
 
 def _join(spans: list[tuple[int, int, int]]) -> str:
