@@ -31,8 +31,8 @@ _CHUNK_CHARS = 400_000
 _CELLS = 3_000_000
 _GRAMS = 16_384  # distinct trigrams whose vectors are held at once
 _LETTERS: list[np.ndarray] = []
-#: From this number of letters on, letter junk of a known script reaches higher cosines and clean text lies higher still.
-_LONG_LETTERS = 100
+#: A text of very many letters needs the cosine ``CEILING``, one of ``HALF`` letters the square root of half of it.
+CEILING, HALF = 0.16, 60.0
 
 
 @dataclass(frozen=True)
@@ -196,6 +196,7 @@ def fit(docs: DataFrame, training: Column, dimensions: int = 1024, most_per_lang
 
 def predict(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` with lang_pred, score and cosine for every row."""
+    common.no_clash(keep, ("lang_pred", "score", "cosine"))
     source = docs.select(*keep, F.col("text").alias("__text"))
     kept = [f for f in source.schema.fields if f.name != "__text"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double", "cosine double"])
@@ -210,20 +211,26 @@ def predict(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = ("doc_i
     return common.arrow_map(source, run, schema)
 
 
-def accepted(docs: DataFrame, profiles: Profiles, least_cosine: float = 0.11, long_more: float = 0.08) -> DataFrame:
-    """The rows, with all their columns, whose text has a language: not ``und``, and cosine at least ``least_cosine``.
+def needed_cosine(letters: int, ceiling: float = CEILING, half: float = HALF) -> float:
+    """The cosine that a text with so many letters in its distinct words needs to count as one of a language.
 
-    A text unlike all languages has a cosine of about 1 / sqrt(1024) = 0.03 by chance, and the
-    best of several; 0.11 is 3.5 times that.  Texts of 100 letters or more need ``long_more``
-    besides, as random letters share trigrams with a language of their script.
+    Texts of a language and letter junk of its script both gain cosine with the root of the
+    number of their trigrams, until common trigrams come again; the bound lies between them at
+    every length.  With few letters it falls to what chance gives (1 / sqrt(1024) = 0.03): too
+    short a text to tell stays.
     """
+    return ceiling * (letters / (letters + half)) ** 0.5
+
+
+def accepted(docs: DataFrame, profiles: Profiles, ceiling: float = CEILING, half: float = HALF) -> DataFrame:
+    """The rows, with all their columns, whose text has a language: not ``und``, and a cosine of at least :func:`needed_cosine`."""
     place = docs.columns.index("text")
     held = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def keeps(text: str | None, name: str, cosine: float) -> bool:
-        if name == UNDETERMINED or cosine < least_cosine:
+        if name == UNDETERMINED:
             return False
-        return cosine >= least_cosine + long_more or sum(map(str.isalpha, text)) < _LONG_LETTERS
+        return cosine >= ceiling or cosine >= needed_cosine(sum(map(str.isalpha, "".join(set(text.lower().split())))), ceiling, half)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
