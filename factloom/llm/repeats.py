@@ -314,8 +314,8 @@ def _hot_spans(docs: DataFrame, hot, side: int, scratch: common.Scratch) -> Data
 def find(docs: DataFrame, least_words: int = LEAST_WORDS, scratch: common.Scratch | None = None) -> DataFrame:
     """doc_id, start, end, n_words, other_doc, is_first for each repeated span (in words, end exclusive).
 
-    other_doc is the smallest id that shares a part of the span, or, for the document that is that
-    itself, the largest; is_first tells that the document's own id is the smallest.
+    other_doc is the smallest other id that a comparison of the span's parts gave; is_first tells that the
+    document's own id is smaller than that.  Parts of one span may have other first holders; :func:`lost` goes by parts.
     """
     if least_words < KEY_WORDS + WINDOW - 1:
         raise ValueError(f"passages under {KEY_WORDS + WINDOW - 1} words may hold no kept place")
@@ -344,9 +344,58 @@ def find(docs: DataFrame, least_words: int = LEAST_WORDS, scratch: common.Scratc
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def strip(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """All rows and columns, the text without those spans that aren't the first of their kind."""
-    cut = spans.filter("not is_first").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__repeats_spans")).withColumnRenamed("doc_id", "__repeats_id")
+def lost(docs: DataFrame, spans: DataFrame, least_words: int = LEAST_WORDS, scratch: common.Scratch | None = None) -> DataFrame:
+    """doc_id and __repeats_spans, the (start, end) of words that repeat passages first held by documents of smaller id.
+
+    Every run of ``least_words`` words inside the spans is counted by its 128-bit hash, so its
+    first holder is known.  Words of runs that a document is the first to hold stay, so each
+    passage stays whole in its first holder; words of other runs go.  The first holders join back
+    by hash and id, so that runs which very many documents hold spread over tasks.
+    """
+    scratch = scratch or common.Scratch(docs.sparkSession)
+    inside = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__repeats_spans")).withColumnRenamed("doc_id", "__repeats_id")
+    held = docs.select("doc_id", F.col("text").alias("__text")).join(inside, F.col("doc_id") == F.col("__repeats_id")).drop("__repeats_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+            offsets, data = text_buffers(batch.column(1))
+            for c in word_chunks(offsets, data):
+                for d, (lo, hi) in enumerate(zip(c.bounds, c.bounds[1:], strict=False)):
+                    words = c.hashes[lo:hi]
+                    for s in at[c.first + d]:
+                        part = words[s["start"] : s["end"]]
+                        if len(part) < least_words:
+                            continue
+                        whole, half = ngram_hashes(part, least_words), ngram_hashes(part, least_words // 2)[: len(part) - least_words + 1]
+                        places = np.arange(s["start"], s["start"] + len(whole), dtype=np.int32)
+                        rows = [pa.array(whole.view(np.int64)), pa.array(half.view(np.int64)), pa.array(np.full(len(whole), ids[c.first + d])), pa.array(places)]
+                        yield from common.sliced(pa.RecordBatch.from_arrays(rows, names=["a", "b", "doc_id", "at"]), 10_000)
+
+    runs = scratch.save(common.arrow_map(held, run, "a long, b long, doc_id long, at int"))
+    first = runs.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), (F.min("doc_id") < F.max("doc_id")).alias("own"))  # not own: a run across passages that no other document holds
+    marked = runs.join(first, ["a", "b", "doc_id"], "left").groupBy("doc_id")
+    marked = marked.agg(*[F.sort_array(F.collect_list(F.when(which, F.col("at")))).alias(name) for name, which in (("stay", F.col("own")), ("go", F.col("own").isNull()))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for stay, go in zip(batch.column("stay").to_pylist(), batch.column("go").to_pylist(), strict=True):
+                gone = np.zeros(max(stay + go, default=0) + least_words + 1, dtype=np.int8)
+                for at in go:
+                    gone[at : at + least_words] = 1
+                for at in stay:
+                    gone[at : at + least_words] = 0
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone])))
+                found.append([{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "__repeats_spans"])
+
+    return common.arrow_map(marked, cut, "doc_id long, __repeats_spans array<struct<start:int,end:int>>").filter(F.size("__repeats_spans") > 0)
+
+
+def strip(docs: DataFrame, spans: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """All rows and columns, the text without words of passages that a document of smaller id holds first (:func:`lost`).  Rows that repeat an id lose what any of them loses; a null id loses nothing."""
+    cut = lost(docs, spans, least_words).withColumnRenamed("doc_id", "__repeats_id")
     joined = docs.join(cut, F.col("doc_id") == F.col("__repeats_id"), "left").drop("__repeats_id")
     names, place = docs.columns, docs.columns.index("text")
 
@@ -357,6 +406,8 @@ def strip(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 if found and texts[i]:
                     at = [(m.start(), m.end()) for m in _WORD.finditer(texts[i])]
                     for s in reversed(found):
+                        if s["start"] >= len(at):
+                            continue
                         lo, hi = at[s["start"]][0], at[min(s["end"], len(at)) - 1][1]
                         texts[i] = texts[i][:lo] + texts[i][hi:]
             columns = list(batch.columns[:-1])
