@@ -93,12 +93,6 @@ def limitation_cue(spark, sf):
     return A.chunks(spark, sf).filter(text.limitation_cue(F.concat_ws(" ", "section", "text"))).select("chunk_id")
 
 
-@query(f"WITH {CHUNKS}, s AS (SELECT chunk_id, substr(text, 1, 24) AS t FROM chunks) SELECT chunk_id FROM s WHERE len(regexp_extract_all(t, '{WORD}')) >= 4")
-def min_words(spark, sf):
-    """Chunks of four words or more, of texts cut so short that some have fewer."""
-    return A.chunks(spark, sf).filter(text.word_count(F.substring("text", 1, 24)) >= 4).select("chunk_id")
-
-
 @query(f"WITH {CHUNKS} SELECT chunk_id, row_number() OVER (PARTITION BY paper_id ORDER BY ord) AS place FROM chunks WHERE length(trim(text)) >= 20 AND len(regexp_extract_all(text, '{WORD}')) >= 4")
 def min_chars(spark, sf):
     kept = A.chunks(spark, sf).filter((F.length(F.btrim("text")) >= 20) & (text.word_count(F.col("text")) >= 4))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -114,14 +114,13 @@ def directions_det(spark, sf):
 
 
 @query(
-    f"""WITH {_ALL}, {_EVIDENCE}, few AS (SELECT * FROM usable WHERE paper_id = (SELECT min(paper_id) FROM usable WHERE include AND paper_id IN (SELECT paper_id FROM evidence)))
+    f"""WITH {_ALL}, {_EVIDENCE}, few AS (SELECT paper_id FROM usable WHERE include ORDER BY utility DESC, paper_id LIMIT 1)
     SELECT 'fallback' AS direction, paper_id, chunk_id FROM evidence WHERE paper_id IN (SELECT paper_id FROM few)"""
 )
 def directions_fallback(spark, sf):
-    """The same for a corpus with one usable paper and no claims on limitations."""
-    assessed, evidence = _assessed(spark, sf), _evidence(spark, sf)
-    first = assessed.filter("include").join(evidence, "paper_id", "left_semi").agg(F.min("paper_id").alias("paper_id"))
-    return N.directions(assessed.join(F.broadcast(first), "paper_id"), evidence, _notes(spark, sf).limit(0))
+    """The same where utilities are half as high, so that none converge, and no claim is on limitations: the best paper's evidence."""
+    assessed = _assessed(spark, sf).withColumn("utility", F.col("utility") / 2)
+    return N.directions(assessed, _evidence(spark, sf), _notes(spark, sf).filter("aspect <> 'limitations'"))
 
 
 # ---- a model's notes, outlines and sections ----
@@ -219,9 +218,10 @@ def join_sources(spark, sf):
     return out.select("paper_id", F.coalesce("source_path", F.lit("unavailable")).alias("source_path"), F.coalesce("claims", F.lit(0)).alias("claims"))
 
 
-@query(f"WITH {_ALL} SELECT paper_id FROM usable WHERE include INTERSECT SELECT paper_id FROM pack WHERE paper_id % 2 = 0")
+@query(f"WITH {_ALL} SELECT paper_id FROM usable WHERE include INTERSECT SELECT paper_id FROM pack WHERE section = '3 Method'")
 def set_sources(spark, sf):
-    return _assessed(spark, sf).filter("include").select("paper_id").intersect(_pack(spark, sf).filter("paper_id % 2 = 0").select("paper_id"))
+    """Usable papers whose pack has a chunk on the method."""
+    return _assessed(spark, sf).filter("include").select("paper_id").intersect(_pack(spark, sf).filter("section = '3 Method'").select("paper_id"))
 
 
 # ---- assessments against what was sent ----
@@ -290,13 +290,14 @@ def follow_up_round(spark, sf):
     return S.follow_ups(asked, "conv_id", ["turn"]).select("conv_id", "query", "place", "round")
 
 
-_ROUNDS = "both_rounds AS (SELECT paper_id, query_group AS query_ord, rank, 'initial' AS round FROM ranked WHERE paper_id % 3 <> 0 UNION ALL SELECT paper_id, query_group + 10, rank, 'follow_up' FROM ranked WHERE paper_id % 2 = 0)"
+_ROUNDS = "both_rounds AS (SELECT paper_id, query_group AS query_ord, rank, 'initial' AS round FROM ranked WHERE citation_count IS NOT NULL UNION ALL SELECT paper_id, query_group + 10, rank, 'follow_up' FROM ranked WHERE year >= 2020)"
 
 
 def _rounds(spark, sf) -> DataFrame:
+    """The first round finds papers with known citations, the follow-up recent ones."""
     r = _ranked(spark, sf)
-    first = r.filter("paper_id % 3 <> 0").select("paper_id", F.col("query_group").alias("query_ord"), "rank")
-    second = r.filter("paper_id % 2 = 0").select("paper_id", (F.col("query_group") + 10).alias("query_ord"), "rank")
+    first = r.filter("citation_count is not null").select("paper_id", F.col("query_group").alias("query_ord"), "rank")
+    second = r.filter("year >= 2020").select("paper_id", (F.col("query_group") + 10).alias("query_ord"), "rank")
     return S.union_rounds(first, second)
 
 
@@ -461,16 +462,26 @@ def display_order(spark, sf):
 
 _PARTS = ["## Abstract", "## 1 Introduction", "## 2 Method", "### 2.1 Ranking", "### 2.2 Data", "## Results", "## Appendix", "### A.1 Additional Results", "### C.2 Extra Proof", "## References"]
 _PATHS = ["Abstract", "1 Introduction", "2 Method", "2 Method > 2.1 Ranking", "2 Method > 2.2 Data", "Results", "Appendix", "Appendix > A.1 Additional Results", "Appendix > C.2 Extra Proof", "References"]
+#: A document's words, a tenth to each section and 20 to each paragraph; twelve paragraphs make a chunk, and a last one of under four words goes with those before.
 _MD = rf"""words AS (SELECT doc_id AS paper_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents),
-parts AS (SELECT paper_id, k, array_to_string(ws[k * 20 + 1 : k * 20 + 20], ' ') AS text, len(ws[k * 20 + 1 : k * 20 + 20]) AS n, ({_PATHS!r})[k + 1] AS path FROM words, (SELECT unnest(range(10)) AS k)),
-md AS (SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY k) AS ord, 'Paper ' || paper_id || ' > ' || path AS section, path, k, text, n FROM parts WHERE length(text) >= 20)"""
+parts AS (SELECT paper_id, k, {_PATHS!r}[k + 1] AS path, ws[k * ((len(ws) + 9) // 10) + 1 : (k + 1) * ((len(ws) + 9) // 10)] AS ws FROM words, (SELECT unnest(range(10)) AS k)),
+paragraphs AS (SELECT paper_id, k, path, j, ws[j * 20 + 1 : j * 20 + 20] AS ws FROM (SELECT *, unnest(range(0, (len(ws) + 19) // 20)) AS j FROM parts)),
+packed AS (SELECT paper_id, k, path, CASE WHEN j > 0 AND j % 12 = 0 AND len(ws) < 4 THEN j // 12 - 1 ELSE j // 12 END AS c, string_agg(array_to_string(ws, ' '), chr(10) || chr(10) ORDER BY j) AS text, sum(len(ws)) AS n FROM paragraphs GROUP BY ALL),
+md AS (SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY k, c) AS ord, paper_id || '-c' || row_number() OVER (PARTITION BY paper_id ORDER BY k, c) AS chunk_id, 'Paper ' || paper_id || ' > ' || path AS section, path, text, n FROM packed WHERE length(text) >= 20)"""
+
+
+def _paragraphs(words: Column) -> Column:
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(20)), lambda at: at <= F.size(words))
+    return F.array_join(F.transform(starts, lambda at: F.array_join(F.slice(words, at, F.lit(20)), " ")), "\n\n")
 
 
 def markdown(spark, sf) -> DataFrame:
-    """paper_id and text of Markdown documents: the words of each document, 20 for each of ten sections."""
+    """paper_id and text of Markdown documents: all words of each document, a tenth in each of ten sections, in paragraphs of 20."""
     words, pieces = text.words(F.col("text")), [F.concat(F.lit("# Paper "), F.col("doc_id").cast("string"))]
+    size = F.floor((F.size("__words") + 9) / 10).cast("int")
     for k, heading in enumerate(_PARTS):
-        pieces.append(F.concat(F.lit(f"\n\n{heading}\n\n"), F.array_join(F.slice("__words", k * 20 + 1, 20), " ")))
+        part = F.slice("__words", k * size + 1, size)
+        pieces.append(F.concat(F.lit(f"\n\n{heading}\n\n"), _paragraphs(part)))
     return A.read(spark, sf, "documents").withColumn("__words", words).select(F.col("doc_id").alias("paper_id"), F.concat(*pieces).alias("text"))
 
 
@@ -478,17 +489,23 @@ def _md_chunks(spark, sf) -> DataFrame:
     return C.chunk_sections(markdown(spark, sf))
 
 
-@query(f"WITH {_MD} SELECT paper_id, ord, paper_id || '-c' || ord AS chunk_id, section, text FROM md")
+@query(f"WITH {_MD} SELECT paper_id, ord, chunk_id, section, text FROM md")
 def chunk_sections(spark, sf):
     return _md_chunks(spark, sf)
 
 
-@query(f"WITH {_MD} SELECT paper_id, paper_id || '-c' || ord AS chunk_id FROM md WHERE n >= 4 AND path <> 'References' AND path NOT IN ('Appendix', 'Appendix > C.2 Extra Proof')")
+@query(f"WITH {_MD} SELECT paper_id, chunk_id FROM md WHERE n >= 4 AND path <> 'References' AND path NOT IN ('Appendix', 'Appendix > C.2 Extra Proof')")
 def prep_docs(spark, sf):
     """Chunks without references, without appendix chunks of no category, and without those under four words."""
     return C.prepared(_md_chunks(spark, sf)).select("paper_id", "chunk_id")
 
 
+@query(f"WITH {_MD} SELECT chunk_id FROM md WHERE n >= 4")
+def min_words(spark, sf):
+    """Chunks of four words or more; ends of sections may have fewer."""
+    return _md_chunks(spark, sf).filter(text.word_count(F.col("text")) >= 4).select("chunk_id")
+
+
 _ASPECT = "CASE WHEN path LIKE '2 Method%' THEN '2 Method' WHEN path LIKE 'Appendix%' THEN 'Appendix' ELSE path END"
 
 
