@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import scores, sections, text, urls
 from ..operators import chunks as C
 from ..operators import decisions as D
+from ..operators import pacing
 from ..operators import papers as P
 from ..operators import state as S
 from ..sources import adapters as A
 from ..streaming import events as E
+from ..streaming import pacing as streamed_pacing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -539,6 +541,70 @@ def tpm_window(spark, sf):
     return D.token_window(events, "event_type", 60).select("event_id", "used")
 
 
+#: The log's 30 days replayed in an hour, each user with a key of 7,700 tokens a minute.
+_REQUESTS = "requests AS (SELECT event_id, user_id, epoch_us(ts) // 720 AS came, CAST(abs(value) * 100 AS BIGINT) AS tokens FROM events)"
+
+
+def _requests(events: DataFrame) -> DataFrame:
+    return events.select("event_id", "user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 720).alias("at"), F.round(F.abs("value") * 100).cast("long").alias("tokens"))
+
+
+_ADMISSION = f"""WITH RECURSIVE {_REQUESTS},
+numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY came, event_id) AS n FROM requests),
+asked AS (
+  SELECT CAST(NULL AS BIGINT) AS event_id, user_id, 0 AS n, CAST(NULL AS BIGINT) AS admitted_at, CAST(NULL AS BIGINT) AS wait, CAST(NULL AS BIGINT) AS used,
+         CAST(-1 AS BIGINT) AS last, CAST([] AS STRUCT(t BIGINT, k BIGINT)[]) AS held FROM (SELECT DISTINCT user_id FROM requests)
+  UNION ALL
+  SELECT event_id, user_id, n, CASE WHEN fits THEN go END, CASE WHEN fits THEN go - came END, CASE WHEN fits THEN CAST(coalesce(list_sum(list_transform(list_filter(live, lambda e: go - e.t < 60000000), lambda e: e.k)), 0) AS BIGINT) END,
+         CASE WHEN fits THEN go ELSE last END,
+         CASE WHEN fits THEN list_append(list_filter(live, lambda e: go - e.t < 60000000), {{'t': go, 'k': tokens}}) ELSE held END
+  FROM (
+    SELECT *, CASE WHEN need <= 0 THEN now ELSE greatest(now + 100000, live[list_min(list_filter(range(1, len(live) + 1), lambda k: list_sum(list_transform(live[1:k], lambda e: e.k)) >= need))].t + 60000000) END AS go
+    FROM (
+      SELECT *, coalesce(list_sum(list_transform(live, lambda e: e.k)), 0) + tokens - 7700 AS need
+      FROM (
+        SELECT r.event_id, r.user_id, r.n, r.came, r.tokens, a.last, a.held, r.tokens <= 7700 AS fits, greatest(r.came, a.last) AS now,
+               list_filter(a.held, lambda e: greatest(r.came, a.last) - e.t < 60000000) AS live
+        FROM asked a JOIN numbered r ON r.user_id = a.user_id AND r.n = a.n + 1))))
+SELECT event_id, admitted_at, wait, used FROM asked WHERE n > 0"""
+
+
+@query(_ADMISSION)
+def tpm_admission(spark, sf):
+    """When each request goes that 60 seconds' tokens have to leave room for; one above the budget is refused."""
+    return pacing.admitted(_requests(A.read(spark, sf, "events")), "user_id", "at", "event_id", 7700).select("event_id", "admitted_at", "wait", "used")
+
+
+@query(_ADMISSION)
+def stream_tpm_admission(spark, sf):
+    """The same with the window of each key as a stream's state."""
+    stream = _requests(E.read_stream(spark, f"{sf}/events.parquet"))
+    return streamed_pacing.admitted(stream, "user_id", "at", "event_id", 7700, E.shared_folder(spark)).select("event_id", "admitted_at", "wait", "used")
+
+
+@query(
+    """WITH RECURSIVE numbered AS (SELECT event_id, event_type, epoch_us(ts) AS came, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+called AS (
+  SELECT CAST(NULL AS BIGINT) AS event_id, event_type, 0 AS n, CAST(NULL AS BIGINT) AS slot, CAST(NULL AS BIGINT) AS call_at, CAST(NULL AS BIGINT) AS nth,
+         CAST(-1 AS BIGINT) AS day, CAST([0, 0, 0] AS BIGINT[]) AS free, CAST([0, 0, 0] AS BIGINT[]) AS calls FROM (SELECT DISTINCT event_type FROM events)
+  UNION ALL
+  SELECT event_id, event_type, n, k - 1, CASE WHEN k IS NOT NULL THEN greatest(came, free[k]) END, CASE WHEN k IS NOT NULL THEN calls[k] + 1 END, day,
+         list_transform([1, 2, 3], lambda i: CASE WHEN i = k THEN greatest(came, free[k]) + 13000000 ELSE free[i] END),
+         list_transform([1, 2, 3], lambda i: calls[i] + CAST(coalesce(i = k, false) AS BIGINT))
+  FROM (
+    SELECT event_id, event_type, n, came, day, free, calls,
+           list_sort(list_filter([{'f': greatest(free[1], came), 'i': 1, 'c': calls[1]}, {'f': greatest(free[2], came), 'i': 2, 'c': calls[2]}, {'f': greatest(free[3], came), 'i': 3, 'c': calls[3]}], lambda x: x.c < 20))[1].i AS k
+    FROM (
+      SELECT r.event_id, r.event_type, r.n, r.came, r.came // 86400000000 AS day, c.free, CASE WHEN r.came // 86400000000 = c.day THEN c.calls ELSE CAST([0, 0, 0] AS BIGINT[]) END AS calls
+      FROM called c JOIN numbered r ON r.event_type = c.event_type AND r.n = c.n + 1)))
+SELECT event_id, slot, call_at, nth FROM called WHERE n > 0"""
+)
+def rate_schedule(spark, sf):
+    """Each call's key of three, the time it goes and its number of that key's day; refused once all have had 20."""
+    calls = A.read(spark, sf, "events").select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return pacing.scheduled(calls, "event_type", "at", "event_id", 3).select("event_id", "slot", "call_at", "nth")
+
+
 @query("SELECT event_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS gap, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS nth FROM events")
 def rate_gap(spark, sf):
     return D.request_gaps(A.read(spark, sf, "events"), "user_id", ["ts", "event_id"]).select("event_id", "gap", "nth")
