@@ -15,6 +15,7 @@ from ..operators import pacing
 from ..operators import papers as P
 from ..operators import state as S
 from ..sources import adapters as A
+from ..sources import sinks
 from ..streaming import events as E
 from ..streaming import pacing as streamed_pacing
 
@@ -654,6 +655,27 @@ def sink_make_papers(spark, sf):
     return papers.join(A.screened(spark, sf), "paper_id", "left").withColumn("warning", F.col("priority").isNull())
 
 
+@query(f"WITH {PAPERS}, {_SCREEN} SELECT p.paper_id, p.title, p.year, p.citation_count, p.venue, s.priority FROM papers p LEFT JOIN screened s ON p.paper_id = s.paper_id")
+def sink_papers(spark, sf):
+    """Papers published with the event log, read back from what was published."""
+    papers = A.papers(spark, sf).select("paper_id", "title", "year", "citation_count", "venue").join(A.screened(spark, sf), "paper_id", "left")
+    papers = papers.withColumns({"url": F.lit(None).cast("string"), "pdf_url": F.lit(None).cast("string")})
+    folder = E.shared_folder(spark)
+    sinks.write_papers(papers, A.read(spark, sf, "events").select("event_id", "user_id", "event_type"), folder)
+    return sinks.published(spark, folder, "papers", "papers").drop("url", "pdf_url")
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def sink_atomic(spark, sf):
+    """Events published once, then again with papers whose task fails: the first publication is what is read."""
+    folder, events = E.shared_folder(spark), A.read(spark, sf, "events").select("event_id", "user_id", "event_type")
+    sinks.publish({"events": events}, folder, "papers")
+    broken = A.papers(spark, sf).select(F.when(F.col("paper_id") >= 0, F.raise_error(F.lit("a failing task"))).otherwise(F.col("paper_id")).alias("paper_id"))
+    if sinks.saved("papers", sinks.publish, {"events": events.limit(0), "papers": broken}, folder, "papers") is not None:
+        raise RuntimeError("a failed write was published")
+    return sinks.published(spark, folder, "papers", "events")
+
+
 @query(f"WITH {PAPERS} SELECT query_group, 'DOC_' || row_number() OVER (PARTITION BY query_group ORDER BY ord) AS doc, paper_id FROM papers")
 def join_doc_ids(spark, sf):
     place = F.row_number().over(W.partitionBy("query_group").orderBy("ord"))

@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -219,13 +220,40 @@ def test_load_env(tmp_path):
 
 
 def test_sinks(spark, tmp_path):
+    out = str(tmp_path / "out")
     papers = spark.createDataFrame([("p", "https://u:x@e.org/a?token=1&id=2", None)], "paper_id string, url string, pdf_url string")
     events = spark.createDataFrame([("p", 1)], "paper_id string, seq int")
-    for _ in range(2):
-        sinks.write_papers(papers, events, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out" / "papers")).collect()[0]["url"] == "https://e.org/a?id=2"
+    at = datetime(2026, 10, 2)
+    assert sinks.write_papers(papers, events, out, at) == "papers_20261002_000000_000000"
+    found = sinks.published(spark, out, "papers", "papers")
+    assert found.schema == papers.schema and found.collect()[0]["url"] == "https://e.org/a?id=2"
+    assert sinks.published(spark, out, "papers", "events").collect() == events.collect()
     sections = spark.createDataFrame([(2, "b"), (1, "a")], "section_index int, report string")
-    sinks.write_report(sections, str(tmp_path / "report"), " A  title ")
-    assert spark.read.json(str(tmp_path / "report")).select("report_title").distinct().collect()[0][0] == "A title"
-    sinks.write_stats(spark.createDataFrame([(1,)], "n int"), str(tmp_path / "stats"))
-    assert spark.read.json(str(tmp_path / "stats")).collect()[0]["n"] == 1
+    sinks.write_report(sections, out, " A  title ", at)
+    assert [tuple(r) for r in sinks.published(spark, out, "report", "sections").orderBy("section_index").collect()] == [(1, "a", "A title"), (2, "b", "A title")]
+    sinks.write_stats(spark.createDataFrame([(1,)], "n int"), out)
+    assert sinks.published(spark, out, "stats", "stats").collect()[0]["n"] == 1
+    with pytest.raises(FileExistsError):
+        sinks.write_papers(papers, events, out, at)
+    with pytest.raises(FileNotFoundError):
+        sinks.published(spark, out, "nothing", "papers")
+
+
+def test_a_failing_task_leaves_what_was_published(spark, tmp_path, capsys):
+    """The second table's task fails: neither new table shows, nothing is left of them, the old ones read as before."""
+    out = str(tmp_path / "out")
+    rows = lambda n: spark.range(n).withColumn("url", F.lit("https://e.org")).withColumn("pdf_url", F.lit(None).cast("string"))
+    sinks.write_papers(rows(3), spark.range(2), out, datetime(2026, 1, 1))
+    broken = spark.range(4).select(F.raise_error(F.lit("secret-key")).alias("id"))
+    assert sinks.saved("papers", sinks.write_papers, rows(5), broken, out, datetime(2026, 1, 2)) is None
+    said = capsys.readouterr().err
+    assert "Failed to save papers" in said and "secret-key" not in said
+    assert sinks.published(spark, out, "papers", "papers").count() == 3 and sinks.published(spark, out, "papers", "events").count() == 2
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["papers_20260101_000000_000000"]
+    # a writer that died before it published leaves a folder that no reader sees
+    rows(9).write.json(f"{out}/papers_20260101_120000_000000/papers")
+    assert sinks.published(spark, out, "papers", "papers").count() == 3
+    for day in (3, 4, 5):
+        sinks.write_papers(rows(day), spark.range(1), out, datetime(2026, 1, day))
+    assert sinks.publications(spark, out, "papers") == ["papers_20260104_000000_000000", "papers_20260105_000000_000000"]
+    assert sinks.published(spark, out, "papers", "papers").count() == 5
