@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..operators import clients as K
 from ..operators import identity as I
+from ..operators import recovery
 from ..sources import adapters as A
 from ..sources import fulltext
+from ..streaming import events as E
 from .cases import by_case
 from .queries import CHUNKS, _pairs, query
 
@@ -185,6 +187,47 @@ def fetch_pdf(spark, sf):
     return fulltext.fetch_bodies(A.read(spark, sf, "pages").select("page_id", url.alias("url")), by_url).select("page_id", F.octet_length("body").alias("size"), "reason")
 
 
+def web_by_length(url: str) -> bytes:
+    """A stand-in for the web: what a URL gives follows from its length, pages link to two PDFs."""
+    kind = len(url) % 4
+    if kind == 0:
+        raise TimeoutError
+    links = f'<html><a href="{url}-a.pdf">PDF</a><a href="{url}--b.pdf">PDF</a>'
+    return {1: b"%PDF-1.7 the paper", 2: links.encode(), 3: b"%PDF-1.7 another"}[kind]
+
+
+def _by_content(rows: DataFrame) -> DataFrame:
+    body = F.decode(F.substring("content", 1, 64), "ISO-8859-1")
+    return rows.withColumn("format", F.when(body.startswith("%PDF-"), "valid_pdf").otherwise("not_pdf")).withColumn("identity", F.when(body.endswith("the paper"), "confirmed").otherwise("mismatch"))
+
+
+def _web(spark, sf) -> DataFrame:
+    """Three locations of each page's paper: the provider's, another PDF's, a landing page."""
+    at = F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.lit(k).alias("place"), F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit(end)).alias("link")) for k, (s, end) in enumerate((("provider", ""), ("location", ".pdf"), ("landing_page", "/x")))]))
+    return A.read(spark, sf, "pages").filter("url is not null").select(F.col("page_id").alias("paper_id"), at.alias("x")).select("paper_id", "x.source", "x.place", F.col("x.link").alias("url"))
+
+
+#: What each round of a paper gives, by the length of its provider's URL (without query and fragment) modulo 4.
+_ROUNDS_OF = """web AS (SELECT page_id AS paper_id, length(regexp_replace(url, '[?#].*$', '')) % 4 AS kind FROM pages WHERE url IS NOT NULL),
+rounds AS (SELECT w.paper_id, r.* EXCLUDE (k) FROM web w JOIN (VALUES
+  (1, 1, 'provider', 'downloaded'), (3, 1, 'provider', 'mismatch'), (3, 2, 'location', 'mismatch'), (3, 3, 'landing_page', 'downloaded'),
+  (2, 1, 'provider', 'html_response'), (2, 2, 'location', 'html_response'), (2, 3, 'html_pdf', 'timeout'), (2, 4, 'html_pdf', 'downloaded'),
+  (0, 1, 'provider', 'timeout'), (0, 2, 'location', 'timeout'), (0, 3, 'landing_page', 'html_response'), (0, 4, 'html_pdf', 'timeout')) AS r(k, round, source, reason) ON r.k = w.kind)"""
+
+
+@query(f"WITH {_ROUNDS_OF} SELECT paper_id, round, source, reason FROM rounds")
+def recover_rounds(spark, sf):
+    """Every attempt of a recovery in rounds: locations, then links found on the way, to the first confirmed PDF or the end of the budget."""
+    return recovery.recover(_web(spark, sf), web_by_length, _by_content, E.shared_folder(spark)).select("paper_id", "round", "source", "reason")
+
+
+@query(f"WITH {_ROUNDS_OF} SELECT paper_id, CASE WHEN bool_or(reason = 'downloaded') THEN 'downloaded' ELSE 'recovery_exhausted' END AS outcome, max(round) AS rounds, max(source) FILTER (reason = 'downloaded') AS source FROM rounds GROUP BY paper_id")
+def download_one(spark, sf):
+    """What came of each paper's recovery."""
+    locations = _web(spark, sf)
+    return recovery.outcomes(locations, recovery.recover(locations, web_by_length, _by_content, E.shared_folder(spark)))
+
+
 by_case(
     "decode_body",
     "pages",
