@@ -103,7 +103,7 @@ class Index:
     """A block of benchmark items in the benchmark's latent space."""
 
     vocabulary: Vocabulary  # of the whole benchmark, as are its vectors: all blocks have the same ones
-    vectors: np.ndarray  # of each word: its idf times its row of V
+    vectors: np.ndarray  # of each word: its idf times its row of V; then a zero one
     items: list[Item]
     owner: np.ndarray  # item of each passage
     passages: np.ndarray  # unit latent vectors
@@ -131,11 +131,11 @@ class Index:
         first = (np.arange(base[-1]) - base[:-1][document]) * STRIDE
         at, index = self.vocabulary.find(words)
         owner = np.searchsorted(bounds, at, side="right") - 1
-        block = base[owner] + (at - bounds[owner]) // STRIDE
+        places = np.full(base[-1] * STRIDE, len(self.vectors) - 1)  # the last vector is zero
+        places[base[owner] * STRIDE + at - bounds[owner]] = index
         sums = np.zeros((base[-1], self.vectors.shape[1]), dtype=np.float32)
-        if len(at):
-            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            sums[block[starts]] = np.add.reduceat(self.vectors[index], starts, axis=0)
+        for column in places.reshape(-1, STRIDE).T:
+            sums += self.vectors[column]
         return document, first, sums
 
     def near(self, bounds: np.ndarray, document: np.ndarray, first: np.ndarray, sums: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -143,17 +143,18 @@ class Index:
         lengths, total, done = np.diff(bounds), sums.copy(), 1
         for span in sorted(set(self.spans.tolist())):
             for k in range(done, span):
-                same = document[k:] == document[:-k]
-                total[:-k][same] += sums[k:][same]
+                total[:-k] += sums[k:]
+                across = np.flatnonzero(document[k:] != document[:-k])  # few: taken back
+                total[across] -= sums[across + k]
             done = max(done, span)
             useful = (first == 0) | (first + (span - 1) * STRIDE < lengths[document])  # later ones only hold the end once more
-            norms = np.sqrt((total**2).sum(axis=1))
-            kept, which = np.flatnonzero(useful & (norms > 1e-6)), np.flatnonzero(self.spans == span)
-            for lo in range(0, len(kept), 8192):
-                some = kept[lo : lo + 8192]
-                cosines = (total[some] / norms[some][:, None]) @ self.passages[which].T
-                i, j = np.nonzero(cosines >= self.least_cosines[which])
-                yield document[some[i]], self.owner[which[j]], first[some[i]], cosines[i, j]
+            norms, which = np.sqrt(np.einsum("ij,ij->i", total, total)), np.flatnonzero(self.spans == span)
+            useful &= norms > 1e-6
+            for lo in range(0, len(total), 8192):
+                cosines = total[lo : lo + 8192] @ self.passages[which].T
+                cosines /= np.maximum(norms[lo : lo + 8192, None], 1e-6)
+                i, j = np.nonzero((cosines >= self.least_cosines[which]) & useful[lo : lo + 8192, None])
+                yield document[lo + i], self.owner[which[j]], first[lo + i], cosines[i, j]
 
     def size(self) -> int:
         return sum(x.nbytes for x in (self.passages, self.seeds.words, self.seed_items, self.seed_places, self.item_places)) + 200 * sum(len(i.words) for i in self.items)
@@ -395,7 +396,7 @@ def latent_space(parts: list[Block], documents: DataFrame, rank: int | None = No
     used = np.unique(np.concatenate([p for p, _ in rows]))
     rank = rank or max(16, min(MOST_RANK, len(rows), SPACE_BYTES // (4 * len(used))))
     space.leading = randomised_svd(matrix, len(known), rank)
-    space.used, space.vectors = Vocabulary(known.words[used]), (space.idf[used, None] * space.leading[used]).astype(np.float32)
+    space.used, space.vectors = Vocabulary(known.words[used]), np.concatenate([space.idf[used, None] * space.leading[used], np.zeros((1, space.leading.shape[1]))]).astype(np.float32)
     return space
 
 
