@@ -92,8 +92,10 @@ def candidate_line(number: Column, title: Column, year: Column, citations: Colum
     return F.concat(head, F.lit(", citations: "), F.coalesce(citations.cast("string"), F.lit("N/A")), F.lit(")\n  Abstract: "), flat(abstract))
 
 
-def filter_reason(policy: FilterPolicy) -> Column:
-    """Why a paper goes: the first test that it fails; null if it stays."""
+def filter_reason(policy: FilterPolicy, venues: Column | None = None) -> Column:
+    """Why a paper goes: the first test that it fails; null if it stays.  Any of ``venues`` (structs with name) may be allowed, or ``venue`` where a paper has none of these."""
+    from . import venues as V
+
     tests: list[tuple[Column, str]] = []
     if policy.min_year is not None:
         tests.append((F.col("year") < policy.min_year, "year_before_min"))
@@ -102,11 +104,7 @@ def filter_reason(policy: FilterPolicy) -> Column:
     if policy.min_citations is not None:
         tests.append((F.coalesce("citation_count", F.lit(0)) < policy.min_citations, "citation_below_min"))
     if policy.venues:
-        named = text.norm_venue(F.coalesce("venue", F.lit("")))
-        hit = F.lit(False)
-        for token in policy.venues:
-            hit = hit | F.contains(named, F.lit(token))
-        tests.append((~hit, "venue_not_allowed"))
+        tests.append((~V.allowed(V.of_paper(F.coalesce("venue", F.lit("")), venues), policy.venues), "venue_not_allowed"))
     out = F.lit(None).cast("string")
     for test, reason in reversed(tests):
         out = F.when(test, reason).otherwise(out)

@@ -11,10 +11,13 @@ from ..operators import chunks as C
 from ..operators import decisions as D
 from ..operators import notes as N
 from ..operators import papers as P
+from ..operators import providers as R
 from ..operators import screening as S
 from ..operators import state
+from ..operators import venues as V
 from ..sources import adapters as A
 from .cases import by_case, one
+from .provider_queries import _OA, _OA_ALL, _OA_VENUES, _PLACES, openalex
 from .queries import _CATEGORY, _CLASS, _SCORED, CHUNKS, PAPERS, RANKED, SCORE, TERMS, _categorised, _pairs, _ranked, query
 
 # ---- notes and claims ----
@@ -351,30 +354,53 @@ def search_and_rank(spark, sf):
 # ---- venues ----
 
 _ALIASES = ", ".join(f"('{name}', '{n}')" for name, aliases in P.VENUES.items() for n in (name, *aliases))
+_REPORTED = f"""{_OA}, {_PLACES}, {_OA_VENUES}, reported AS (SELECT doc_id, name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS token FROM venues WHERE nth = 1),
+aliases AS (SELECT conference, n AS name, regexp_replace(lower(n), '[^a-z0-9]', '', 'g') AS token FROM (VALUES {_ALIASES}) v(conference, n))"""
 
 
-def _venues(spark, rows) -> DataFrame:
-    return spark.createDataFrame(rows, "token string, conference string")
+def _reported(spark, sf) -> DataFrame:
+    """doc_id and name of every venue that a provider's record reports."""
+    return openalex(spark, sf).select("doc_id", F.explode(R.openalex_venues(F.col("r"))).alias("v")).select("doc_id", "v.name")
 
 
-@query(f"SELECT DISTINCT regexp_replace(lower(n), '[^a-z0-9]', '', 'g') AS token FROM (VALUES {_ALIASES}) v(conference, n)")
+@query(f"WITH {_REPORTED} SELECT DISTINCT r.doc_id, a.token FROM reported r JOIN aliases a ON contains(r.token, a.token)")
 def venue_defaults(spark, sf):
-    return spark.createDataFrame([(t,) for t in P.venue_defaults()], "token string")
+    """Which of all conferences' tokens each record's venues hold: what the default filter goes by."""
+    per = _reported(spark, sf).groupBy("doc_id").agg(F.collect_set("name").alias("names"))
+    return per.select("doc_id", F.explode(V.found_tokens(F.col("names"), P.venue_defaults())).alias("token"))
 
 
-@query(f"SELECT DISTINCT regexp_replace(lower(n), '[^a-z0-9]', '', 'g') AS token, conference FROM (VALUES {_ALIASES}) v(conference, n)")
+@query(f"WITH {_REPORTED} SELECT DISTINCT r.doc_id, r.name, a.conference FROM reported r JOIN aliases a ON r.token = a.token")
 def venue_index(spark, sf):
-    return _venues(spark, sorted(P.venue_index().items()))
+    """The conference of each reported venue that is one by some name."""
+    return V.named(_reported(spark, sf), V.aliases(spark)).select("doc_id", "name", "conference").distinct()
 
 
-@query(f"SELECT n AS name FROM (VALUES {_ALIASES}) v(conference, n) WHERE conference IN ('KDD', 'ACL')")
+@query(f"WITH {_REPORTED}, held AS (SELECT a.conference, count(DISTINCT r.doc_id) AS n FROM reported r JOIN aliases a ON r.token = a.token GROUP BY a.conference) SELECT conference, name, n FROM (SELECT DISTINCT conference, name FROM aliases) JOIN held USING (conference)")
 def venue_names(spark, sf):
-    return spark.createDataFrame([(n,) for n in P.venue_names(["kdd", "nothing", "acl"])], "name string")
+    """For each conference that records report, the names by which providers are asked, and how many papers there are."""
+    held = V.named(_reported(spark, sf), V.aliases(spark)).groupBy("conference").agg(F.count_distinct("doc_id").alias("n"))
+    return held.join(F.broadcast(V.aliases(spark).select("conference", "name").distinct()), "conference").select("conference", "name", "n")
 
 
-@query(f"SELECT DISTINCT regexp_replace(lower(n), '[^a-z0-9]', '', 'g') AS token FROM (VALUES {_ALIASES}, ('WWW', 'My Workshop')) v(conference, n) WHERE conference IN ('WWW', 'NeurIPS')")
+@query(
+    f"""WITH {_REPORTED}, known AS (SELECT DISTINCT r.doc_id, a.conference FROM reported r JOIN aliases a ON r.token = a.token)
+    SELECT DISTINCT k.doc_id, a.token FROM known k JOIN aliases a USING (conference) UNION
+    SELECT DISTINCT doc_id, token FROM reported WHERE token <> '' AND doc_id IN (SELECT doc_id FROM known) AND token NOT IN (SELECT token FROM aliases)"""
+)
 def venue_resolve(spark, sf):
-    return spark.createDataFrame([(t,) for t in P.venue_tokens("N.I.P.S., www,My Workshop,,")], "token string")
+    """What to filter by for the venues of each record, taken as a wish."""
+    return V.resolved(_reported(spark, sf), V.aliases(spark), "doc_id")
+
+
+@query(
+    f"""WITH {_OA_ALL}, reported AS (SELECT doc_id, bool_or(regexp_matches(regexp_replace(lower(name), '[^a-z0-9]', '', 'g'), 'acl|graphs')) AS hit FROM venues WHERE nth = 1 GROUP BY doc_id)
+    SELECT doc_id, coalesce(hit, false) AS allowed FROM oa_papers LEFT JOIN reported USING (doc_id)"""
+)
+def filter_all_venues(spark, sf):
+    """The venue test over all venues that a paper reports, not only its first."""
+    found = R.openalex_papers(openalex(spark, sf), "doc_id")
+    return found.select("doc_id", P.filter_reason(P.FilterPolicy(venues=("acl", "graphs")), F.col("venues")).isNull().alias("allowed"))
 
 
 @query(f"WITH {PAPERS}, t AS (SELECT DISTINCT regexp_replace(lower(n), '[^a-z0-9]', '', 'g') AS token FROM (VALUES {_ALIASES}) v(conference, n) UNION SELECT DISTINCT regexp_replace(lower(venue), '[^a-z0-9]', '', 'g') FROM papers WHERE venue IS NOT NULL) SELECT token FROM t WHERE token <> ''")

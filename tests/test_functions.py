@@ -148,3 +148,28 @@ def test_partitioning_does_not_matter(spark, sf_dir):
     a = P.filter_chain(papers, P.FilterPolicy(2016)).select("paper_id", "pos").collect()
     b = P.filter_chain(papers.repartition(7, "title"), P.FilterPolicy(2016)).select("paper_id", "pos").collect()
     assert sorted(a) == sorted(b)
+
+
+def test_venue_automaton(spark):
+    """One pass for thousands of tokens finds what a token at a time does; names don't run together."""
+    from factloom.operators import venues as V
+
+    rows = [(1, ["Proc. of the Intl. Conf. on Learning Representations (ICLR)"]), (2, ["Journal of Things", "ACL 2020"]), (3, []), (4, None), (5, ["icl", "r"]), (6, [None, "ICLR"])]
+    data = spark.createDataFrame(rows, "id int, names array<string>")
+    tokens = ["iclr", "acl", *(f"token{i}" for i in range(3000))]
+    found = {r["id"]: list(r["t"]) for r in data.select("id", V.found_tokens(F.col("names"), tokens).alias("t")).collect()}
+    assert found == {1: ["iclr"], 2: ["acl"], 3: [], 4: [], 5: [], 6: ["iclr"]}
+    for some in (["iclr", "acl"], tokens):
+        assert {r["id"]: r["ok"] for r in data.select("id", V.allowed(F.col("names"), some).alias("ok")).collect()} == {i: bool(t) for i, t in found.items()}
+    assert data.filter(V.allowed(F.col("names"), [])).count() == 6
+
+
+def test_venues_resolved(spark):
+    from factloom.operators import venues as V
+
+    wanted = spark.createDataFrame([(1, "N.I.P.S."), (1, "My Workshop"), (2, "tyop"), (3, ""), (3, None), (4, "neurips"), (4, "NIPS")], "id int, name string")
+    found = {}
+    for r in V.resolved(wanted, V.aliases(spark), "id").collect():
+        found.setdefault(r["id"], set()).add(r["token"])
+    nips = {"neurips", "nips", "annualconferenceonneuralinformationprocessingsystems"}
+    assert found == {1: nips | {"myworkshop"}, 4: nips}
