@@ -115,27 +115,6 @@ def batch_fixed(rows: DataFrame, per: list[str], order: list[str], size: int = 4
     return rows.withColumn("batch", F.floor(place / size).cast("long")).withColumn("idx", (place % size).cast("long"))
 
 
-def batch_tokens(rows: DataFrame, per: str, order: list[str], budget: int) -> DataFrame:
-    """batch: rows in order, a new one when the tokens would pass ``budget``.  A running fold, so it runs on each group's rows in order."""
-    ship(rows.sparkSession)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, used, number = None, 0, 0
-        for part in batches:
-            out = []
-            for name, tokens in zip(part[per], part["tokens"], strict=True):
-                if name != key:
-                    key, used, number = name, 0, 0
-                elif used + tokens > budget:
-                    used, number = 0, number + 1
-                used += tokens
-                out.append(number)
-            yield part.assign(batch=out)
-
-    schema = rows.schema.add("batch", "long") if "batch" not in rows.columns else rows.schema
-    return rows.repartition(per).sortWithinPartitions(per, *order).mapInPandas(fold, schema)
-
-
 def section_paths(markdown: list[str], least_chars: int = 20, most_words: int = 250) -> list[tuple[str, str]]:
     """(path, text) of a document's packed paragraphs, from its lines."""
     stack: list[tuple[int, str]] = []

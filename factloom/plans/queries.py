@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scores, sections, text, urls
+from ..operators import batching
 from ..operators import chunks as C
 from ..operators import decisions as D
 from ..operators import pacing
@@ -308,10 +309,32 @@ def strided(spark, sf):
     return C.strided(A.chunks(spark, sf), "paper_id", ["ord"], 3).select("paper_id", "chunk_id")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {CHUNKS}, sized AS (SELECT paper_id, chunk_id, ord, (length(text) + 3) // 4 AS tokens, row_number() OVER (PARTITION BY paper_id ORDER BY ord) AS n FROM chunks),
+    batched AS (
+      SELECT paper_id, chunk_id, ord, tokens, n, tokens AS used, CAST(0 AS BIGINT) AS batch FROM sized WHERE n = 1 UNION ALL
+      SELECT s.paper_id, s.chunk_id, s.ord, s.tokens, s.n, CASE WHEN b.used + s.tokens > 3000 THEN s.tokens ELSE b.used + s.tokens END, b.batch + CAST(b.used + s.tokens > 3000 AS BIGINT)
+      FROM batched b JOIN sized s ON s.paper_id = b.paper_id AND s.n = b.n + 1)
+    SELECT paper_id, chunk_id, ord, tokens, batch FROM batched"""
+)
 def batch_tokens_screen(spark, sf):
+    """Chunks in order in batches of up to 3,000 estimated tokens."""
     rows = A.chunks(spark, sf).select("paper_id", "chunk_id", "ord", text.token_estimate(F.col("text")).alias("tokens"))
-    return C.batch_tokens(rows, "paper_id", ["ord"], 3000)
+    return batching.batch_tokens(rows, "paper_id", ["ord"], 3000)
+
+
+@query(
+    """WITH RECURSIVE sized AS (SELECT event_id, event_type, CAST(abs(value) * 100 AS BIGINT) AS tokens, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events),
+    batched AS (
+      SELECT event_id, event_type, tokens, n, tokens AS used, CAST(0 AS BIGINT) AS batch FROM sized WHERE n = 1 UNION ALL
+      SELECT s.event_id, s.event_type, s.tokens, s.n, CASE WHEN b.used + s.tokens > 25000 THEN s.tokens ELSE b.used + s.tokens END, b.batch + CAST(b.used + s.tokens > 25000 AS BIGINT)
+      FROM batched b JOIN sized s ON s.event_type = b.event_type AND s.n = b.n + 1)
+    SELECT event_id, event_type, tokens, batch FROM batched"""
+)
+def batch_tokens_events(spark, sf):
+    """A few keys of many rows each, every key in several pieces."""
+    rows = A.read(spark, sf, "events").select("event_id", "event_type", F.round(F.abs("value") * 100).cast("long").alias("tokens"))
+    return batching.batch_tokens(rows, "event_type", ["event_id"], 25000)
 
 
 @query(rf"SELECT doc_id, CAST(len(regexp_extract_all(text, '{WORD}')) AS BIGINT) AS words, (length(text) + 3) // 4 AS tokens, substr(text, 1, 240) AS quote, substr(sha256(text), 1, 8) AS slot, regexp_matches(text, '(?i)(?:limitation|future\s+work|fails?\s+to|does\s+not|remains\s+(?:un)?(?:explor|solv|address)|lack\s+of)') AS cue FROM documents")

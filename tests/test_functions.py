@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from factloom.functions import scores, sections, text, urls
+from factloom.operators import batching
 from factloom.operators import chunks as C
 from factloom.operators import decisions as D
 from factloom.operators import papers as P
@@ -117,7 +118,7 @@ def test_chunk_sections(spark):
 
 def test_batch_tokens(spark):
     rows = spark.createDataFrame([(1, i, t) for i, t in enumerate([5, 5, 5, 20, 1])], "paper_id long, ord long, tokens long")
-    found = C.batch_tokens(rows, "paper_id", ["ord"], 10).orderBy("ord").collect()
+    found = batching.batch_tokens(rows, "paper_id", ["ord"], 10).orderBy("ord").collect()
     assert [r["batch"] for r in found] == [0, 0, 1, 2, 3]
 
 
