@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass
 from urllib.parse import urlencode
 
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 Fetcher = Callable[[str], str]
 
@@ -74,6 +74,9 @@ def url_column(build: Callable[[Request], str], query: Column, limit: Column, ye
 PROVIDERS: dict[str, tuple[Callable[[Request], str], str, float]] = {"openalex": (openalex_url, "results", 0.0), "semantic_scholar": (s2_url, "data", S2_PACE)}
 
 
+YEARS = {"openalex": "publication_year", "semantic_scholar": "year"}
+
+
 class Paced:
     """A fetcher with ``pace`` seconds between calls and ``tries`` tries, the delay asked for or 2^n seconds between these."""
 
@@ -108,22 +111,80 @@ class _Search(InputPartition):
 
 
 class _Reader(DataSourceReader):
+    """Reads the searches; filters on year and query_id are the searches' own: a range of years goes into the URL, other queries aren't asked."""
+
     def __init__(self, provider: str, requests: list[dict], fetcher: Fetcher, pace: float) -> None:
         self.provider, self.requests, self.fetcher, self.pace = provider, requests, fetcher, pace
+        self.low: int | None = None
+        self.high: int | None = None
+        self.known = False
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """What isn't about year or query_id is left to Spark."""
+        for f in filters:
+            if not self._take(f):
+                yield f
+
+    def _take(self, f: Filter) -> bool:
+        match f:
+            case EqualTo(("query_id",), str(query)):
+                self.requests = [r for r in self.requests if r["query"] == query]
+            case In(("query_id",), queries):
+                self.requests = [r for r in self.requests if r["query"] in queries]
+            case IsNotNull(("query_id",)):
+                pass
+            case IsNotNull(("year",)):
+                self.known = True
+            case EqualTo(("year",), int(year)):
+                self._between(year, year)
+            case GreaterThanOrEqual(("year",), int(year)):
+                self._between(year, None)
+            case GreaterThan(("year",), int(year)):
+                self._between(year + 1, None)
+            case LessThanOrEqual(("year",), int(year)):
+                self._between(None, year)
+            case LessThan(("year",), int(year)):
+                self._between(None, year - 1)
+            case _:
+                return False
+        return True
+
+    def _between(self, low: int | None, high: int | None) -> None:
+        self.low, self.high = _latest(self.low, low), _earliest(self.high, high)
 
     def partitions(self) -> list[_Search]:
+        years = lambda r: {"year_from": _latest(r["year_from"], self.low), "year_to": _earliest(r["year_to"], self.high)}
+        asked = [r | years(r) for r in self.requests]
+        asked = [r for r in asked if None in (r["year_from"], r["year_to"]) or r["year_from"] <= r["year_to"]]
         # a paced provider is asked from one task, as a pace holds for all requests
-        return [_Search(0, {"all": self.requests})] if self.pace else [_Search(i, {"all": [r]}) for i, r in enumerate(self.requests)]
+        return [_Search(0, {"all": asked})] if self.pace or not asked else [_Search(i, {"all": [r]}) for i, r in enumerate(asked)]
 
-    def read(self, partition: _Search) -> Iterator[tuple[str, str]]:
+    def read(self, partition: _Search) -> Iterator[tuple[str, str, int | None]]:
         fetcher = Paced(self.fetcher, self.pace)
         for r in partition.request["all"]:
             for line in records(self.provider, Request(**(r | {"venues": tuple(r["venues"])})), fetcher):
-                yield r["query"], line
+                year = json.loads(line).get(YEARS[self.provider])
+                year = year if isinstance(year, int) else None
+                # the provider goes by dates, the filter by the record's year
+                if self._wanted(year):
+                    yield r["query"], line, year
+
+    def _wanted(self, year: int | None) -> bool:
+        if year is None:
+            return not self.known and self.low is None and self.high is None
+        return (self.low is None or year >= self.low) and (self.high is None or year <= self.high)
+
+
+def _latest(a: int | None, b: int | None) -> int | None:
+    return max((x for x in (a, b) if x is not None), default=None)
+
+
+def _earliest(a: int | None, b: int | None) -> int | None:
+    return min((x for x in (a, b) if x is not None), default=None)
 
 
 def source(fetcher: Fetcher, pace: float | None = None) -> type[DataSource]:
-    """The data source ``scholarly``: options provider and requests (JSON); columns query_id and value."""
+    """The data source ``scholarly``: options provider and requests (JSON); columns query_id, value and year."""
 
     class Scholarly(DataSource):
         @classmethod
@@ -131,7 +192,7 @@ def source(fetcher: Fetcher, pace: float | None = None) -> type[DataSource]:
             return "scholarly"
 
         def schema(self) -> str:
-            return "query_id string, value string"
+            return "query_id string, value string, year int"
 
         def reader(self, schema) -> DataSourceReader:
             provider = self.options["provider"]
@@ -141,6 +202,12 @@ def source(fetcher: Fetcher, pace: float | None = None) -> type[DataSource]:
 
 
 def search(spark: SparkSession, provider: str, requests: list[Request], fetcher: Fetcher, pace: float | None = None) -> DataFrame:
-    """query_id and value, the landed records of some searches."""
+    """query_id, value and year, the landed records of some searches; filters on year and query_id go to the provider.
+
+    Each has a query_id, so the filter here drops nothing.  It is there because a plan without any filter would go by
+    those that an earlier plan of the same frame has pushed; who loads the format alone has to add one too.
+    """
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(source(fetcher, pace))
-    return spark.read.format("scholarly").option("provider", provider).option("requests", json.dumps([asdict(r) for r in requests])).load()
+    found = spark.read.format("scholarly").option("provider", provider).option("requests", json.dumps([asdict(r) for r in requests])).load()
+    return found.filter(F.col("query_id").isNotNull())

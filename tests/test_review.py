@@ -180,7 +180,7 @@ def test_search_source(spark):
 
     requests = [providers.Request("one"), providers.Request("two")]
     for provider in ("openalex", "semantic_scholar"):
-        rows = sorted(map(tuple, providers.search(spark, provider, requests, fetch, 0.0).collect()))
+        rows = sorted(map(tuple, providers.search(spark, provider, requests, fetch, 0.0).select("query_id", "value").collect()))
         assert rows == [("one", '{"id": "one"}'), ("one", '{"id": "x"}'), ("two", '{"id": "two"}'), ("two", '{"id": "x"}')]
 
 
