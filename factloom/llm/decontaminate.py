@@ -51,7 +51,7 @@ STOP_SHARE, MANY_ITEMS = 0.1, 20  # words in more of the documents, or of the it
 SEED_WORDS = 5
 STRIDE, LONGEST = 8, 8  # windows of up to LONGEST strides
 PASSAGE = 32  # words of a passage of an item that is longer than the longest window
-MOST_RANK = 256
+MOST_RANK = 160
 _BITS = 20
 
 _LETTERS = np.zeros(256, dtype=bool)
