@@ -147,6 +147,7 @@ def split_by_ids(rows: DataFrame, column: str, ids: DataFrame, id_column: str) -
     broadcast as at most ``MOST_WORDS`` rows; with more ids than it has room for, more rows
     count as possible and nothing else changes.  Rows whose column is null aren't among ids.
     """
+    no_clash(rows.columns, ("__bloom_hash", "__bloom_bits", "__bloom_at", "__bloom_word", "__bloom_held"))
     words = 1 << max(4, min(MOST_WORDS, ids.count() // _IDS_A_WORD + 1).bit_length())
     place = lambda h: F.pmod(h, F.lit(words))
     bits = lambda h: F.expr("shiftleft(1L, cast(shiftright({0}, 40) & 63 as int)) | shiftleft(1L, cast(shiftright({0}, 48) & 63 as int))".format(h))

@@ -531,6 +531,7 @@ def deduplicate(docs: DataFrame, words: int = 5) -> DataFrame:
     text stays.  Only rows whose id may be one that goes or repeats are shuffled; the others
     pass where they are.
     """
+    common.no_clash(docs.columns, ("__dedup_id", "__dedup_component", "__dedup_rows", "__dedup_stays", "__dedup_place"))
     scratch = common.Scratch(docs.sparkSession)
     found = components(docs, words, scratch)
     asked = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__dedup_id")).agg(F.min("component_id").alias("__dedup_component"), F.count("*").alias("__dedup_rows"))

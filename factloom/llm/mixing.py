@@ -13,7 +13,8 @@ source.
 
 Defined results: a null text counts 0 words and is taken 0 times; a null source is a source
 of its own, last in order; rows that repeat a doc_id are drawn together but for the cut and
-the swaps, which take them one by one; an empty table gives no rows.
+the swaps, which take them one by one; a very long text is one document, taken whole or not at
+all; an empty table gives no rows; other columns are ignored by :func:`mix` and kept by :func:`sampled`.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ inside the JVM's generated code (Friedman and Popescu's rule ensembles).
 Defined results: null and empty texts have all statistics 0 and are scored by the same
 rules; labels that are null, neither 0 nor 1, without a document, or repeated and at odds aren't learned from;
 without both classes the score is the share of label 1 (0.5 without labels); repeated rows
-are scored alike; other columns are ignored.
+are scored alike; a very long text is read whole, some documents or one at a time; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ Defined results: vectors that are null, empty or hold null or non-finite compone
 part; a vector of another length than the query scores against the queries of its own
 length only; ties go to the smaller vec_id; repeated rows of one vec_id each count; fewer
 than k candidates give what there is; a null vec_id takes no part; an empty table gives no
-rows.  Scores outside 64 bits are an error.
+rows; other columns are ignored, whatever their names.  Scores outside 64 bits are an error, and
+components whose 1,024-fold is beyond 2**63 count as the nearest long.
 """
 
 from __future__ import annotations
