@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from ..streaming.events import shared_folder
+from ..storage import saved
 
 
 def piece_outcomes(tokens: np.ndarray, budget: int) -> tuple[list[int], list[int], list[int]]:
@@ -85,13 +85,11 @@ def _runs(frames: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.Dat
 
 def batch_tokens(rows: DataFrame, per: str, order: list[str], budget: int, pieces: int | None = None) -> DataFrame:
     """``rows`` (with tokens) with batch, from 0 in each ``per``."""
-    spark = rows.sparkSession
-    ship(spark)
-    folder, name = shared_folder(spark), rows.schema[per].dataType.simpleString()
+    ship(rows.sparkSession)
+    name = rows.schema[per].dataType.simpleString()
     ordered = rows.repartitionByRange(pieces, per, *order) if pieces else rows.repartitionByRange(per, *order)
     ordered = ordered.sortWithinPartitions(per, *order).withColumns({"__piece": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
-    ordered.write.parquet(f"{folder}/rows")  # the ranges are sampled: saved, they are the same for all that follows
-    placed = spark.read.schema(ordered.schema).parquet(f"{folder}/rows")
+    placed = saved(ordered)  # the ranges are sampled: saved, they are the same for all that follows
     narrow = placed.select("__piece", F.col(per).alias("__key"), "__at", F.coalesce("tokens", F.lit(0)).cast("long").alias("__n"))
     run_of = ["__piece", "__key"]
     sorted_rows = narrow.repartition(*run_of).sortWithinPartitions(*run_of, "__at")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scores import round1
+from ..storage import saved
 
 
 def agg_functional(scores: DataFrame, max_weight: float = 0.7) -> DataFrame:
@@ -42,31 +43,46 @@ def threshold_only(scored: DataFrame, threshold: float) -> DataFrame:
     return out.withColumn("include", include).withColumn("reasons", F.when(include, "").otherwise("threshold_not_met"))
 
 
-def sampled_part(keyed: DataFrame, n: int, parts: int = 64) -> Column:
-    """Between which of up to ``parts`` bounds column ``__key`` lies; the bounds come from about 1,000 rows by hash, the same in every reading."""
-    chance = F.pmod(F.xxhash64("__key"), F.lit(1 << 20)) < F.lit(max(1, (1000 << 20) // max(1, n)))
+#: Rows of a part that one task ranks; bounds of parts come from about ``SAMPLED`` rows for each, ``MOST_PARTS`` at most.
+ROWS_A_PART, SAMPLED, MOST_PARTS = 200_000, 20, 2000
+
+
+def sampled_part(keyed: DataFrame, n: int, parts: int) -> Column:
+    """Between which of up to ``parts`` bounds column ``__key`` lies; the bounds come from rows chosen by hash, the same in every reading."""
+    chance = F.pmod(F.xxhash64("__key"), F.lit(1 << 20)) < F.lit(max(1, (SAMPLED * parts << 20) // max(1, n)))
     sample = [r[0] for r in keyed.filter(chance).select("__key").orderBy("__key").collect()]
     kinds = [f.dataType for f in keyed.schema["__key"].dataType.fields]
     places = sorted({len(sample) * k // parts for k in range(1, parts)})
     bounds = [F.struct(*[F.lit(v).cast(k) for v, k in zip(sample[i], kinds, strict=True)]) for i in places if i < len(sample)]
-    return sum((F.when(F.col("__key") > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    # as deep as the logarithm of the number of bounds
+    def among(lo: int, hi: int) -> Column:
+        middle = (lo + hi) // 2
+        return F.lit(lo) if lo == hi else F.when(F.col("__key") > bounds[middle], among(middle + 1, hi)).otherwise(among(lo, middle))
+
+    return among(0, len(bounds))
 
 
-def globally_ranked(rows: DataFrame, order: list[Column], name: str = "rank", by: list[str] | None = None, part: Column | None = None) -> DataFrame:
+def globally_ranked(rows: DataFrame, order: list[Column], name: str = "rank", by: list[str] | None = None) -> DataFrame:
     """``name``: the place of each row in ``order`` over the whole table (or within ``by``), without a window over all of it.
 
-    ``order`` are ascending keys that end in a unique one, none of them null.  ``part``, a number
-    that never falls in that order, deals rows out; without one :func:`sampled_part` does.
-    Rows are numbered within a part, and the rows of the parts before are added.
+    ``order`` are ascending keys that end in a unique one, none of them null.  The rows are saved with their key,
+    so what they come from is computed once; parts, in order of ``by`` and key, hold ``ROWS_A_PART`` rows or so each, however many are
+    in one group or tie in all but the last key.  Rows are numbered within a part, and the rows of the parts before are added.
     """
     by = by or []
-    keyed = rows.withColumn("__key", F.struct(*order))
-    dealt = keyed.withColumn("__part", sampled_part(keyed, rows.count()) if part is None else part)
+    keyed = saved(rows.withColumn("__key", F.struct(*by, *order)))
+    n = keyed.count()
+    if n <= ROWS_A_PART:
+        return keyed.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy("__key")).cast("int")).drop("__key")
+    dealt = keyed.withColumn("__part", sampled_part(keyed, n, min(MOST_PARTS, -(-n // ROWS_A_PART))))
     local = dealt.withColumn("__local", F.row_number().over(W.partitionBy(*by, "__part").orderBy("__key")))
-    sizes = dealt.groupBy(*by, "__part").agg(F.count("*").alias("__size"))
-    earlier = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*by, "__part").agg(F.count("*").alias("__size")).withColumnsRenamed({c: f"__by_{c}" for c in by}).withColumnRenamed("__part", "__p")
+    earlier = W.partitionBy(*[f"__by_{c}" for c in by]).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
     before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(earlier), F.lit(0))).drop("__size")
-    return local.join(before, [*by, "__part"]).withColumn(name, (F.col("__before") + F.col("__local")).cast("int")).drop("__key", "__part", "__local", "__before")
+    same = F.col("__part") == F.col("__p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    return local.join(before, same).withColumn(name, (F.col("__before") + F.col("__local")).cast("int")).select(*rows.columns, name)
 
 
 def compare_retrieval(lexical: DataFrame, embedding: DataFrame, judged: DataFrame, least: float = 0.5) -> DataFrame:

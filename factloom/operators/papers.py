@@ -152,7 +152,7 @@ def rank_semantic(papers: DataFrame, idea: Column, sub: Column, weight: float, b
 def _ranked(papers: DataFrame, by: list[str] | None) -> DataFrame:
     """``rank`` by falling score, citations, year, then input order; a group of any size is dealt out over tasks."""
     order = [-F.coalesce("score", F.lit(float("-inf"))), -F.coalesce("citation_count", F.lit(0)), -F.coalesce("year", F.lit(0)), F.col("ord")]
-    return globally_ranked(papers, order, by=by, part=F.floor(order[0] * 32))  # scores lie between 0 and 3, so some hundred parts
+    return globally_ranked(papers, order, by=by)
 
 
 def select_top(ranked: DataFrame, min_score: float, most: int) -> DataFrame:
@@ -173,7 +173,7 @@ def bucket_flags(ranked: DataFrame, by: list[str]) -> DataFrame:
     """
     whole = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.max("year").alias("newest"))
     cited = [-F.coalesce("citation_count", F.lit(0)), F.col("rank")]
-    placed = globally_ranked(ranked, cited, "__cited", by, F.floor(F.log1p(F.coalesce("citation_count", F.lit(0))) * -8)).join(whole, by)
+    placed = globally_ranked(ranked, cited, "__cited", by).join(whole, by)
     share = lambda place: F.when(F.col("n") <= 1, F.lit(0.0)).otherwise((place - 1) / (F.col("n") - 1))
     out = placed.withColumn("rank_pct", share(F.col("rank"))).withColumn("cite_pct", share(F.col("__cited"))).drop("__cited")
     often = F.col("citation_count").isNotNull() & (F.col("cite_pct") <= 0.30)

@@ -6,23 +6,13 @@ ends.  A batch that is run again after a failure overwrites its own folder.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.decisions import last_by
+from ..storage import shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; in local mode alone one of this machine where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="factloom-stream-")
-    return f"{folder}/stream-{uuid.uuid4().hex}"
+__all__ = ["latest_state", "read_stream", "running_counts", "shared_folder"]
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:

@@ -76,17 +76,28 @@ def test_pack_equals_a_plain_fold():
             assert longest <= 8
 
 
-def test_global_rank_equals_window(spark):
-    rows = spark.createDataFrame([(i, float(random.Random(i).randrange(20)), "g" if i % 3 else "h") for i in range(3000)], "id long, score double, grp string").repartition(5)
+@pytest.mark.parametrize("part", [200_000, 40])
+def test_global_rank_equals_window(spark, monkeypatch, part):
+    """As one part and as many; ties in all but the last key, and a null group, are dealt out too."""
+    monkeypatch.setattr(D, "ROWS_A_PART", part)
+    rows = spark.createDataFrame([(i, float(random.Random(i).randrange(20)) if i % 2 else 0.0, [None, "g", "g", "h"][i % 4]) for i in range(3000)], "id long, score double, grp string").repartition(5)
     found = D.globally_ranked(rows, [-F.col("score"), F.col("id")]).collect()
     want = {r["id"]: k for k, r in enumerate(sorted(found, key=lambda r: (-r["score"], r["id"])), 1)}
-    assert {r["id"]: r["rank"] for r in found} == want
-    found = D.globally_ranked(rows, [-F.col("score"), F.col("id")], by=["grp"], part=F.floor(-F.col("score") * 3)).collect()
-    for g in "gh":
+    assert len(found) == 3000 and {r["id"]: r["rank"] for r in found} == want
+    found = D.globally_ranked(rows, [-F.col("score"), F.col("id")], by=["grp"]).collect()
+    assert len(found) == 3000
+    for g in (None, "g", "h"):
         mine = sorted((r for r in found if r["grp"] == g), key=lambda r: (-r["score"], r["id"]))
         assert [r["rank"] for r in mine] == list(range(1, len(mine) + 1))
 
 
+def test_parts_of_ranks_grow_with_the_rows(spark, monkeypatch):
+    rows = spark.range(4000).withColumn("__key", F.struct(F.lit(0).alias("tie"), F.col("id")))
+    for parts in (2, 40):
+        sizes = [r["count"] for r in rows.groupBy(D.sampled_part(rows, 4000, parts).alias("p")).count().collect()]
+        assert len(sizes) == parts and max(sizes) < 3 * 4000 / parts
+
+
 def test_repair_and_retry():
     calls = []
 
