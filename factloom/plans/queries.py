@@ -556,6 +556,16 @@ def report_join(spark, sf):
     return rows.groupBy("conv_id").agg(F.concat(F.lit("# "), F.first("conv_id").cast("string"), F.lit("\n"), body).alias("report"))
 
 
+@query(
+    """WITH u AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS place, regexp_extract(url, '\\?([^#]*)', 1) AS query, url FROM pages)
+    SELECT page_id, place || CASE WHEN query <> '' THEN '?' || array_to_string(list_sort(string_split(query, '&')), '&') ELSE '' END AS canonical, place AS sanitized, regexp_matches(url, '^https?://[^/@]+(/|$)') AS usable FROM u"""
+)
+def page_urls(spark, sf):
+    """The URL rules over every page's own URL: canonical, fit to be stored, usable."""
+    url = F.col("url")
+    return A.read(spark, sf, "pages").select("page_id", urls.canonical_url(url).alias("canonical"), urls.sanitize_url(url).alias("sanitized"), urls.is_http_url(url).alias("usable"))
+
+
 # ---- logs ----
 
 
