@@ -121,7 +121,6 @@ def _folded(rows: DataFrame, key: str, at: str, order: str, made: str, start: Ca
     """Rows of each busy period in order through ``step(state, row)``, which gives the values of ``made``."""
     ship(rows.sparkSession)
     names = [x.split()[0] for x in made.split(", ")]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, state = None, None
