@@ -36,6 +36,19 @@ def parsed(lines: DataFrame, schema: str) -> DataFrame:
     return lines.withColumn("r", F.when(F.ltrim("value").startswith("{"), found).otherwise(F.from_json(F.lit("{"), schema, options)))
 
 
+def inverted_index(words: Column) -> Column:
+    """Map of each word to its positions, from 0, ascending: sorted by word and position, cut where the word changes."""
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+
+    def cut(found: Column) -> Column:
+        starts = F.filter(F.transform(found, lambda x, i: i), lambda i: F.coalesce(F.get(found, i - 1)["w"] != F.get(found, i)["w"], F.lit(True)))
+        end = lambda at, k: F.coalesce(F.get(at, k + 1), F.size(found))
+        spots = lambda i, j: F.transform(F.slice(found, i + 1, j - i), lambda x: x["p"])
+        return urls.let(starts, lambda at: F.map_from_entries(F.transform(at, lambda i, k: F.struct(F.get(found, i)["w"], spots(i, end(at, k))))))
+
+    return urls.let(placed, cut)
+
+
 def inverted_abstract(index: Column) -> Column:
     """The words by position; of words that claim one position the last counts, gaps are left out; null without any."""
     entries = F.map_entries(index)

@@ -14,6 +14,7 @@ from ..operators import chunks as C
 from ..operators import decisions as D
 from ..operators import pacing
 from ..operators import papers as P
+from ..operators import providers as R
 from ..operators import state as S
 from ..sources import adapters as A
 from ..sources import sinks
@@ -350,11 +351,9 @@ def query_terms(spark, sf):
 
 @query(rf"WITH w AS (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS ws FROM documents) SELECT doc_id, array_to_string(ws, ' ') AS abstract FROM w")
 def abstract_round_trip(spark, sf):
-    """An inverted index, word to positions, and the text again from it."""
-    words = A.read(spark, sf, "documents").select("doc_id", F.posexplode_outer(text.words(F.col("text"))).alias("pos", "word"))
-    index = words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("positions"))
-    placed = index.select("doc_id", "word", F.explode_outer("positions").alias("pos"))
-    return placed.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("abstract"))
+    """An inverted index, word to positions, and the text again from it, row by row: nothing is shuffled."""
+    again = R.inverted_abstract(R.inverted_index(text.words(F.col("text"))))
+    return A.read(spark, sf, "documents").select("doc_id", F.when(F.col("text").isNotNull(), F.coalesce(again, F.lit(""))).alias("abstract"))
 
 
 # ---- decisions ----
