@@ -115,7 +115,7 @@ def batch_fixed(rows: DataFrame, per: list[str], order: list[str], size: int = 4
     return rows.withColumn("batch", F.floor(place / size).cast("long")).withColumn("idx", (place % size).cast("long"))
 
 
-def section_paths(markdown: list[str], least_chars: int = 20, most_words: int = 250) -> list[tuple[str, str]]:
+def section_paths(markdown: list[str], least_chars: int = 20, most_words: int = 250, most_paragraphs: int | None = None) -> list[tuple[str, str]]:
     """(path, text) of a document's packed paragraphs, from its lines."""
     stack: list[tuple[int, str]] = []
     groups: list[tuple[str, list[str]]] = [("", [])]
@@ -130,7 +130,7 @@ def section_paths(markdown: list[str], least_chars: int = 20, most_words: int =
             groups[-1][1].append(line)
     out = []
     for path, lines in groups:
-        for part in pack("\n".join(lines), most_words):
+        for part in pack("\n".join(lines), most_words, most_paragraphs=most_paragraphs):
             if len(part.strip()) >= least_chars:
                 out.append((path, part))
     return out
@@ -151,8 +151,11 @@ def slide_split(words: list[str], most: int, overlap: int, least: int = 4) -> li
     return [" ".join(words[s : s + most]) for s in starts if s == 0 or len(words) - s >= least]
 
 
-def pack(body: str, most: int, overlap: int = 30, least: int = 4) -> list[str]:
-    """Paragraphs together up to ``most`` words: those under ``least`` go with what is held, tables stay whole, longer ones are cut in windows."""
+def pack(body: str, most: int, overlap: int = 30, least: int = 4, most_paragraphs: int | None = None) -> list[str]:
+    """Paragraphs together up to ``most`` words: those under ``least`` go with what is held, tables stay whole, longer ones are cut in windows.
+
+    With ``most_paragraphs`` a part also ends when it holds so many and one of ``least`` words or more follows.
+    """
     if not 0 <= overlap < most:
         raise ValueError("overlap must be smaller than the window")
     parts: list[str] = []
@@ -160,8 +163,9 @@ def pack(body: str, most: int, overlap: int = 30, least: int = 4) -> list[str]:
     size = 0
     for paragraph in filter(None, map(str.strip, _BREAK.split(body))):
         words = paragraph.split()
-        table = is_table_block(paragraph)
-        if len(words) >= least and held and size + len(words) > most:
+        table = paragraph.startswith("|") and is_table_block(paragraph)
+        full = size + len(words) > most or (most_paragraphs is not None and len(held) >= most_paragraphs)
+        if len(words) >= least and held and full:
             parts.append("\n\n".join(held))
             held, size = [], 0
         if len(words) > most and not table:
@@ -197,7 +201,7 @@ def packed_column(body: Column) -> Column:
     return F.pandas_udf(lambda bodies: bodies.map(lambda x: " ## ".join(pack(x or "", 8, 2))), T.StringType())(body)
 
 
-def chunk_sections(docs: DataFrame, most_words: int = 250, key: str = "paper_id") -> DataFrame:
+def chunk_sections(docs: DataFrame, most_words: int = 250, key: str = "paper_id", most_paragraphs: int | None = None) -> DataFrame:
     """key, chunk_id, ord, section, text of Markdown documents; short groups don't use up a number."""
     ship(docs.sparkSession)
     source = docs.select(key, "text")
@@ -205,7 +209,7 @@ def chunk_sections(docs: DataFrame, most_words: int = 250, key: str = "paper_id"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            rows = [(k, f"{k}-c{n}", n, path or None, body) for k, t in zip(part[key], part["text"], strict=True) for n, (path, body) in enumerate(section_paths((t or "").split("\n"), most_words=most_words), 1)]
+            rows = [(k, f"{k}-c{n}", n, path or None, body) for k, t in zip(part[key], part["text"], strict=True) for n, (path, body) in enumerate(section_paths((t or "").split("\n"), most_words=most_words, most_paragraphs=most_paragraphs), 1)]
             yield pd.DataFrame(rows, columns=[key, "chunk_id", "ord", "section", "text"])
 
     return source.mapInPandas(run, schema)

@@ -1,8 +1,11 @@
 """What queries shuffle and how they go on at larger tables, and the odd rows that go with it."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import text
+from factloom.operators import chunks as C
 from factloom.operators import providers as R
 from factloom.plans import queries as core
 
@@ -20,3 +23,19 @@ def test_inverted_index_in_its_row(spark, tmp_path):
     found = core.QUERIES["abstract_round_trip"](spark, str(tmp_path))
     assert {r[0]: r[1] for r in found.collect()} == {1: "b a b c a b", 2: "", 3: None, 4: "one"}
     assert "Exchange" not in plan(found)
+
+
+@pytest.mark.parametrize("name", ["chunk_sections", "min_words", "prep_docs", "group_by_section"])
+def test_ends_of_sections(spark, tmp_path, name):
+    """After twelve paragraphs of 20 words an end of 1 to 19 words, 4 to 10 of which 250 words have room for."""
+    spark.createDataFrame([(n, " ".join(["word"] * (10 * n))) for n in range(239, 262)] + [(1, "x"), (2, ""), (3, None)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found, con = core.QUERIES[name](spark, str(tmp_path)), duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(core.ORACLE_SQL[name])
+    assert sorted(tuple(r) for r in found.select(*[d[0] for d in want.description]).collect()) == sorted(want.fetchall())
+
+
+def test_pack_by_paragraphs():
+    body = "\n\n".join(["a b c d e"] * 3 + ["x y"])
+    assert C.pack(body, 250, most_paragraphs=2) == ["a b c d e\n\na b c d e", "a b c d e\n\nx y"]
+    assert C.pack(body, 10, 2) == C.pack(body, 10, 2, most_paragraphs=9) and len(C.pack(body, 250)) == 1
