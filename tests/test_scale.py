@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import text
+from factloom.operators import batching
 from factloom.operators import chunks as C
 from factloom.operators import providers as R
 from factloom.plans import queries as core
@@ -39,3 +40,25 @@ def test_pack_by_paragraphs():
     body = "\n\n".join(["a b c d e"] * 3 + ["x y"])
     assert C.pack(body, 250, most_paragraphs=2) == ["a b c d e\n\na b c d e", "a b c d e\n\nx y"]
     assert C.pack(body, 10, 2) == C.pack(body, 10, 2, most_paragraphs=9) and len(C.pack(body, 250)) == 1
+
+
+def test_papers_are_folded_without_a_frame_each(spark, sf_dir):
+    made = core.QUERIES["chunk_sections"](spark, sf_dir).withColumn("aspect", C.aspect()).collect()
+    papers = {}
+    for r in sorted(made, key=lambda r: r["ord"]):
+        papers.setdefault(r["paper_id"], []).append(r)
+    kept, batches = core.QUERIES["bounded_chunks"](spark, sf_dir), core.QUERIES["batch_tokens_notes"](spark, sf_dir)
+    want = {(k, p[i]["chunk_id"]) for k, p in papers.items() for i in C.bounded_places([r["aspect"] for r in p], 6)}
+    assert {tuple(r) for r in kept.collect()} == want
+    want = sorted((k, b, p[i]["chunk_id"], t) for k, p in papers.items() for b, i, t in C.note_batches([r["aspect"] for r in p], [r["text"] for r in p], 60))
+    assert sorted(tuple(r) for r in batches.collect()) == want
+    assert "FlatMapGroups" not in plan(kept) + plan(batches)
+
+
+def test_batches_of_many_keys(spark, sf_dir):
+    """Keys that are whole in a piece aren't gathered one by one."""
+    rows = spark.range(3000).select((F.col("id") / 3).cast("long").alias("name"), F.col("id").alias("at"), F.lit(40).alias("tokens"))
+    found = batching.batch_tokens(rows, "name", ["at"], 100, 5)
+    assert [tuple(r) for r in found.groupBy("batch").count().orderBy("batch").collect()] == [(0, 2000), (1, 1000)]
+    seen = plan(found)
+    assert "SortMergeJoin" not in seen and "BroadcastHashJoin" in seen
