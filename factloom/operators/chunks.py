@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain, groupby, islice
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import sections, text
 from ..shipping import ship
@@ -251,16 +255,27 @@ def bounded_places(aspects: list[str], cap: int) -> list[int]:
     return sorted(chosen)
 
 
+def _folded(marked: DataFrame, fold: Callable[[list[tuple]], Iterator[tuple]], schema: T.StructType) -> DataFrame:
+    """Rows that ``fold`` makes of each paper's rows in order of ord; ``marked`` begins with paper_id.
+
+    Papers go by in sorted partitions and are held one at a time, with no frame for each of them.
+    """
+    ship(marked.sparkSession)
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        made = chain.from_iterable(fold(list(paper)) for _, paper in groupby(rows, key=itemgetter(0)))
+        while part := list(islice(made, 2000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], schema=kinds)
+
+    return marked.repartition("paper_id").sortWithinPartitions("paper_id", "ord").mapInArrow(run, schema)
+
+
 def bounded(chunks: DataFrame, cap: int, title: Column | None = None) -> DataFrame:
     """Up to ``cap`` chunks of each paper by :func:`bounded_places`; a paper's chunks are folded in one task."""
-    ship(chunks.sparkSession)
     marked = chunks.select("paper_id", "chunk_id", "ord", aspect(title).alias("aspect"))
-
-    def run(paper: pd.DataFrame) -> pd.DataFrame:
-        paper = paper.sort_values("ord")
-        return paper.iloc[bounded_places(paper["aspect"].tolist(), cap)]
-
-    return marked.groupBy("paper_id").applyInPandas(run, marked.schema)
+    return _folded(marked, lambda paper: (paper[i] for i in bounded_places([row[3] for row in paper], cap)), marked.schema)
 
 
 def halved(body: str, budget: int, least: int = 20) -> list[str]:
@@ -295,14 +310,10 @@ def note_batches(aspects: list[str], texts: list[str], budget: int) -> list[tupl
 
 def batch_notes(chunks: DataFrame, budget: int = 2500, title: Column | None = None) -> DataFrame:
     """paper_id, batch, chunk_id, piece: a paper's chunks by section in batches under a token budget; a paper is folded in one task."""
-    ship(chunks.sparkSession)
     marked = chunks.select("paper_id", "chunk_id", "ord", "text", aspect(title).alias("aspect"))
-    schema = f"paper_id {marked.schema['paper_id'].dataType.simpleString()}, batch long, chunk_id string, piece string"
+    schema = T.StructType([marked.schema["paper_id"], T.StructField("batch", T.LongType()), marked.schema["chunk_id"], T.StructField("piece", T.StringType())])
 
-    def run(paper: pd.DataFrame) -> pd.DataFrame:
-        paper = paper.sort_values("ord")
-        ids = paper["chunk_id"].tolist()
-        rows = [(paper["paper_id"].iloc[0], b, ids[i], piece) for b, i, piece in note_batches(paper["aspect"].tolist(), paper["text"].tolist(), budget)]
-        return pd.DataFrame(rows, columns=["paper_id", "batch", "chunk_id", "piece"])
+    def fold(paper: list[tuple]) -> Iterator[tuple]:
+        return ((paper[i][0], b, paper[i][1], piece) for b, i, piece in note_batches([row[4] for row in paper], [row[3] for row in paper], budget))
 
-    return marked.groupBy("paper_id").applyInPandas(run, schema)
+    return _folded(marked, fold, schema)
